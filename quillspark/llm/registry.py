@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import bpe, tokenstore, vectors
 
-QUERIES = {"op1_near_duplicate_vectors": vectors.op1}
+QUERIES = {
+    "op1_near_duplicate_vectors": vectors.op1,
+    "op2_token_store": tokenstore.op2,
+    "op6_bpe_round_trip": bpe.op6,
+}
 ORACLES = {"op1_near_duplicate_vectors": vectors.OP1_SQL}
