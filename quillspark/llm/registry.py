@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, tokenstore, vectors
+from . import bpe, ngramjoin, tokenstore, vectors
 
 QUERIES = {
     "op1_near_duplicate_vectors": vectors.op1,
     "op2_token_store": tokenstore.op2,
+    "op3_ngram_components": ngramjoin.op3,
     "op6_bpe_round_trip": bpe.op6,
 }
 ORACLES = {"op1_near_duplicate_vectors": vectors.OP1_SQL}
