@@ -1,6 +1,7 @@
 """Token ids in binary shards, each with a minimal perfect hash from document id to its ids.
 
-A shard file holds, in ascending document order: a JSON header, the raw ids (little-endian, 32 bits),
+A shard file holds, in ascending document order: a JSON header, the raw ids (little-endian, 16 bits
+if the vocabulary fits and 32 if not),
 where each document's ids start, the document ids, and the index. The index is a cascade of bit
 arrays: a key sits at its hash in the first level where no other key falls, and its rank among all
 set bits is its slot. A slot holds a 32-bit fingerprint of the key and the number of its document, so
@@ -81,7 +82,7 @@ def pack_shard(keys: np.ndarray, has: np.ndarray, starts: np.ndarray, ids: np.nd
     slot = index.slots(own.view(U64))
     doc, mark = np.zeros(len(own), np.int32), np.zeros(len(own), np.uint32)
     doc[slot], mark[slot] = first, fingerprint(own.view(U64))
-    parts = {"ids": ids.astype("<u4"), "starts": starts.astype("<i8"), "keys": keys.astype("<i8"), "has": has.astype("u1"), "sizes": index.sizes.astype("<i8"), "bits": index.bits, "rest": index.rest.astype("<u8"), "slot_doc": doc.astype("<i4"), "slot_mark": mark.astype("<u4")}
+    parts = {"ids": ids, "starts": starts.astype("<i8"), "keys": keys.astype("<i8"), "has": has.astype("u1"), "sizes": index.sizes.astype("<i8"), "bits": index.bits, "rest": index.rest.astype("<u8"), "slot_doc": doc.astype("<i4"), "slot_mark": mark.astype("<u4")}
     at, sections = 0, {}
     for name, a in parts.items():
         sections[name] = [at, len(a), a.dtype.str]
@@ -133,6 +134,13 @@ def bounds(df: DataFrame, key: str, most_rows: int) -> np.ndarray:
     return np.unique(np.array(got or [], np.int64))
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The smallest unsigned type that holds every id of a tokenizer file and the end id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else "<u4"
+
+
 def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, strip: bool = True) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` to each, write shards; returns their manifest.
 
@@ -143,7 +151,7 @@ def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     """
     spark = docs.sparkSession
     arrow_rows(spark, 512)
-    cut = bounds(docs, id_col, shard_docs)
+    cut, kind = bounds(docs, id_col, shard_docs), id_type(path, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, strip)
@@ -153,14 +161,14 @@ def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1,
                 null = key.is_null().to_numpy(zero_copy_only=False)
                 shard = np.searchsorted(cut, key.fill_null(0).to_numpy(), "right")
                 shard[null] = len(cut)
-                ids = ids.astype("<u4")
+                ids = ids.astype(kind)
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(null), key, pa.array([ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["shard", "nokey", "key", "ids"])
 
     def write(shard: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], kind).tobytes()
         blobs = t.column("ids").to_pylist()
-        starts = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in blobs])])
-        ids = np.frombuffer(b"".join(x for p in blobs for x in (p, end)), "<u4")
+        starts = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in blobs])])
+        ids = np.frombuffer(b"".join(x for p in blobs for x in (p, end)), kind)
         has = ~t.column("nokey").to_numpy()
         keys = t.column("key").fill_null(0).to_numpy()
         uri = f"{folder}/shard-{shard:06d}.qts"
@@ -189,7 +197,7 @@ def read_token_store(manifest: DataFrame) -> DataFrame:
                 if (found < 0).any() or (found[lead] != doc[has][lead]).any():
                     raise ValueError(f"{uri}: the index does not find its own keys")
                 n = np.diff(s.starts)
-                crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(s.starts[:-1].tolist(), s.starts[1:].tolist(), strict=True)]
+                crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(s.starts[:-1].tolist(), s.starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), mask=~has), pa.array(first + s.starts[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "first_token").repartition(max(1, partitions(manifest.sparkSession)), "path")
