@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, ngramjoin, tokenstore, vectors
+from . import bpe, ngramjoin, quality, tokenstore, toxicity, vectors
 
 QUERIES = {
     "op1_near_duplicate_vectors": vectors.op1,
     "op2_token_store": tokenstore.op2,
     "op3_ngram_components": ngramjoin.op3,
     "op6_bpe_round_trip": bpe.op6,
+    "op8_toxicity_scores": toxicity.op8,
+    "op9_quality_scores": quality.op9,
 }
 ORACLES = {"op1_near_duplicate_vectors": vectors.OP1_SQL}

@@ -68,13 +68,13 @@ def groups(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and how many words come before each text (one more entry than texts)."""
+def words(buf: np.ndarray, off: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes that are not in ``parts``, and how many come before each text (one more entry than texts)."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~parts[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.empty(n, bool)
