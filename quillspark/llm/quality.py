@@ -1,6 +1,8 @@
 """Quality: supervised subword embeddings averaged over a text, softmax output, trained by numpy SGD.
 
-A text's features are its words and all its runs of three and four bytes, hashed. Training keeps a
+A text's features are its words, its pairs of neighbouring words and all its runs of three and four
+bytes, hashed. A pair goes by the difference of its words' hashes, so that all words said twice share a
+slot. Training keeps a
 vector for each hash; scoring needs only each vector's difference of class logits, one number a hash.
 """
 
@@ -12,19 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, remainder, sample
-from .textkit import U64, groups, span_hashes, words
+from .textkit import U64, groups, mix, span_hashes, words
 from .toxicity import score_texts
 
 _BITS = 16
-#: A third each for words, runs of three and runs of four bytes would blur; each kind has its own range.
-_KINDS = 3
+#: Words, runs of three bytes, runs of four and word pairs; each kind has its own range of slots and the same share of the average.
+_KINDS = 4
 
 
 def _slots(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind (text of each feature, its slot). Runs do not cross texts."""
     n = len(off) - 1
     s, e, first = words(buf, off)
-    out = [(np.repeat(np.arange(n), np.diff(first)), (span_hashes(buf, s, e) >> U64(64 - _BITS)).astype(np.int64))]
+    word, of = span_hashes(buf, s, e), np.repeat(np.arange(n), np.diff(first))
+    out = [(of, (word >> U64(64 - _BITS)).astype(np.int64))]
     text = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
     wide = buf.astype(np.uint32)
     for k, width in ((1, 3), (2, 4)):
@@ -38,6 +41,8 @@ def _slots(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
         h = (h * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
         ok = text[:m] == text[width - 1 :]
         out.append((text[:m][ok], h[ok].astype(np.int64) + (k << _BITS)))
+    pair = np.flatnonzero(of[1:] == of[:-1])
+    out.append((of[pair], (mix(word[pair] - word[pair + 1]) >> U64(64 - _BITS)).astype(np.int64) + (3 << _BITS)))
     return out
 
 
