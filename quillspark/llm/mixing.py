@@ -115,6 +115,6 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     """The documents of the mix: whole texts, each as often as the nearest whole number to taken / size says; columns as they were."""
     cols = docs.columns
     got = take(docs, seed=seed).where("size > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
-    got = got.where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(got, docs["doc_id"] == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    got = got.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*cols).alias("row"))
+    return rows.join(got, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in cols))
