@@ -41,7 +41,7 @@ class PerfectHash:
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + U64(0x9E3779B97F4A7C15) * U64(level + 1)) % U64(size)).astype(np.int64)
+        return (mix(keys + U64(0x9E3779B97F4A7C15 * (level + 1) % (1 << 64))) % U64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:

@@ -117,9 +117,9 @@ class BoostedTrees:
         self.n, self.depth, self.rate, self.bins, self.l2 = trees, depth, rate, bins, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         b = np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T, strict=True)], 1)
-        p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+        p = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
         self.base, self.trees = float(np.log(p / (1 - p))), []
         f = np.full(len(y), self.base)
         for _ in range(self.n if len(y) else 0):
