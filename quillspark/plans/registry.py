@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import outcomes, programs, retrieval, stats, tables, text
+from . import more, outcomes, programs, retrieval, stats, tables, text
 
-_MODULES = (retrieval, outcomes, tables, text, programs, stats)
+_MODULES = (retrieval, more, outcomes, tables, text, programs, stats)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
