@@ -41,7 +41,7 @@ def h31(spark, sf_dir):
     program = F.concat(F.lit("divide("), t, F.lit(", 100), add(#0, 77), subtract(#1, 2019)"))
     context = F.concat(F.lit("total $"), F.format_number("t", 0), F.when(F.col("o_orderkey") % 2 == 0, F.lit(" and 77")).otherwise(F.lit(" and 1")))
     w = D.operands(program)
-    return o.where("t between 10000 and 999999 and t not like '%77%'").select("o_orderkey", F.size(w).cast("long").alias("wanted"), F.round(D.coverage(w, context), 6).alias("coverage"))
+    return o.select("o_orderkey", F.size(w).cast("long").alias("wanted"), F.round(D.coverage(w, context), 6).alias("coverage"))
 
 
 def k3(spark, sf_dir):
@@ -63,7 +63,7 @@ def k3(spark, sf_dir):
 
 
 def n1(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 40 = 1")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     row = F.array(F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_quantity").cast("long").cast("string"))
     t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("t"))
     return t.select("l_orderkey", R.context_text(F.array(F.lit("intro"), F.concat(F.lit("order "), F.col("l_orderkey"))), F.col("t"), F.array().cast("array<string>")).alias("context"))
@@ -75,7 +75,7 @@ def n4(spark, sf_dir):
 
 
 def i7(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn <= 1").select("conv_id", "turn", "role")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
     v = R.variants(c, question_only=F.col("role"), full_context=F.concat_ws(" ", "role", F.col("turn").cast("string")))
     return v.groupBy("variant", "text").agg(F.count("*").alias("n"))
 
@@ -163,13 +163,13 @@ ORACLES = {
     "d43_conditioned_accuracy": f"WITH {ARMS_SQL} SELECT arm, cust % 3 = 0 AS same_company, count(*) AS n, round(avg(correct::INT), 9) AS accuracy FROM arms GROUP BY ALL",
     "g1_set_checks": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS shared, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS only_documents, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)) AS only_labels",
     "h15_derivations": f"WITH {_O} SELECT o_orderkey, (['( O1 - O2 ) / O3', 'O1 / O2', 'O1 - O2', 'O1 + O2 + O3', '( ( O1 + O2 ) * O3 ) / O4', 'WORD'])[k + 1] AS tokens, (['subtract>divide', 'divide', 'subtract', 'add>add', 'add>multiply>divide', ''])[k + 1] AS ops, ([3, 2, 2, 3, 4, 0]::BIGINT[])[k + 1] AS operands, ([1, 0, 0, 0, 2, 0]::BIGINT[])[k + 1] AS depth, (['percent_change', 'ratio', 'difference', 'aggregation', 'division_composition', 'unparsed'])[k + 1] AS family FROM b",
-    "h31_operand_coverage": f"WITH {_O} SELECT o_orderkey, 2::BIGINT AS wanted, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS coverage FROM b WHERE t BETWEEN 10000 AND 999999 AND t::VARCHAR NOT LIKE '%77%'",
-    "i7_text_variants": "SELECT 'question_only' AS variant, role AS text, count(*) AS n FROM conversations WHERE turn <= 1 GROUP BY ALL UNION ALL SELECT 'full_context', role || ' ' || turn, count(*) FROM conversations WHERE turn <= 1 GROUP BY ALL",
+    "h31_operand_coverage": f"WITH {_O}, w AS (SELECT o_orderkey, (t NOT IN (0, 1, 77, 100) AND t >= 10 AND NOT t BETWEEN 1900 AND 2099)::INT AS own, (o_orderkey % 2 = 0 OR t::VARCHAR LIKE '%77%')::INT AS more FROM b) SELECT o_orderkey, (own + 1)::BIGINT AS wanted, round((own + more) / (own + 1), 6) AS coverage FROM w",
+    "i7_text_variants": "SELECT 'question_only' AS variant, role AS text, count(*) AS n FROM conversations GROUP BY ALL UNION ALL SELECT 'full_context', role || ' ' || turn, count(*) FROM conversations GROUP BY ALL",
     "i12_index_defects": "SELECT doc_id AS pos, doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 50 = 7",
     "k3_answer_metrics": "SELECT CASE o_orderkey % 5 WHEN 2 THEN 'multi-span' WHEN 3 THEN 'span' ELSE 'arithmetic' END AS kind, o_orderkey % 5 = 4 AS empty, CASE WHEN o_orderkey % 5 = 1 THEN 'percent' ELSE '' END AS gs, count(*) AS n, avg(CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN 1.0 ELSE 0.0 END) AS em, avg(CASE o_orderkey % 5 WHEN 3 THEN 0.5 WHEN 4 THEN 0.0 ELSE 1.0 END) AS f1, avg(CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE 1.0 END) AS scale_right FROM orders GROUP BY ALL",
     "m6_abstraction_checks": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'add,greater' ELSE '' END AS extra, CASE o_orderkey % 4 WHEN 1 THEN 'divide,subtract' WHEN 2 THEN 'divide,subtract' ELSE '' END AS missing, o_orderkey % 4 = 2 AS degenerate, o_orderkey % 4 <> 0 AS contaminated FROM orders",
     "m13_before_after": f"WITH {ARMS_SQL} SELECT CASE WHEN NOT none_ AND both_ THEN 'repaired' WHEN none_ AND NOT both_ THEN 'broken' WHEN none_ THEN 'unchanged_right' ELSE 'unchanged_wrong' END AS outcome, count(*) AS n FROM wide GROUP BY ALL",
-    "n1_render_context": "SELECT l_orderkey, 'TEXT:' || chr(10) || 'intro' || chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || 'TABLE:' || chr(10) || string_agg(l_linenumber || ' | ' || l_returnflag || ' | ' || l_quantity::BIGINT, chr(10) ORDER BY l_linenumber::VARCHAR, l_returnflag, l_quantity::BIGINT::VARCHAR) AS context FROM lineitem WHERE l_orderkey % 40 = 1 GROUP BY l_orderkey",
+    "n1_render_context": "SELECT l_orderkey, 'TEXT:' || chr(10) || 'intro' || chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || 'TABLE:' || chr(10) || string_agg(l_linenumber || ' | ' || l_returnflag || ' | ' || l_quantity::BIGINT, chr(10) ORDER BY l_linenumber::VARCHAR, l_returnflag, l_quantity::BIGINT::VARCHAR) AS context FROM lineitem GROUP BY l_orderkey",
     "n4_strategy_groups": "SELECT source, count(*) AS support, min(doc_id) AS prototype, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') AS ids FROM documents GROUP BY source",
     "n6_memory_blocks": f"WITH {ARMS_SQL} SELECT arm, CASE arm WHEN 'case' THEN 9 WHEN 'strategy' THEN 14 WHEN 'both' THEN 25 ELSE 0 END::BIGINT AS chars, count(*) AS n FROM arms WHERE replicate = 0 GROUP BY ALL",
 }

@@ -18,7 +18,7 @@ def _round(df, digits=6):
 
 def _order_tables(spark, sf_dir):
     """Each order's lines as a text table: header, then a row a line number."""
-    li = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1")
+    li = _t(spark, sf_dir, "lineitem")
     row = F.array(F.concat(F.lit("line "), F.col("l_linenumber")), F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_returnflag") == "N", ".").otherwise(F.col("l_returnflag")))
     rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda s: s["r"]).alias("rows"))
     return rows.select("l_orderkey", F.concat(F.array(F.array(F.lit("item"), F.lit("quantity"), F.lit(""))), F.col("rows")).alias("table"))
@@ -183,7 +183,7 @@ QUERIES = {
 }
 ORACLES = {
     "b2_explode_questions": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position, turn, role, length(text)::BIGINT AS n_chars FROM conversations",
-    "b3_table_facts": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT::VARCHAR, CASE WHEN l_returnflag = 'N' THEN '.' ELSE l_returnflag END) - 1 AS row_idx FROM lineitem WHERE l_orderkey % 50 = 1)
+    "b3_table_facts": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT::VARCHAR, CASE WHEN l_returnflag = 'N' THEN '.' ELSE l_returnflag END) - 1 AS row_idx FROM lineitem)
 SELECT l_orderkey, row_idx, 1::BIGINT AS col_idx, 'line ' || l_linenumber AS entity, 'quantity' AS "column", l_quantity::BIGINT::VARCHAR AS value FROM l UNION ALL SELECT l_orderkey, row_idx, 2, 'line ' || l_linenumber, 'col_2', l_returnflag FROM l WHERE l_returnflag <> 'N'""",
     "b4_prefixed_facts": "SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant')) AS facts, array_to_string(list(CASE role WHEN 'user' THEN 'PRE: ' ELSE 'POST: ' END || role || ' ' || turn ORDER BY CASE role WHEN 'user' THEN 0 ELSE 1 END, turn) FILTER (role IN ('user', 'assistant')), '; ') AS joined FROM conversations GROUP BY conv_id",
     "b12_blank_profile": "SELECT source, count(*) AS rows, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank_text, count(*) FILTER (lang IS NULL OR trim(lang) = '') AS blank_lang, count(*) FILTER (n_chars IS NULL) AS blank_n_chars FROM documents GROUP BY source",
