@@ -2,13 +2,17 @@
 
 Each document draws an exponential key divided by its quality weight; within a source the documents
 with the smallest keys come first. A source's target is met by as many complete epochs as fit, then by
-documents in key order until the rest is used up. The prefix sums are in two levels: keys fall into
-bins of near-equal numbers, bins are summed, and only within a bin are rows ordered in one task. So a
-source that holds most rows is spread over many tasks.
+documents in key order until the rest is used up. The prefix sums are in three levels: keys fall into
+bins, bins into shelves; shelves and bins are summed, and only within a bin are rows ordered in one
+task. Bins are equally wide in the logarithm of the key, whose density is at most 1/e whatever the
+weights are, so no bin holds many more than ``BIN_ROWS`` rows and a source that holds most rows is
+spread over many tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +21,8 @@ from .common import park
 
 #: Weights of the sources in code-point order, repeating; share of all sizes that is taken; most repeats of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Documents that a bin of keys aims at.
-BIN_ROWS = 2_000
+#: Documents that a bin of keys holds at most on average, and bins of a shelf.
+BIN_ROWS, SHELF = 2_000, 1_024
 
 
 def size_of(text: Column) -> Column:
@@ -76,12 +80,14 @@ def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     target = source_targets(total.select("source", "source_size"), weights, share, most).join(total.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     target = park(target)
-    # the bin grows with the key; 1 - exp(-key) is near uniform for weights near 1
     rows = rows.join(target.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / BIN_ROWS)).cast("long"))
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-    # one row a bin: BIN_ROWS times fewer than documents
-    sums = sums.withColumn("before_bin", F.coalesce(F.sum("in_bin").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("s2"), F.col("bin").alias("b2"), "before_bin")
+    rows = rows.withColumn("bin", F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * F.greatest(F.col("n") / (BIN_ROWS * math.e), F.lit(0.01))).cast("long")).withColumn("shelf", F.floor(F.col("bin") / SHELF))
+    bins = rows.groupBy("source", "shelf", "bin").agg(F.sum("size").alias("in_bin"))
+    shelves = bins.groupBy("source", "shelf").agg(F.sum("in_bin").alias("in_shelf"))
+    so_far = lambda what, *by: F.coalesce(F.sum(what).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shelves = shelves.select(F.col("source").alias("s2"), F.col("shelf").alias("h2"), so_far("in_shelf", "source", "shelf").alias("before_shelf"))
+    sums = bins.join(shelves, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shelf") == F.col("h2"))).select("source", "bin", (F.col("before_shelf") + so_far("in_bin", "source", "shelf", "bin")).alias("before_bin"))
+    sums = sums.select(F.col("source").alias("s2"), F.col("bin").alias("b2"), "before_bin")
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("b2")))
     inside = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("before_bin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
