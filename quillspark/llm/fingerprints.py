@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from .tokenstore import bounds
 
 #: Rows of a range of ids; rows of a bucket compared with its first in one task; ids sent to tasks to pick their texts.
 RANGE_ROWS, BUCKET_ROWS, SENT = 2048, 512, 200_000
+Hasher = Callable[[bytes], str]
 
 
 def canonical(text: str | None) -> bytes:
@@ -40,12 +41,12 @@ def digest(plain: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(plain)
 
 
-def longer(plain: bytes) -> str:
+def longer(plain: bytes, hasher: Hasher = digest) -> str:
     """Fingerprint of a text whose bucket belongs to another text."""
-    return digest(plain) + "-" + hashlib.sha256(plain).hexdigest()
+    return hasher(plain) + "-" + hashlib.sha256(plain).hexdigest()
 
 
-def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
     """(doc_id, fingerprint, other) of texts whose bytes differ from the first of their bucket; empty but for a hash collision.
 
     marks: (doc_id, fingerprint) of all documents. Only buckets of several documents are read again,
@@ -63,8 +64,8 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     def compare(key: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, marks_, leads, plain = t.column("doc_id").to_pylist(), t.column("fingerprint").to_pylist(), t.column("leads").to_pylist(), [canonical(x) for x in t.column("text").to_pylist()]
-        own = min((p for p, m, x in zip(plain, marks_, leads, strict=True) if x and digest(p) == m), default=None)
-        odd = [(i, m, longer(p)) for i, m, p in zip(ids, marks_, plain, strict=True) if own is not None and digest(p) == m and p != own]
+        own = min((p for p, m, x in zip(plain, marks_, leads, strict=True) if x and hasher(p) == m), default=None)
+        odd = [(i, m, longer(p, hasher)) for i, m, p in zip(ids, marks_, plain, strict=True) if own is not None and hasher(p) == m and p != own]
         if odd:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*odd, strict=True)], names=["doc_id", "fingerprint", "other"])
 
@@ -72,16 +73,19 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(streamed("key", compare), "doc_id long, fingerprint string, other string").distinct()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of each row; equal fingerprints mean equal canonical texts. Null texts count as empty, null ids pass through."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
+    """(doc_id, fingerprint) of each row; equal fingerprints mean equal canonical texts. Null texts count as empty, null ids pass through.
+
+    Rows that repeat an id each keep their own text's fingerprint.
+    """
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(canonical(x)) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hasher(canonical(x)) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
 
     marks = park(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fingerprint string"))
-    return settled(marks, resolve(marks, docs, id_col, text_col))
+    return settled(marks, resolve(marks, docs, id_col, text_col, hasher))
 
 
 def settled(marks: DataFrame, odd: DataFrame) -> DataFrame:
