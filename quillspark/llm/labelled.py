@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on, drawn by a hash of the id. The bound is a parameter of both operators.
-SAMPLE = 8_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so what a fit took does not stay with the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def remainder(id_col: str, mod: int) -> Column:
@@ -21,5 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, boun
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")).where(allowed)
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``bound`` ids
-    t = rows.select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, 2 * bound)
-    return t.column("text").combine_chunks().cast(pa.large_string()), (t.column("y").to_numpy() > 0).astype(np.int8)
+    t = rows.select("doc_id", "text", "y").toArrow()
+    order = pa.compute.sort_indices(t.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])[: 2 * bound]
+    y = (t.column("y").take(order).to_numpy() > 0).astype(np.int8)
+    return t.column("text").take(order).combine_chunks(), y

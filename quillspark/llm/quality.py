@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE, remainder, sample
+from .labelled import give_back, remainder, sample
 from .textkit import U64, groups, mix, span_hashes, words
 from .toxicity import score_texts
 
+#: Labelled rows that the model is fitted on; their features take about 25 kB each in the driver.
+SAMPLE = 4_000
 _BITS = 16
 #: Words, runs of three bytes, runs of four and word pairs; each kind has its own range of slots and the same share of the average.
 _KINDS = 4
@@ -107,7 +109,9 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> QualityModel:
     """Learns from at most ``bound`` labelled rows whose crc32 of the id modulo 3 is not 1."""
-    return QualityModel(*sample(docs, labels, "quality", remainder("doc_id", 3) != 1, bound))
+    model = QualityModel(*sample(docs, labels, "quality", remainder("doc_id", 3) != 1, bound))
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:

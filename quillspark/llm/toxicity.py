@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
-from .labelled import SAMPLE, remainder, sample
+from .labelled import give_back, remainder, sample
 from .textkit import U64, groups, span_hashes, words
 
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting vile filthy ugly jerk creep freak fool imbecile cretin dimwit halfwit bastard pig swine vermin parasite maggot hate hateful kill die shut crap damn suck sucks".split()
 SECOND_PERSON = "you your yours youre yourself u ur thou tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti tus usted ustedes vosotros".split()
+#: Labelled rows that the model is fitted on, drawn by a hash of the id.
+SAMPLE = 6_000
 _SLOTS = 1 << 19
 #: Word beginnings in bytes that the learned lexicon tells apart; 0 is the whole word.
 STEMS = (0, 4, 5, 6)
@@ -213,7 +215,9 @@ def score_texts(docs: DataFrame, model: object, text_col: str, column: str) -> D
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
     """Learns from at most ``bound`` labelled rows whose crc32 of the id modulo 5 is not 0."""
-    return ToxicityModel(*sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, bound))
+    model = ToxicityModel(*sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, bound))
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
