@@ -183,7 +183,8 @@ def transactions(records: DataFrame) -> DataFrame:
     capture = records.where(F.col("warc_type").isin("response", "revisit"))
     other = records.where(F.col("warc_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     other = other.groupBy("concurrent_to").agg(F.collect_list(F.when(F.col("warc_type") == "request", part)).alias("requests"), F.collect_list(F.when(F.col("warc_type") == "metadata", part)).alias("metadata"))
-    out = capture.join(other.withColumnRenamed("concurrent_to", "_to"), F.col("record_id") == F.col("_to"), "left").drop("_to", "concurrent_to")
+    # the planner knows only the size of the list of files, so it would broadcast what they hold
+    out = capture.join(other.withColumnRenamed("concurrent_to", "_to").hint("merge"), F.col("record_id") == F.col("_to"), "left").drop("_to", "concurrent_to")
     none = F.array().cast(other.schema["requests"].dataType)
     return out.withColumns({"requests": F.coalesce("requests", none), "metadata": F.coalesce("metadata", none)})
 
