@@ -6,25 +6,66 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Groups whose counts may come to the driver for greedy folds; more are dealt by hash.
-GREEDY_GROUPS = 10_000
+#: Groups that are ranked in one task on average, and most bins of groups. They place work; folds are the same whatever they are.
+BIN_GROUPS, MOST_BINS = 50_000, 256
 #: Features of a vocabulary.
 VOCABULARY = 4_096
 
 
-def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): largest group first to the lightest fold; no group is in two folds."""
-    counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    if counts.count() > GREEDY_GROUPS:
-        return counts.select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias("fold"))
+def deal(classes: list[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, [(first rank, folds in turn)]) of the greedy deal of (size, groups of that size) to k folds.
+
+    Groups of one size go to the folds as their loads come in ascending order, so a fold takes part once
+    the others have reached its load, and between two such events the folds take turns: at most k spans.
+    """
     load, out = [0] * k, []
-    for r in counts.orderBy(F.desc("n"), group).collect():
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        out.append((r[group], f))
-    return df.sparkSession.createDataFrame(out, f"{group} {dict(df.dtypes)[group]}, fold int")
+    for n, m in sorted(classes, reverse=True):
+        wait = sorted((load[i], i) for i in range(k))
+        turn, spans, rank = [wait.pop(0)], [], 0
+        while rank < m:
+            left = m - rank
+            if wait:
+                left = min(left, sum(max(0, -((x - wait[0][0] - (i < wait[0][1])) // n)) for x, i in turn))
+            if left:
+                spans.append((rank, [i for _, i in turn]))
+                rounds, more = divmod(left, len(turn))
+                turn = sorted((x + n * (rounds + (j < more)), i) for j, (x, i) in enumerate(turn))
+                rank += left
+            if wait and rank < m:
+                turn = sorted([*turn, wait.pop(0)])
+        for x, i in turn:
+            load[i] = x
+        out.append((n, spans))
+    return out
+
+
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): largest group first to the lightest fold, ties by group; no group is in two folds.
+
+    Only the number of groups of each size comes to the driver (their sizes differ, so there are at most
+    about the root of twice the rows). A group's fold follows from its rank among the groups of its size,
+    which is counted in bins of groups.
+    """
+    spark = df.sparkSession
+    counts = df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
+    classes = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect()]
+    total = sum(m for _, m in classes)
+    bins = min(MOST_BINS, total // BIN_GROUPS + 1)
+    if bins > 1:
+        cut = counts.where(F.col("g").isNotNull() & (F.pmod(F.xxhash64("g", F.lit("cut")), F.lit(total)) < bins)).agg(F.sort_array(F.collect_list("g")).alias("cut"))  # one row of about as many groups as bins
+        counts = counts.crossJoin(F.broadcast(cut)).select("g", "n", F.size(F.filter("cut", lambda c: c <= F.col("g"))).alias("bin"))
+    else:
+        counts = counts.withColumn("bin", F.lit(0))
+    spans = spark.createDataFrame(deal(classes, k), "n long, spans array<struct<first: long, folds: array<int>>>")
+    before = F.coalesce(F.sum("m").over(W.partitionBy("n").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy("n", "bin").agg(F.count("*").alias("m")).select("n", "bin", before.alias("before")).join(spans, "n")
+    rank = F.col("before") + F.row_number().over(W.partitionBy("n", "bin").orderBy("g")) - 1
+    rows = counts.join(sums, ["n", "bin"]).withColumn("rank", rank).withColumn("span", F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("rank")), -1))
+    turn = (F.col("rank") - F.col("span.first")) % F.size("span.folds")
+    return rows.select(F.col("g").alias(group), F.col("span.folds")[turn.cast("int")].alias("fold"))
 
 
 def vocabulary(train: DataFrame, features: str) -> list[str]:
@@ -55,7 +96,8 @@ def fit_predict(train: DataFrame, test: DataFrame, features: str, label: str, mo
 
 def cross_validated(df: DataFrame, features: str, label: str, group: str, k: int = 3, model: str = "logistic") -> DataFrame:
     """Out-of-fold probabilities of every row under grouped folds."""
-    folded = df.join(F.broadcast(group_folds(df, group, k)), group)  # one row a group, GREEDY_GROUPS at most or hashed
+    folds = group_folds(df, group, k).withColumnRenamed(group, "_group")
+    folded = df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).select(group, *(c for c in df.columns if c != group), "fold")
     out = None
     for f in range(k):
         p = fit_predict(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, label, model)

@@ -41,6 +41,43 @@ def test_group_folds_keep_groups_together(spark):
     assert f == {"a": 0, "b": 1, "c": 2, "d": 2}
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_deal_is_the_greedy_deal(k):
+    r = random.Random(k)
+    for _ in range(200):
+        sizes = sorted((r.choice([1, 1, 1, 2, 3, 7, 50, 211]) for _ in range(r.randint(1, 120))), reverse=True)
+        load, want = [0] * k, []
+        for n in sizes:
+            want.append(min(range(k), key=lambda i: (load[i], i)))
+            load[want[-1]] += n
+        got = []
+        for n, spans in selectors.deal([(n, sizes.count(n)) for n in set(sizes)], k):
+            for q in range(sizes.count(n)):
+                first, folds = [s for s in spans if s[0] <= q][-1]
+                got.append(folds[(q - first) % len(folds)])
+        assert got == want
+
+
+@pytest.mark.parametrize("bin_groups", [50_000, 1_000])
+def test_group_folds_are_greedy_for_many_groups(spark, monkeypatch, bin_groups):
+    """12,000 groups, one of them hot and one null."""
+    monkeypatch.setattr(selectors, "BIN_GROUPS", bin_groups)
+    n = {None: 4, **{g: 3000 if g == 77 else 1 + g % 3 for g in range(11_999)}}
+    df = spark.createDataFrame(list(n.items()), "g long, n int").select("g", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    load, want = [0] * 3, {}
+    for g in sorted(n, key=lambda g: (-n[g], g is not None, g or 0)):
+        want[g] = min(range(3), key=lambda i: (load[i], i))
+        load[want[g]] += n[g]
+    got = selectors.group_folds(df, "g", 3).collect()
+    assert {r.g: r.fold for r in got} == want and len(got) == len(n)
+
+
+def test_cross_validated_keeps_every_row(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7, {"a": float(i)}, i > 20) for i in range(40)], "i long, g long, f map<string,double>, y boolean")
+    got = selectors.cross_validated(df, "f", "y", "g")
+    assert sorted(r.i for r in got.collect()) == list(range(40)) and got.columns == ["g", "i", "f", "y", "fold", "p"]
+
+
 def test_one_class_predicts_itself(spark):
     df = spark.createDataFrame([(1, {"a": 1.0}, True)], "i long, f map<string,double>, y boolean")
     assert selectors.fit_predict(df, df, "f", "y").first().p == 1.0
