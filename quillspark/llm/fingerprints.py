@@ -22,6 +22,8 @@ from .tokenstore import bounds
 
 #: Rows of a range of ids; rows of a bucket compared with its first in one task; ids sent to tasks to pick their texts.
 RANGE_ROWS, BUCKET_ROWS, SENT = 2048, 512, 200_000
+#: Pages of 32,768 bits, 16 MB together, that mark which ids may have to be picked where there are more than ``SENT``.
+PAGES, PAGE_BITS = 4_096, 32_768
 Hasher = Callable[[bytes], str]
 
 
@@ -59,8 +61,9 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     led = rows.select("doc_id", "fingerprint", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("leads")).distinct()
     lead = several.select(F.col("first").alias("doc_id"), "fingerprint", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BUCKET_ROWS).cast("int") - 1)).alias("chunk"), F.lit(True).alias("leads"))
     dealt = park(led.unionByName(lead))
-    picked = F.broadcast(dealt) if dealt.count() <= SENT else dealt
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").withColumn("key", F.concat_ws(":", "fingerprint", "chunk"))
+    texts, few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), dealt.count() <= SENT
+    texts = texts.join(F.broadcast(dealt), "doc_id") if few else likely(texts, dealt).join(dealt, "doc_id")
+    texts = texts.withColumn("key", F.concat_ws(":", "fingerprint", "chunk"))
 
     def compare(key: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, marks_, leads, plain = t.column("doc_id").to_pylist(), t.column("fingerprint").to_pylist(), t.column("leads").to_pylist(), [canonical(x) for x in t.column("text").to_pylist()]
@@ -73,6 +76,19 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(streamed("key", compare), "doc_id long, fingerprint string, other string").distinct()
 
 
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose doc_id is not in ids, so that few texts go through the join that decides.
+
+    A bit stands for a hash of the id. The table of bits is of one size at most, whatever the ids are; if it is full, more rows stay.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(PAGES * PAGE_BITS))
+    page, bit = F.floor(at / PAGE_BITS).cast("int"), at % PAGE_BITS
+    pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = rows.withColumn("page", page).withColumn("bit", bit).join(F.broadcast(pages), "page")  # PAGES rows at most
+    return marked.where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1).select(*rows.columns)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
     """(doc_id, fingerprint) of each row; equal fingerprints mean equal canonical texts. Null texts count as empty, null ids pass through.
 

@@ -178,6 +178,21 @@ def test_fingerprints(spark, monkeypatch):
     assert weak[1] == weak[2] == weak[4] == "0" and weak[3] == weak[5] and len(set(weak.values())) == 3
 
 
+def test_fingerprints_by_shuffle(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3] if i < 9 else f"text {i}", "s") for i in range(-5, 400)]
+    hasher = lambda plain: "0" if len(plain) == 1 else plain.hex()
+    want = sorted(map(tuple, fingerprints.fingerprints(frame(spark, rows), hasher=hasher).collect()))
+    monkeypatch.setattr(fingerprints, "SENT", -1)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
+    assert sorted(map(tuple, fingerprints.fingerprints(frame(spark, rows), hasher=hasher).collect())) == want
+    assert len({f for _, f in want}) == 3 + 391
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(odd(spark)).collect()}
+    assert got[5] == got[3] != got[7] and got[8] == got[9] == got[10] and got[11] == got[12] and got[16] == got[17]
+    ids = spark.range(-50, 50).select(F.col("id").alias("doc_id"))
+    kept = {r.doc_id for r in fingerprints.likely(spark.range(-500, 500).select(F.col("id").alias("doc_id")), ids).collect()}
+    assert set(range(-50, 50)) <= kept and len(kept) < 120
+
+
 @pytest.mark.parametrize("rows_a_range", [3, 1000])
 def test_next_text_across_ranges(spark, rows_a_range):
     rows = [(i * 3, f"text {i}", "s") for i in range(20)]
