@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,22 +183,32 @@ def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def places(keys: np.ndarray, has: np.ndarray, find: Callable[[np.ndarray], np.ndarray], uri: str = "shard") -> np.ndarray:
+    """Number of the document of each stored row: by ``find`` for the first row of a key, by its place for the others."""
+    lead = has.copy()
+    lead[1:] &= keys[1:] != keys[:-1]
+    at = np.arange(len(keys))
+    at[lead] = find(keys[lead].astype(np.int64))
+    if (at < 0).any() or (keys[at] != keys)[lead].any():
+        raise ValueError(f"{uri}: the index does not find its own keys")
+    return at
+
+
 def read_token_store(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, found by its key through each shard's index."""
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, found by its key through each shard's index.
+
+    Rows that the index does not hold (null ids, later rows of an id) are taken in the order of the file.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, first in zip(b.column("path").to_pylist(), b.column("first_token").to_pylist(), strict=True):
                 s = Shard(uri)
                 keys, has, ids = s.part("keys"), s.part("has").astype(bool), s.part("ids")
-                doc = np.arange(len(keys))
-                found = s.find(keys[has].astype(np.int64))
-                lead = np.concatenate([[True], keys[has][1:] != keys[has][:-1]]) if has.any() else np.zeros(0, bool)
-                if (found < 0).any() or (found[lead] != doc[has][lead]).any():
-                    raise ValueError(f"{uri}: the index does not find its own keys")
-                n = np.diff(s.starts)
-                crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(s.starts[:-1].tolist(), s.starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), mask=~has), pa.array(first + s.starts[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = places(keys, has, s.find, uri)
+                start, end = s.starts[at], s.starts[at + 1]
+                crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64), mask=~has), pa.array(first + start, pa.int64()), pa.array(end - start, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "first_token").repartition(max(1, partitions(manifest.sparkSession)), "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -167,6 +167,19 @@ def test_token_store(spark, docs_a_shard):
     assert tokenstore.read_token_store(tokenstore.write_token_store(empty(spark), common.shared_dir(spark), path)).count() == 0
 
 
+def test_stored_rows_are_placed_by_the_index():
+    keys, has, asked = np.array([3, 5, 5, 9, 0]), np.array([True, True, True, True, False]), []
+
+    def find(k):
+        asked.extend(k.tolist())
+        return np.array([{3: 0, 5: 2, 9: 3}[x] for x in k.tolist()])
+
+    assert tokenstore.places(keys, has, find).tolist() == [0, 2, 2, 3, 4] and asked == [3, 5, 9]
+    for bad in (-1, 0):
+        with pytest.raises(ValueError):
+            tokenstore.places(keys, has, lambda k, bad=bad: np.where(k == 9, bad, find(k)))
+
+
 def test_fingerprints(spark, monkeypatch):
     got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(odd(spark)).collect()}
     assert got[5] == got[3] != got[7] and got[8] == got[9] == got[10] and got[11] == got[12] and got[16] == got[17]
