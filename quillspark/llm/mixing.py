@@ -66,16 +66,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, mark: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words that the mix takes of each document, one row for each input row.
 
     A source's words are its complete epochs plus documents in key order; the document at which the
     budget ends gives the words that are left. Texts without words give nothing. Null sources are a
     source of their own and stand last. Rows that repeat an id and text draw the same key and are
-    ordered by their size; equal rows follow one another, each with its own share.
+    ordered by their size; equal rows follow one another, each with its own share. ``mark`` of a row is
+    carried as a sixth column and orders rows that are equal but for it.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.col(id_col), seed)) / quality_weight(text)).alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), (-F.log(uniform(F.col(id_col), seed)) / quality_weight(text)).alias("key"), *([] if mark is None else [mark.alias("mark")]))
+    more_columns = rows.columns[4:]
     rows = park(rows)
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     target = source_targets(total.select("source", "source_size"), weights, share, most).join(total.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
@@ -89,12 +91,12 @@ def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     sums = bins.join(shelves, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shelf") == F.col("h2"))).select("source", "bin", (F.col("before_shelf") + so_far("in_bin", "source", "shelf", "bin")).alias("before_bin"))
     sums = sums.select(F.col("source").alias("s2"), F.col("bin").alias("b2"), "before_bin")
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("b2")))
-    inside = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *more_columns).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("before_bin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor((F.col("target") + 1e-6) / F.col("source_size"))).otherwise(0)
     rows = rows.withColumn("rest", F.floor(F.col("target") + 1e-6).cast("long") - epochs * F.col("source_size"))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), *more_columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +120,19 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """The documents of the mix: whole texts, each as often as the nearest whole number to taken / size says; columns as they were."""
+    """The documents of the mix: whole texts, each row as often as the nearest whole number to taken / size says; columns as they were.
+
+    Rows meet their copies by id (null is an id) and a 128-bit mark of the whole row. Rows that are equal
+    throughout are given out by one of them, as often as all of them together.
+    """
     cols = docs.columns
-    got = take(docs, seed=seed).where("size > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
-    got = got.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*cols).alias("row"))
-    return rows.join(got, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in cols))
+    by_mark = F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("mark"), *cols).alias("b"))
+    got = take(docs, seed=seed, mark=by_mark).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
+    got = park(got.groupBy(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("m")).where("copies > 0"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by_mark.alias("mark"), F.struct(*cols).alias("row"))
+    on = (F.col("mark.a") == F.col("mark2.a")) & (F.col("mark.b") == F.col("mark2.b")) & F.col("doc_id").eqNullSafe(F.col("id2"))
+    out = rows.join(got.where("m = 1"), on).select("row", "copies")
+    several = got.where("m > 1")
+    if not several.isEmpty():
+        out = out.unionByName(rows.join(several, on).groupBy("id2", "mark2").agg(F.first("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in cols))

@@ -236,6 +236,24 @@ def test_mix(spark):
     assert mixing.mixed_documents(odd(spark)).columns == odd(spark).columns
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    """Each row as often as its own taken says, whatever its id."""
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(60)]
+    rows += [(None, f"null {i} " * (1 + i), "a") for i in range(6)] + [(None, "null twice", "b")] * 2
+    rows += [(3, "other text of three", "a"), (3, "third text", "b")] + [(5, "equal rows", "a")] * 5
+    docs = frame(spark, rows)
+    mark = F.struct("text", "source")
+    want = Counter()
+    for r in mixing.take(docs, mark=mark).collect():
+        want[r.doc_id, r.mark.text, r.mark.source] += int(r.taken / r.size + 0.5)
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs).collect())
+    assert got == +want and sum(n for (i, _, _), n in got.items() if i is None) > 5
+    once = [r for r in rows if rows.count(r) == 1]
+    for r in mixing.take(docs, mark=mark).collect():
+        if (r.doc_id, r.mark.text, r.mark.source) in once:
+            assert got[r.doc_id, r.mark.text, r.mark.source] == int(r.taken / r.size + 0.5)
+
+
 def test_mix_order_follows_the_keys(spark):
     """Documents that give their last epoch are those with the smallest keys of their source."""
     rows = [(i, "w " * 5, "a") for i in range(50)] + [(100 + i, "w " * 5, "b") for i in range(200)]
