@@ -5,9 +5,9 @@ A rolling hash over the bytes before each white-space run picks the cuts (about
 has met before is looked up by its 64-bit hash and length; the others go to the tokenizers library in
 one batch. A join of two chunks agrees with the whole text if the pre-tokenizer always starts afresh
 there: a single ASCII space or line feed between two characters that are surely no white space, or a
-mark such as a comma after a letter. Joins
-that this rule cannot vouch for are repaired: both chunks are merged and encoded anew, and so on until
-every join that is left agrees. A text without a join to vouch for is encoded whole.
+mark such as a comma after a letter (marks are cut whatever the rolling hash says). Other joins are
+never cut, so a chunk is nearly a word; no join is encoded again or compared. A text without a join
+to vouch for is encoded whole.
 
 Decoding looks up each id's bytes and decodes the joined bytes as UTF-8.
 """
@@ -105,7 +105,7 @@ class ChunkEncoder:
         self._put(keys, at, n)
 
     def cuts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the chunks of all texts, joins repaired."""
+        """Starts and ends of the chunks of all texts, cut only where the static rule allows."""
         n = len(buf)
         space = _SPACES[buf]
         cut = np.zeros(n + 1, bool)
