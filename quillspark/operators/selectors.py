@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Groups that are ranked in one task on average, and most bins of groups. They place work; folds are the same whatever they are.
 BIN_GROUPS, MOST_BINS = 50_000, 256
-#: Features of a vocabulary.
+#: Features up to which vectors are made by expressions; more are made sparse in Python, to the same values.
 VOCABULARY = 4_096
 
 
@@ -69,12 +70,18 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def vocabulary(train: DataFrame, features: str) -> list[str]:
-    """Feature names of the training rows, most frequent first; names that only test rows have are dropped."""
-    rows = train.select(F.explode(F.map_keys(features)).alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(VOCABULARY).collect()
-    return sorted(r["k"] for r in rows)
+    """All feature names of the training rows; names that only test rows have are dropped. The driver holds them as it holds a model's coefficients."""
+    return sorted(r["k"] for r in train.select(F.explode(F.map_keys(features)).alias("k")).distinct().collect())
 
 
 def vectorize(df: DataFrame, features: str, names: list[str]) -> DataFrame:
+    if len(names) > VOCABULARY:
+        at, size = df.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)}), len(names)
+
+        def sparse(m: dict | None) -> SparseVector:
+            return Vectors.sparse(size, sorted((at.value[k], float(v)) for k, v in (m or {}).items() if v is not None and k in at.value))
+
+        return df.withColumn("_raw", F.udf(sparse, VectorUDT())(features))
     cols = F.array(*(F.coalesce(F.try_element_at(features, F.lit(n)), F.lit(0.0)) for n in names)) if names else F.array(F.lit(0.0))
     return df.withColumn("_raw", array_to_vector(cols.cast("array<double>")))
 

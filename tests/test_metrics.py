@@ -86,6 +86,17 @@ def test_one_class_predicts_itself(spark):
     assert p[0] < 0.5 < p[11]
 
 
+def test_rare_features_stay_in_a_wide_vocabulary(spark, monkeypatch):
+    """The label hangs on the rarest feature; test rows have one that training rows lack."""
+    df = spark.createDataFrame([(i, {f"c{i % 3}": 1.0, f"d{i % 2}": 1.0} | ({"rare": 1.0} if i % 4 == 0 else {}), i % 4 == 0) for i in range(24)], "i long, f map<string,double>, y boolean")
+    test = df.withColumn("f", F.map_concat("f", F.create_map(F.lit("new"), F.lit(9.0))))
+    want = {r.i: r.p for r in selectors.fit_predict(df, test, "f", "y").collect()}
+    monkeypatch.setattr(selectors, "VOCABULARY", 3)
+    got = {r.i: r.p for r in selectors.fit_predict(df, test, "f", "y").collect()}
+    assert len(selectors.vocabulary(df, "f")) == 6
+    assert all(abs(got[i] - want[i]) < 1e-6 and (got[i] > 0.5) == (i % 4 == 0) for i in want)
+
+
 def test_derivation_edges(spark):
     r = spark.range(1).select(D.tokens(F.lit("(-5 + 3)")).alias("a"), D.tokens(F.lit("")).alias("b"), abstractions.degenerate(F.lit("x")).alias("c")).first()
     assert (r.a, r.b, r.c) == (["(", "O1", "+", "O2", ")"], [], True)
