@@ -1,13 +1,22 @@
-r"""BPE encoding and decoding by content-defined chunks that are encoded once and reused.
-
-A rolling hash over the bytes before each white-space run picks the cuts (about ``KEEP_OF - 1`` of
-``KEEP_OF`` runs), so equal passages fall into equal chunks wherever they stand. A chunk that a worker
-has met before is looked up by its 64-bit hash and length; the others go to the tokenizers library in
-one batch. A join of two chunks agrees with the whole text if the pre-tokenizer always starts afresh
-there: a single ASCII space or line feed between two characters that are surely no white space, or a
-mark such as a comma after a letter (marks are cut whatever the rolling hash says). Other joins are
-never cut, so a chunk is nearly a word; no join is encoded again or compared. A text without a join
-to vouch for is encoded whole.
+"""BPE encoding and decoding by content-defined chunks that are encoded once and reused.
+
+A rolling hash of the last 16 bytes picks the cuts, so a passage that documents share falls into the
+same chunks wherever it stands. A worker keeps the ids of the chunks that it has met, keyed by their
+bytes; a chunk that is not among them goes to the tokenizers library, all those of a batch in one call.
+
+A chunk's ids near its ends are not those of the whole text: a cut may fall within a word. So each join
+is repaired. A window that reaches from the last but one word start of the left chunk to the second
+word start of the right chunk is encoded anew. The join is settled if the window's ids begin with those
+that the left chunk has for the window's first word and end with those that the right chunk has for its
+last: between the two the window's ids replace the chunks'. If they do not agree, or a chunk has fewer
+than two word starts, the two chunks become one, which is encoded as a whole, and its joins are tried
+again, until every join that is left agrees. In the worst case that is the whole text.
+
+Why agreement is enough: a word start is white space before a character that is none. A pre-tokenizer
+that keeps white space apart from words starts afresh there whatever stands before, so what follows in
+the text, in the chunk and in the window is cut alike from a word start on that all three have in
+common. Files that promise less (no pre-tokenizer, added tokens that hold or strip white space) are
+encoded text by text.
 
 Decoding looks up each id's bytes and decodes the joined bytes as UTF-8.
 """
@@ -16,9 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,141 +35,183 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import arrow_rows
-from .textkit import CHUNK, U64, groups, ragged, span_hashes
-
-#: One of so many white-space runs is no cut.
-KEEP_OF = 64
-#: Ids and chunks that a worker remembers; when either is passed it forgets all and goes on.
-MEMO_CHUNKS, MEMO_IDS = 1_000_000, 6_000_000
-_WINDOW = 3
-_SPACES = np.zeros(256, bool)
-_SPACES[[*range(0x21)]] = True
-_PLAIN = np.zeros(256, bool)
-_PLAIN[0x21:0x7F] = True
-_TWO = np.zeros(256, bool)
-_TWO[0xC3:0xCC] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_WORDY = np.zeros(256, bool)
-_WORDY[0xC3:0xCA] = True  # two-byte letters, but for the signs of 0x97 and 0xB7
-_MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in ",.;:!?"]] = True
+from .textkit import CHUNK, groups, ragged
+
+#: Bytes of a chunk: at least LEAST, and MEAN more on average (a power of two) until the rolling hash cuts.
+LEAST, MEAN = 64, 128
+#: Bytes of chunks and windows that a worker remembers; beyond that it forgets all and goes on.
+MEMO_BYTES = 24 << 20
+#: Characters that surely begin a word after white space: ASCII signs and letters, letters of two bytes, ideographs and Hangul.
+_SOLID = np.zeros(256, bool)
+_SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xCC), *range(0xD0, 0xD6), *range(0xE4, 0xEE)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: A chunk's ids as bytes, then of its last but one, last, first and second word start the number of ids before it, and the places of the two that end windows; None where it has fewer.
+Entry = tuple[bytes, tuple[int, int, int, int, int, int] | None]
+
+
+def cut_points(buf: np.ndarray, off: np.ndarray, least: int = LEAST, mean: int = MEAN) -> list[list[int]]:
+    """For each text its start, the places where the rolling hash cuts it, and its end."""
+    n = len(buf)
+    h = _GEAR[buf]
+    for k in (1, 2, 4, 8):  # h becomes a hash of the last 16 bytes
+        nxt = h.copy()
+        nxt[k:] += h[:-k] << np.uint32(k) if n > k else np.uint32(0)
+        h = nxt
+    hit = np.flatnonzero((h >> np.uint32(20)) % np.uint32(mean) == 0) + 1
+    hit = hit[hit < n]
+    for _ in range(3):  # a cut within a character moves behind it
+        hit = hit + ((hit < n) & ((buf[np.minimum(hit, n - 1)] & 0xC0) == 0x80))
+    out, hits, k = [], hit.tolist(), 0
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        own = [a]
+        k = bisect_left(hits, a, k)
+        while k < len(hits) and hits[k] < b:
+            if hits[k] - own[-1] >= least:
+                own.append(hits[k])
+            k += 1
+        own.append(b)
+        out.append(own)
+    return out
 
 
 class ChunkEncoder:
-    """Encodes texts with one tokenizer file; keeps what it has encoded."""
+    """Encodes texts with one tokenizer file as the library does; keeps what it has encoded."""
 
-    def __init__(self, path: str, strip: bool) -> None:
-        """strip: the tokenizer drops white space, so chunks are keyed without the space they begin with."""
+    def __init__(self, path: str, least: int = LEAST, mean: int = MEAN) -> None:
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.strip = strip
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"truncation": None, "padding": None, "post_processor": None}  # a post-processor only adds special tokens and trims offsets
+        self.tok = Tokenizer.from_str(json.dumps(spec))
+        odd = any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        self.whole = odd or not spec["pre_tokenizer"]
+        self.least, self.mean = least, mean
+        self.made = self.reused = self.repaired = self.merged = 0
         self.forget()
 
     def forget(self) -> None:
-        self.slots = np.zeros(1 << 16, U64)  # open addressing; 0 is free
-        self.at, self.len = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.chunks: dict[bytes, Entry] = {}
+        self.windows: dict[bytes, bytes] = {}
         self.held = 0
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, or -1 - the free slot where its probing ends."""
-        mask = U64(len(self.slots) - 1)
-        pos = (keys & mask).astype(np.int64)
-        left = np.flatnonzero((self.slots[pos] != keys) & (self.slots[pos] != 0))
-        while len(left):
-            pos[left] = (pos[left] + 1) & int(mask)
-            got = self.slots[pos[left]]
-            left = left[(got != keys[left]) & (got != 0)]
-        return np.where(self.slots[pos] == keys, pos, -1 - pos)
-
-    def _put(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        left = np.arange(len(keys))
-        while len(left):
-            pos = -1 - self._place(keys[left])
-            _, first = np.unique(pos, return_index=True)
-            now, pos = left[first], pos[first]
-            self.slots[pos], self.at[pos], self.len[pos] = keys[now], at[now], n[now]
-            left = np.delete(left, first)
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(n.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        at = self.used + np.cumsum(n) - n
-        self.used += total
-        self.held += len(keys)
-        if 2 * self.held > len(self.slots):
-            old = np.flatnonzero(self.slots)
-            k, a, m = self.slots[old], self.at[old], self.len[old]
-            size = 1 << (4 * self.held - 1).bit_length()
-            self.slots, self.at, self.len = np.zeros(size, U64), np.zeros(size, np.int32), np.zeros(size, np.int32)
-            self._put(k, a, m)
-        self._put(keys, at, n)
-
-    def cuts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the chunks of all texts, cut only where the static rule allows."""
-        n = len(buf)
-        space = _SPACES[buf]
-        cut = np.zeros(n + 1, bool)
-        cut[1:n] = space[1:] & ~space[:-1]  # where a run of white space begins
-        cut[off] = False
-        run = np.flatnonzero(cut)
-        roll = np.zeros(len(run), np.int64)
-        for k in range(1, _WINDOW + 1):
-            roll = roll * 31 + buf[np.maximum(run - k, 0)]
-        run = run[roll % KEEP_OF != 0]
-        run = run[self.agrees(buf, run, off)]
-        cut[:] = False
-        cut[run] = True
-        mark = np.flatnonzero(_MARK[buf])
-        mark = mark[mark > 1]
-        cut[mark[_LETTER[buf[mark - 1]] | ((buf[mark - 1] >= 0x80) & _WORDY[buf[mark - 2]] & (buf[mark - 1] != 0x97) & (buf[mark - 1] != 0xB7))]] = True
-        cut[off[:-1][off[1:] > off[:-1]]] = True
-        cut[n] = False
-        starts = np.flatnonzero(cut)
-        return starts, np.append(starts[1:], n)
-
-    def agrees(self, buf: np.ndarray, cut: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Whether the ids of the two sides of each cut are those of the whole text."""
-        n = len(buf)
-        back, back2, here = buf[cut - 1], buf[np.maximum(cut - 2, 0)], buf[cut]
-        ok = _PLAIN[back] | ((back >= 0x80) & _TWO[back2])
-        if self.strip:
-            return ok & ((here == 0x20) | (here == 0x0A))
-        nxt = buf[np.minimum(cut + 1, n - 1)]
-        ends = np.isin(cut + 1, off)
-        return ok & ((here == 0x20) | (here == 0x0A)) & (_PLAIN[nxt] | _TWO[nxt]) & ~ends
+
+    def _entry(self, chunk: bytes, enc) -> Entry:
+        ids = np.array(enc.ids, np.uint32).tobytes()
+        if self.whole or len(chunk) < 8:
+            return ids, None
+        raw = np.frombuffer(chunk, np.uint8)
+        at = np.flatnonzero(_BLANK[raw[:-1]] & _SOLID[raw[1:]])
+        if len(at) < 2:
+            return ids, None
+        plain, spans = chunk.isascii(), enc.offsets
+        first = [s for s, _ in spans]
+        ends = {}
+        for p in {int(at[0]), int(at[1]), int(at[-2]), int(at[-1])}:
+            c = p if plain else len(chunk[:p].decode())
+            k = bisect_left(first, c)
+            if k and spans[k - 1][1] > c:
+                return ids, None  # an id reaches over the word start
+            ends[p] = k
+        a, b, c, d = ends[int(at[-2])], ends[int(at[-1])], ends[int(at[0])], ends[int(at[1])]
+        return ids, (a, b, c, d, int(at[-2]), int(at[1])) if a < b and c < d else None
+
+    def _know(self, chunks: list[bytes]) -> list[Entry]:
+        known = self.chunks
+        new = list({c for c in chunks if c not in known})
+        self.made += len(new)
+        self.reused += len(chunks) - len(new)
+        if new:
+            for c, e in zip(new, self.tok.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
+                known[c] = self._entry(c, e)
+            self.held += sum(map(len, new))
+        return [known[c] for c in chunks]
+
+    def _look(self, windows: list[bytes]) -> list[bytes]:
+        known = self.windows
+        new = list({w for w in windows if w not in known})
+        if new:
+            for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, np.uint32).tobytes()
+            self.held += sum(map(len, new))
+        return [known[w] for w in windows]
+
+    def _join(self, raw: bytes, cuts: list[list[int]]) -> list[tuple[list[Entry], list[bytes]]]:
+        """For each text its pieces and, for each join, the ids that stand in for both sides' (see the module's text). ``cuts`` are thinned to the joins that agree."""
+        pieces = [[*p] for p in _split(self._know([raw[a:b] for c in cuts for a, b in zip(c, c[1:])]), [len(c) - 1 for c in cuts])]
+        joins: list[list[bytes | None]] = [[None] * (len(p) - 1) for p in pieces]
+        todo = [(t, k) for t, j in enumerate(joins) for k in range(len(j))]
+        while todo:
+            asked, windows = [], []
+            for t, k in todo:
+                left, right, c = pieces[t][k][1], pieces[t][k + 1][1], cuts[t]
+                if left and right:
+                    asked.append((t, k))
+                    windows.append(raw[c[k] + left[4] : c[k + 1] + right[5]])
+            for (t, k), w in zip(asked, self._look(windows), strict=True):
+                (a, left), (b, right) = pieces[t][k], pieces[t][k + 1]
+                lead, tail = a[4 * left[0] : 4 * left[1]], b[4 * right[2] : 4 * right[3]]
+                if len(w) >= len(lead) + len(tail) and w.startswith(lead) and w.endswith(tail):
+                    joins[t][k] = w[: len(w) - len(tail)]
+                    self.repaired += 1
+            bad: dict[int, set[int]] = {}
+            for t, k in todo:
+                if joins[t][k] is None:
+                    bad.setdefault(t, set()).add(k)
+            todo = self._merge(raw, cuts, pieces, joins, bad)
+        return list(zip(pieces, joins, strict=True))
+
+    def _merge(self, raw: bytes, cuts: list[list[int]], pieces: list[list[Entry]], joins: list[list[bytes | None]], bad: dict[int, set[int]]) -> list[tuple[int, int]]:
+        """Take out the joins in ``bad``, encode what they part as one piece; the joins beside such pieces are to be tried again."""
+        at, want, again = [], [], []
+        for t, ks in bad.items():
+            self.merged += len(ks)
+            keep = [k for k in range(len(joins[t])) if k not in ks]
+            cuts[t] = [cuts[t][0], *(cuts[t][k + 1] for k in keep), cuts[t][-1]]
+            runs = [-1, *keep, len(joins[t])]  # a piece is now what stands between two kept joins
+            old, joins[t] = pieces[t], [joins[t][k] for k in keep]
+            pieces[t] = []
+            for m, (x, y) in enumerate(zip(runs, runs[1:], strict=False)):
+                pieces[t].append(old[x + 1])
+                if y - x > 1:
+                    at.append((t, m))
+                    want.append(raw[cuts[t][m] : cuts[t][m + 1]])
+        for (t, m), e in zip(at, self._know(want), strict=True):
+            pieces[t][m] = e
+            for k in (m - 1, m):
+                if 0 <= k < len(joins[t]) and (t, k) not in again[-2:]:
+                    joins[t][k] = None
+                    again.append((t, k))
+        return again
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, where each text's ids start with one entry more, the texts' bytes)."""
         for i, j, buf, off in groups(texts, CHUNK):
-            if not len(buf):
-                yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64), buf
-                continue
-            s, e = self.cuts(buf, off)
-            head = s + (_SPACES[buf[s]] & (e > s + 1)) if self.strip else s
-            keys = span_hashes(buf, head, e) | U64(1 << 63)
-            known = self._place(keys)
-            if (known < 0).any():
-                if self.held > MEMO_CHUNKS or self.used > MEMO_IDS:
-                    self.forget()
-                    known[:] = -1
-                new, first = np.unique(keys[known < 0], return_index=True)
-                first = np.flatnonzero(known < 0)[first]
-                raw = buf.tobytes()
-                self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(head[first].tolist(), e[first].tolist(), strict=True)])
-                known = self._place(keys)
-            n = self.len[known].astype(np.int64)
-            ids = self.ids[ragged(n, self.at[known].astype(np.int64))]
-            before = np.concatenate([[0], np.cumsum(n)])
-            yield i, j, ids, before[np.searchsorted(s, off)], buf
+            if self.held > MEMO_BYTES:
+                self.forget()
+            raw = buf.tobytes()
+            cuts = [[a, b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)] if self.whole or not len(buf) else cut_points(buf, off, self.least, self.mean)
+            out, sizes = [], [0]
+            for pieces, joins in self._join(raw, cuts):
+                begin, n = 0, 0
+                for k, (ids, ends) in enumerate(pieces):
+                    end = 4 * ends[0] if k < len(joins) else len(ids)
+                    out.append(ids[begin:end])
+                    n += max(0, end - begin)
+                    if k < len(joins):
+                        out.append(joins[k])
+                        n += len(joins[k])
+                        begin = 4 * pieces[k + 1][1][2]
+                sizes.append(n // 4)
+            yield i, j, np.frombuffer(b"".join(out), np.uint32), np.cumsum(sizes), buf
+
+
+def _split(items: list, counts: list[int]) -> Iterator[list]:
+    at = 0
+    for n in counts:
+        yield items[at : at + n]
+        at += n
 
 
 class ByteDecoder:
@@ -188,9 +239,9 @@ class ByteDecoder:
 
 
 @lru_cache(4)
-def encoder(path: str, strip: bool) -> ChunkEncoder:
+def encoder(path: str) -> ChunkEncoder:
     """A worker's encoder for a file; it lives as long as the worker."""
-    return ChunkEncoder(path, strip)
+    return ChunkEncoder(path)
 
 
 @lru_cache(4)
@@ -216,7 +267,7 @@ def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = N
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = encoder(path, False), decoder(path)
+        enc, dec = encoder(path), decoder(path)
         for b in batches:
             for i, j, ids, at, _ in enc.encode(b.column(text_col)):
                 data, off = dec.decode(ids, at)
@@ -234,7 +285,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = encoder(path, False), decoder(path)
+        enc, dec = encoder(path), decoder(path)
         for b in batches:
             for i, j, ids, at, _ in enc.encode(b.column(1)):
                 data, off = dec.decode(ids, at)

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, park, partitions, streamed
-from .tokenstore import bounds
+from .common import arrow_rows, park, partitions
+from .ranges import ranges, row_hash
 
-#: Rows of a range of ids; rows of a bucket compared with its first in one task; ids sent to tasks to pick their texts.
-RANGE_ROWS, BUCKET_ROWS, SENT = 2048, 512, 200_000
-#: Pages of 32,768 bits, 16 MB together, that mark which ids may have to be picked where there are more than ``SENT``.
+#: Rows of a range of ids, rows and characters that are held at a time; rows of a bucket compared with its first in one task.
+RANGE_ROWS, HELD_ROWS, HELD_CHARS, BUCKET_ROWS = 16_384, 1024, 4 << 20, 512
+#: Pages of 32,768 bits, 16 MB together at most, that mark which ids may have to be picked.
 PAGES, PAGE_BITS = 4_096, 32_768
 Hasher = Callable[[bytes], str]
 
@@ -61,19 +61,27 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     led = rows.select("doc_id", "fingerprint", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("leads")).distinct()
     lead = several.select(F.col("first").alias("doc_id"), "fingerprint", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BUCKET_ROWS).cast("int") - 1)).alias("chunk"), F.lit(True).alias("leads"))
     dealt = park(led.unionByName(lead))
-    texts, few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), dealt.count() <= SENT
-    texts = texts.join(F.broadcast(dealt), "doc_id") if few else likely(texts, dealt).join(dealt, "doc_id")
-    texts = texts.withColumn("key", F.concat_ws(":", "fingerprint", "chunk"))
+    texts = pick(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), dealt).withColumn("key", F.concat_ws(":", "fingerprint", "chunk"))
 
-    def compare(key: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, marks_, leads, plain = t.column("doc_id").to_pylist(), t.column("fingerprint").to_pylist(), t.column("leads").to_pylist(), [canonical(x) for x in t.column("text").to_pylist()]
-        own = min((p for p, m, x in zip(plain, marks_, leads, strict=True) if x and hasher(p) == m), default=None)
-        odd = [(i, m, longer(p, hasher)) for i, m, p in zip(ids, marks_, plain, strict=True) if own is not None and hasher(p) == m and p != own]
-        if odd:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*odd, strict=True)], names=["doc_id", "fingerprint", "other"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None  # the bucket's first text, in front of the rows that it is compared with
+        for b in batches:
+            odd = []
+            for key, i, mark, leads, text in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "fingerprint", "leads", "text")), strict=True):
+                plain = canonical(text)
+                if key != now:
+                    now, own = key, None
+                if hasher(plain) != mark:
+                    continue  # another row of a repeated id
+                if leads:
+                    own = plain if own is None else min(own, plain)
+                elif own is not None and plain != own:
+                    odd.append((i, mark, longer(plain, hasher)))
+            if odd:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*odd, strict=True)], names=["doc_id", "fingerprint", "other"])
 
     n = partitions(spark)
-    return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(streamed("key", compare), "doc_id long, fingerprint string, other string").distinct()
+    return texts.repartition(n, "key").sortWithinPartitions("key", F.desc("leads")).mapInArrow(compare, "doc_id long, fingerprint string, other string").distinct()
 
 
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -89,6 +97,11 @@ def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1).select(*rows.columns)
 
 
+def pick(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """rows joined with dealt by doc_id: one shuffle of those rows that ``likely`` leaves, at every size."""
+    return likely(rows, dealt).join(dealt.hint("merge"), "doc_id")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
     """(doc_id, fingerprint) of each row; equal fingerprints mean equal canonical texts. Null texts count as empty, null ids pass through.
 
@@ -110,50 +123,62 @@ def settled(marks: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows in ascending id order (null ids last, ties by text), each with the text after it; after the last comes the first.
+    """Rows in ascending id order (null ids last; rows of one id by a hash of the text, then the text), each with the text after it; after the last comes the first.
 
-    ``work(ids, texts, next_texts)`` makes record batches. Ids are cut into ranges; the first row of a
-    range is also sent to the range before it, so every row meets its successor in one shuffle.
+    ``work(ids, texts, next_texts)`` makes record batches of up to ``HELD_ROWS`` rows or ``HELD_CHARS``
+    characters. Rows are cut into ranges, an id that repeats without end into several; the first row of
+    a range is also sent to the range before it, so every row meets its successor in one shuffle.
     """
-    arrow_rows(docs.sparkSession)
-    cut = bounds(docs, id_col, range_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def place(ids: pa.Array) -> np.ndarray:
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        return np.where(null, len(cut) + 1, np.searchsorted(cut, ids.fill_null(0).to_numpy(), "right"))
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
+    cut = ranges(rows, "id", "hash", range_rows, partitions(spark))
+    sent = spark.sparkContext.broadcast(cut)  # 16 bytes a range
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place(b.column(0)), pa.int32()), b.column(0)], names=["part", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.place(b.column(0), b.column(1)), pa.int32()), b.column(0), b.column(1)], names=["part", "id", "hash"])
 
-    firsts = sorted((r["part"], r["id"]) for r in rows.select("id").mapInArrow(ranges, "part int, id long").groupBy("part").agg(F.min("id").alias("id")).collect())  # one row a range
-    to = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
+    first = rows.select("id", "hash").mapInArrow(place, "part int, id long, hash long").groupBy("part").agg(F.min(F.struct("id", "hash")).alias("low")).orderBy("part").collect()  # one row a range
+    to = spark.sparkContext.broadcast({r["part"]: (first[k - 1]["part"], *r["low"]) for k, r in enumerate(first)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = np.array(sorted(x for x in to if x is not None), np.int64)
         for b in batches:
-            part, ids = place(b.column(0)), b.column(0)
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            also = np.flatnonzero(np.isin(ids.fill_null(0).to_numpy(), lead) & ~null) if len(lead) else np.zeros(0, np.int64)
-            if None in to and null.any():
-                also = np.concatenate([also, np.flatnonzero(null)])
-            take = pa.array(np.concatenate([np.arange(len(ids)), also]))
-            dest = np.concatenate([part, np.array([to[i] for i in ids.take(pa.array(also)).to_pylist()], np.int64)])
-            kind = np.concatenate([np.zeros(len(ids), bool), np.ones(len(also), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(kind), ids.take(take), b.column(1).take(take)], names=["part", "after", "id", "text"])
-
-    def run(part: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        own = pa.compute.invert(t.column("after"))
-        mine, after = t.filter(own), t.filter(t.column("after"))
-        if not mine.num_rows:
-            return
-        texts = [x or "" for x in mine.column("text").to_pylist()]
-        last = after.column("text")[0].as_py() or ""
-        yield from work(mine.column("id").combine_chunks(), texts, [*texts[1:], last])
-
-    dealt = rows.mapInArrow(deal, "part int, after boolean, id long, text string")
-    return dealt.repartition(max(partitions(docs.sparkSession), len(cut) // 8), "part").sortWithinPartitions("part", "after", "id", "text").mapInArrow(streamed("part", run), schema)
+            part, ids, hashes = sent.value.place(b.column(0), b.column(1)), b.column(0), b.column(1)
+            also, dest = [], []
+            for p in np.unique(part).tolist():
+                before, low, h = to.value[p]
+                own = np.flatnonzero((part == p) & (hashes.to_numpy() == h))
+                lead = next((i for i in own.tolist() if ids[i].as_py() == low), None)  # of equal rows one does
+                if lead is not None:
+                    also.append(lead), dest.append(before)
+            take = pa.array(np.concatenate([np.arange(len(ids)), np.array(also, np.int64)]))
+            kind = np.arange(len(take)) >= len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([part, np.array(dest, np.int64)]), pa.int32()), pa.array(kind), *(b.column(c).take(take) for c in range(3))], names=["part", "after", "id", "hash", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int | None] = []
+        texts: list[str] = []
+        now, closed, size = None, False, 0
+        for b in batches:
+            for p, after, i, text in zip(*(b.column(c).to_pylist() for c in ("part", "after", "id", "text")), strict=True):
+                text = text or ""
+                if p != now:
+                    now, closed = p, False
+                if closed:
+                    continue
+                if texts and (after or len(texts) >= HELD_ROWS or size >= HELD_CHARS):
+                    yield from work(pa.array(ids, pa.int64()), texts, [*texts[1:], text])
+                    ids, texts, size = [], [], 0
+                if after:
+                    closed = True
+                else:
+                    ids.append(i), texts.append(text)
+                    size += len(text)
+
+    dealt = rows.mapInArrow(deal, "part int, after boolean, id long, hash long, text string")
+    dealt = dealt.repartition(max(partitions(spark), cut.count // 8), "part").sortWithinPartitions("part", "after", F.col("id").asc_nulls_last(), "hash", "text")
+    return dealt.select("part", "after", "id", "text").mapInArrow(run, schema)
 
 
 def edited(text: str, following: str) -> str:

@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import arrow_rows, park, partitions, shared_dir, streamed
+from .common import arrow_rows, park, partitions, shared_dir
 from .fsio import read_range, write_whole
+from .pieces import encoder
+from .ranges import ranges, row_hash
 from .textkit import U64, mix
 
 MAGIC = b"QTS1"
-#: Documents a shard aims at, and most levels of an index before keys are kept in a plain list.
-SHARD_DOCS, LEVELS, GAMMA = 4096, 24, 2.0
+#: Documents and bytes of ids at which a shard is closed; documents of a range of keys, which one task sorts and writes shard by shard.
+SHARD_DOCS, SHARD_BYTES, RANGE_DOCS = 4096, 16 << 20, 65_536
+#: Most levels of an index before keys are kept in a plain list, and bits a key in each level.
+LEVELS, GAMMA = 24, 2.0
 
 
 class PerfectHash:
@@ -124,16 +127,6 @@ class Shard:
         return None if d < 0 else self.part("ids", int(self.starts[d]), int(self.starts[d + 1] - self.starts[d]))
 
 
-def bounds(df: DataFrame, key: str, most_rows: int) -> np.ndarray:
-    """Ascending keys that cut the table into ranges of about ``most_rows`` rows; as many values as ranges less one."""
-    n = df.count()
-    parts = min(10_000, n // most_rows + 1)
-    if parts < 2:
-        return np.zeros(0, np.int64)
-    got = df.select(F.percentile_approx(F.col(key).cast("long"), [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0]
-    return np.unique(np.array(got or [], np.int64))
-
-
 def id_type(path: str, end_id: int) -> str:
     """The smallest unsigned type that holds every id of a tokenizer file and the end id."""
     from tokenizers import Tokenizer
@@ -141,46 +134,67 @@ def id_type(path: str, end_id: int) -> str:
     return "<u2" if max(end_id, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else "<u4"
 
 
-def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, strip: bool = True) -> DataFrame:
+def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` to each, write shards; returns their manifest.
 
-    Manifest: shard, path, n_docs, n_tokens, first_token, min_key, max_key, one row for a shard in
+    Manifest: part, shard, path, n_docs, n_tokens, first_token, min_key, max_key, one row for a shard in
     ascending document order. Rows of one id keep their own places, one after another; a lookup finds
     the first. Rows with a null id stand at the very end and are not indexed. An empty table gives an
-    empty manifest.
+    empty manifest. A task holds one shard, which is closed at ``shard_docs`` documents or
+    ``shard_bytes`` bytes of ids, so long texts make shards of fewer documents; an id that repeats
+    without end, or null, is many ranges and shards.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 512)
-    cut, kind = bounds(docs, id_col, shard_docs), id_type(path, end_id)
+    source = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), row_hash(text_col).alias("hash"))
+    cut = ranges(source, "key", "hash", RANGE_DOCS, partitions(spark))
+    sent, kind = spark.sparkContext.broadcast(cut), id_type(path, end_id)  # 16 bytes a range
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, strip)
+        enc, cut = encoder(path), sent.value
         for b in batches:
             for i, j, ids, at, _ in enc.encode(b.column(1)):
-                key = b.column(0).slice(i, j - i)
-                null = key.is_null().to_numpy(zero_copy_only=False)
-                shard = np.searchsorted(cut, key.fill_null(0).to_numpy(), "right")
-                shard[null] = len(cut)
+                key, hashed = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)
                 ids = ids.astype(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(null), key, pa.array([ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["shard", "nokey", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(cut.place(key, hashed), pa.int32()), key.is_null(), key, hashed, pa.array([ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["part", "nokey", "key", "hash", "ids"])
 
-    def write(shard: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], kind).tobytes()
-        blobs = t.column("ids").to_pylist()
-        starts = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in blobs])])
-        ids = np.frombuffer(b"".join(x for p in blobs for x in (p, end)), kind)
-        has = ~t.column("nokey").to_numpy()
-        keys = t.column("key").fill_null(0).to_numpy()
-        uri = f"{folder}/shard-{shard:06d}.qts"
-        write_whole(uri, pack_shard(keys, has, starts, ids))
-        own = keys[has]
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": len(keys), "n_tokens": len(ids), "min_key": int(own[0]) if len(own) else None, "max_key": int(own[-1]) if len(own) else None}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64())]))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(encode, "shard int, nokey boolean, key long, ids binary")
-    parts = rows.repartition(max(partitions(spark), len(cut) // 4), "shard").sortWithinPartitions("shard", "nokey", "key")
-    manifest = park(parts.mapInArrow(streamed("shard", write), "shard int, path string, n_docs long, n_tokens long, min_key long, max_key long"))
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
-    return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+        keys: list[int | None] = []
+        blobs: list[bytes] = []
+        part, shard, size = None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in blobs])])
+            ids = np.frombuffer(b"".join(x for p in blobs for x in (p, end)), kind)
+            own = [k for k in keys if k is not None]
+            uri = f"{folder}/shard-{part:06d}-{shard:05d}.qts"
+            write_whole(uri, pack_shard(np.array([k or 0 for k in keys], np.int64), np.array([k is not None for k in keys]), starts, ids))
+            row = {"part": part, "shard": shard, "path": uri, "n_docs": len(keys), "n_tokens": len(ids), "min_key": own[0] if own else None, "max_key": own[-1] if own else None}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64())]))
+
+        for b in batches:
+            for p, k, ids in zip(*(b.column(c).to_pylist() for c in ("part", "key", "ids")), strict=True):
+                if keys and (p != part or len(keys) >= shard_docs or size >= shard_bytes):
+                    yield close()
+                    shard, size = shard + 1 if p == part else 0, 0
+                    keys.clear(), blobs.clear()
+                elif p != part:
+                    shard = 0
+                part = p
+                keys.append(k), blobs.append(ids)
+                size += len(ids)
+        if keys:
+            yield close()
+
+    rows = source.mapInArrow(encode, "part int, nokey boolean, key long, hash long, ids binary")
+    parts = rows.repartition(max(partitions(spark), cut.count // 4), "part").sortWithinPartitions("part", "nokey", "key", "hash").drop("nokey", "hash")
+    manifest = park(parts.mapInArrow(write, "part int, shard int, path string, n_docs long, n_tokens long, min_key long, max_key long"))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = manifest.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))  # one row a range
+    sums = sums.select("part", F.coalesce(F.sum("in_part").over(before(W.orderBy("part"))), F.lit(0)).alias("lead"))
+    inside = F.coalesce(F.sum("n_tokens").over(before(W.partitionBy("part").orderBy("shard"))), F.lit(0))
+    return manifest.join(sums, "part").withColumn("first_token", F.col("lead") + inside).drop("lead")
 
 
 def places(keys: np.ndarray, has: np.ndarray, find: Callable[[np.ndarray], np.ndarray], uri: str = "shard") -> np.ndarray:

@@ -1,6 +1,7 @@
 """Operators on texts against the library, brute force and edge cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, common, fingerprints, graph, mixing, ngramjoin, quality, rollups, textkit, tokenstore, toxicity
+from quillspark.llm import bpe, common, fingerprints, graph, mixing, ngramjoin, pieces, quality, ranges, rollups, textkit, tokenstore, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -108,27 +109,94 @@ def test_components_of_a_long_chain(spark):
     assert graph.connected_components(e.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("name", "strip"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_encoder_agrees_with_the_library(name, strip):
-    r = random.Random(4)
-    alphabet = " \n\tabé.,!1'sñ ́日<|>É\u0085:;"
-    texts = ["", " ", "a<|endoftext|> b", "<|startoftext|>", "don't 've", "İ ß Ǆ", "foo \n", None, "🙂 🙂"] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(1500)]
-    tok = tokenizers.Tokenizer.from_file(public.path(name))
-    enc, got = bpe.ChunkEncoder(public.path(name), strip), []
-    for _, _, ids, at, _ in enc.encode(pa.array(texts)):
-        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-    assert got == [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def test_encoder_forgets_and_goes_on(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 3)
-    monkeypatch.setattr(textkit, "CHUNK", 16)
-    texts = ["one two three four five six"] * 3 + ["seven eight nine ten", "one two"]
-    tok = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    enc, got = bpe.ChunkEncoder(public.path("byte_bpe_50k.json"), False), []
+def thue_morse(n):
+    """Two different words that polynomial hashes modulo a power of two take for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def crafted_texts(seed, n):
+    """Control, combining and blank characters at every edge, special tokens, apostrophes, long words, colliding words."""
+    r = random.Random(seed)
+    alphabet = " \n\tabé.,!1'sñ ́日<|>É\u0085:;\x00\x08\x1b\x1c\u00a0\u3000sltre'×÷İ"
+    words_ = ["hello", "don't", "we'll", "<|endoftext|>", "<|startoftext|>", "x1y2", " ", "  ", "\n", "ÅNGSTRÖM", "ΑΣ", "word,", "(a)", "日本語", "한국 어"]
+    out = ["", None, " ", "\x00ab", "\x1f", "ab\x08 cd", "İ, x", "🙂 🙂", "a" * 5000, "word " * 400, *thue_morse(10), " ".join(thue_morse(10))]
+    for _ in range(n):
+        out.append("".join(r.choice(alphabet) for _ in range(r.randint(1, 150))))
+        out.append(r.choice(["", " "]).join(r.choice(words_) for _ in range(r.randint(1, 60))))
+    return out
+
+
+def edge_texts():
+    return [t for c in map(chr, [*range(0x250), *range(0x300, 0x370, 5)]) for t in (c + "ab cd", "ab" + c + " cd", "ab " + c + "cd", "ab" + c + ", cd", "ab," + c, "a\n" + c + "\nb", c, " " + c, c + " ", c + ".")]
+
+
+def library_ids(path, texts):
+    return [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def own_ids(enc, texts):
+    got = []
     for _, _, ids, at, _ in enc.encode(pa.array(texts)):
         got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-    assert got == [tok.encode(t).ids for t in texts]
+    return got
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_agree_with_the_library(name):
+    enc = pieces.encoder(public.path(name))
+    assert isinstance(enc, pieces.PieceEncoder)
+    for texts in (crafted_texts(4, 1500), edge_texts()):
+        assert own_ids(enc, texts) == library_ids(public.path(name), texts)
+
+
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize(("least", "mean"), [(1, 4), (8, 8), (64, 128)])
+def test_chunks_agree_with_the_library(name, least, mean):
+    enc = bpe.ChunkEncoder(public.path(name), least, mean)
+    for texts in (crafted_texts(least, 400), edge_texts()[::7]):
+        assert own_ids(enc, texts) == library_ids(public.path(name), texts)
+    assert enc.repaired and enc.merged
+
+
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "Digits", "individual_digits": True}}, {"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "x"}}])
+def test_chunks_agree_with_the_library_for_other_files(tmp_path, change):
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f) | change
+    spec["model"]["unk_token"] = "!"
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert pieces.family(path) is None
+    texts = crafted_texts(9, 150)
+    assert own_ids(pieces.encoder(path), texts) == library_ids(path, texts)
+    assert own_ids(bpe.ChunkEncoder(path, 8, 8), texts) == library_ids(path, texts)
+
+
+def test_equal_chunks_are_encoded_once():
+    enc = bpe.ChunkEncoder(public.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    passage = " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(400))
+    texts = [f"{k} lead in of its own {passage} and end {k}" for k in range(20)]
+    assert own_ids(enc, texts) == library_ids(public.path("byte_bpe_50k.json"), texts)
+    assert enc.reused > 3 * enc.made
+
+
+@pytest.mark.parametrize("kind", ["chunks", "pieces"])
+def test_encoders_forget_and_go_on(monkeypatch, kind):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 40)
+    monkeypatch.setattr(pieces, "MEMO_PIECES", 3)
+    monkeypatch.setattr(bpe, "CHUNK", 16)
+    monkeypatch.setattr(pieces, "CHUNK", 16)
+    texts = ["one two three four five six"] * 3 + ["seven eight nine ten", "one two"]
+    path = public.path("byte_bpe_50k.json")
+    enc = bpe.ChunkEncoder(path, 4, 4) if kind == "chunks" else pieces.PieceEncoder(path, False)
+    assert own_ids(enc, texts) == library_ids(path, texts)
 
 
 def test_bpe_round_trip(spark):
@@ -191,11 +259,10 @@ def test_fingerprints(spark, monkeypatch):
     assert weak[1] == weak[2] == weak[4] == "0" and weak[3] == weak[5] and len(set(weak.values())) == 3
 
 
-def test_fingerprints_by_shuffle(spark, monkeypatch):
+def test_fingerprints_in_chunks_of_buckets(spark, monkeypatch):
     rows = [(i, "abc"[i % 3] if i < 9 else f"text {i}", "s") for i in range(-5, 400)]
     hasher = lambda plain: "0" if len(plain) == 1 else plain.hex()
     want = sorted(map(tuple, fingerprints.fingerprints(frame(spark, rows), hasher=hasher).collect()))
-    monkeypatch.setattr(fingerprints, "SENT", -1)
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
     assert sorted(map(tuple, fingerprints.fingerprints(frame(spark, rows), hasher=hasher).collect())) == want
     assert len({f for _, f in want}) == 3 + 391
@@ -206,8 +273,9 @@ def test_fingerprints_by_shuffle(spark, monkeypatch):
     assert set(range(-50, 50)) <= kept and len(kept) < 120
 
 
-@pytest.mark.parametrize("rows_a_range", [3, 1000])
-def test_next_text_across_ranges(spark, rows_a_range):
+@pytest.mark.parametrize(("rows_a_range", "held"), [(3, 2), (1000, 7), (1000, 1000)])
+def test_next_text_across_ranges(spark, monkeypatch, rows_a_range, held):
+    monkeypatch.setattr(fingerprints, "HELD_ROWS", held)
     rows = [(i * 3, f"text {i}", "s") for i in range(20)]
 
     def work(ids, texts, after):
@@ -217,6 +285,64 @@ def test_next_text_across_ranges(spark, rows_a_range):
     assert {(r.a, r.b) for r in got} == {(f"text {i}", f"text {(i + 1) % 20}") for i in range(20)} and len(got) == 20
     assert fingerprints.with_next(empty(spark), work, "id long, a string, b string").count() == 0
     assert fingerprints.with_next(odd(spark), work, "id long, a string, b string", range_rows=rows_a_range).count() == len(odd_rows())
+    # an id, and null, that hold most rows: a ring through all rows all the same
+    many = [(5 if i % 3 else None, f"text {i}", "s") for i in range(120)] + [(i, f"own {i}", "s") for i in range(10)]
+    ring = {r.a: r.b for r in fingerprints.with_next(frame(spark, many), work, "id long, a string, b string", range_rows=rows_a_range).collect()}
+    at, seen = "own 0", []
+    for _ in many:
+        seen.append(at)
+        at = ring[at]
+    assert at == "own 0" and len(set(seen)) == len(many)
+    assert seen[:10] == [f"own {i}" for i in range(5)] + [x for x in seen[5:10]] and seen[-40:] == sorted(seen[-40:], key=seen.index)
+    assert {x for x in seen[-40:]} == {t for i, t, _ in many if i is None}
+
+
+def test_ranges_part_a_hot_key():
+    import numpy as np
+
+    r = ranges.Ranges(np.array([3, 5, 5, 5, 8]), np.array([10, -4, 0, 4, 7]), np.array([0]))
+    keys, hashes = pa.array([2, 3, 3, 4, 5, 5, 5, 5, 6, 8, 8, 9, None, None]), pa.array([0, 9, 10, 0, -9, -4, 3, 99, 0, 6, 7, 0, -1, 1])
+    assert r.place(keys, hashes).tolist() == [0, 0, 1, 1, 1, 2, 3, 4, 4, 4, 5, 5, 6, 7]
+
+
+def test_op4_equals_brute_force(spark, small, tmp_path):
+    """The query, row by row, from the texts alone; and on a table with copies, edits, nulls and empty texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = ["", None, "a b c d", "A  b c\td", "ẞtraße Ⅷ", "x" * 9000, "abcd", "abcd", "e", "ﬁn\u00a0e  "]
+    own = [(i * 2, texts[i % len(texts)], "s") for i in range(31)] + [(900, "abcdefgh", "s"), (901, "ghxxxxxx", "s"), (902, "abcdefgh", "s"), (903, "abcdefgh", "s")]
+    frame(spark, own).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, rows in ((small, [(r.doc_id, r.text) for r in docs.collect()]), (str(tmp_path), [(i, t) for i, t, _ in own])):
+        rows = sorted((i, t or "") for i, t in rows)
+        got = {r.doc_id: r for r in fingerprints.op4(spark, folder).collect()}
+        assert len(got) == len(rows)
+        plain = lambda t: fingerprints.canonical(t)
+        same: dict = {}
+        for k, (i, t) in enumerate(rows):
+            nxt = rows[(k + 1) % len(rows)][1]
+            cut = len(t) // 4
+            changed = t[: len(t) - cut] + nxt[:cut]
+            r = got[i]
+            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+            assert (r.near_edited, r.near_next) == (float(plain(t) == plain(changed)), float(plain(t) == plain(nxt)))
+            assert same.setdefault(plain(t), r.fingerprint) == r.fingerprint and same.setdefault(plain(changed), r.edited_fingerprint) == r.edited_fingerprint
+        assert len(set(same.values())) == len(same)
+
+
+def test_op2_equals_the_library(spark, small):
+    path = public.path("word_bpe_49k.json")
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    ids = [[*x, 1] for x in library_ids(path, [t for _, t in rows])]
+    starts = np.cumsum([0, *map(len, ids)])
+    got = sorted(map(tuple, tokenstore.op2(spark, small).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    assert got == [(i, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(rows, starts, ids, strict=False)]
+
+
+def test_op6_equals_the_library(spark, small):
+    path = public.path("byte_bpe_50k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    want = [(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(tok.decode(x, skip_special_tokens=False).encode()).hexdigest()) for (i, _), x in zip(rows, library_ids(path, [t for _, t in rows]), strict=True)]
+    assert sorted(map(tuple, bpe.op6(spark, small).collect())) == want
 
 
 def test_mix(spark):
