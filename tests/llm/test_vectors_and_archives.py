@@ -31,10 +31,11 @@ def brute(rows, t=0.98):
     return {i: (n[i], find(i), find(i) == i) for i in n}
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4000, 1024), (20, 7)])
-def test_near_duplicate_vectors(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize(("cell", "block", "a_cell"), [(8000, 2048, 20), (20, 7, 5), (3, 7, 40)])
+def test_near_duplicate_vectors(spark, monkeypatch, cell, block, a_cell):
     monkeypatch.setattr(vectors, "CELL_ROWS", cell)
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SAMPLE_A_CELL", a_cell)  # few centroids a codebook: several codebooks
     rng = np.random.default_rng(3)
     base = rng.normal(size=(25, 8))
     rows = []
@@ -47,6 +48,19 @@ def test_near_duplicate_vectors(spark, monkeypatch, cell, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows) and len(got) == len(rows)
 
 
+def test_codebooks_part_a_label_again_and_again(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = vectors.codebooks(x, 10**12)
+    assert len(books) == vectors.MOST_BOOKS and all(len(c) == 20 for c in books[:1]) and vectors.codebooks(x, 100) == []
+
+
+def test_stars_connect_what_edges_connect():
+    node, root = vectors.stars(np.array([0, 1, 5, 7]), np.array([1, 2, 6, 5]), 9)
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {1: 0, 2: 0, 6: 5, 7: 5}
+    assert not len(vectors.stars(np.zeros(0, np.int64), np.zeros(0, np.int64), 4)[0])
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
