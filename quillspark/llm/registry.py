@@ -19,5 +19,4 @@ QUERIES = {
 ORACLES = {
     "op1_near_duplicate_vectors": vectors.OP1_SQL,
     "op5_source_mix": mixing.OP5_SQL,
-    "op10_token_rollups": rollups.OP10_SQL,
 }

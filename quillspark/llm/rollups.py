@@ -1,20 +1,25 @@
 """Token counts kept by deltas: signed changes update additive totals, each batch commits once.
 
 A batch is aggregated to one row for each (source, lang, tokenizer) before it is written, so the store
-grows with batches times groups, not with documents. A batch's folder is its commit: Spark's
-``_SUCCESS`` file is written last, a batch that has it is never applied again, one without it is not
-read and is written anew. Compaction folds committed batches into one and remembers their names.
+grows with batches times groups, not with documents. A batch is committed by a rename and never applied
+again. Compaction folds committed batches into one, which names them, so it can be interrupted anywhere.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import park, shared_dir
-from .mixing import size_of
+from . import pieces
+from .common import arrow_rows, park, shared_dir
+from .textkit import groups, words
 
 KEYS = ("source", "lang", "tokenizer")
 
@@ -35,13 +40,18 @@ def revise(counts: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals in a folder of the shared file system.
+    """Totals in a folder of the shared file system; one writer at a time.
 
     Null counts count as 0, null keys are a group of their own, an empty batch commits and changes
     nothing, repeated rows of a batch each count. Totals that sum to no document and no token stay as
-    rows with zeros.
+    rows with zeros. A batch is written under another name and renamed, which commits it; whatever a
+    lost writer leaves is not read. A fold holds the sums of the batches that it names; from its rename
+    on they are not read any more, whether or not they are deleted yet, and each leaves a mark that it
+    was committed.
     """
 
+    SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
@@ -50,81 +60,105 @@ class TokenRollup:
         p = jvm.org.apache.hadoop.fs.Path(self.folder)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _batch(self, name: str) -> str:
+    def _path(self, kind: str, name: str) -> str:
         if not re.fullmatch(r"[\w.-]+", name):
             raise ValueError(f"batch names are letters, digits, '_', '.' and '-': {name!r}")
-        return f"{self.folder}/batch={name}"
+        return f"{self.folder}/{kind}={name}"
 
-    def committed(self) -> set[str]:
-        """Names of committed batches, those that were compacted included."""
+    def _names(self, kind: str) -> set[str]:
         fs, path = self._fs()
         if not fs.exists(path(self.folder)):
             return set()
-        names = {s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(path(self.folder)) if s.getPath().getName().startswith("batch=") and fs.exists(path(s.getPath(), "_SUCCESS"))}
-        return names | {r[0] for n in names if n.startswith("compact") for r in self.spark.read.parquet(f"{self._batch(n)}/folded").collect()}
+        return {n.removeprefix(f"{kind}=") for s in fs.listStatus(path(self.folder)) if (n := s.getPath().getName()).startswith(f"{kind}=")}
+
+    def committed(self, name: str) -> bool:
+        """Whether a batch was committed, folded or not."""
+        fs, path = self._fs()
+        return any(fs.exists(path(self._path(kind, name))) for kind in ("batch", "done"))
+
+    def _publish(self, sums: DataFrame, target: str, folded: list[tuple[str, str]] | None = None) -> None:
+        fs, path = self._fs()
+        stage = f"{self.folder}/stage-{uuid.uuid4().hex}"
+        sums.coalesce(1).write.parquet(f"{stage}/sums")  # one row a group
+        if folded is not None:
+            self.spark.createDataFrame(folded, "kind string, name string").coalesce(1).write.parquet(f"{stage}/folded")
+        if not fs.rename(path(stage), path(target)):
+            raise OSError(f"{stage} could not be renamed to {target}")
 
     def apply(self, name: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before, whatever its rows are now."""
-        if name in self.committed():
+        if self.committed(name):
             return False
-        sums = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._batch(name))  # one row a group
+        self._publish(changes.groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")), self._path("batch", name))
         return True
 
+    def _live(self) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+        """(kind, name) of what counts, and of what a fold stands for but is not deleted yet."""
+        there = {(kind, n) for kind in ("batch", "fold") for n in self._names(kind)}
+        gone = {(r.kind, r.name) for _, n in (x for x in there if x[0] == "fold") for r in self.spark.read.parquet(f"{self._path('fold', n)}/folded").collect()}  # names of batches
+        return sorted(there - gone), sorted(there & gone)
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        fs, path = self._fs()
-        live = [f"batch={n}" for n in sorted(self.committed()) if fs.exists(path(self._batch(n)))]
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.folder}/{n}/*.parquet" for n in live)) if live else self.spark.createDataFrame([], schema)
+        live, _ = self._live()
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self._path(*x)}/sums" for x in live)) if live else self.spark.createDataFrame([], self.SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
 
     def compact(self, name: str) -> None:
-        """Fold all committed batches into batch ``compact-name``; a replay of any of them is still known."""
-        names = sorted(self.committed())
-        target = self._batch(f"compact-{name}")
+        """Fold all committed batches and folds into fold ``name``, then clear what folds stand for, also what an interrupted call left."""
         fs, path = self._fs()
-        if f"compact-{name}" in names:
-            return
-        live = [n for n in names if fs.exists(path(self._batch(n)))]
-        sums = self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"))
-        stage = f"{self.folder}/stage-{name}"
-        sums.coalesce(1).write.mode("overwrite").parquet(stage)
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(f"{stage}/folded")
-        fs.rename(path(stage), path(target))
-        for n in live:
-            fs.delete(path(self._batch(n)), True)
-
-
-#: Tokenizer versions that SQL can count: words between white space, words of letters, and letter runs, digit runs and single other signs.
-_LETTERS, _PIECES = "[A-Za-z]+", r"[A-Za-z]+|[0-9]+|[^\x09-\x0D\x20A-Za-z0-9]"
-#: Documents with fewer words are deleted again.
+        target = self._path("fold", name)
+        live, _ = self._live()
+        if not fs.exists(path(target)) and live:
+            self._publish(self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")), target, live)
+        for kind, n in self._live()[1]:
+            if kind == "batch":
+                fs.create(path(self._path("done", n)), True).close()
+            fs.delete(path(self._path(kind, n)), True)
+
+
+#: Documents with fewer words are deleted and inserted again.
 LEAST_WORDS = 20
+FILES = ("word_bpe_49k", "byte_bpe_50k")
+
+
+def token_counts(docs: DataFrame, paths: dict[str, str], text_col: str = "text") -> DataFrame:
+    """docs' other columns with ``words`` and a column of token counts for each tokenizer version in ``paths``; null texts count 0. Row-wise, whole texts."""
+    arrow_rows(docs.sparkSession)
+    keep = [c for c in docs.columns if c != text_col and c != "words" and c not in paths]
+    schema = T.StructType([*docs.select(keep).schema.fields, *(T.StructField(n, T.LongType()) for n in ("words", *paths))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(text_col)
+            n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(words(buf, off)[2]) for _, _, buf, off in groups(text))])
+            counts = [np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, _, at, _ in pieces.encoder(p).encode(text))]) for p in paths.values()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (n_words, *counts))], names=[*keep, "words", *paths])
+
+    return docs.mapInArrow(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of ``documents`` after inserts under two tokenizer versions, revised counts, deletes of short documents, and replays of batches that were committed."""
+    """Totals of all ``documents`` by two tokenizers: inserted with word counts for want of better, revised to the tokenizers' counts, short documents deleted and inserted again, with replays of committed batches and a compaction between."""
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.col("text")
-    n = park(docs.select("source", "lang", size_of(text).alias("words"), F.coalesce(F.regexp_count(text, F.lit(_LETTERS)), F.lit(0)).cast("long").alias("letters"), F.coalesce(F.regexp_count(text, F.lit(_PIECES)), F.lit(0)).cast("long").alias("pieces")))
-    of = lambda version, tokens, *more: n.select("source", "lang", "words", F.lit(version).alias("tokenizer"), F.col(tokens).alias("n_tokens"), *more)
+    versions = {f"{n}-1": public_tokenizers.path(f"{n}.json") for n in FILES}
+    n = park(token_counts(docs.select("source", "lang", "text"), versions))
+    each = n.select("source", "lang", "words", F.explode(F.create_map(*(x for v in versions for x in (F.lit(v), F.col(v))))).alias("tokenizer", "n_tokens"))
+    guess = each.withColumn("n_tokens", F.col("words"))
+    short = each.where(F.col("words") < LEAST_WORDS)
     store = TokenRollup(spark, shared_dir(spark))
-    short = F.col("words") < LEAST_WORDS
     batches = [
-        ("insert-words", insert(of("words-1", "words"))),
-        ("insert-pieces", insert(of("pieces-1", "pieces"))),
-        ("revise-words", revise(of("words-1", "letters", F.col("words").alias("old_tokens")))),
-        ("delete-short", delete(of("words-1", "letters").where(short)).unionByName(delete(of("pieces-1", "pieces").where(short)))),
+        ("insert", insert(guess)),
+        ("revise", revise(each.withColumn("old_tokens", F.col("words")))),
+        ("delete-short", delete(short)),
+        ("insert-short", insert(short)),
     ]
-    for name, changes in batches:
+    for k, (name, changes) in enumerate(batches):
         store.apply(name, changes)
+        if k == 1:
+            store.compact("first")
     for name, changes in batches[1:3]:
         store.apply(name, changes)
     return store.totals()
-
-
-OP10_SQL = rf"""
-WITH c AS (SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, coalesce(len(regexp_extract_all(text, '{_LETTERS}')), 0) AS letters, coalesce(len(regexp_extract_all(text, '{_PIECES}')), 0) AS pieces FROM documents),
-v AS (SELECT source, lang, 'words-1' AS tokenizer, words, letters AS n FROM c UNION ALL SELECT source, lang, 'pieces-1', words, pieces FROM c)
-SELECT source, lang, tokenizer, (count(*) FILTER (words >= {LEAST_WORDS}))::BIGINT AS n_docs, coalesce(sum(n) FILTER (words >= {LEAST_WORDS}), 0)::BIGINT AS n_tokens FROM v GROUP BY ALL
-"""

@@ -16,7 +16,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, park, partitions, shared_dir
@@ -75,20 +76,15 @@ def payload_of(body: bytes) -> bytes:
 
 
 def plan_revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """pages' (page_id, url, payload, payload_digest, first_id): of equal payloads of ``min_bytes`` or more the smallest id is first."""
-    spark = pages.sparkSession
-    arrow_rows(spark, 512)
+    """(page_id, sha, first_id) of the (id, payload) pairs that revisit another id's payload: of equal payloads of ``min_bytes`` or more the smallest id is first."""
+    marks = park(pages.select(F.col(id_col).cast("long").alias("page_id"), payload_sha(html_col).alias("sha"), F.coalesce(F.octet_length(html_col), F.lit(0)).alias("bytes")).where(f"page_id is not null and bytes >= {int(min_bytes)}").select("page_id", "sha").distinct())
+    first = marks.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return marks.join(first, "sha").where("page_id <> first_id").select("page_id", "sha", "first_id")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body = [(x or "").encode() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sha1_base32(x) for x in body]), pa.array([len(x) for x in body], pa.int64())], names=["page_id", "payload_digest", "payload_bytes"])
 
-    marks = park(pages.select(F.col(id_col).cast("long"), F.col(html_col)).mapInArrow(digest, "page_id long, payload_digest string, payload_bytes long"))
-    first = marks.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # only digests that repeat are looked up; a repeated id keeps one row of marks
-    again = marks.join(first, "payload_digest").where("page_id <> first_id and payload_bytes >= %d" % min_bytes)
-    return again.select("page_id", "payload_digest", "first_id").distinct()
+def payload_sha(html_col: str) -> Column:
+    """SHA-1 of the payload in hexadecimal; null counts as empty."""
+    return F.sha1(F.coalesce(F.col(html_col), F.lit("")).cast("binary"))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -96,13 +92,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of ``min_bytes`` or more
     the smallest id is the response and the others revisit it; smaller payloads are all responses. Rows
-    with a null id are responses named by their digest. Rows that repeat an id and payload are written
-    each; the response is the one whose id is smallest. An empty table writes nothing.
+    with a null id are responses. Rows that repeat an id and a payload are written each, numbered: the
+    first of them is what the id's only row would be, the others revisit it (or are responses if the
+    payload is smaller). An id that repeats with other payloads is a capture for each. A record's id
+    is made of page id, digest and number, so it is never given twice. An empty table writes nothing.
     """
-    spark = pages.sparkSession
     revisits = plan_revisits(pages, id_col, html_col, min_bytes)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.join(revisits.select(F.col("page_id"), F.col("payload_digest").alias("_digest"), "first_id"), "page_id", "left")
+    arrow_rows(pages.sparkSession, 512)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), payload_sha(html_col).alias("sha"))
+    # rows without an id are dealt by their payload and meet nothing
+    rows = rows.withColumn("_key", F.coalesce("page_id", F.xxhash64("sha"))).withColumn("_id", F.col("page_id").isNotNull())
+    on = ["_key", "sha", "_id"]
+    rows = rows.join(revisits.select(F.col("page_id").alias("_key"), "sha", F.lit(True).alias("_id"), "first_id").hint("merge"), on, "left")
+    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy(*on).orderBy("url"))).select("page_id", "url", "html", "sha", "first_id", "copy")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,19 +122,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 k, held, size, n = k + 1, [], 0, 0
 
         for b in batches:
-            for page, url, html, digest, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "_digest", "first_id")), strict=True):
-                payload = (html or "").encode()
-                own = sha1_base32(payload)
-                name = f"<urn:page:{page if page is not None else own}>"
-                uri = url or "urn:unknown"
-                revisit = first is not None and digest == own
+            for page, url, html, sha, first, copy in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "first_id", "copy")), strict=True):
+                payload, own = (html or "").encode(), base64.b32encode(bytes.fromhex(sha)).decode()
+                me_, uri = f"{'' if page is None else page}:{own}:{copy}", url or "urn:unknown"
+                name = f"<urn:page:{me_}>"
+                if first is None and copy > 1 and page is not None and len(payload) >= min_bytes:
+                    first = page
                 more = {"WARC-Payload-Digest": f"sha1:{own}", "X-Payload-Length": str(len(payload)), "Content-Type": "application/http; msgtype=response"}
-                if revisit:
-                    more |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}>"}
+                if first is not None:
+                    more |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}:{own}:1>"}
                 out = [
-                    record("request", f"<urn:request:{page}:{k}:{n}>", uri, b"GET / HTTP/1.1\r\n\r\n", {"WARC-Concurrent-To": name, "Content-Type": "application/http; msgtype=request"}),
-                    record("revisit" if revisit else "response", name, uri, http_response(None if revisit else payload, len(payload)), more),
-                    record("metadata", f"<urn:metadata:{page}:{k}:{n}>", uri, f"payload-length: {len(payload)}\r\n".encode(), {"WARC-Concurrent-To": name, "Content-Type": "application/warc-fields"}),
+                    record("request", f"<urn:request:{me_}>", uri, b"GET / HTTP/1.1\r\n\r\n", {"WARC-Concurrent-To": name, "Content-Type": "application/http; msgtype=request"}),
+                    record("response" if first is None else "revisit", name, uri, http_response(payload if first is None else None, len(payload)), more),
+                    record("metadata", f"<urn:metadata:{me_}>", uri, f"payload-length: {len(payload)}\r\n".encode(), {"WARC-Concurrent-To": name, "Content-Type": "application/warc-fields"}),
                 ]
                 for r in out:
                     held.append(gzip.compress(r, 1, mtime=0))
@@ -193,5 +195,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full result over ``pages``: written as archives, read back and assembled."""
     files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_dir(spark))
     t = transactions(read_warc(files, bodies=False))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     return t.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"), (F.size("requests") + F.size("metadata")).alias("n_concurrent"))

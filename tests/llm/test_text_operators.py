@@ -458,20 +458,55 @@ def test_rollups(spark, tmp_path):
     assert {tuple(r) for r in store.totals().collect()} == want
     store.compact("x")
     assert {tuple(r) for r in store.totals().collect()} == want
-    assert not store.apply("two", rollups.delete(counts)) and {"one", "two", "three"} <= store.committed()
+    assert not store.apply("two", rollups.delete(counts)) and all(map(store.committed, ("one", "two", "three"))) and not store.committed("four")
     store.apply("four", rollups.insert(counts.where("n_tokens = 5")))
     store.compact("y")
     assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 2, 12), (None, "en", "v1", 1, 0)}
-    assert not store.apply("one", rollups.insert(counts))
+    assert not store.apply("one", rollups.insert(counts)) and not store.apply("four", rollups.insert(counts))
+    assert store.apply("compact-of-mine", rollups.insert(counts.where("n_tokens = 5"))) and store.committed("compact-of-mine")
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 3, 17), (None, "en", "v1", 1, 0)}
 
 
-def test_rollup_batch_without_commit_is_written_anew(spark, tmp_path):
+def test_rollup_stopped_anywhere(spark, tmp_path, monkeypatch):
+    """A batch or compaction that stops before its rename changes nothing; one that stops before its deletes changes nothing either and is finished later."""
     store = rollups.TokenRollup(spark, f"file://{tmp_path}/r")
     counts = spark.createDataFrame([("a", "en", "v1", 10)], "source string, lang string, tokenizer string, n_tokens long")
-    store.apply("one", rollups.insert(counts))
-    (tmp_path / "r" / "batch=one" / "_SUCCESS").unlink()
-    assert store.totals().count() == 0
-    assert store.apply("one", rollups.insert(counts)) and store.totals().first().n_tokens == 10
+    (tmp_path / "r" / "stage-lost" / "sums").mkdir(parents=True)
+    assert store.totals().count() == 0 and not store.committed("one")
+    assert store.apply("one", rollups.insert(counts)) and store.apply("two", rollups.insert(counts))
+    real = rollups.TokenRollup._live
+
+    def stops(self):
+        found = real(self)
+        if found[1]:
+            raise OSError("lost")
+        return found
+
+    monkeypatch.setattr(rollups.TokenRollup, "_live", stops)
+    with pytest.raises(OSError):
+        store.compact("x")
+    monkeypatch.setattr(rollups.TokenRollup, "_live", real)
+    for _ in range(2):
+        assert store.totals().first().n_tokens == 20 and store.committed("one") and not store.apply("two", rollups.insert(counts))
+        store.compact("x")
+    assert store._names("batch") == set() and store._names("done") == {"one", "two"}
+    store.compact("z")
+    assert store._names("fold") == {"z"} and store.totals().first().n_docs == 2
+
+
+def test_op10_equals_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    want = Counter()
+    for name in rollups.FILES:
+        for r, x in zip(rows, library_ids(public.path(f"{name}.json"), [r.text for r in rows]), strict=True):
+            want[r.source, r.lang, f"{name}-1", "docs"] += 1
+            want[r.source, r.lang, f"{name}-1", "tokens"] += len(x)
+    got = {(r.source, r.lang, r.tokenizer, k): v for r in rollups.op10(spark, small).collect() for k, v in (("docs", r.n_docs), ("tokens", r.n_tokens))}
+    assert got == dict(want)
+    counted = rollups.token_counts(odd(spark), {"b": public.path("byte_bpe_50k.json")})
+    assert counted.columns == [c for c in odd(spark).columns if c != "text"] + ["words", "b"]
+    assert sorted(r.b for r in counted.collect()) == sorted(map(len, library_ids(public.path("byte_bpe_50k.json"), [t for _, t, _ in odd_rows()])))
+    assert rollups.token_counts(empty(spark), {}).count() == 0
 
 
 def test_shingle_sets_match_plain_python():

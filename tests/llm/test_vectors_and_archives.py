@@ -81,16 +81,44 @@ def test_warc_round_trip(spark):
             first[h or ""] = min(first.get(h or "", i), i)
     for g in got:
         assert len(g.requests) == 1 and len(g.metadata) == 1
-        page = g.record_id.removeprefix("<urn:page:").removesuffix(">")
-        if not page.isdigit():
+        page = g.record_id.removeprefix("<urn:page:").split(":")[0]
+        if not page:
             continue
         html = dict((i, h) for i, _, h in rows)[int(page)] or ""
-        assert g.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() and g.payload_bytes == len(html.encode())
+        assert g.payload_digest == sha(html) and g.payload_bytes == len(html.encode())
         assert (g.warc_type == "response") == (first[html] == int(page))
         if g.warc_type == "response":
             assert warc.payload_of(g.body) == html.encode() and g.refers_to is None
         else:
-            assert g.refers_to == f"<urn:page:{first[html]}>"
+            assert g.refers_to == f"<urn:page:{first[html]}:{sha(html)}:1>"
+
+
+def sha(html):
+    return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+
+
+def test_op7_equals_brute_force(spark, small, tmp_path):
+    """The query's rows from the pages alone: repeated ids with other and equal payloads, null ids, null and empty payloads."""
+    odd = [(1, "u", "AAA"), (2, "u", "BBB"), (9, "u", "AAA"), (9, "u", "BBB"), (4, "u", "D"), (4, "u", "D"), (4, "v", "D"), (3, "u", None), (7, "u", ""), (None, "u", "AAA"), (None, "u", "AAA"), (None, None, "Z"), (8, None, "é")]
+    pages(spark, odd).write.parquet(f"{tmp_path}/pages.parquet")
+    kept = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()]
+    for folder, rows in ((str(tmp_path), odd), (small, kept)):
+        least = {}
+        for i, _, h in rows:
+            if i is not None:
+                least[h or ""] = min(i, least.get(h or "", i))
+        want, led = [], set()
+        for i, _, h in rows:
+            h = h or ""
+            leads = i is None or (least[h] == i and h not in led)
+            if i is not None and leads:
+                led.add(h)
+            want.append((i, len(h.encode()), sha(h), "response" if leads else "revisit", None if leads else least[h], 2))
+        got = [tuple(r) for r in warc.op7(spark, folder).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        files = warc.write_warc(spark.read.parquet(f"{folder}/pages.parquet"), common.shared_dir(spark))
+        ids = [r.record_id for r in warc.read_warc(files, bodies=False).collect()]
+        assert len(ids) == len(set(ids)) == 3 * len(rows)
 
 
 def test_warc_edges(spark):
@@ -99,7 +127,7 @@ def test_warc_edges(spark):
     rows = [(3, "u", "short"), (2, "u", "short"), (1, "u", "longer text"), (4, "u", "longer text")]
     files = warc.write_warc(pages(spark, rows), common.shared_dir(spark), min_bytes=8)
     kinds = {r.record_id: r.warc_type for r in warc.transactions(warc.read_warc(files, bodies=False)).collect()}
-    assert kinds == {"<urn:page:3>": "response", "<urn:page:2>": "response", "<urn:page:1>": "response", "<urn:page:4>": "revisit"}
+    assert {i[: len("<urn:page:3")]: k for i, k in kinds.items()} == {"<urn:page:3": "response", "<urn:page:2": "response", "<urn:page:1": "response", "<urn:page:4": "revisit"}
 
 
 def test_pipeline(spark, small):
