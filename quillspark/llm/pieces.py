@@ -13,16 +13,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
 from . import bpe
-from .textkit import CHUNK, groups, ragged
+from .textkit import CHUNK, LOWER, groups, ragged
 
 #: Pieces and ids that a worker remembers; when either is passed it forgets all and goes on.
-MEMO_PIECES, MEMO_IDS = 400_000, 4_000_000
+MEMO_PIECES, MEMO_IDS = 1_000_000, 6_000_000
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x0A]] = True
 _PLAIN = np.zeros(256, bool)
@@ -71,17 +71,18 @@ class PieceEncoder:
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, held: int) -> None:
+        """Encode the pieces that have been given places from ``held`` on."""
+        new = list(islice(reversed(self.place), len(self.place) - held))[::-1]
         found = [e.ids for e in self.tok.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        total, held = int(n.sum()), len(self.place)
+        total = int(n.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while held + len(new) > len(self.at):
+        while len(self.place) > len(self.at):
             self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.at[held : held + len(new)], self.n[held : held + len(new)] = self.used + np.cumsum(n) - n, n
-        self.place.update(zip(new, range(held, held + len(new)), strict=True))
+        self.at[held : len(self.place)], self.n[held : len(self.place)] = self.used + np.cumsum(n) - n, n
         self.used += total
 
     def cuts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -117,12 +118,12 @@ class PieceEncoder:
             e = np.append(s[1:], len(buf))
             head = s + (_GAP[buf[s]] & (e > s + 1)) if self.drops else s
             raw, place = buf.tobytes(), self.place
-            parts = [raw[a:b] for a, b in zip(head.tolist(), e.tolist(), strict=True)]
-            at = [place.get(p, -1) for p in parts]
-            if -1 in at:
-                self._learn(list({p for p, k in zip(parts, at, strict=True) if k < 0}))
-                at = [place[p] for p in parts]
-            at = np.array(at, np.int64)
+            if self.drops and b"<|" not in raw:  # this family folds A-Z anyway, but added tokens are told by case
+                raw = LOWER[buf].tobytes()
+            held, give, count = len(place), place.setdefault, place.__len__
+            at = np.fromiter((give(raw[a:b], count()) for a, b in zip(head.tolist(), e.tolist(), strict=True)), np.int64, len(s))
+            if len(place) > held:
+                self._learn(held)
             n = self.n[at]
             before = np.concatenate([[0], np.cumsum(n)])
             yield i, j, self.ids[ragged(n, self.at[at])], before[np.searchsorted(s, off)], buf

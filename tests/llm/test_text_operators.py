@@ -125,7 +125,7 @@ def crafted_texts(seed, n):
     r = random.Random(seed)
     alphabet = " \n\tabé.,!1'sñ ́日<|>É\u0085:;\x00\x08\x1b\x1c\u00a0\u3000sltre'×÷İ"
     words_ = ["hello", "don't", "we'll", "<|endoftext|>", "<|startoftext|>", "x1y2", " ", "  ", "\n", "ÅNGSTRÖM", "ΑΣ", "word,", "(a)", "日本語", "한국 어"]
-    out = ["", None, " ", "\x00ab", "\x1f", "ab\x08 cd", "İ, x", "🙂 🙂", "a" * 5000, "word " * 400, *thue_morse(10), " ".join(thue_morse(10))]
+    out = ["", None, " ", "\x00ab", "\x1f", "ab\x08 cd", "İ, x", "<|ENDOFTEXT|> A", "I\u0307 A\u030a", "🙂 🙂", "a" * 5000, "word " * 400, *thue_morse(10), " ".join(thue_morse(10))]
     for _ in range(n):
         out.append("".join(r.choice(alphabet) for _ in range(r.randint(1, 150))))
         out.append(r.choice(["", " "]).join(r.choice(words_) for _ in range(r.randint(1, 60))))
