@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-
 def give_back() -> None:
     """Return freed memory to the system, so what a fit took does not stay with the driver."""
     gc.collect()
@@ -27,12 +27,22 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most ``bound`` allowed rows. Rows with a null id or label teach nothing; of labels that repeat an id the largest counts."""
+#: Bytes of text that a fit takes to the driver at most; rows past it, in the order of the ids' hash, are left out.
+SAMPLE_BYTES = 48 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int, most_bytes: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """Texts and 0/1 labels of at most ``bound`` allowed rows and about ``most_bytes`` bytes, by id.
+
+    Rows with a null id or label teach nothing; of labels that repeat an id the largest counts, of texts
+    that repeat an id the smallest. Both bounds hold before anything is collected.
+    """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")).where(allowed)
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = ids.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``bound`` ids
-    t = rows.select("doc_id", "text", "y").toArrow()
-    order = pa.compute.sort_indices(t.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])[: 2 * bound]
+    rows = rows.groupBy("doc_id", "at", "y").agg(F.min("text").alias("text"))  # at most ``bound`` rows from here on
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    t = rows.withColumn("so_far", before).where(F.col("so_far") <= most_bytes).select("doc_id", "text", "y").toArrow()
+    order = pa.compute.sort_indices(t, [("doc_id", "ascending")])
     y = (t.column("y").take(order).to_numpy() > 0).astype(np.int8)
     return t.column("text").take(order).combine_chunks(), y

@@ -1,9 +1,8 @@
 """Quality: supervised subword embeddings averaged over a text, softmax output, trained by numpy SGD.
 
-A text's features are its words, its pairs of neighbouring words and all its runs of three and four
-bytes, hashed. A pair goes by the difference of its words' hashes, so that all words said twice share a
-slot. Training keeps a
-vector for each hash; scoring needs only each vector's difference of class logits, one number a hash.
+A text's features are its words, its pairs of neighbouring words in order and the runs of three and four
+characters of each word with its borders, hashed. Training keeps a vector for each hash; scoring needs
+only each vector's difference of class logits, one number a hash.
 """
 
 from __future__ import annotations
@@ -14,37 +13,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import give_back, remainder, sample
-from .textkit import U64, groups, mix, span_hashes, words
+from .textkit import SPACE, U64, groups, mix, span_hashes, words
 from .toxicity import score_texts
 
 #: Labelled rows that the model is fitted on; their features take about 25 kB each in the driver.
 SAMPLE = 4_000
 _BITS = 16
-#: Words, runs of three bytes, runs of four and word pairs; each kind has its own range of slots and the same share of the average.
+#: Words, runs of three characters, runs of four and word pairs; each kind has its own range of slots and the same share of the average.
 _KINDS = 4
 
 
+def _characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, all white space as one blank, and the text of each."""
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(buf)))
+    lead = buf[start].astype(np.uint32)
+    code = np.where(size > 1, lead & (np.uint32(0x7F) >> size.astype(np.uint32)), lead)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        code[more] = (code[more] << np.uint32(6)) | (buf[start[more] + k] & 0x3F)
+    code[SPACE[buf[start]]] = 0x20
+    return code, np.searchsorted(off, start, "right") - 1
+
+
 def _slots(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind (text of each feature, its slot). Runs do not cross texts."""
+    """For each kind (text of each feature, its slot). Runs cross neither words nor texts; a blank stands at a word's borders."""
     n = len(off) - 1
     s, e, first = words(buf, off)
     word, of = span_hashes(buf, s, e), np.repeat(np.arange(n), np.diff(first))
     out = [(of, (word >> U64(64 - _BITS)).astype(np.int64))]
-    text = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
-    wide = buf.astype(np.uint32)
+    code, text = _characters(buf, off)
+    blank = code == 0x20
+    mixed = code * np.uint32(2654435761)
     for k, width in ((1, 3), (2, 4)):
-        m = len(buf) - width + 1
+        m = len(code) - width + 1
         if m < 1:
             out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
             continue
-        h = wide[:m].copy()
+        h, ok = mixed[:m].copy(), text[:m] == text[width - 1 :]
         for j in range(1, width):
-            h |= wide[j : m + j] << np.uint32(8 * j)
-        h = (h * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
-        ok = text[:m] == text[width - 1 :]
+            h = h * np.uint32(31) + mixed[j : m + j]
+            if j < width - 1:
+                ok &= ~blank[j : m + j]
+        h = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
         out.append((text[:m][ok], h[ok].astype(np.int64) + (k << _BITS)))
     pair = np.flatnonzero(of[1:] == of[:-1])
-    out.append((of[pair], (mix(word[pair] - word[pair + 1]) >> U64(64 - _BITS)).astype(np.int64) + (3 << _BITS)))
+    out.append((of[pair], (mix(word[pair] * U64(3) + word[pair + 1]) >> U64(64 - _BITS)).astype(np.int64) + (3 << _BITS)))
     return out
 
 

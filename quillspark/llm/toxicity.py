@@ -192,8 +192,7 @@ class ToxicityModel:
         return np.concatenate([np.zeros((0, len(FEATURES))), *(features(buf, off, self.lexicon) for _, _, buf, off in groups(texts))])
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        m = self.trees.margin(features(buf, off, self.lexicon))
-        return 0.98 * np.interp(m, self.at, self.value) + 0.02 / (1 + np.exp(-m))
+        return np.interp(self.trees.margin(features(buf, off, self.lexicon)), self.at, self.value)
 
 
 def score_texts(docs: DataFrame, model: object, text_col: str, column: str) -> DataFrame:

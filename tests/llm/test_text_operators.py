@@ -384,13 +384,37 @@ def test_mix_order_follows_the_keys(spark):
     """Documents that give their last epoch are those with the smallest keys of their source."""
     rows = [(i, "w " * 5, "a") for i in range(50)] + [(100 + i, "w " * 5, "b") for i in range(200)]
     docs = frame(spark, rows)
-    key = docs.select("doc_id", (-F.log(mixing.uniform(F.col("doc_id"), "mix-1")) / mixing.quality_weight(F.col("text"))).alias("k"))
+    key = docs.select("doc_id", (-F.log(mixing.uniform(F.col("doc_id"), "mix-1"))).alias("k"))  # all weigh 1
     for lo, hi in ((0, 100), (100, 400)):
         r = mixing.take(docs).join(key, "doc_id").where(f"doc_id >= {lo} and doc_id < {hi}").orderBy("k").collect()
         taken = [x.taken for x in r]
         assert taken == sorted(taken, reverse=True)
 
 
+def test_mix_by_a_quality_column(spark):
+    """Among documents of one size those of better quality are taken more often; the column goes."""
+    rows = [(i, "w " * 5, "a") for i in range(300)] + [(1000 + i, "w " * 5, "b") for i in range(300)] + [(2000 + i, "w " * 5, "c") for i in range(300)]
+    docs = frame(spark, rows).withColumn("q", F.when(F.col("doc_id") % 3 == 0, 1.0).when(F.col("doc_id") % 3 == 1, F.lit(0.05)).when(F.col("doc_id") % 6 == 2, float("nan")))
+    taken = Counter()
+    for r in mixing.take(docs, quality="q").where("doc_id >= 1000").collect():
+        taken[r.doc_id % 3] += r.taken
+    assert taken[0] > taken[1] and taken[0] > taken[2] and abs(taken[1] - taken[2]) < taken[1] / 2
+    out = mixing.mixed_documents(docs, quality="q")
+    assert out.columns == frame(spark, rows).columns
+
+
+def test_op5_equals_its_sql(spark, small, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (small, str(tmp_path)):
+        c = duckdb.connect()
+        path = f"{folder}/documents.parquet" + ("/*.parquet" if folder == str(tmp_path) else "")
+        c.sql(f"CREATE VIEW documents AS FROM '{path}'")
+        want = c.sql("SELECT doc_id, size, source_size, target, taken FROM (" + mixing.OP5_SQL + ")").fetchall()
+        got = [tuple(r) for r in mixing.op5(spark, folder).select("doc_id", "size", "source_size", "target", "taken").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, extra string")
 
@@ -439,6 +463,27 @@ def test_classifiers_on_edges(spark, score):
     assert score(empty(spark), none).count() == 0
 
 
+def test_sample_is_bounded_before_it_is_collected(spark):
+    from quillspark.llm import labelled
+
+    rows = [(i, f"text {i} " * 10, "s") for i in range(100)] + [(3, f"again {i}", "s") for i in range(500)]
+    marks = labels(spark, [(i, 1, i % 2, "e") for i in range(100)] + [(None, 1, 1, "e")])
+    texts, y = labelled.sample(frame(spark, rows), marks, "toxic", labelled.remainder("doc_id", 5) != 0, 40)
+    assert len(texts) == len(y) == 40
+    texts, y = labelled.sample(frame(spark, rows), marks, "toxic", labelled.remainder("doc_id", 5) != 0, 90, 1000)
+    assert 8 <= len(texts) == len(y) <= 14
+
+
+def test_characters_of_words():
+    for text in ("ab é", "日本 🙂x", "", "a\tb\nc"):
+        buf, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        if len(buf):
+            code, of = quality._characters(buf, off)
+            assert code.tolist() == [0x20 if c in " \t\n" else ord(c) for c in text] and not of.any()
+    a, b = (dict(zip("wtfp", (sorted(s.tolist()) for _, s in quality._slots(np.frombuffer(t, np.uint8), np.array([0, len(t)]))), strict=True)) for t in (b"abc abc", b"abc def abc"))
+    assert set(a["t"]) <= set(b["t"]) and not set(a["p"]) & set(b["p"])
+
+
 def test_isotonic_is_monotone():
     x = np.random.default_rng(0).random(300)
     at, value = toxicity.isotonic(x, (x + np.random.default_rng(1).normal(0, 0.3, 300) > 0.5).astype(float))
