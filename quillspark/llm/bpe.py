@@ -2,7 +2,8 @@
 
 A rolling hash of the last 16 bytes picks the cuts, so a passage that documents share falls into the
 same chunks wherever it stands. A worker keeps the ids of the chunks that it has met, keyed by their
-bytes; a chunk that is not among them goes to the tokenizers library, all those of a batch in one call.
+bytes; the chunks of a batch that are not among them are encoded together: by the tokenizers library, or
+by ``PieceEncoder``, which gives the same ids sooner, where the file is byte-level BPE.
 
 A chunk's ids near its ends are not those of the whole text: a cut may fall within a word. So each join
 is repaired. A window that reaches from the last but one word start of the left chunk to the second
@@ -35,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import arrow_rows
+from .pieces import PieceEncoder, family
 from .textkit import CHUNK, groups, ragged
 
 #: Bytes of a chunk: at least LEAST, and MEAN more on average (a power of two) until the rolling hash cuts.
-LEAST, MEAN = 64, 128
+LEAST, MEAN = 64, 256
 #: Bytes of chunks and windows that a worker remembers; beyond that it forgets all and goes on.
 MEMO_BYTES = 24 << 20
 #: Characters that surely begin a word after white space: ASCII signs and letters, letters of two bytes, ideographs and Hangul.
@@ -88,6 +90,8 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_str(json.dumps(spec))
         odd = any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         self.whole = odd or not spec["pre_tokenizer"]
+        self.pieces = PieceEncoder(path, False) if family(path) == "bytes" else None
+        self.bytes = ByteDecoder(path).len if self.pieces else None
         self.least, self.mean = least, mean
         self.made = self.reused = self.repaired = self.merged = 0
         self.forget()
@@ -117,24 +121,51 @@ class ChunkEncoder:
         a, b, c, d = ends[int(at[-2])], ends[int(at[-1])], ends[int(at[0])], ends[int(at[1])]
         return ids, (a, b, c, d, int(at[-2]), int(at[1])) if a < b and c < d else None
 
+    def _entries(self, chunks: list[bytes]) -> Iterator[Entry]:
+        """As ``_entry``, for a byte-level file: an id's place in the text follows from the bytes of those before it."""
+        for _, _, ids, at, buf in self.pieces.encode(pa.array(chunks, pa.binary())):
+            start = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+            edge = start[at]
+            word = np.flatnonzero(_BLANK[buf[:-1]] & _SOLID[buf[1:]])
+            lo, hi = np.searchsorted(word, edge[:-1]), np.searchsorted(word, edge[1:] - 1)
+            own = np.flatnonzero(hi - lo >= 2)
+            place = np.stack([word[hi[own] - 2], word[hi[own] - 1], word[lo[own]], word[lo[own] + 1]])
+            k = np.searchsorted(start, place)
+            good = (start[k] == place).all(0)
+            ends: list[tuple[int, int, int, int, int, int] | None] = [None] * (len(at) - 1)
+            rows = np.concatenate([k - at[own], place[[0, 3]] - edge[own]]).T
+            for c, r, ok in zip(own.tolist(), rows.tolist(), good.tolist(), strict=True):
+                if ok:
+                    ends[c] = tuple(r)
+            raw, at4 = ids.tobytes(), (4 * at).tolist()
+            for x, y, e in zip(at4, at4[1:], ends, strict=False):
+                yield raw[x:y], e
+
     def _know(self, chunks: list[bytes]) -> list[Entry]:
         known = self.chunks
         new = list({c for c in chunks if c not in known})
         self.made += len(new)
         self.reused += len(chunks) - len(new)
         if new:
-            for c, e in zip(new, self.tok.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
-                known[c] = self._entry(c, e)
+            if self.pieces and not self.whole:
+                known.update(zip(new, self._entries(new), strict=True))
+            else:
+                for c, e in zip(new, self.tok.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
+                    known[c] = self._entry(c, e)
             self.held += sum(map(len, new))
         return [known[c] for c in chunks]
 
     def _look(self, windows: list[bytes]) -> list[bytes]:
         known = self.windows
         new = list({w for w in windows if w not in known})
-        if new:
+        if new and self.pieces:
+            for i, j, ids, cut, _ in self.pieces.encode(pa.array(new, pa.binary())):
+                raw, cut = ids.tobytes(), (4 * cut).tolist()
+                known.update(zip(new[i:j], (raw[x:y] for x, y in zip(cut, cut[1:], strict=False)), strict=True))
+        elif new:
             for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, np.uint32).tobytes()
-            self.held += sum(map(len, new))
+        self.held += sum(map(len, new))
         return [known[w] for w in windows]
 
     def _join(self, raw: bytes, cuts: list[list[int]]) -> list[tuple[list[Entry], list[bytes]]]:
@@ -244,6 +275,13 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+@lru_cache(4)
+def fast_encoder(path: str) -> PieceEncoder | ChunkEncoder:
+    """As ``encoder``; by pieces alone where the file's family is known."""
+    kind = family(path)
+    return PieceEncoder(path, kind == "words") if kind else encoder(path)
+
+
 @lru_cache(4)
 def decoder(path: str) -> ByteDecoder:
     return ByteDecoder(path)

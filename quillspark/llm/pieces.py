@@ -12,13 +12,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
-from . import bpe
 from .textkit import CHUNK, LOWER, groups, ragged
 
 #: Pieces and ids that a worker remembers; when either is passed it forgets all and goes on.
@@ -127,10 +125,3 @@ class PieceEncoder:
             n = self.n[at]
             before = np.concatenate([[0], np.cumsum(n)])
             yield i, j, self.ids[ragged(n, self.at[at])], before[np.searchsorted(s, off)], buf
-
-
-@lru_cache(4)
-def encoder(path: str) -> PieceEncoder | bpe.ChunkEncoder:
-    """A worker's encoder for a file, the fastest that is right for it; it lives as long as the worker."""
-    kind = family(path)
-    return PieceEncoder(path, kind == "words") if kind else bpe.encoder(path)

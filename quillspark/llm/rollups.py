@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pieces
+from .bpe import fast_encoder
 from .common import arrow_rows, park, shared_dir
 from .textkit import groups, words
 
@@ -132,7 +132,7 @@ def token_counts(docs: DataFrame, paths: dict[str, str], text_col: str = "text")
         for b in batches:
             text = b.column(text_col)
             n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(words(buf, off)[2]) for _, _, buf, off in groups(text))])
-            counts = [np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, _, at, _ in pieces.encoder(p).encode(text))]) for p in paths.values()]
+            counts = [np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, _, at, _ in fast_encoder(p).encode(text))]) for p in paths.values()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (n_words, *counts))], names=[*keep, "words", *paths])
 
     return docs.mapInArrow(run, schema)

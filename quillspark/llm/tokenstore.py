@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import fast_encoder
 from .common import arrow_rows, park, partitions, shared_dir
 from .fsio import read_range, write_whole
-from .pieces import encoder
 from .ranges import ranges, row_hash
 from .textkit import U64, mix
 
@@ -151,7 +151,7 @@ def write_token_store(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     sent, kind = spark.sparkContext.broadcast(cut), id_type(path, end_id)  # 16 bytes a range
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, cut = encoder(path), sent.value
+        enc, cut = fast_encoder(path), sent.value
         for b in batches:
             for i, j, ids, at, _ in enc.encode(b.column(1)):
                 key, hashed = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)

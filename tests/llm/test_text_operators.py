@@ -149,16 +149,19 @@ def own_ids(enc, texts):
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_agree_with_the_library(name):
-    enc = pieces.encoder(public.path(name))
+    enc = bpe.fast_encoder(public.path(name))
     assert isinstance(enc, pieces.PieceEncoder)
     for texts in (crafted_texts(4, 1500), edge_texts()):
         assert own_ids(enc, texts) == library_ids(public.path(name), texts)
 
 
 @pytest.mark.parametrize("name", FILES)
-@pytest.mark.parametrize(("least", "mean"), [(1, 4), (8, 8), (64, 128)])
-def test_chunks_agree_with_the_library(name, least, mean):
+@pytest.mark.parametrize("library", [False, True])
+@pytest.mark.parametrize(("least", "mean"), [(1, 4), (8, 8), (64, 256)])
+def test_chunks_agree_with_the_library(name, least, mean, library):
     enc = bpe.ChunkEncoder(public.path(name), least, mean)
+    if library:
+        enc.pieces = None  # chunks by the library itself
     for texts in (crafted_texts(least, 400), edge_texts()[::7]):
         assert own_ids(enc, texts) == library_ids(public.path(name), texts)
     assert enc.repaired and enc.merged
@@ -174,14 +177,14 @@ def test_chunks_agree_with_the_library_for_other_files(tmp_path, change):
         json.dump(spec, f)
     assert pieces.family(path) is None
     texts = crafted_texts(9, 150)
-    assert own_ids(pieces.encoder(path), texts) == library_ids(path, texts)
+    assert own_ids(bpe.fast_encoder(path), texts) == library_ids(path, texts)
     assert own_ids(bpe.ChunkEncoder(path, 8, 8), texts) == library_ids(path, texts)
 
 
 def test_equal_chunks_are_encoded_once():
     enc = bpe.ChunkEncoder(public.path("byte_bpe_50k.json"))
     r = random.Random(5)
-    passage = " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(400))
+    passage = " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(1600))
     texts = [f"{k} lead in of its own {passage} and end {k}" for k in range(20)]
     assert own_ids(enc, texts) == library_ids(public.path("byte_bpe_50k.json"), texts)
     assert enc.reused > 3 * enc.made
