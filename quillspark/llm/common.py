@@ -7,23 +7,29 @@ the tasks it was running.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
+#: Pages of 32,768 bits, 16 MB together at most, that mark which ids may have to be picked.
+PAGES, PAGE_BITS = 4_096, 32_768
 #: Rows in an Arrow batch sent to Python. Texts of some kB each make batches of a few MB.
 ARROW_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset and everything runs on this machine (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
@@ -58,6 +64,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose doc_id is not in ids, so that few texts go through the join that decides.
+
+    A bit stands for a hash of the id. The table of bits is of one size at most, whatever the ids are; if it is full, more rows stay.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(PAGES * PAGE_BITS))
+    page, bit = F.floor(at / PAGE_BITS).cast("int"), at % PAGE_BITS
+    pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = rows.withColumn("page", page).withColumn("bit", bit).join(F.broadcast(pages), "page")  # PAGES rows at most
+    return marked.where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1).select(*rows.columns)
+
+
+def pick(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """rows joined with dealt by doc_id: one shuffle of those rows that ``likely`` leaves, at every size."""
+    return likely(rows, dealt).join(dealt.hint("merge"), "doc_id")
+
+
 def streamed(key: str, work: Callable[[object, pa.Table], Iterable[pa.RecordBatch]], most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function over rows sorted by ``key``: calls ``work`` once for each key.
 

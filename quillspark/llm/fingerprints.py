@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, park, partitions
+from .common import arrow_rows, park, partitions, pick
 from .ranges import ranges, row_hash
 
 #: Rows of a range of ids, rows and characters that are held at a time; rows of a bucket compared with its first in one task.
 RANGE_ROWS, HELD_ROWS, HELD_CHARS, BUCKET_ROWS = 16_384, 1024, 4 << 20, 512
-#: Pages of 32,768 bits, 16 MB together at most, that mark which ids may have to be picked.
-PAGES, PAGE_BITS = 4_096, 32_768
 Hasher = Callable[[bytes], str]
 
 
@@ -84,24 +82,6 @@ def resolve(marks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return texts.repartition(n, "key").sortWithinPartitions("key", F.desc("leads")).mapInArrow(compare, "doc_id long, fingerprint string, other string").distinct()
 
 
-def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows without most of those whose doc_id is not in ids, so that few texts go through the join that decides.
-
-    A bit stands for a hash of the id. The table of bits is of one size at most, whatever the ids are; if it is full, more rows stay.
-    """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(PAGES * PAGE_BITS))
-    page, bit = F.floor(at / PAGE_BITS).cast("int"), at % PAGE_BITS
-    pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    marked = rows.withColumn("page", page).withColumn("bit", bit).join(F.broadcast(pages), "page")  # PAGES rows at most
-    return marked.where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1).select(*rows.columns)
-
-
-def pick(rows: DataFrame, dealt: DataFrame) -> DataFrame:
-    """rows joined with dealt by doc_id: one shuffle of those rows that ``likely`` leaves, at every size."""
-    return likely(rows, dealt).join(dealt.hint("merge"), "doc_id")
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
     """(doc_id, fingerprint) of each row; equal fingerprints mean equal canonical texts. Null texts count as empty, null ids pass through.
 

@@ -49,6 +49,35 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, mixed eight bytes at a time (not a polynomial of the bytes, for which equal hashes are easy to make)."""
+    n = (ends - starts).astype(np.int64)
+    h = mix(n.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
+    left = np.flatnonzero(n <= _LONG)
+    for k in range(0, _LONG, 8):
+        left = left[n[left] > k]
+        if not len(left):
+            break
+        lane = lanes[starts[left] + k]
+        rest = n[left] - k
+        cut = rest < 8
+        lane[cut] &= (U64(1) << (U64(8) * rest[cut].astype(U64))) - U64(1)
+        h[left] = mix((h[left] ^ lane) * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
+    far = np.flatnonzero(n > _LONG)
+    if len(far):
+        import xxhash
+
+        raw = buf.tobytes()
+        h[far] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return h
+
+
 def groups(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with at most ``most`` bytes, or a single longer text. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -94,7 +123,7 @@ _ROLE = np.array([0x8CB92BA72F3D8DD7, 0xAAAAAB5CC3F0D1A5, 0x9FB21C651E98DF25, 0x
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes (62 bits) of its shingles of ``width`` words, lower-cased A-Z; fewer words make one shingle, none an empty set."""
     starts, ends, first = words(buf, off)
-    w = span_hashes(LOWER[buf], starts, ends)
+    w = word_hashes(LOWER[buf], starts, ends)
     n = len(w)
     roles = mix(np.arange(1, width + 1, dtype=U64) * _ROLE[0])
     roles |= U64(1)
@@ -113,6 +142,47 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.nd
     return out
 
 
+def exact_sets(texts: list[tuple[np.ndarray, np.ndarray]], width: int = 5) -> list[np.ndarray]:
+    """As ``shingle_sets`` for all texts of (bytes, offsets) groups together, with numbers that are equal only for equal shingles: no hashes."""
+    number: dict[bytes, int] = {}
+    ids, counts = [np.zeros(0, np.int64)], []
+    for buf, off in texts:
+        s, e, first = words(buf, off)
+        raw, give, count = LOWER[buf].tobytes(), number.setdefault, number.__len__
+        ids.append(np.fromiter((give(raw[a:b], count()) for a, b in zip(s.tolist(), e.tolist(), strict=True)), np.int64, len(s)))
+        counts.append(np.diff(first))
+    w, n = np.concatenate(ids), np.concatenate([np.zeros(0, np.int64), *counts])
+    end = np.cumsum(n)
+    # a text of fewer words is one shingle, filled up with a word that no text has
+    short = (n > 0) & (n < width)
+    if short.any():
+        size = np.where(short, width, n)
+        at = np.cumsum(size) - size
+        full = np.full(int(size.sum()), len(number), np.int64)
+        full[ragged(n, at)] = w
+        w, n, end = full, size, np.cumsum(size)
+    run, most = w, len(number) + 1
+    for k in range(1, width):  # each round numbers the runs of one more word
+        if len(run) < 2:
+            break
+        run = np.unique(run[:-1] * most + w[k:], return_inverse=True)[1].astype(np.int64)
+    return [np.unique(run[b - a : b - width + 1]) if a >= width else np.zeros(0, np.int64) for a, b in zip(n.tolist(), end.tolist(), strict=True)]
+
+
+def plain_words(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Each text's words, lower-cased A-Z, with single spaces between."""
+    if not len(buf):
+        return [b""] * (len(off) - 1)
+    solid = ~SPACE[buf]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # the first white space after a word
+    inner = off[1:-1][off[1:-1] < len(buf)]
+    keep[inner] = solid[inner]
+    low = np.where(solid, LOWER[buf], np.uint8(0x20))[keep].tobytes()
+    at = np.concatenate([[0], np.cumsum(keep)])[off].tolist()
+    return [low[a:b].rstrip(b" ") for a, b in zip(at, at[1:], strict=False)]
+
+
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each run, one run after another."""
     total = int(lengths.sum())

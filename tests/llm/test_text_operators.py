@@ -90,8 +90,53 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, few, block):
     assert len(set(want.values())) < len(rows) - 20
 
 
-def test_ngram_components_by_shuffle_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "SENT", -1)
+@pytest.mark.parametrize(("few", "block", "ordered"), [(48, 4, 1 << 18), (3, 4, 5), (1000, 3, 2)])
+def test_ngram_components_of_chains(spark, monkeypatch, few, block, ordered):
+    """Candidates that hang together in their hundreds: by pairs, by a shingle that many share, with few late shingles."""
+    monkeypatch.setattr(ngramjoin, "FEW", few)
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "ORDERED", ordered)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    head = [word() for _ in range(6)]
+    chain = [word() for _ in range(400)]
+    texts = [" ".join(head + [word() for _ in range(8)]) for _ in range(60)]  # a common beginning, nothing else
+    texts += [" ".join(chain[k : k + 26]) for k in range(0, 340, 2)]  # each like its neighbours, not like those beyond
+    texts += [" ".join(chain[k : k + 26][::-1]) for k in range(0, 200, 9)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in ngramjoin.ngram_components(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows)
+
+
+def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
+    a, b = thue_morse(10)
+    rows = [(1, a), (2, b), (3, f"{a} x y z w v"), (4, f"{b} x y z w v"), (5, a.upper())]
+    got = {x.doc_id: x.component_id for x in ngramjoin.ngram_components(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_exact_sets():
+    sets = textkit.exact_sets([(buf, off) for _, _, buf, off in textkit.groups(pa.array([t for _, t in near_texts(3, 80)] + [None, "", "a b", "A  b", "a b c"]))])
+    plain = [shingles(t) for _, t in near_texts(3, 80)] + [set(), set(), shingles("a b"), shingles("a b"), shingles("a b c")]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    assert all(len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j]) for i in range(0, len(sets), 3) for j in range(len(sets)))
+
+
+def test_plain_words():
+    for texts in (["A b", " a\tB \n", "", None, "x", "  "], ["", "é Z", "  "], ["a "], [" a", "b ", "c"]):
+        got = [x for _, _, buf, off in textkit.groups(pa.array(texts)) for x in textkit.plain_words(buf, off)]
+        assert got == [b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())) for t in texts]
+
+
+def test_word_hashes_are_spread():
+    words_ = [bytes([97 + k % 26]) * (k % 90 + 1) + str(k).encode() for k in range(3000)]
+    buf, at = np.frombuffer(b" ".join(words_) + b" " + b" ".join(words_), np.uint8), []
+    s, e, _ = textkit.words(buf, np.array([0, len(buf)]))
+    h = textkit.word_hashes(buf, s, e)
+    assert (h[:3000] == h[3000:]).all() and len(np.unique(h)) == 3000 and not at
+
+
+def test_ngram_components_edges(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.ngram_components(odd(spark)).collect()), key=str)
     comp = {i: c for i, _, c in got}
     assert len(got) == len(odd_rows())
@@ -272,7 +317,7 @@ def test_fingerprints_in_chunks_of_buckets(spark, monkeypatch):
     got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(odd(spark)).collect()}
     assert got[5] == got[3] != got[7] and got[8] == got[9] == got[10] and got[11] == got[12] and got[16] == got[17]
     ids = spark.range(-50, 50).select(F.col("id").alias("doc_id"))
-    kept = {r.doc_id for r in fingerprints.likely(spark.range(-500, 500).select(F.col("id").alias("doc_id")), ids).collect()}
+    kept = {r.doc_id for r in common.likely(spark.range(-500, 500).select(F.col("id").alias("doc_id")), ids).collect()}
     assert set(range(-50, 50)) <= kept and len(kept) < 120
 
 
