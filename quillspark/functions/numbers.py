@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def _num(x: Column) -> Column:
     return F.when(x.rlike(r"^\s*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"), F.trim(x).try_cast("double"))
@@ -12,15 +14,18 @@ def _num(x: Column) -> Column:
 
 def strict_number(x: Column) -> Column:
     """Commas and dollar signs go; const_m1 is -1, const_X is X, a trailing % divides by 100; else null."""
-    y = F.regexp_replace(F.trim(x), "[,$]", "")
-    return F.when(y == "const_m1", F.lit(-1.0)).when(y.startswith("const_"), _num(F.substring(y, 7, 1 << 20))).when(y.endswith("%"), _num(F.regexp_replace(y, "%$", "")) / 100).otherwise(_num(y))
+    plain = lambda y: F.when(y == "const_m1", F.lit(-1.0)).when(y.startswith("const_"), _num(F.substring(y, 7, 1 << 20))).when(y.endswith("%"), _num(F.regexp_replace(y, "%$", "")) / 100).otherwise(_num(y))
+    return let(F.regexp_replace(F.trim(x), "[,$]", ""), plain)
 
 
 def lenient_number(x: Column) -> Column:
     """Commas go; a number; else with % anywhere a hundredth; else with const a constant; else null."""
-    y = F.regexp_replace(F.trim(x), ",", "")
-    tail = F.regexp_replace(y, "const_", "")
-    return F.coalesce(_num(y), F.when(y.contains("%"), _num(F.regexp_replace(y, "%", "")) / 100), F.when(y.contains("const"), F.when(tail == "m1", F.lit(-1.0)).otherwise(_num(tail))))
+
+    def read(y: Column) -> Column:
+        tail = F.regexp_replace(y, "const_", "")
+        return F.coalesce(_num(y), F.when(y.contains("%"), _num(F.regexp_replace(y, "%", "")) / 100), F.when(y.contains("const"), F.when(tail == "m1", F.lit(-1.0)).otherwise(_num(tail))))
+
+    return let(F.regexp_replace(F.trim(x), ",", ""), read)
 
 
 def unsigned_number(x: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import let
 from .numbers import cell_number, strict_number
 
 OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
@@ -31,38 +32,45 @@ def parse_linear(program: Column) -> Column:
 
 def row_values(table: Column, label: Column) -> Column:
     """Numbers of the last row with this label; null if there is none or a cell is no number."""
-    row = F.try_element_at(F.filter(table, lambda r: F.lower(F.trim(F.get(r, F.lit(0)))) == F.lower(F.trim(label))), F.lit(-1))
-    cells = F.transform(F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0))), cell_number)
-    return F.when(row.isNotNull() & (F.size(cells) > 0) & ~F.exists(cells, lambda c: c.isNull()), cells)
+    name = lambda c: F.lower(F.trim(c))
+    row = let(name(label), lambda want: F.try_element_at(F.filter(table, lambda r: name(F.get(r, F.lit(0))) == want), F.lit(-1)))
+    cells = let(row, lambda r: F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), cell_number))
+    return let(cells, lambda c: F.when((F.size(c) > 0) & ~F.exists(c, lambda v: v.isNull()), c))
 
 
-def _row_op(op: Column, cells: Column) -> Column:
-    total = F.aggregate(cells, F.lit(0.0), lambda s, v: s + v)
-    return F.when(op == "table_max", F.array_max(cells)).when(op == "table_min", F.array_min(cells)).when(op == "table_sum", total).when(op == "table_average", F.try_divide(total, F.size(cells)))
+def _row_op(op: Column, values: Column) -> Column:
+    total = lambda cells: F.aggregate(cells, F.lit(0.0), lambda s, v: s + v)
+    return let(values, lambda cells: F.when(op == "table_max", F.array_max(cells)).when(op == "table_min", F.array_min(cells)).when(op == "table_sum", total(cells)).when(op == "table_average", F.try_divide(total(cells), F.size(cells))))
 
 
-def execute(steps: Column, table: Column | None = None) -> Column:
+def _arithmetic(op: Column, a: Column, b: Column) -> Column:
+    return (
+        F.when(op == "add", a + b)
+        .when(op == "subtract", a - b)
+        .when(op == "multiply", a * b)
+        .when(op == "divide", F.try_divide(a, b))
+        .when(op == "exp", F.when((a < 0) & (b != F.floor(b)), None).otherwise(F.pow(a, b)))
+        .when(op == "greater", (a > b).cast("double"))
+    )
+
+
+def execute(steps: Column, table: Column | None = None, known_rows: Column | None = None) -> Column:
     """struct<vals array<double>, flag string, ok boolean>: the value of each step.
 
     A step is invalid on an operand without a value, division by zero, a negative base with a
     fractional exponent, an unknown row, a reference in a table operation or a cell that is no number;
     what follows an invalid step is invalid. ``greater`` puts yes or no in ``flag`` and 1 or 0 in ``vals``.
+    ``known_rows`` (map of row label to numbers) stands in for a table, as in a step's grounding. Every
+    value is computed once: use the result through one column.
     """
 
     def step(acc: Column, s: Column) -> Column:
         arg = lambda x: F.when(x.startswith("#"), F.get(acc["vals"], F.substring(x, 2, 9).try_cast("int"))).otherwise(strict_number(x))
-        a, b = arg(s["a"]), arg(s["b"])
-        plain = (
-            F.when(s["op"] == "add", a + b)
-            .when(s["op"] == "subtract", a - b)
-            .when(s["op"] == "multiply", a * b)
-            .when(s["op"] == "divide", F.try_divide(a, b))
-            .when(s["op"] == "exp", F.when((a < 0) & (b != F.floor(b)), None).otherwise(F.pow(a, b)))
-            .when(s["op"] == "greater", (a > b).cast("double"))
-        )
-        value = plain if table is None else F.when(s["op"].startswith("table_"), F.when(~s["a"].startswith("#"), _row_op(s["op"], row_values(table, s["a"])))).otherwise(plain)
-        value = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-        return F.struct(F.concat(acc["vals"], F.array(value)).alias("vals"), F.when(s["op"] == "greater", F.when(value == 1, "yes").when(value == 0, "no")).alias("flag"), (acc["ok"] & value.isNotNull()).alias("ok"))
+        plain = let(F.struct(arg(s["a"]).alias("a"), arg(s["b"]).alias("b")), lambda v: _arithmetic(s["op"], v["a"], v["b"]))
+        cells = None if table is None and known_rows is None else row_values(table, s["a"]) if known_rows is None else F.try_element_at(known_rows, s["a"])
+        value = plain if cells is None else F.when(s["op"].startswith("table_"), F.when(~s["a"].startswith("#"), _row_op(s["op"], cells))).otherwise(plain)
+        done = lambda v: F.struct(F.concat(acc["vals"], F.array(v)).alias("vals"), F.when(s["op"] == "greater", F.when(v == 1, "yes").when(v == 0, "no")).alias("flag"), (acc["ok"] & v.isNotNull()).alias("ok"))
+        return let(let(value, lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)), done)
 
     start = F.struct(F.array().cast("array<double>").alias("vals"), F.lit(None).cast("string").alias("flag"), F.lit(True).alias("ok"))
     return F.when(steps.isNotNull(), F.aggregate(steps, start, step))
