@@ -68,3 +68,48 @@ def keep_or_all(items: Column, test) -> Column:
     """The items that pass, or all of them if none does."""
     kept = F.filter(items, test)
     return F.when(F.size(kept) > 0, kept).otherwise(items)
+
+
+def pair_facts(pairs: Column) -> Column:
+    """``name: text`` of an array of two-element arrays; pairs without text go."""
+    ok = F.filter(pairs, lambda p: (F.size(p) == 2) & (F.trim(F.coalesce(F.get(p, F.lit(1)), F.lit(""))) != ""))
+    return F.transform(ok, lambda p: F.concat(F.trim(F.get(p, F.lit(0))), F.lit(": "), F.trim(F.get(p, F.lit(1)))))
+
+
+def without_space(x: Column) -> Column:
+    return F.regexp_replace(F.lower(x), r"\s+", "")
+
+
+def keep_keyword(items: Column, keyword: Column) -> Column:
+    """Items that hold the keyword whatever the blanks in either, or all of them if none does."""
+    return keep_or_all(items, lambda v: F.contains(without_space(v), without_space(keyword)))
+
+
+def safe_features(features: Column, forbidden: str) -> Column:
+    """Features (map of name to number) whose name does not match the forbidden pattern; null and NaN values go."""
+    return F.map_filter(features, lambda k, v: ~k.rlike(forbidden) & v.isNotNull() & ~F.isnan(v))
+
+
+def feature_group(features: Column, prefixes: list[str] = (), names: list[str] = ()) -> Column:
+    """Features that begin with one of the prefixes or bear one of the names."""
+    tests = lambda k: [*(k.startswith(p) for p in prefixes), *([k.isin(*names)] if names else [])]
+
+    def test(k: Column, v: Column) -> Column:
+        out = F.lit(False)
+        for t in tests(k):
+            out = out | t
+        return out
+
+    return F.map_filter(features, test)
+
+
+def relevant(paragraphs: Column, orders: Column, keep_all: bool = True) -> Column:
+    """Texts of the paragraphs (struct<order, text>) whose order is named, in their order; all of them if none is and ``keep_all``."""
+    hit = lambda p: F.array_contains(orders, p["order"])
+    kept = keep_or_all(paragraphs, hit) if keep_all else F.filter(paragraphs, hit)
+    return F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(p["order"], p["text"]))), lambda p: p["text"])
+
+
+def year_sets_agree(a: Column, b: Column) -> Column:
+    """Whether two texts' years can be of one question: one names none, or they share one."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def tokens(x: Column) -> Column:
     """Numbers as O1, O2, ... in order of appearance, operators and brackets as they are, neighbouring words as one WORD. A minus that no number or bracket precedes belongs to its number."""
@@ -15,7 +17,8 @@ def tokens(x: Column) -> Column:
 
 
 def operand_count(toks: Column) -> Column:
-    return F.size(F.filter(toks, lambda t: t.rlike("^O[0-9]+$")))
+    """The number of the last operand, as they are numbered in order."""
+    return F.coalesce(F.array_max(F.transform(toks, lambda t: F.regexp_extract(t, "^O([0-9]+)$", 1).try_cast("int"))), F.lit(0))
 
 
 def operators(toks: Column) -> Column:
@@ -25,35 +28,48 @@ def operators(toks: Column) -> Column:
 
 
 def depth(toks: Column) -> Column:
-    """Greatest bracket depth."""
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    """Most brackets that are open at one place."""
+    brackets = F.filter(toks, lambda t: t.isin("(", ")"))
+    opened = lambda i: F.aggregate(F.slice(brackets, 1, i), F.lit(0), lambda n, t: n + F.when(t == "(", 1).otherwise(-1))
+    return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(brackets), F.lit(1))), opened)), F.lit(0))
+
+
+#: A family for a sequence of operators, for so many operands, where the tokens read like this. The
+#: first row that fits counts. A sum divided by its length would have an ``add`` too, so its row never fits.
+SHAPES = [
+    ("percent_change", ["subtract", "divide"], 0, 99, r"^\( O.*/ O"),
+    ("average_or_sum_divide", ["divide"], 3, 99, r"\+"),
+    ("ratio", ["divide"], 2, 2, ""),
+    ("difference", ["subtract"], 2, 2, ""),
+    ("sum", ["add"], 2, 99, ""),
+    ("product", ["multiply"], 2, 2, ""),
+]
+#: What any other derivation is called by the operators that it holds, the first row that fits.
+MIXTURES = [("change_or_composed_ratio", {"divide", "subtract"}), ("division_composition", {"divide"}), ("difference_composition", {"subtract"}), ("aggregation", {"add"}), ("multiplication_composition", {"multiply"})]
+
 
-    def step(a: Column, t: Column) -> Column:
-        now = a["now"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
+def family(toks: Column) -> Column:
+    """What a derivation computes, by the tables above; unparsed without operators, other if no row fits."""
 
-    return F.aggregate(toks, start, step)["top"]
+    def look(v: Column) -> Column:
+        rows = [F.when((v["ops"] == F.array(*map(F.lit, ops))) & v["n"].between(least, most) & v["text"].rlike(form), name) for name, ops, least, most, form in SHAPES]
+        rows += [F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(held))), v["ops"])) == 0, name) for name, held in MIXTURES]
+        return F.when(F.size(v["ops"]) == 0, "unparsed").otherwise(F.coalesce(*rows, F.lit("other")))
 
+    return let(F.struct(operators(toks).alias("ops"), operand_count(toks).alias("n"), F.array_join(toks, " ").alias("text")), look)
 
-def family(toks: Column) -> Column:
-    """First match wins."""
-    ops, text, n = operators(toks), F.array_join(toks, " "), operand_count(toks)
-    has = lambda o: F.array_contains(ops, o)
-    is_ = lambda *o: ops == F.array(*map(F.lit, o))
-    return (
-        F.when(F.size(ops) == 0, "unparsed")
-        .when(is_("subtract", "divide") & text.startswith("( O") & text.contains("/ O"), "percent_change")
-        .when(is_("divide") & (n == 2), "ratio")
-        .when(is_("subtract") & (n == 2), "difference")
-        .when(is_("add") & (n >= 2), "sum")
-        .when(is_("multiply") & (n == 2), "product")
-        .when(has("divide") & has("subtract"), "change_or_composed_ratio")
-        .when(has("divide"), "division_composition")
-        .when(has("subtract"), "difference_composition")
-        .when(has("add"), "aggregation")
-        .when(has("multiply"), "multiplication_composition")
-        .otherwise("other")
-    )
+
+def inferred_operators(derivation: Column) -> Column:
+    """Operators that a derivation's signs and words speak of, in a fixed order."""
+    low = F.lower(derivation)
+    signs = {"add": r"\+", "subtract": "-", "multiply": r"\*|×| x ", "divide": "/|÷", "average": r"\b(average|avg)\b", "count_or_multi_item": "##"}
+    return F.coalesce(F.array_compact(F.array(*(F.when(low.rlike(form), name) for name, form in signs.items()))), F.array().cast("array<string>"))
+
+
+def inferred_operator(kind: Column, derivation: Column, compares: Column) -> Column:
+    """One label for a question: a comparison, a kind of span, a count, or the last operator of its derivation."""
+    last = F.element_at(F.concat(F.array(F.lit("arithmetic")), inferred_operators(F.coalesce(derivation, F.lit("")))), -1)
+    return F.when(kind.isNull() | (kind == ""), None).when(compares, "comparison").when(kind == "span", "span").when(kind.isin("spans", "multi-span", "multi_span"), "multi_span").when(kind.isin("count", "counting"), "count").when(kind == "arithmetic", last).otherwise(kind)
 
 
 def operands(program: Column) -> Column:

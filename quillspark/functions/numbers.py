@@ -86,3 +86,38 @@ def error_class(pred: Column, gold: Column) -> Column:
         .when(F.abs(r - 1) < 0.05, "small_error")
         .otherwise("wrong")
     )
+
+
+def single_number(x: Column) -> Column:
+    """Whether a cell is one number and nothing else, whatever signs it wears."""
+    return F.coalesce(F.regexp_replace(F.trim(x), r"[$€£%,()\s]", "").rlike(r"^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"), F.lit(False))
+
+
+def decimals(x: Column) -> Column:
+    """Digits after the point of the first number."""
+    return F.length(F.regexp_extract(F.regexp_replace(x, ",", ""), r"[0-9]+(?:[.]([0-9]+))?", 1))
+
+
+def percent_expected(question: Column, gold: Column, pred: Column) -> Column:
+    some = lambda c: F.coalesce(c, F.lit(""))
+    return some(gold).contains("%") | some(pred).contains("%") | F.lower(some(question)).contains("percent")
+
+
+def reconciled(question: Column, gold: Column, pred: Column) -> Column:
+    """struct<pred, gold, percent>: both last numbers, the prediction times 100 where a percentage is meant and it is a small number without a sign for it."""
+    both = F.struct(last_number(gold).alias("g"), last_number(pred).alias("p"))
+
+    def at_scale(v: Column) -> Column:
+        want = percent_expected(question, gold, pred) | v["g"]["percent"]
+        p = v["p"]["value"]
+        p = F.when(want & ~v["p"]["percent"] & (F.abs(p) <= 1.5), p * 100).otherwise(p)
+        ok = v["g"]["value"].isNotNull() & p.isNotNull()
+        return F.struct(F.when(ok, p).alias("pred"), F.when(ok, v["g"]["value"]).alias("gold"), F.when(ok, want).alias("percent"))
+
+    return let(both, at_scale)
+
+
+def mixed_close(a: Column, b: Column) -> Column:
+    """Equal within a thousandth of the smaller number, a tenth at most, or one part in 10^9."""
+    slack = F.least(F.abs(F.least(a, b) / 1000), F.lit(0.1))
+    return F.abs(a - b) <= F.greatest(slack, F.greatest(F.abs(a), F.abs(b)) * 1e-9)

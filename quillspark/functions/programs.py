@@ -6,13 +6,16 @@ through one Arrow-batched function that returns the same steps, in post-order.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import let
-from .numbers import cell_number, strict_number
+from .numbers import cell_number, lenient_number, strict_number
 
 OPS = ("add", "subtract", "multiply", "divide", "exp", "greater")
 TABLE_OPS = ("table_max", "table_min", "table_sum", "table_average")
@@ -30,9 +33,107 @@ def parse_linear(program: Column) -> Column:
     return F.when(good, F.transform(steps, lambda s: F.struct(s["op"].alias("op"), s["a"].alias("a"), s["b"].alias("b"))))
 
 
-def row_values(table: Column, label: Column) -> Column:
-    """Numbers of the last row with this label; null if there is none or a cell is no number."""
-    name = lambda c: F.lower(F.trim(c))
+def parse_linear_coded(program: Column) -> Column:
+    """struct<steps, error> of a linear program: empty, part, form, operator, arity or reference says why there are none.
+
+    Parts stand between top-level ``, `` and all text must be used up.
+    """
+    text = F.ltrim(program)
+    parts = F.split(text, r"(?<=\)), |, (?=, )|^, |, $", -1)
+    args = lambda p: F.transform(F.split(F.regexp_extract(p, r"^[^(]*\((.*)\)$", 1), ", "), lambda a: F.trim(a))
+    rows = F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, r"^([a-z_]+)\(", 1).alias("op"), args(p).alias("args"), i.alias("i"), p.alias("p")))
+
+    def fault(r: Column) -> Column:
+        back = lambda x: ~x.startswith("#") | F.coalesce(x.rlike("^#[0-9]+$") & (F.substring(x, 2, 9).try_cast("int") < r["i"]), F.lit(False))
+        return (
+            F.when(F.trim(r["p"]) == "", "part")
+            .when(~r["p"].rlike(r"^[^()]+\([^()]*\)$"), "form")
+            .when(~r["op"].isin(*OPS, *TABLE_OPS), "operator")
+            .when((F.size(r["args"]) != 2) | F.exists(r["args"], lambda a: a == ""), "arity")
+            .when(~F.forall(r["args"], back), "reference")
+        )
+
+    error = lambda rs: F.get(F.filter(F.transform(rs, fault), lambda e: e.isNotNull()), F.lit(0))
+    steps = lambda rs: F.transform(rs, lambda r: F.struct(r["op"].alias("op"), F.get(r["args"], F.lit(0)).alias("a"), F.get(r["args"], F.lit(1)).alias("b")))
+    whole = let(rows, lambda rs: let(error(rs), lambda e: F.struct(F.when(e.isNull(), steps(rs)).alias("steps"), e.alias("error"))))
+    return F.when(program.isNull() | (F.trim(text) == ""), F.struct(F.lit(None).cast("array<struct<op:string,a:string,b:string>>").alias("steps"), F.lit("empty").alias("error"))).otherwise(whole)
+
+
+def lenient_tokens(program: Column) -> Column:
+    """``op(``, operands and ``)`` one by one, with EOF at the end; operands part only at a comma and a space."""
+    toks = F.flatten(F.transform(F.split(program, ", "), lambda p: F.regexp_extract_all(p, F.lit(r"[^()]*\(|\)|[^()]+"), F.lit(0))))
+    return F.concat(toks, F.array(F.lit("EOF")))
+
+
+def official_run(program: Column, table: Column) -> Column:
+    """struct<invalid, value, flag> of the public scorer's reading of a program.
+
+    Four tokens make a step. Every fourth token must be an operator and every fourth after it a bracket;
+    a last step without its bracket is not run. A reference in a table operation is invalid, row labels
+    are exact, and an invalid program has no value.
+    """
+    toks = let(lenient_tokens(program), lambda t: F.slice(t, 1, F.size(t) - 1))
+
+    def run(t: Column) -> Column:
+        n = F.floor(F.size(t) / 4).cast("int")
+        at = lambda i: F.get(t, i)
+        steps = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.rtrim(at(4 * i), F.lit("(")).alias("op"), F.trim(at(4 * i + 1)).alias("a"), F.trim(at(4 * i + 2)).alias("b"), (at(4 * i).endswith("(") & (at(4 * i + 3) == ")")).alias("ok"))))
+        steps = F.coalesce(steps, F.array().cast("array<struct<op:string,a:string,b:string,ok:boolean>>"))
+        rest = (F.size(t) % 4 > 0) & ~F.coalesce(F.rtrim(at(4 * n), F.lit("(")).isin(*OPS, *TABLE_OPS), F.lit(False))
+        bad = rest | ~F.forall(steps, lambda s: s["ok"] & s["op"].isin(*OPS, *TABLE_OPS))
+        plain = F.transform(steps, lambda s: F.struct(s["op"].alias("op"), s["a"].alias("a"), s["b"].alias("b")))
+        return let(F.struct(bad.alias("bad"), execute(F.when(~bad, plain), table, number=lenient_number, exact=True).alias("run")), lambda r: F.struct((r["bad"] | ~r["run"]["ok"]).alias("invalid"), answer(r["run"]).alias("value"), F.when(r["run"]["ok"], r["run"]["flag"]).alias("flag")))
+
+    return let(toks, run)
+
+
+def best_effort_steps(program: Column) -> Column:
+    """Whatever reads like ``op(a, b)`` in a text, in order; null if nothing does."""
+    found = F.regexp_extract_all(program, F.lit(r"[a-z_]+\(\s*[^(),]+\s*,\s*[^(),]+\s*\)"), F.lit(0))
+    step = lambda p, k: F.trim(F.regexp_extract(p, r"([a-z_]+)\(\s*([^(),]+)\s*,\s*([^(),]+)\s*\)", k))
+    steps = F.filter(F.transform(found, lambda p: F.struct(step(p, 1).alias("op"), step(p, 2).alias("a"), step(p, 3).alias("b"))), lambda s: s["op"].isin(*OPS, *TABLE_OPS))
+    return let(steps, lambda x: F.when(F.size(x) > 0, x))
+
+
+def flat_audit(program: Column) -> Column:
+    """struct<ops, operands, n_steps, parse_ok, kind>: what a program holds without parsing it; an empty one is a span."""
+    text = F.coalesce(program, F.lit(""))
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
+    ops = operations(text)
+    inner = F.regexp_extract_all(text, F.lit(r"(?<=[(,])\s*([^(),]+?)\s*(?=[,)])"), F.lit(1))
+    return F.struct(ops.alias("ops"), inner.alias("operands"), F.size(ops).alias("n_steps"), ((F.size(ops) > 0) & (count("(") == count(")")) & (F.size(ops) == count("("))).alias("parse_ok"), F.when(F.trim(text) == "", "span").otherwise("program").alias("kind"))
+
+
+def is_linear(program: Column) -> Column:
+    """Whether a comma stands outside all brackets."""
+    start = F.struct(F.lit(0).alias("deep"), F.lit(False).alias("seen"))
+    step = lambda a, c: F.struct((a["deep"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("deep"), (a["seen"] | ((c == ",") & (a["deep"] == 0))).alias("seen"))
+    return F.aggregate(F.filter(F.split(program, ""), lambda c: c.isin("(", ")", ",")), start, step)["seen"]
+
+
+def any_steps(program: Column) -> Column:
+    """Steps of a cleaned program, read as linear if a comma stands outside all brackets and as nested otherwise."""
+    return let(clean_program(program), lambda p: F.when(is_linear(p), parse_linear_coded(p)["steps"]))
+
+
+def require(run: Column, program: Column) -> Column:
+    """The value of a run, or the failure of the whole query: for programs that must execute, such as golds."""
+    return F.when(run["ok"], answer(run)).otherwise(F.raise_error(F.concat(F.lit("program does not execute: "), F.coalesce(program, F.lit("null")))))
+
+
+def operator_only(program: Column) -> Column:
+    return F.coalesce(F.trim(program).rlike("^[a-z_]+$"), F.lit(False))
+
+
+def category(status: Column) -> Column:
+    """Where a failed answer failed: extraction, operator_only, parse, execution or wrong_result."""
+    names = {"no_program": "extraction", "operator_only": "operator_only", "parse_fail": "parse", "exec_fail": "execution", "wrong_result": "wrong_result"}
+    return F.element_at(F.create_map(*(F.lit(x) for kv in [*names.items(), ("success", "")] for x in kv)), status)
+
+
+def row_values(table: Column, label: Column, exact: bool = False) -> Column:
+    """Numbers of the last row with this label (``exact``: letter by letter); null if there is none or a cell is no number."""
+    name = lambda c: c if exact else F.lower(F.trim(c))
     row = let(name(label), lambda want: F.try_element_at(F.filter(table, lambda r: name(F.get(r, F.lit(0))) == want), F.lit(-1)))
     cells = let(row, lambda r: F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), cell_number))
     return let(cells, lambda c: F.when((F.size(c) > 0) & ~F.exists(c, lambda v: v.isNull()), c))
@@ -54,20 +155,21 @@ def _arithmetic(op: Column, a: Column, b: Column) -> Column:
     )
 
 
-def execute(steps: Column, table: Column | None = None, known_rows: Column | None = None) -> Column:
+def execute(steps: Column, table: Column | None = None, known_rows: Column | None = None, number=strict_number, exact: bool = False) -> Column:
     """struct<vals array<double>, flag string, ok boolean>: the value of each step.
 
     A step is invalid on an operand without a value, division by zero, a negative base with a
     fractional exponent, an unknown row, a reference in a table operation or a cell that is no number;
     what follows an invalid step is invalid. ``greater`` puts yes or no in ``flag`` and 1 or 0 in ``vals``.
-    ``known_rows`` (map of row label to numbers) stands in for a table, as in a step's grounding. Every
-    value is computed once: use the result through one column.
+    ``known_rows`` (map of row label to numbers) stands in for a table, as in a step's grounding. ``number``
+    is the dialect of operands, ``exact`` asks for row labels letter by letter. Every value is computed
+    once: use the result through one column.
     """
 
     def step(acc: Column, s: Column) -> Column:
-        arg = lambda x: F.when(x.startswith("#"), F.get(acc["vals"], F.substring(x, 2, 9).try_cast("int"))).otherwise(strict_number(x))
+        arg = lambda x: F.when(x.startswith("#"), F.get(acc["vals"], F.substring(x, 2, 9).try_cast("int"))).otherwise(number(x))
         plain = let(F.struct(arg(s["a"]).alias("a"), arg(s["b"]).alias("b")), lambda v: _arithmetic(s["op"], v["a"], v["b"]))
-        cells = None if table is None and known_rows is None else row_values(table, s["a"]) if known_rows is None else F.try_element_at(known_rows, s["a"])
+        cells = None if table is None and known_rows is None else row_values(table, s["a"], exact) if known_rows is None else F.try_element_at(known_rows, s["a"])
         value = plain if cells is None else F.when(s["op"].startswith("table_"), F.when(~s["a"].startswith("#"), _row_op(s["op"], cells))).otherwise(plain)
         done = lambda v: F.struct(F.concat(acc["vals"], F.array(v)).alias("vals"), F.when(s["op"] == "greater", F.when(v == 1, "yes").when(v == 0, "no")).alias("flag"), (acc["ok"] & v.isNotNull()).alias("ok"))
         return let(let(value, lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)), done)
@@ -176,6 +278,48 @@ def parse_nested(programs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([dict(zip(("steps", "error"), _nested(p), strict=True)) for p in programs], columns=["steps", "error"])
 
 
+_PRIME = (1 << 61) - 1
+
+
+def _at_point(steps: list[dict], salt: str) -> int | None:
+    """The program's value modulo a prime where each operand is a number drawn by its text; null where that is undefined."""
+    draw = lambda x: int.from_bytes(hashlib.blake2b(f"{salt}|{x}".encode(), digest_size=8).digest(), "big") % _PRIME
+    done: list[int] = []
+    for s in steps:
+        if s["op"] in TABLE_OPS:
+            done.append(draw(f"{s['op']}:{s['a']}"))
+            continue
+        a, b = (done[int(x[1:])] if x.startswith("#") and x[1:].isdigit() and int(x[1:]) < len(done) else int(x[6:]) if re.fullmatch(r"const_[0-9]+", x) else draw(x) for x in (s["a"], s["b"]))
+        if s["op"] == "add":
+            v = a + b
+        elif s["op"] == "subtract":
+            v = a - b
+        elif s["op"] == "multiply":
+            v = a * b
+        elif s["op"] == "divide":
+            if not b % _PRIME:
+                return None
+            v = a * pow(b, -1, _PRIME)
+        else:
+            v = draw(f"{s['op']}:{a % _PRIME}:{b % _PRIME}")
+        done.append(v % _PRIME)
+    return done[-1] if done else None
+
+
+@F.pandas_udf(T.BooleanType())
+def same_algebra(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two programs are the same function of their operands: their values agree at three drawn points. Null where one is not parsed or is undefined."""
+    plain = lambda s: [x if isinstance(x, dict) else x.asDict() for x in s]
+
+    def same(x, y):
+        if x is None or y is None:
+            return None
+        got = [(_at_point(plain(x), k), _at_point(plain(y), k)) for k in "abc"]
+        return None if any(None in g for g in got) else all(p == q for p, q in got)
+
+    return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def _canonical(steps: list[dict]) -> str:
     """Fully nested text with the operands of add and multiply in order."""
     done: list[str] = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def collapse(x: Column, lower: bool = True) -> Column:
     """Runs of white space as one space, trimmed, lower-cased."""
@@ -133,3 +135,85 @@ def report_of(x: Column) -> Column:
 
 def company_of(x: Column) -> Column:
     return F.substring_index(x, "/", 1)
+
+
+#: Words for scales and what they are called.
+SCALES = {"none": "", "thousand": "thousand", "thousands": "thousand", "million": "million", "millions": "million", "billion": "billion", "billions": "billion", "percent": "percent", "percentage": "percent", "%": "percent"}
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def plain_tokens(x: Column) -> Column:
+    """Words between white space without the punctuation at their ends; empty ones go."""
+    return F.filter(F.transform(F.split(F.trim(x), r"\s+"), lambda w: F.trim(w, F.lit(_PUNCTUATION))), lambda w: w != "")
+
+
+def contains_any(x: Column, terms: list[str]) -> Column:
+    """Whether one of the terms stands in the text between blanks, whatever its case."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(x, F.lit(""))), F.lit(" "))
+    return F.exists(F.array(*(F.lit(f" {t.lower()} ") for t in terms)), lambda t: F.contains(padded, t)) if terms else F.lit(False)
+
+
+def same_items(a: Column, b: Column) -> Column:
+    """Whether two lists of strings are equal but for order, case and blanks around them."""
+    plain = lambda c: F.array_sort(F.transform(c, lambda v: F.lower(F.trim(v))))
+    return plain(a) == plain(b)
+
+
+def scale_name(x: Column) -> Column:
+    """One name for each scale; unknown ones stay as they are, lower-cased."""
+    y = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in SCALES.items() for v in kv)), y), y)
+
+
+def canonical_answer(answer: Column, scale: Column) -> Column:
+    """struct<answer, scale, changes> of a plain number with signs and a scale word around it; other texts stay.
+
+    A scale word in the answer becomes the scale if there is none; ``changes`` names what was done, in order of the alphabet.
+    """
+    form = r"(?i)^[$€£¥]?\s*([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?|[+-]?[.][0-9]+)\s*(thousands?|millions?|billions?|percent(?:age)?|%)?$"
+    text = F.regexp_replace(F.trim(answer), r"\s+", " ")
+    parts = F.struct(text.alias("t"), F.regexp_replace(F.regexp_extract(text, form, 1), r"^[+]|,", "").alias("n"), scale_name(F.regexp_extract(text, form, 2)).alias("own"), scale_name(scale).alias("s"))
+
+    def read(v: Column) -> Column:
+        made = F.array(
+            F.when(v["n"] != v["t"], "numeric_format"),
+            F.when(v["own"] != "", F.concat(F.lit("embedded_scale:"), v["own"])),
+            F.when((v["own"] != "") & (v["s"] == ""), "scale_split").when((v["own"] != "") & (v["s"] == v["own"]), "duplicate_scale_removed").when(v["own"] != "", F.concat(F.lit("scale_conflict:"), v["own"], F.lit("->"), v["s"])),
+        )
+        s = F.when(v["s"] == "", v["own"]).otherwise(v["s"])
+        changed = F.struct(F.when((v["own"] == "percent") & (s == "percent"), F.concat(v["n"], F.lit("%"))).otherwise(v["n"]).alias("answer"), s.alias("scale"), F.array_sort(F.array_compact(made)).alias("changes"))
+        return F.when(v["n"] != "", changed).otherwise(F.struct(answer.alias("answer"), v["s"].alias("scale"), F.array().cast("array<string>").alias("changes")))
+
+    return let(parts, read)
+
+
+def answer_of_json(x: Column) -> Column:
+    """struct<answer, error> of a model's JSON reply: fences go, the object with an ``answer`` may stand among other text.
+
+    error: no_json, json_not_object, no_answer or parse_error. Values that are no strings come as JSON text.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.trim(x), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+
+    def read(c: Column) -> Column:
+        loose = F.filter(F.regexp_extract_all(c, F.lit(r"(?s)\{[^{}]*\}"), F.lit(0)), lambda o: F.get_json_object(o, "$.answer").isNotNull())
+        bare = F.regexp_extract(c, r"(?s)^\s*\{\s*\"answer\"\s*:\s*(.*?)\s*\}\s*$", 1)
+        found = F.coalesce(F.get_json_object(c, "$.answer"), F.get_json_object(F.get(loose, F.lit(0)), "$.answer"), F.nullif(F.trim(F.trim(bare, F.lit("\"'"))), F.lit("")))
+        whole = F.try_parse_json(c).isNotNull()
+        error = F.when(found.isNotNull(), None).when(~c.contains("{"), F.when(whole, "json_not_object").otherwise("no_json")).when(whole, "no_answer").otherwise("parse_error")
+        return F.struct(found.alias("answer"), error.alias("error"))
+
+    return let(clean, read)
+
+
+def allowed(answer: Column, values: list[str]) -> Column:
+    return F.coalesce(F.lower(F.trim(answer)).isin(*(v.lower() for v in values)), F.lit(False))
+
+
+def prediction(x: Column) -> Column:
+    """struct<answers, scale, program> of a prediction entry in JSON: a pair [answer, scale], an object with answer (or prediction), scale and program, or a plain value. Answers are a list of strings."""
+    g = lambda path: F.get_json_object(x, path)
+    text = F.trim(x)
+    many = lambda v: F.coalesce(F.when(v.startswith("["), F.from_json(v, "array<string>")), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<string>"))
+    pair = text.startswith("[") & (F.coalesce(F.json_array_length(text), F.lit(0)) == 2)
+    value = F.when(pair, g("$[0]")).when(text.startswith("{"), F.coalesce(g("$.answer.answer"), g("$.answer"), g("$.prediction"))).otherwise(F.coalesce(g("$"), text))
+    return F.struct(many(value).alias("answers"), F.coalesce(F.when(pair, g("$[1]")).when(text.startswith("{"), F.coalesce(g("$.answer.scale"), g("$.scale"))), F.lit("")).alias("scale"), F.when(text.startswith("{"), g("$.program")).alias("program"))

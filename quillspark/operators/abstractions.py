@@ -41,3 +41,32 @@ def contaminated(gold_ops: Column, text: Column, secret: Column) -> Column:
 def outcome_class(before: Column, after: Column) -> Column:
     """repaired, broken, unchanged_right or unchanged_wrong."""
     return F.when(~before & after, "repaired").when(before & ~after, "broken").when(before, "unchanged_right").otherwise("unchanged_wrong")
+
+
+#: Operators that a strategy may name, and words that stand for some of them.
+NAMED = ("add", "subtract", "multiply", "divide", "table_sum", "table_average", "table_max", "table_min")
+STANDS_FOR = {"divide": ("ratio", "percentage"), "subtract": ("difference", "change")}
+GENERIC = ("find relevant values", "calculate the answer", "look at the table", "use the information", "perform the calculation")
+
+
+def preserved(ops: Column, text: Column) -> Column:
+    """Array of issues: no_operations_mentioned, operation_mismatch. Operators may be named or stood for by a word."""
+    low = F.lower(text)
+    named = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(o)) | F.contains(low, F.lit(o.replace("_", " "))), o) for o in NAMED)))
+    stood = F.lit(False)
+    for op, words in STANDS_FOR.items():
+        stood = stood | (F.array_contains(ops, op) & low.rlike("|".join(words)))
+    some = F.size(ops) > 0
+    return F.array_compact(F.array(F.when(some & (F.size(named) == 0), "no_operations_mentioned"), F.when(some & ~F.arrays_overlap(ops, named) & ~stood, "operation_mismatch")))
+
+
+def overlong(ops: Column, text: Column, most_ops: int = 2, most_chars: int = 2000) -> Column:
+    """Whether a text is suspiciously long for so simple a program."""
+    return (F.size(ops) <= most_ops) & (F.length(text) > most_chars)
+
+
+def thin(text: Column, least: int = 200) -> Column:
+    """Array of issues: too_short, too_generic, no_procedural_content."""
+    low = F.lower(text)
+    generic = sum((F.contains(low, F.lit(g)).cast("int") for g in GENERIC), F.lit(0))
+    return F.array_compact(F.array(F.when(F.length(text) < least, "too_short"), F.when(generic >= 3, "too_generic"), F.when(~low.rlike("operand|role|value|step|then|calculate"), "no_procedural_content")))

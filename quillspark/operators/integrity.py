@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import programs as P
+
 
 def row_hash(*cols: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols)), 256)
@@ -61,3 +63,61 @@ def answered(wanted: DataFrame, cache: DataFrame, call, schema: str, key: str =
     """Cached answers, and answers of ``call`` (an Arrow function given by the user) for what is missing."""
     live = misses(wanted, cache, key).mapInArrow(call, schema)
     return cache.join(wanted.select(key), key, "left_semi").select(*live.columns).unionByName(live)
+
+
+def case_violations(cases: DataFrame, key: str) -> DataFrame:
+    """(check, id) of cases that do not hold what their program says.
+
+    cases: program, table, steps (array<struct<op, a, b>>), vals (array<double>), grounding (map of row
+    label to numbers), answer. contract: a field is missing. fidelity: the steps are not those of the
+    program. grounding: the steps do not give the stored values from the grounding alone. official: the
+    public scorer does not get the answer. Comparisons are null-safe; all faults of a case are listed.
+    """
+    fields = ("program", "table", "steps", "vals", "grounding", "answer")
+    r = cases.withColumn("_parsed", P.parse_linear(F.col("program"))).withColumn("_run", P.execute(F.col("steps"), known_rows=F.col("grounding"))).withColumn("_official", P.official_run(F.col("program"), F.col("table")))
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b)), a.isNull() & b.isNull())
+    same = F.coalesce((F.size("_run.vals") == F.size("vals")) & F.forall(F.zip_with("_run.vals", "vals", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda z: near(z["a"], z["b"])), F.lit(False))
+    missing = F.lit(False)
+    for f in fields:
+        missing = missing | F.col(f).isNull()
+    checks = {"contract": missing, "fidelity": ~F.col("_parsed").eqNullSafe(F.col("steps")), "grounding": ~same, "official": F.coalesce(F.col("_official.invalid"), F.lit(True)) | ~near(F.col("_official.value"), F.round("answer", 5))}
+    found = F.explode(F.array_compact(F.array(*(F.when(test, name) for name, test in checks.items()))))
+    return r.select(found.alias("check"), F.col(key).cast("string").alias("id"))
+
+
+def grounding(steps: Column, table: Column) -> Column:
+    """Rows of the table that a program's table operations read: map of label to numbers."""
+    labels = F.array_distinct(F.transform(F.filter(steps, lambda s: s["op"].startswith("table_")), lambda s: s["a"]))
+    return F.map_from_arrays(labels, F.transform(labels, lambda x: P.row_values(table, x)))
+
+
+def label_leaks(texts: DataFrame, key: str, text: str, labels: dict[str, Column]) -> DataFrame:
+    """(key, field) of retrieval texts that hold one of their own labels; labels of fewer than three characters are not told from chance."""
+    low = F.lower(F.col(text))
+    found = F.explode(F.array_compact(F.array(*(F.when((F.length(v) > 2) & F.contains(low, F.lower(v)), name) for name, v in labels.items()))))
+    return texts.select(key, found.alias("field"))
+
+
+def total_faults(parts: DataFrame, totals: DataFrame, key: str, *counts: str) -> DataFrame:
+    """(key, field, parts, total) where counts of audit rows do not add up to the stated totals; missing ones count 0."""
+    a = parts.groupBy(key).agg(*(F.sum(c).alias(f"_{c}") for c in counts))
+    j = a.join(totals, key, "full_outer")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(f"_{c}"), F.lit(0)).cast("long").alias("parts"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("total")) for c in counts)))
+    return j.select(key, each.alias("f")).select(key, "f.*").where("parts <> total")
+
+
+def strategy_faults(strategies: DataFrame, key: str, fields: str, required: list[str], text: str, support: str, train_rows: int, least_share: float = 0.0) -> DataFrame:
+    """(check, id) of strategies (map of fields): keys that are missing, texts that name a number or year, texts that repeat, too little support."""
+    lack = F.array_except(F.array(*map(F.lit, required)), F.map_keys(F.map_filter(fields, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != "")))
+    plain = F.lower(F.regexp_replace(F.trim(F.col(text)), r"\s+", " "))
+    s = strategies.select(F.col(key).cast("string").alias("id"), lack.alias("lack"), plain.alias("plain"), F.col(support).alias("support"))
+    again = s.groupBy("plain").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1")
+    faults = F.array_compact(F.array(F.when(F.size("lack") > 0, F.concat(F.lit("missing:"), F.array_join("lack", ","))), F.when(F.col("plain").rlike(r"[0-9]"), "leak"), F.when(F.col("support") < train_rows * least_share, "coverage")))
+    return s.select(F.explode(faults).alias("check"), "id").unionByName(s.join(again, "plain").where("id <> first").select(F.lit("duplicate").alias("check"), "id"))
+
+
+def truncation(contexts: DataFrame, key: str, paragraphs: str, most: int = 600) -> DataFrame:
+    """(key, chars, kept, lost_share): how much of the paragraphs a cap on each one's length leaves."""
+    total = lambda f: F.aggregate(F.transform(paragraphs, f), F.lit(0), lambda a, v: a + v).cast("long")
+    c = contexts.select(key, total(F.length).alias("chars"), total(lambda p: F.least(F.length(p), F.lit(most))).alias("kept"))
+    return c.withColumn("lost_share", F.coalesce(1 - F.try_divide("kept", "chars"), F.lit(0.0)))

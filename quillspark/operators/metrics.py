@@ -6,9 +6,12 @@ import re
 import string
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import numbers as N
+
 _SCALE = {"": 1.0, "thousand": 1e3, "million": 1e6, "billion": 1e9, "percent": 0.01}
 _ARTICLE = re.compile(r"\b(a|an|the)\b")
 
@@ -130,3 +133,33 @@ def qa(gold: pd.Series, gold_scale: pd.Series, kind: pd.Series, predicted: pd.Se
     """Metrics of each row; null answers are empty."""
     some = lambda x: [] if x is None else list(x)
     return pd.DataFrame([qa_metrics(some(g), gs or "", k or "", some(p), s or "") for g, gs, k, p, s in zip(gold, gold_scale, kind, predicted, scale, strict=True)], columns=["em", "f1", "scale_right"])
+
+
+def mixed(gold_answer: Column, gold_program: Column, gold_value: Column, answer: Column, program: Column, value: Column) -> Column:
+    """struct<mode, em, f1, invalid> of an answer that is a program or a span, against a gold that is one or the other.
+
+    ``gold_value`` and ``value`` are what the programs execute to (null: they do not). Numbers are
+    compared within a thousandth of the smaller one, other answers as spans.
+    """
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    spans = lambda g, p: qa(F.array(F.coalesce(g, F.lit(""))), F.lit(""), F.lit("span"), F.array(F.coalesce(p, F.lit(""))), F.lit(""))
+    number = lambda c: N.lenient_number(c)
+    close = lambda a, b: F.coalesce(N.mixed_close(a, b), F.lit(False)).cast("double")
+    mode = F.when(has(gold_program), F.when(has(program), "program_vs_program").otherwise("answer_vs_program")).otherwise(F.when(has(program), "program_vs_span").otherwise("span_vs_span"))
+    as_span = spans(gold_answer, answer)
+    by_number = F.when(has(gold_program), F.when(has(program), close(value, gold_value)).when(gold_value.isNull(), 0.0).when(number(answer).isNotNull(), close(number(answer), gold_value)).otherwise(0.0)).otherwise(F.when(value.isNull(), 0.0).otherwise(close(value, number(gold_answer))))
+    plain = ~has(gold_program) & ~has(program)
+    invalid = F.when(has(program), value.isNull()).when(has(gold_program), gold_value.isNull()).otherwise(F.lit(False))
+    return F.struct(mode.alias("mode"), F.when(plain, as_span["em"]).otherwise(by_number).alias("em"), F.when(plain, as_span["f1"]).otherwise(by_number).alias("f1"), invalid.alias("invalid"))
+
+
+def self_check(golds: DataFrame, *columns: str) -> DataFrame:
+    """Golds that do not score 1 as their own prediction; columns: answers, scale, kind. An empty result is what is wanted."""
+    answers, scale, kind = map(F.col, columns)
+    return golds.withColumn("m", qa(answers, scale, kind, answers, scale)).where("m.em < 1 or m.f1 < 1 or m.scale_right < 1").drop("m")
+
+
+def grouped(scored: DataFrame, *by: str) -> DataFrame:
+    """Count, sums and means of em and f1; a group without rows has means of 0."""
+    ratio = lambda c: F.coalesce(F.try_divide(F.sum(c), F.count("*")), F.lit(0.0))
+    return scored.groupBy(*by).agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("em", "f1") for k, f in (("sum", F.sum), ("mean", ratio))))

@@ -143,3 +143,55 @@ def monotone(levels: DataFrame, level: str, value: str) -> DataFrame:
 def same_runtime(records: DataFrame, *keys: str) -> DataFrame:
     """Distinct values of each runtime key, sorted."""
     return records.agg(*(F.array_sort(F.collect_set(k)).alias(k) for k in keys))
+
+
+def funnel(results: DataFrame, *by: str) -> DataFrame:
+    """How many answers of each arm have a program, parse, execute and are right; results has status and correct."""
+    past = {"has_program": ("no_program",), "parsed": ("no_program", "operator_only", "parse_fail"), "executed": ("no_program", "operator_only", "parse_fail", "exec_fail")}
+    return results.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(~F.col("status").isin(*lost)).alias(name) for name, lost in past.items()), F.count_if("correct").alias("correct"))
+
+
+def failures(results: DataFrame, category: str, *by: str) -> DataFrame:
+    """Counts by category over wrong answers only."""
+    return results.where(~F.coalesce(F.col("correct"), F.lit(False))).groupBy(*by, category).agg(F.count("*").alias("n"))
+
+
+def running_mean(updates: DataFrame, value: str, n: str, *by: str) -> DataFrame:
+    """Mean of updates (value, n) as an accumulator keeps it: sums of value times n and of n, which merge in any order."""
+    return updates.groupBy(*by).agg(F.sum(F.col(value) * F.col(n)).alias("total"), F.sum(n).alias("n")).withColumn("mean", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)))
+
+
+def tallies(scored: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(kind, key, n, total, mean): over all rows and for each value of each key, in one pass over partial sums."""
+    kinds = F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key")), *(F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(k).cast("string"), F.lit("none")).alias("key")) for k in keys)))
+    return scored.select(F.col(value).cast("double").alias("v"), kinds.alias("at")).groupBy("at.kind", "at.key").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"))
+
+
+def family_audit(cases: DataFrame, steps: str, key: str, failed: str, families: dict[str, Column]) -> DataFrame:
+    """(family, cases, steps, failures) for named tests of a step ``s``: distinct cases with such a step, such steps, distinct failed cases."""
+    s = cases.select(key, failed, F.explode(steps).alias("s"))
+    kind = F.explode(F.array_compact(F.array(*(F.when(test, name) for name, test in families.items()))))
+    return s.select(key, failed, kind.alias("family")).groupBy("family").agg(F.count_distinct(key).alias("cases"), F.count("*").alias("steps"), F.count_distinct(F.when(F.col(failed), F.col(key))).alias("failures"))
+
+
+def family_gains(outcomes: DataFrame, family: str, base: str = "none", arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """By family: what each arm gains over the base, and how often only case, only strategy or neither is right."""
+    w = wide(outcomes, arms, ("sample_id", "replicate", family))
+    case, strategy = F.col("case"), F.col("strategy")
+    return w.groupBy(family).agg(F.count("*").alias("n"), *((F.avg(hit(a)) - F.avg(hit(base))).alias(f"gain_{a}") for a in arms if a != base), F.count_if(case & ~strategy).alias("case_only"), F.count_if(strategy & ~case).alias("strategy_only"), F.count_if(~case & ~strategy).alias("both_wrong"))
+
+
+def drill_down(outcomes: DataFrame, base: str = "none", most: int = 3, arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """(arm, kind, n, examples): rescues, harms and disagreements with the base, with the first few samples of each."""
+    w = wide(outcomes, arms, ("sample_id",))
+    each = w.select("sample_id", F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.when(F.col(a) & ~F.col(base), "rescue").when(~F.col(a) & F.col(base), "harm").when(F.col(a), "both_right").otherwise("both_wrong").alias("kind")) for a in arms if a != base))).alias("o")).select("sample_id", "o.*")
+    first = W.partitionBy("arm", "kind").orderBy("sample_id")
+    few = each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).groupBy("arm", "kind").agg(F.sort_array(F.collect_list("sample_id")).alias("examples"))  # most rows a group
+    return each.groupBy("arm", "kind").agg(F.count("*").alias("n")).join(few, ["arm", "kind"])
+
+
+def exclusive_ids(outcomes: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """(arm, replicate, sample_id) that this arm alone gets right."""
+    w = wide(outcomes, arms)
+    n = sum((F.col(a).cast("int") for a in arms), F.lit(0))
+    return w.where(n == 1).select(F.coalesce(*(F.when(F.col(a), F.lit(a)) for a in arms)).alias("arm"), "replicate", "sample_id")

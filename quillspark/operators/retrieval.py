@@ -10,13 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, norm
+from ..functions.arrays import dot, norm, unit
 from ..shipping import ship
 
 #: Bytes of query vectors up to which they are sent to every task; more queries go in several passes.
 SENT_BYTES = 32 << 20
-#: Rows of a batch of vectors that is scored at once.
-SCORE_ROWS = 4096
+#: Scores (queries times rows of vectors) that a task holds at a time.
+SCORES = 4 << 20
+
+
+def best_columns(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest scores of each row, in no order; of equal scores those that come first."""
+    if s.shape[1] <= k:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    above, level = s > least, s == least
+    take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(s), k)
 
 
 def top_k(queries: DataFrame, sources: DataFrame, k: int = 3, digits: int = 7, exclude: str | None = None) -> DataFrame:
@@ -46,20 +56,21 @@ def top_k(queries: DataFrame, sources: DataFrame, k: int = 3, digits: int = 7, e
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, x, grp = sent.value
             best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            step = max(1, SCORES // max(1, len(ids)))
             for b in batches:
-                for at in range(0, b.num_rows, SCORE_ROWS):
-                    part = b.slice(at, SCORE_ROWS)
+                for at in range(0, b.num_rows if len(ids) else 0, step):
+                    part = b.slice(at, step)
+                    part = part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))  # of equal scores the smaller id comes first
                     sid = part.column(0).to_numpy()
-                    y = np.array(part.column(1).to_pylist(), np.float64).reshape(len(sid), -1)
-                    if not len(sid) or not len(ids):
-                        continue
+                    y = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sid), -1)
                     y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
                     s = np.rint(x @ y.T * 10**digits) / 10**digits
                     s[ids[:, None] == sid[None]] = -np.inf
                     if exclude:
                         same = grp[:, None] == np.array(part.column(2).to_pylist(), object)[None]
                         s[same if exclude == "same" else ~same] = -np.inf
-                    s, i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(sid, s.shape)])
+                    some = best_columns(s, k)
+                    s, i = np.hstack([best_s, np.take_along_axis(s, some, 1)]), np.hstack([best_i, sid[some]])
                     order = np.lexsort((i, -s), axis=1)[:, :k]
                     best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             ok = np.isfinite(best_s)
@@ -138,3 +149,32 @@ def cache(hits: DataFrame) -> DataFrame:
     g = hits.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", "score"))).alias("h"))
     s = F.transform("h", lambda x: x["score"])
     return g.select("target_id", F.transform("h", lambda x: x["source_id"]).alias("source_ids"), (F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)).alias("mean"), F.array_min(s).alias("least"), F.array_max(s).alias("greatest"))
+
+
+def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """(key, vector): an encoder without a model. Words fall into ``dims`` slots by hash, with a sign; the vector has length 1, or is zero without words."""
+    w = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
+    h = F.conv(F.substring(F.md5(F.col("w")), 1, 8), 16, 10).cast("long")
+    per = texts.select(key, w.alias("w")).select(key, (h % dims).cast("int").alias("slot"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "slot").agg(F.sum("sign").cast("double").alias("v")).where("v <> 0")
+    vec = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))  # dims entries at most
+    filled = texts.select(key).distinct().join(vec, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    return filled.select(key, F.when(norm(F.col("v")) > 0, unit(F.col("v"))).otherwise(F.col("v")).alias("vector"))
+
+
+def encoding_faults(stored: DataFrame, live: DataFrame, key: str, vec: str = "vector", near: float = 1e-6, unit_near: float = 1e-5) -> DataFrame:
+    """(check, key) of stored vectors that are not what the encoder gives now: missing, length, other_values, not_unit."""
+    j = stored.select(key, F.col(vec).alias("a")).join(live.select(key, F.col(vec).alias("b")), key, "full_outer")
+    apart = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    checks = F.array_compact(F.array(F.when(F.col("a").isNull() | F.col("b").isNull(), "missing"), F.when(F.size("a") != F.size("b"), "length"), F.when((F.size("a") == F.size("b")) & (apart > near), "other_values"), F.when(F.abs(norm(F.col("a")) - 1) > unit_near, "not_unit")))
+    return j.select(F.explode(checks).alias("check"), key)
+
+
+def family_hits(plain: DataFrame, anchored_hits: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
+    """(k, baseline, anchored): share of targets with a strategy of the wanted family within the first k, for k up to ``most``.
+
+    Both rankings: (target_id, rank, family), a row for each family of a strategy; wanted: (target_id, family).
+    """
+    first = lambda h, name: h.join(wanted.withColumnRenamed("family", "_want"), "target_id").where("family = _want").groupBy("target_id").agg(F.min("rank").alias(name))
+    j = wanted.select("target_id").join(first(plain, "p"), "target_id", "left").join(first(anchored_hits, "a"), "target_id", "left")
+    rate = lambda c: F.avg(F.coalesce((F.col(c) <= F.col("k")).cast("double"), F.lit(0.0)))
+    return j.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg(rate("p").alias("baseline"), rate("a").alias("anchored"))

@@ -16,21 +16,39 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * fold["s"]))
 
 
-def draws(reps: int, n: int, spark, seed: int) -> DataFrame:
-    """(rep, i): n draws with replacement from 0..n-1 for each resample, by hash; nothing is kept but the seed."""
-    return spark.range(reps).withColumnRenamed("id", "rep").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("rep", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "rep", "d")), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("i"))
+#: Chance that a Poisson number of mean 1 is at most 0, 1, 2, ...
+_POISSON = [0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418, 0.999916758850712, 0.999989750803325]
 
 
-def cluster_bootstrap(values: DataFrame, group: str, value: str, reps: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean when groups are resampled with replacement.
+def weights(rows: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
+    """rows once for each resample (``rep``) that draws them, with ``times``: how often.
 
-    Rows are summed by group first, so resampling moves two numbers a group and draw; groups are
-    numbered in order of their key.
+    A Poisson number of mean 1 stands for the draws with replacement. It follows from a hash of seed,
+    resample and key, so every task draws for its own rows and nothing is gathered or numbered.
     """
-    g = values.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c")).withColumn("i", F.row_number().over(W.orderBy(group)) - 1)  # one row a group
-    n = g.count()
-    d = draws(reps, max(n, 1), values.sparkSession, seed).join(g, "i").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
-    return d.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return each.withColumn("u", u).withColumn("times", F.size(F.filter(F.array(*map(F.lit, _POISSON)), lambda p: p <= F.col("u")))).where("times > 0").drop("u")
+
+
+def cluster_bootstrap(values: DataFrame, group: str, value: str, reps: int, seed: int) -> DataFrame:
+    """Percentile interval of the mean when groups are resampled with replacement; rows are summed by group first."""
+    g = values.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    d = weights(g, group, reps, seed).groupBy("rep").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
+    return d.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))  # reps rows
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """(diff, low, high): the mean of a - b over pairs and its percentile interval when pairs are resampled."""
+    d = pairs.select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
+    m = weights(d, key, reps, seed).groupBy("rep").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
+    ends = m.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    return d.agg(F.avg("d").alias("diff")).crossJoin(ends)  # one row each
+
+
+def class_means(df: DataFrame, by: str, *values: str) -> DataFrame:
+    """Count and means of diagnostics by outcome class."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(F.col(v).cast("double")).alias(v) for v in values))
 
 
 def spearman(df: DataFrame, a: str, b: str, *by: str, least: int = 10) -> DataFrame:

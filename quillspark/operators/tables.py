@@ -194,3 +194,41 @@ def holdout(df: DataFrame, group: str, *used: DataFrame) -> DataFrame:
 def ranked_block(hits: DataFrame, key: str, rank: str, text: str) -> DataFrame:
     """Texts of a target's hits in rank order, joined by blank lines."""
     return hits.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, text))), lambda s: s[text]), "\n\n").alias("block"))
+
+
+def averaged_pairs(left: DataFrame, pairs: DataFrame, value: str, keys: tuple[str, str] = ("target_id", "source_id")) -> DataFrame:
+    """Mean of ``value`` over a target's matches on the composite key, by target; targets without a match have null and count 0."""
+    got = left.join(pairs, list(keys), "left")
+    return got.groupBy(keys[0]).agg(F.count(value).alias("matches"), F.avg(value).alias("mean"))
+
+
+def marked(rows: DataFrame, audit: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with ``flag``: whether any audit row of their key says so; keys that were not audited are not marked."""
+    bad = audit.groupBy(key).agg(F.bool_or(flag).alias(flag))
+    return rows.join(bad, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def budget_plan(rows: DataFrame, key: str, plan: dict[str, tuple[Column, int]], tag: str) -> DataFrame:
+    """(key, slot): for each named test so many rows, none twice; earlier tests choose first, by hash order.
+
+    A row goes to the first tests that it passes; with what a full test leaves over the later ones are
+    filled, so each test needs one pass over the rows that are left.
+    """
+    taken = None
+    for slot, (test, n) in plan.items():
+        left = rows if taken is None else rows.join(taken.select(key), key, "left_anti")
+        some = left.where(test).orderBy(hash_order(tag, key), key).limit(n).select(key, F.lit(slot).alias("slot"))
+        taken = some if taken is None else taken.unionByName(some)
+    return taken
+
+
+def best_by(results: DataFrame, name: str, *rates: str) -> DataFrame:
+    """The row of the highest first rate, then second and so on, then the smallest name."""
+    return results.orderBy(*(F.desc_nulls_last(r) for r in rates), name).limit(1)
+
+
+def coverage_groups(rows: DataFrame, key: str, before: str, after: str, n: int, tag: str, least: float = 0.5) -> DataFrame:
+    """(key, group): up to n rows whose coverage was repaired (below ``least`` before, at or above it after: A) and n that were covered all along (B)."""
+    group = F.when((F.col(before) < least) & (F.col(after) >= least), "A").when((F.col(before) >= least) & (F.col(after) >= least), "B")
+    w = W.partitionBy("group").orderBy(hash_order(tag, key), key)
+    return rows.withColumn("group", group).where("group is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select(key, "group")

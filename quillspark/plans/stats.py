@@ -8,10 +8,9 @@ from ..functions import text as X
 from ..operators import integrity as M
 from ..operators import outcomes as O
 from ..operators import stats as S
+from .evaluation import BOOT, CLUSTER_BOOTSTRAP_SQL, SEED
 from .outcomes import ARMS_SQL, arms
 
-BOOT, SEED = 200, 20260816
-
 
 def k8(spark, sf_dir):
     c = O.contingency(arms(spark, sf_dir), "case", "both")
@@ -19,7 +18,7 @@ def k8(spark, sf_dir):
 
 
 def k10(spark, sf_dir):
-    a = arms(spark, sf_dir).where("replicate = 0 and arm = 'case'").withColumn("v", F.col("correct").cast("double"))
+    a = arms(spark, sf_dir).where("arm = 'case'").withColumn("v", F.col("correct").cast("double"))
     out = S.cluster_bootstrap(a, "cust", "v", BOOT, SEED)
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
@@ -74,7 +73,7 @@ _K = "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)"
 QUERIES = {"k8_mcnemar": k8, "k10_cluster_bootstrap": k10, "k11_spearman": k11, "k13_standard_error": k13, "m1_manifest": m1, "m2_violations": m2, "m4_leaks": m4, "m8_corrupt_operation": m8, "o1_cache_misses": o1, "o2_runtime_drift": o2}
 ORACLES = {
     "k8_mcnemar": f"WITH {ARMS_SQL}, c AS (SELECT replicate, count(*) FILTER (case_ AND NOT both_) AS a, count(*) FILTER (NOT case_ AND both_) AS b FROM wide GROUP BY ALL), t AS (SELECT *, a + b AS n, unnest(range(greatest(a, b), a + b + 1)) AS i FROM c) SELECT replicate::BIGINT AS replicate, any_value(a) AS only_a, any_value(b) AS only_b, round(least(1, 2 * sum(exp({_K}))), 9) AS p FROM t GROUP BY replicate",
-    "k10_cluster_bootstrap": f"WITH {ARMS_SQL}, g AS (SELECT cust, sum(correct::INT) AS s, count(*) AS c, row_number() OVER (ORDER BY cust) - 1 AS i FROM arms WHERE replicate = 0 AND arm = 'case' GROUP BY cust), n AS (SELECT count(*) AS n FROM g), d AS (SELECT rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || d), 1, 8))::BIGINT % n AS i FROM n, range({BOOT}) r(rep), range(n.n) x(d)), m AS (SELECT rep, sum(s) / sum(c) AS m FROM d JOIN g USING (i) GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM m",
+    "k10_cluster_bootstrap": CLUSTER_BOOTSTRAP_SQL,
     "k11_spearman": "WITH r AS (SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2 AS x, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2 AS y FROM orders) SELECT o_orderpriority, count(*) AS n, round(corr(x, y), 9) AS rho FROM r GROUP BY ALL",
     "k13_standard_error": "SELECT event_type, count(value) AS n, round(stddev_samp(value) / sqrt(count(value)), 9) AS se FROM events GROUP BY ALL",
     "m1_manifest": "WITH h AS (SELECT sha256(doc_id || chr(31) || lang || chr(31) || n_chars) AS h FROM documents), g AS (SELECT count(*) AS rows, " + ", ".join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT::HUGEINT)::VARCHAR AS p{k}" for k in range(5)) + " FROM h) SELECT 'documents' AS kind, rows, sha256(concat_ws('|', 'documents', rows, p0, p1, p2, p3, p4, 'benchmark=v1')) AS digest FROM g",
