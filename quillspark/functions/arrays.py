@@ -38,10 +38,22 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), n))
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions and replacements between two arrays of any items; one row of the table at a time."""
+    first = F.sequence(F.lit(0), F.size(b))
+
+    def row(before: Column, x: Column) -> Column:
+        start = F.array(F.get(before, F.lit(0)) + 1)
+        cell = lambda acc, j: F.concat(acc, F.array(F.least(F.element_at(acc, -1) + 1, F.element_at(before, j + 1) + 1, F.element_at(before, j) + (~x.eqNullSafe(F.element_at(b, j))).cast("int"))))
+        return F.when(F.size(b) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), start, cell))
+
+    return F.element_at(F.aggregate(a, first, row), -1)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
-    """One minus the edit distance of two sequences of one-letter codes over the longer length; 1 for two empty ones."""
-    n = F.greatest(F.length(a), F.length(b))
-    return F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
+    """One minus the edit distance of two arrays over the longer length; 1 for two empty ones."""
+    n = F.greatest(F.size(a), F.size(b))
+    return F.when(n == 0, F.lit(1.0)).otherwise(1 - edit_distance(a, b) / n)
 
 
 def multiset_cosine(a: Column, b: Column) -> Column:
@@ -113,3 +125,21 @@ def relevant(paragraphs: Column, orders: Column, keep_all: bool = True) -> Colum
 def year_sets_agree(a: Column, b: Column) -> Column:
     """Whether two texts' years can be of one question: one names none, or they share one."""
     return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+
+
+def one_hot(**values: Column) -> Column:
+    """Map with an entry ``name=value`` of 1 for each value that is not null."""
+    entries = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.concat(F.lit(f"{k}="), v.cast("string")).alias("key"), F.lit(1.0).alias("value"))) for k, v in values.items())))
+    return F.map_from_entries(entries)
+
+
+def clamped(values: Column, ranges: dict[str, tuple[float, float]]) -> Column:
+    """A map of numbers held within a range for each name; other names and nulls go."""
+    low, high = (F.create_map(*(F.lit(x) for k, r in ranges.items() for x in (k, float(r[i])))) for i in (0, 1))
+    kept = F.map_filter(values, lambda k, v: F.try_element_at(low, k).isNotNull() & v.isNotNull() & ~F.isnan(v))
+    return F.transform_values(kept, lambda k, v: F.greatest(F.try_element_at(low, k), F.least(F.try_element_at(high, k), v)))
+
+
+def as_list(x: Column) -> Column:
+    """JSON text of a list, or any other text, as an array of strings; empty text is an empty list."""
+    return F.when(F.trim(F.coalesce(x, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(F.when(F.trim(x).startswith("["), x), "array<string>"), F.array(x)))

@@ -121,3 +121,17 @@ def mixed_close(a: Column, b: Column) -> Column:
     """Equal within a thousandth of the smaller number, a tenth at most, or one part in 10^9."""
     slack = F.least(F.abs(F.least(a, b) / 1000), F.lit(0.1))
     return F.abs(a - b) <= F.greatest(slack, F.greatest(F.abs(a), F.abs(b)) * 1e-9)
+
+
+def percent_context(*texts: Column) -> Column:
+    """Whether one of the texts speaks of percentages."""
+    out = F.lit(False)
+    for t in texts:
+        out = out | F.lower(F.coalesce(t, F.lit(""))).rlike("%|percent|basis point")
+    return out
+
+
+def context_match(pred: Column, gold: Column, percent: Column, tol: float = 1e-3) -> Column:
+    """Equal within tolerance; where percentages are spoken of also at a hundred times or a hundredth."""
+    near = lambda a: F.abs(a - gold) <= F.greatest(F.lit(tol), F.abs(gold) * tol)
+    return near(pred) | (percent & scale_tolerant(pred, gold, tol))

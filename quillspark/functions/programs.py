@@ -199,6 +199,100 @@ def op_family(ops: Column) -> Column:
     return F.when(has("greater"), "comparison").when(F.exists(ops, lambda o: o.startswith("table_")), "table_aggregation").when(has("divide") & has("subtract"), "change").when(has("divide"), "ratio").when(has("add"), "aggregation").when(has("multiply"), "scaling").otherwise("other")
 
 
+#: Families by the operators that a program holds, first match wins; and which families pass for each other.
+ALIGNED = [("comparison", ("greater",)), ("average", ("table_average",)), ("aggregation", ("table_sum",)), ("aggregation", ("table_max",)), ("aggregation", ("table_min",)), ("percentage_change", ("divide", "subtract")), ("ratio", ("divide",)), ("difference", ("subtract",)), ("aggregation", ("add",)), ("multiplication", ("multiply",))]
+COMPATIBLE = [("percentage_change", "difference"), ("ratio", "average"), ("aggregation", "average"), ("unit_scaling", "multiplication"), ("multi_step", "percentage_change", "difference", "ratio")]
+
+
+def aligned_family(ops: Column) -> Column:
+    """The family by the second set of rules."""
+    return F.coalesce(*(F.when(F.size(F.array_except(F.array(*map(F.lit, held)), ops)) == 0, name) for name, held in ALIGNED), F.lit("other"))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two families are equal or stand in one group."""
+    out = a == b
+    for g in COMPATIBLE:
+        out = out | (a.isin(*g) & b.isin(*g))
+    return out
+
+
+def known_operations(program: Column) -> Column:
+    """Operators of a text that the language knows, in order."""
+    return F.filter(operations(program), lambda o: o.isin(*OPS, *TABLE_OPS))
+
+
+def operation_set(program: Column) -> Column:
+    """Distinct known operators; table operators also count as what they do."""
+    plain = F.transform(known_operations(program), lambda o: F.regexp_replace(o, "^table_", ""))
+    return F.array_sort(F.array_distinct(F.concat(known_operations(program), plain)))
+
+
+#: What a record's questions and answers are told apart by.
+RATIO_WORDS, SUM_WORDS = r"\b(ratio|proportion|percent|percentage|rate|multiple|growth)\b", r"\b(sum|total|average|avg|mean)\b"
+SUPERLATIVES, COMPARED = r"\b(most|least|maximum|max|min|minimum|greatest|largest|lowest|highest)\b", r"\b(greater|less|larger|smaller|higher|lower|more|fewer|exceed(s|ed)?|increase|decrease|decline)\b"
+YES_OR_NO = r"^(does|do|did|is|are|was|were|has|have|had)\b"
+
+
+def program_family(ops: Column, question: Column) -> Column:
+    """What a program computes, by its operators and the words of its question."""
+    has = lambda *o: F.size(F.array_except(F.array(*map(F.lit, o)), ops)) == 0
+    only = lambda *o: ops == F.array(*map(F.lit, o))
+    asks = F.lower(question).rlike(RATIO_WORDS)
+    pure = F.size(F.array_except(ops, F.array(F.lit("add")))) == 0
+    name = (
+        F.when(F.size(ops) == 0, "unparsed")
+        .when(only("divide") & asks, "ratio")
+        .when(has("subtract", "divide") & ~F.array_contains(ops, "multiply"), F.when(asks, "change_rate").otherwise("difference_then_ratio"))
+        .when(pure, "aggregation_sum")
+        .when(has("add", "divide") & ~F.array_contains(ops, "subtract"), "average_or_composed_division")
+        .when(only("subtract"), "difference")
+        .when(only("multiply"), "multiplication")
+        .when(has("multiply", "divide", "subtract"), "projection_or_compound_change")
+    )
+    mixed = F.coalesce(*(F.when(F.array_contains(ops, o), f"{n}_composition") for o, n in (("divide", "division"), ("subtract", "difference"), ("multiply", "multiplication"))))
+    return F.concat(F.lit("program:"), F.coalesce(name, mixed, F.concat(F.lit("sequence:"), F.array_join(ops, ">"))))
+
+
+def span_family(question: Column, answer: Column) -> Column:
+    """What a question whose answer is a span looks for."""
+    q, compares = F.lower(question), F.lower(question).rlike(COMPARED) | F.lower(question).rlike(SUPERLATIVES)
+    return F.concat(F.lit("span:"), F.when(q.rlike(YES_OR_NO) & compares, "comparison_yesno").when(q.rlike(SUPERLATIVES), "superlative_lookup").when(compares, "comparison_lookup").when(F.coalesce(answer, F.lit("")).rlike("[,;]"), "multi_value_lookup").when(q.rlike(SUM_WORDS) | q.rlike(RATIO_WORDS), "computed_value_lookup").otherwise("direct_lookup"))
+
+
+def step_bucket(n: Column) -> Column:
+    return F.when(n >= 5, "5plus").otherwise(n.cast("string"))
+
+
+def evidence(texts: Column, tables: Column) -> Column:
+    """text+table, text, table or none, by how many of each support an answer."""
+    return F.when((texts > 0) & (tables > 0), "text+table").when(texts > 0, "text").when(tables > 0, "table").otherwise("none")
+
+
+def schema_key(program: Column, question: Column, answer: Column, texts: Column, tables: Column, scale: Column) -> Column:
+    """``type|family|ops=|steps=|ev=|tables=|scale=`` of a record."""
+    ops = operations(F.coalesce(program, F.lit("")))
+    is_program = F.size(ops) > 0
+    used = F.when(tables > 1, "multi").when(tables == 1, "single").otherwise("none")
+    return F.concat_ws(
+        "|",
+        F.when(is_program, "program").otherwise("span"),
+        F.when(is_program, program_family(ops, question)).otherwise(span_family(question, answer)),
+        F.concat(F.lit("ops="), F.when(is_program, F.array_join(F.array_sort(F.array_distinct(ops)), "+")).otherwise("none")),
+        F.concat(F.lit("steps="), step_bucket(F.size(ops))),
+        F.concat(F.lit("ev="), evidence(texts, tables)),
+        F.concat(F.lit("tables="), used),
+        F.concat(F.lit("scale="), F.when(scale == "", "none").otherwise(scale)),
+    )
+
+
+def split_key(key: Column) -> Column:
+    """Map of the parts of a schema key: type, family, and what stands before each ``=``."""
+    parts = F.split(key, r"\|")
+    rest = F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, "^[^=]*=", "").alias("value")))
+    return F.map_from_entries(F.concat(F.array(F.struct(F.lit("type").alias("key"), F.get(parts, F.lit(0)).alias("value")), F.struct(F.lit("family").alias("key"), F.get(parts, F.lit(1)).alias("value"))), rest))
+
+
 def bucket(ops: Column, program: Column) -> Column:
     """Difficulty bucket A to H; first match wins."""
     n = F.size(ops)

@@ -217,3 +217,37 @@ def prediction(x: Column) -> Column:
     pair = text.startswith("[") & (F.coalesce(F.json_array_length(text), F.lit(0)) == 2)
     value = F.when(pair, g("$[0]")).when(text.startswith("{"), F.coalesce(g("$.answer.answer"), g("$.answer"), g("$.prediction"))).otherwise(F.coalesce(g("$"), text))
     return F.struct(many(value).alias("answers"), F.coalesce(F.when(pair, g("$[1]")).when(text.startswith("{"), F.coalesce(g("$.answer.scale"), g("$.scale"))), F.lit("")).alias("scale"), F.when(text.startswith("{"), g("$.program")).alias("program"))
+
+
+def entity_template(x: Column, entities: Column, years_first: bool = True) -> Column:
+    """``question_template`` with every one of the row's entity words (an array, longest first) as ``<entity>``."""
+    plain = F.aggregate(F.array_sort(entities, lambda a, b: F.length(b) - F.length(a)), x, lambda t, e: F.when(F.length(e) > 0, F.regexp_replace(t, F.concat(F.lit(r"(?i)\b\Q"), e, F.lit(r"\E\b")), F.lit("<entity>"))).otherwise(t))
+    return question_template(plain, years_first)
+
+
+#: Rules of the second set, first match wins, over a text between blanks without punctuation.
+PREDICTED = (
+    ("comparison", "greater than|less than|more than|higher than|lower than|exceed"), ("average", "average|mean"), ("percentage_change", "(percent|percentage) (change|increase|decrease|growth)|growth rate"),
+    ("difference", "difference|change in|increase in|decrease in"), ("ratio", "per|ratio|margin|share|portion|percent|percentage"), ("aggregation", "total|sum|combined|aggregate"),
+    ("multiplication", "product|multiply|times"), ("unit_scaling", "basis points?|thousands?|millions?|billions?"),
+)
+#: Rules of the third set, over what a record says of itself.
+SUPPORTED = (("comparison", "compare|greater|less"), ("growth", "growth|change|increase|decrease"), ("share", "percent|ratio|share|portion"), ("level", "total|average|sum"))
+
+
+def predicted_family(x: Column) -> Column:
+    """A question's family by the second set of rules; two years make it multi_step if nothing else fits."""
+    q = F.concat(F.lit(" "), F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "), F.lit(" "))
+    years_ = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))))
+    return F.coalesce(*(F.when(q.rlike(f" ({form}) "), name) for name, form in PREDICTED), F.when(years_ >= 2, "multi_step"), F.lit("other"))
+
+
+def supported_family(x: Column) -> Column:
+    return question_family(x, SUPPORTED)
+
+
+def scale_profile(*texts: Column) -> Column:
+    """struct of what a question, answer and scale together speak of: percent, thousand, million, billion, basis_points, fraction."""
+    y = F.lower(F.concat_ws(" ", *texts))
+    forms = {"percent": "percent|%", "thousand": "thousand", "million": "million", "billion": "billion", "basis_points": "basis point", "fraction": r"fraction|\b[0-9]+/[0-9]+\b"}
+    return F.struct(*(y.rlike(f).alias(k) for k, f in forms.items()))

@@ -70,3 +70,9 @@ def thin(text: Column, least: int = 200) -> Column:
     low = F.lower(text)
     generic = sum((F.contains(low, F.lit(g)).cast("int") for g in GENERIC), F.lit(0))
     return F.array_compact(F.array(F.when(F.length(text) < least, "too_short"), F.when(generic >= 3, "too_generic"), F.when(~low.rlike("operand|role|value|step|then|calculate"), "no_procedural_content")))
+
+
+def quality_issues(ops: Column, text: Column, template: Column) -> Column:
+    """Array of issues of an abstraction: operations missing or invented, a factor of 100 said both ways, its template repeated word for word."""
+    f, sc = fidelity(ops, text), scale_mentions(text)
+    return F.array_compact(F.array(F.when(F.size(f["missing"]) > 0, "missing_operation"), F.when(F.size(f["extra"]) > 0, "invented_operation"), F.when(sc["times_100"] & sc["by_100"], "scale_conflict"), F.when((F.length(template) > 0) & F.contains(F.lower(text), F.lower(template)), "template_leakage")))

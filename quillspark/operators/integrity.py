@@ -121,3 +121,48 @@ def truncation(contexts: DataFrame, key: str, paragraphs: str, most: int = 600)
     total = lambda f: F.aggregate(F.transform(paragraphs, f), F.lit(0), lambda a, v: a + v).cast("long")
     c = contexts.select(key, total(F.length).alias("chars"), total(lambda p: F.least(F.length(p), F.lit(most))).alias("kept"))
     return c.withColumn("lost_share", F.coalesce(1 - F.try_divide("kept", "chars"), F.lit(0.0)))
+
+
+def case_leaks(texts: DataFrame, key: str, text: str, company: Column, answer: Column, entities: Column) -> DataFrame:
+    """(key, check) of strategies that name their source's company, a year, its answer or one of its entities (array)."""
+    low = F.lower(F.col(text))
+    holds = lambda v: (F.length(v) > 0) & F.contains(low, F.lower(v))
+    checks = {"company": holds(company), "year": F.col(text).rlike(r"\b(19|20)[0-9]{2}\b"), "answer": holds(answer), "entity": F.exists(entities, lambda e: (F.length(e) > 2) & F.contains(low, F.lower(e)))}
+    return texts.select(key, F.explode(F.array_compact(F.array(*(F.when(t, n) for n, t in checks.items())))).alias("check"))
+
+
+def corrupted(text: Column, kind: Column) -> Column:
+    """struct<text, mutation>: a strategy text with a drift of its scale, operation or operand roles, and what was changed; null if nothing was.
+
+    scale: the first of times 100 and by 100 swapped. operation: as ``corrupt_operation``. operand_role: the first pair of role words swapped.
+    """
+    swap = lambda a, b: F.when(F.contains(text, F.lit(a)), F.struct(F.replace(text, F.lit(a), F.lit(b)).alias("text"), F.lit(f"{a} -> {b}").alias("mutation")))
+    scale = F.coalesce(swap("multiply by 100", "divide by 100"), swap("divide by 100", "multiply by 100"), swap("percent", "decimal"))
+    other = corrupt_operation(text)
+    operation = F.when(other != text, F.struct(other.alias("text"), F.concat(F.regexp_extract(text, r"\b(add|subtract|multiply|divide)\b", 1), F.lit(" -> other")).alias("mutation")))
+    both = lambda a, b: F.when(F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)), F.struct(F.replace(F.replace(F.replace(text, F.lit(a), F.lit("\x01")), F.lit(b), F.lit(a)), F.lit("\x01"), F.lit(b)).alias("text"), F.lit(f"{a} <-> {b}").alias("mutation")))
+    role = F.coalesce(both("numerator", "denominator"), both("current", "prior"), both("first", "second"))
+    none = F.struct(text.alias("text"), F.lit(None).cast("string").alias("mutation"))
+    return F.coalesce(F.when(kind == "scale", scale).when(kind == "operation", operation).when(kind == "operand_role", role), none)
+
+
+def usable(cache: DataFrame, runtime: dict[str, object]) -> DataFrame:
+    """(rows of the cache, ``hit``): whether a cached row was made with the settings of now; others must be answered anew."""
+    same = F.lit(True)
+    for k, v in runtime.items():
+        same = same & F.col(k).eqNullSafe(F.lit(v))
+    return cache.withColumn("hit", same)
+
+
+def release_report(checks: dict[str, DataFrame], expected_rows: dict[str, tuple[DataFrame, int]] | None = None) -> DataFrame:
+    """(check, faults, first): every check recomputed from the tables, with its number of faults and smallest id; a release is valid if all are 0.
+
+    ``expected_rows`` adds a check of each table's row count. No check stops another.
+    """
+    names = [*checks, *(f"rows:{k}" for k in expected_rows or {})]
+    found = violations(**checks) if checks else None
+    for k, (df, n) in (expected_rows or {}).items():
+        bad = df.agg(F.count("*").alias("n")).where(F.col("n") != n).select(F.lit(f"rows:{k}").alias("check"), F.col("n").cast("string").alias("id"))
+        found = bad if found is None else found.unionByName(bad)
+    every = found.sparkSession.createDataFrame([(n,) for n in names], "check string")
+    return every.join(found.groupBy("check").agg(F.count("*").alias("faults"), F.min("id").alias("first")), "check", "left").select("check", F.coalesce("faults", F.lit(0)).alias("faults"), "first")

@@ -195,3 +195,29 @@ def exclusive_ids(outcomes: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFram
     w = wide(outcomes, arms)
     n = sum((F.col(a).cast("int") for a in arms), F.lit(0))
     return w.where(n == 1).select(F.coalesce(*(F.when(F.col(a), F.lit(a)) for a in arms)).alias("arm"), "replicate", "sample_id")
+
+
+def largest_share(events: DataFrame, group: str) -> DataFrame:
+    """(events, groups, top_share): how much of all events the largest group holds."""
+    g = events.groupBy(group).agg(F.count("*").alias("c"))
+    return g.agg(F.sum("c").alias("events"), F.count("*").alias("groups"), (F.max("c") / F.sum("c")).alias("top_share"))
+
+
+def stable_marginals(outcomes: DataFrame, base: str = "both", arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """By arm: net gain over the base in each replicate, whether it has one sign throughout, and the least and greatest."""
+    w = wide(outcomes, arms)
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), (hit(a) - hit(base)).alias("d")) for a in arms if a != base))).alias("e")
+    net = w.select("replicate", each).groupBy("e.arm", "replicate").agg(F.avg("e.d").alias("net"))
+    return net.groupBy("arm").agg(F.min("net").alias("least"), F.max("net").alias("greatest"), ((F.min("net") > 0) | (F.max("net") < 0)).alias("stable"))
+
+
+def disagreement(outcomes: DataFrame) -> DataFrame:
+    """(arm, any_change, pairwise): share of samples that change at all over the runs, and of pairs of runs that disagree."""
+    s = outcomes.groupBy("arm", "sample_id").agg(F.count("*").alias("r"), F.count_if("correct").alias("m"))
+    pairs = F.col("r") * (F.col("r") - 1) / 2
+    return s.groupBy("arm").agg(F.avg(((F.col("m") > 0) & (F.col("m") < F.col("r"))).cast("double")).alias("any_change"), F.try_divide(F.sum(F.col("m") * (F.col("r") - F.col("m"))), F.sum(pairs)).alias("pairwise"))
+
+
+def graded_change(before: Column, after: Column, near_before: Column, near_after: Column) -> Column:
+    """repaired, broken, improved (wrong, but nearer than before), worse (wrong and farther), unchanged_right or unchanged_wrong."""
+    return F.when(~before & after, "repaired").when(before & ~after, "broken").when(before, "unchanged_right").when(near_after < near_before, "improved").when(near_after > near_before, "worse").otherwise("unchanged_wrong")

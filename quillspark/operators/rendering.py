@@ -127,3 +127,34 @@ def _markdown(page: str | None) -> str:
 def html_markdown(pages: pd.Series) -> pd.Series:
     """The rows of a page's tables as one Markdown table, short rows filled up; empty without a table."""
     return pages.map(_markdown)
+
+
+def table_csv(table: Column, most_rows: int = 80) -> Column:
+    """Rows as comma-separated lines; cells with a comma, quote or line end are quoted."""
+    cell = lambda c: F.when(c.rlike("[,\"\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.array_join(F.transform(F.slice(table, 1, most_rows), lambda r: F.array_join(F.transform(r, cell), ",")), "\n")
+
+
+def table_sentences(table: Column, most_rows: int = 80) -> Column:
+    """``the <column> of <row> is <cell>`` for each cell below the header; blank cells go."""
+    head = F.get(table, F.lit(0))
+    one = lambda r: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: F.when(F.trim(F.coalesce(F.get(r, i), F.lit(""))) != "", F.concat(F.lit("the "), F.coalesce(F.get(head, i), F.lit("")), F.lit(" of "), F.get(r, F.lit(0)), F.lit(" is "), F.get(r, i)))), lambda x: x.isNotNull())
+    return F.array_join(F.flatten(F.transform(F.slice(table, 2, most_rows), one)), "; ")
+
+
+def retrieval_text(question: Column, family: Column, table: Column, memory_side: bool) -> Column:
+    """What a record is found by: its question and the table's first column; on the memory's side its family too. Never an answer or program."""
+    labels = F.array_join(F.transform(table, lambda r: F.get(r, F.lit(0))), "; ")
+    return F.concat_ws("\n", F.concat(F.lit("Question: "), question), F.concat(F.lit("Rows: "), labels), *([F.concat(F.lit("Family: "), family)] if memory_side else []))
+
+
+def top_groups(df: DataFrame, key: str, position: str, top: int, most_ids: int = 30) -> DataFrame:
+    """``groups`` of the ``top`` largest groups, ties by key."""
+    best = df.groupBy(key).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), key).limit(top).select(key)
+    return groups(df.join(best, key, "left_semi"), key, position, most_ids)
+
+
+def arm_prompt(arm: Column, question: Column, context: Column, cases: Column, strategies: Column) -> Column:
+    """The whole prompt of an arm: what to do, the arm's memory, the context, the question."""
+    memory = memory_block(arm, cases, strategies)
+    return F.concat_ws("\n\n", F.lit("Answer with PROGRAM: and ANSWER: lines."), F.when(memory != "", memory), F.concat(F.lit("CONTEXT:\n"), context), F.concat(F.lit("QUESTION: "), question))

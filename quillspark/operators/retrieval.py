@@ -178,3 +178,25 @@ def family_hits(plain: DataFrame, anchored_hits: DataFrame, wanted: DataFrame, m
     j = wanted.select("target_id").join(first(plain, "p"), "target_id", "left").join(first(anchored_hits, "a"), "target_id", "left")
     rate = lambda c: F.avg(F.coalesce((F.col(c) <= F.col("k")).cast("double"), F.lit(0.0)))
     return j.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg(rate("p").alias("baseline"), rate("a").alias("anchored"))
+
+
+def leading_dims(vectors: DataFrame, key: str, vec: str, n: int = 64) -> DataFrame:
+    """The first n components of a vector as columns d0, d1, ...; null where it is shorter."""
+    return vectors.select(key, *(F.get(F.col(vec), F.lit(i)).alias(f"d{i}") for i in range(n)))
+
+
+def hit_rates(hits: DataFrame, targets: DataFrame, sources: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """(targets, eligible, top_1, top_k, eligible_top_1, eligible_top_k): over all targets, and over those of whose key a source exists at all."""
+    h = hits.join(sources.select("source_id", F.col(key).alias("got")), "source_id").join(targets.select("target_id", F.col(key).alias("want")), "target_id").where(F.col("got").eqNullSafe(F.col("want")))
+    best = h.groupBy("target_id").agg(F.min("rank").alias("best"))
+    some = sources.select(F.col(key).alias("_k")).distinct().withColumn("_has", F.lit(True))
+    t = targets.select("target_id", F.col(key).alias("want")).join(some, F.col("want").eqNullSafe(F.col("_k")), "left").join(best, "target_id", "left")
+    ok = lambda n: F.coalesce((F.col("best") <= n).cast("double"), F.lit(0.0))
+    has = F.coalesce("_has", F.lit(False))
+    return t.agg(F.count("*").alias("targets"), F.count_if(has).alias("eligible"), F.avg(ok(1)).alias("top_1"), F.avg(ok(k)).alias("top_k"), F.avg(F.when(has, ok(1))).alias("eligible_top_1"), F.avg(F.when(has, ok(k))).alias("eligible_top_k"))
+
+
+def index_defects(left: DataFrame, right: DataFrame, position: str, key: str) -> DataFrame:
+    """(position, a, b) where two lists of ids, each with its own positions, do not hold the same id; also where one list has ended."""
+    a, b = left.select(position, F.col(key).alias("a")), right.select(position, F.col(key).alias("b"))
+    return a.join(b, position, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import cumulative
+
 
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts; 1 if there are none. A sum of log terms, so counts may be large."""
@@ -51,10 +52,16 @@ def class_means(df: DataFrame, by: str, *values: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(F.col(v).cast("double")).alias(v) for v in values))
 
 
+def average_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, value, rank): the mean rank of each distinct value within its group, counted range by range."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return cumulative(counts, value, "_c", *by).select(*by, value, (F.col("before") + (F.col("_c") + 1) / 2.0).alias("rank"))
+
+
 def spearman(df: DataFrame, a: str, b: str, *by: str, least: int = 10) -> DataFrame:
     """Rank correlation with average ranks, by group; null below ``least`` rows or without variance."""
-    rank = lambda c: F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2.0
-    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, rank(a).alias("x"), rank(b).alias("y"))
+    some = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    r = some.join(average_ranks(some, a, *by).withColumnRenamed("rank", "x"), [*by, a]).join(average_ranks(some, b, *by).withColumnRenamed("rank", "y"), [*by, b])
     g = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
     return g.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 

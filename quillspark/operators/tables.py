@@ -49,18 +49,47 @@ def cumulative_share(counts: DataFrame, key: str, count: str = "count") -> DataF
     return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc(count), key))).withColumn("share", F.sum(count).over(w) / F.sum(count).over(W.partitionBy()))
 
 
-def distribution(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Count, least, mean, exact percentiles with linear interpolation, greatest."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("greatest")).select(*by, "n", "least", "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95"))), "greatest")
+def cumulative(counts: DataFrame, value: str, n: str, *by: str, cuts: int = 64) -> DataFrame:
+    """counts (by, value, n) with ``before``: the sum of n over the smaller values of the group.
+
+    Values are cut into ranges at approximate quantiles, so a group is ordered in many tasks and no task
+    holds more than a range; the ranges only place work.
+    """
+    at = counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / cuts for k in range(1, cuts)], 0.002)
+    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(at)))), lambda x: x <= F.col(value).cast("double"))) if at else F.lit(0)
+    c = counts.withColumn("_part", part)
+    before = lambda w: F.coalesce(F.sum(F.col("_n")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = c.groupBy(*by, "_part").agg(F.sum(n).alias("_n")).select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_part").alias("_p2"), before(W.partitionBy(*by).orderBy("_part")).alias("_lead"))  # cuts rows a group
+    on = F.col("_part") == F.col("_p2")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    inside = before(W.partitionBy(*by, "_part").orderBy(value))
+    return c.withColumn("_n", F.col(n)).join(sums, on).withColumn("before", F.col("_lead") + inside).select(*counts.columns, "before")
+
+
+def distribution(df: DataFrame, value: str, *by: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Count, least, mean, exact percentiles with linear interpolation, greatest. The percentiles are order statistics of value counts."""
+    shares = shares or {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    some = df.where(F.col(value).isNotNull())
+    counts = some.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min(value).alias("least"), (F.sum(F.col(value).cast("double") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max(value).alias("greatest"))
+    upto = cumulative(counts, value, "_c", *by)
+    rows = upto.join(total.select(*by, "n"), list(by)) if by else upto.crossJoin(total.select("n"))  # one row
+    pos = {k: (F.col("n") - 1) * p for k, p in shares.items()}
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("_c")), F.col(value).cast("double")))
+    ends = rows.groupBy(*by, "n").agg(*(at(f(x)).alias(f"{k}_{e}") for k, x in pos.items() for e, f in (("a", F.floor), ("b", F.ceil))))
+    found = ends.select(*by, *((F.col(f"{k}_a") + (F.col(f"{k}_b") - F.col(f"{k}_a")) * (x - F.floor(x))).alias(k) for k, x in pos.items()))
+    out = total.join(found, list(by)) if by else total.crossJoin(found)  # one row
+    return out.select(*by, "n", "least", "mean", *shares, "greatest")
 
 
 def entropy(df: DataFrame, key: str, *by: str) -> DataFrame:
-    """Shannon entropy in nats and share of the most common value, by group."""
+    """Shannon entropy in nats and share of the most common value, by group: sums over value counts."""
     c = df.groupBy(*by, key).agg(F.count("*").alias("c"))
-    t = c.groupBy(*by).agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.collect_list("c").alias("cs"))  # one number a distinct value
-    p = F.transform("cs", lambda x: x / F.col("n"))
-    return t.select(*by, "n", (-F.aggregate(F.transform(p, lambda x: x * F.log(x + 1e-12)), F.lit(0.0), lambda s, v: s + v)).alias("entropy"), (F.col("top") / F.col("n")).alias("mode_share"))
+    t = c.groupBy(*by).agg(F.sum("c").alias("n"), F.max("c").alias("top"))
+    j = c.join(t, list(by)) if by else c.crossJoin(t)  # one row
+    p = F.col("c") / F.col("n")
+    return j.groupBy(*by, "n").agg((-F.sum(p * F.log(p + 1e-12))).alias("entropy"), F.max(F.col("top") / F.col("n")).alias("mode_share"))
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, values: list[str], value: str) -> DataFrame:
@@ -104,11 +133,11 @@ def first_seen(df: DataFrame, key: Column, position: str) -> DataFrame:
 def terciles(df: DataFrame, value: str, key: str) -> DataFrame:
     """low, mid or high by the order statistics at a third and two thirds; equal values share a bin.
 
-    The thresholds come from value counts, so nothing is sorted in one task but distinct values' sums.
+    The thresholds come from value counts that are ordered range by range.
     """
-    n = df.where(F.col(value).isNotNull()).count()
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy(value)))
+    n = counts.agg(F.sum("c").alias("n")).first()["n"] or 0
+    upto = cumulative(counts, value, "c").withColumn("upto", F.col("before") + F.col("c"))
     cut = upto.agg(F.min(F.when(F.col("upto") > n // 3, F.col(value))).alias("q1"), F.min(F.when(F.col("upto") > 2 * n // 3, F.col(value))).alias("q2"))
     return df.crossJoin(F.broadcast(cut)).select(key, value, F.when(F.col(value) <= F.col("q1"), "low").when(F.col(value) <= F.col("q2"), "mid").otherwise("high").alias("bin"))  # one row is sent
 
@@ -232,3 +261,64 @@ def coverage_groups(rows: DataFrame, key: str, before: str, after: str, n: int,
     group = F.when((F.col(before) < least) & (F.col(after) >= least), "A").when((F.col(before) >= least) & (F.col(after) >= least), "B")
     w = W.partitionBy("group").orderBy(hash_order(tag, key), key)
     return rows.withColumn("group", group).where("group is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select(key, "group")
+
+
+def first_n(df: DataFrame, position: str, n: int) -> DataFrame:
+    """The first n rows by position."""
+    return df.orderBy(position).limit(n)
+
+
+def first_per(df: DataFrame, structure: str, key: str, n: int, tag: str) -> DataFrame:
+    """n rows of each structure, first by hash order."""
+    w = W.partitionBy(structure).orderBy(hash_order(tag, key), key)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def top_structures(df: DataFrame, structure: str, top: int) -> DataFrame:
+    """Rows of the ``top`` most frequent structures, ties by name."""
+    best = df.groupBy(structure).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), structure).limit(top).select(structure)
+    return df.join(best, structure, "left_semi")
+
+
+def shared_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Ids in both; empty if the sets are disjoint."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def repeated_ids(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side) of ids in one set only: missing (only in a) or extra (only in b); empty if the sets are equal."""
+    x, y = a.select(key).distinct(), b.select(key).distinct()
+    return x.join(y, key, "left_anti").select(key, F.lit("missing").alias("side")).unionByName(y.join(x, key, "left_anti").select(key, F.lit("extra").alias("side")))
+
+
+def require_empty(faults: DataFrame, what: str, show: int = 5) -> None:
+    """Fail with the first faults if there are any: the assertion form of the three above."""
+    some = faults.limit(show).collect()  # show rows
+    if some:
+        raise AssertionError(f"{what}: {[tuple(r) for r in some]}")
+
+
+def split_profile(df: DataFrame, columns: list[str], valid: dict[str, Column], *by: str) -> DataFrame:
+    """By split: rows, missing values of each column, how many rows pass each test, and its rate among the rows; one pass."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    ok = lambda t: F.count_if(F.coalesce(t, F.lit(False)))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *(F.count_if(blank(c)).alias(f"missing_{c}") for c in columns), *(ok(t).alias(f"valid_{k}") for k, t in valid.items()), *((ok(t) / F.count("*")).alias(f"rate_{k}") for k, t in valid.items()))
+
+
+def shuffled_folds(df: DataFrame, key: str, k: int, tag: str, stratum: str | None = None) -> DataFrame:
+    """df with ``fold``: rows in hash order dealt in turn, within each stratum if one is named, so folds differ by one row at most.
+
+    The order is counted in parts of the hash, so no task holds a stratum.
+    """
+    h = F.conv(F.substring(hash_order(tag, key), 1, 15), 16, 10).cast("long")
+    s = F.lit("") if stratum is None else F.col(stratum).cast("string")
+    rows = df.withColumn("_h", h).withColumn("_s", s).withColumn("_part", F.shiftright("_h", 52))  # 256 parts
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("_s", "_part").agg(F.count("*").alias("_c")).select(F.col("_s").alias("_s2"), F.col("_part").alias("_p2"), F.coalesce(F.sum("_c").over(before(W.partitionBy("_s").orderBy("_part"))), F.lit(0)).alias("_lead"))
+    j = rows.join(sums, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_part") == F.col("_p2")))
+    n = F.col("_lead") + F.row_number().over(W.partitionBy("_s", "_part").orderBy("_h", key)) - 1
+    return j.withColumn("fold", (n % k).cast("int")).select(*df.columns, "fold")

@@ -9,6 +9,7 @@ from ..operators import abstractions as B
 from ..operators import metrics as E
 from ..operators import outcomes as O
 from ..operators import rendering as R
+from ..operators import retrieval as V
 from ..operators import selectors as L
 from ..operators import tables as T
 from ..shipping import ship
@@ -129,11 +130,11 @@ def g1(spark, sf_dir):
 
 
 def i12(spark, sf_dir):
-    """Positions at which two lists of ids disagree."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    a = d.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("a"))
-    b = d.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 50 == 7, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("b"))
-    return a.join(b, "pos").where("a <> b").select("pos", "a", "b")
+    """Two lists of ids that should stand in one order: by id, and as a side file has them after some rows were swapped and lost."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderkey").alias("row"))
+    moved = F.when(F.col("row") % 50 == 7, F.col("row") + 1).when(F.col("row") % 50 == 8, F.col("row") - 1).otherwise(F.col("row"))
+    side = o.where("row % 1000 <> 999").select("o_orderkey", moved.alias("row"))
+    return V.index_defects(o, side, "row", "o_orderkey").select("row", "a", F.coalesce("b", F.lit(-1)).alias("b"))
 
 
 def l3(spark, sf_dir):
@@ -165,7 +166,7 @@ ORACLES = {
     "h15_derivations": f"WITH {_O} SELECT o_orderkey, (['( O1 - O2 ) / O3', 'O1 / O2', 'O1 - O2', 'O1 + O2 + O3', '( ( O1 + O2 ) * O3 ) / O4', 'WORD'])[k + 1] AS tokens, (['subtract>divide', 'divide', 'subtract', 'add>add', 'add>multiply>divide', ''])[k + 1] AS ops, ([3, 2, 2, 3, 4, 0]::BIGINT[])[k + 1] AS operands, ([1, 0, 0, 0, 2, 0]::BIGINT[])[k + 1] AS depth, (['percent_change', 'ratio', 'difference', 'aggregation', 'division_composition', 'unparsed'])[k + 1] AS family FROM b",
     "h31_operand_coverage": f"WITH {_O}, w AS (SELECT o_orderkey, (t NOT IN (0, 1, 77, 100) AND t >= 10 AND NOT t BETWEEN 1900 AND 2099)::INT AS own, (o_orderkey % 2 = 0 OR t::VARCHAR LIKE '%77%')::INT AS more FROM b) SELECT o_orderkey, (own + 1)::BIGINT AS wanted, round((own + more) / (own + 1), 6) AS coverage FROM w",
     "i7_text_variants": "SELECT 'question_only' AS variant, role AS text, count(*) AS n FROM conversations GROUP BY ALL UNION ALL SELECT 'full_context', role || ' ' || turn, count(*) FROM conversations GROUP BY ALL",
-    "i12_index_defects": "SELECT doc_id AS pos, doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 50 = 7",
+    "i12_index_defects": "WITH s AS (SELECT o_orderkey, CASE o_orderkey % 50 WHEN 7 THEN o_orderkey + 1 WHEN 8 THEN o_orderkey - 1 ELSE o_orderkey END AS r FROM orders WHERE o_orderkey % 1000 <> 999) SELECT coalesce(o.o_orderkey, s.r) AS row, o.o_orderkey AS a, coalesce(s.o_orderkey, -1) AS b FROM orders o FULL JOIN s ON s.r = o.o_orderkey WHERE o.o_orderkey IS DISTINCT FROM s.o_orderkey",
     "k3_answer_metrics": "SELECT CASE o_orderkey % 5 WHEN 2 THEN 'multi-span' WHEN 3 THEN 'span' ELSE 'arithmetic' END AS kind, o_orderkey % 5 = 4 AS empty, CASE WHEN o_orderkey % 5 = 1 THEN 'percent' ELSE '' END AS gs, count(*) AS n, avg(CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN 1.0 ELSE 0.0 END) AS em, avg(CASE o_orderkey % 5 WHEN 3 THEN 0.5 WHEN 4 THEN 0.0 ELSE 1.0 END) AS f1, avg(CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE 1.0 END) AS scale_right FROM orders GROUP BY ALL",
     "m6_abstraction_checks": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'add,greater' ELSE '' END AS extra, CASE o_orderkey % 4 WHEN 1 THEN 'divide,subtract' WHEN 2 THEN 'divide,subtract' ELSE '' END AS missing, o_orderkey % 4 = 2 AS degenerate, o_orderkey % 4 <> 0 AS contaminated FROM orders",
     "m13_before_after": f"WITH {ARMS_SQL} SELECT CASE WHEN NOT none_ AND both_ THEN 'repaired' WHEN none_ AND NOT both_ THEN 'broken' WHEN none_ THEN 'unchanged_right' ELSE 'unchanged_wrong' END AS outcome, count(*) AS n FROM wide GROUP BY ALL",

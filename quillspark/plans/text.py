@@ -114,8 +114,7 @@ _SEQ = "s AS (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM event
 
 def h34(spark, sf_dir):
     a, b = _sequences(spark, sf_dir), _sequences(spark, sf_dir).select((F.col("user_id") - 1).alias("user_id"), F.col("s").alias("t"))
-    code = lambda c: F.array_join(F.transform(c, lambda x: F.left(x, F.lit(1))), "")
-    return a.join(b, "user_id").select("user_id", F.round(A.edit_similarity(code("s"), code("t")), 9).alias("alignment"), F.round(A.multiset_cosine(F.col("s"), F.col("t")), 9).alias("multiset"), F.round(A.jaccard(F.col("s"), F.col("t")), 9).alias("jaccard"), F.round(A.bag_f1(F.col("s"), F.col("t")), 9).alias("f1"), F.array_join(F.array_sort(F.array_except("s", "t")), ",").alias("extra"))
+    return a.join(b, "user_id").select("user_id", F.round(A.edit_similarity(F.col("s"), F.col("t")), 9).alias("alignment"), F.round(A.multiset_cosine(F.col("s"), F.col("t")), 9).alias("multiset"), F.round(A.jaccard(F.col("s"), F.col("t")), 9).alias("jaccard"), F.round(A.bag_f1(F.col("s"), F.col("t")), 9).alias("f1"), F.array_join(F.array_sort(F.array_except("s", "t")), ",").alias("extra"))
 
 
 def h38(spark, sf_dir):

@@ -100,3 +100,31 @@ def publish(spark: SparkSession, df: DataFrame, path: str, check=None) -> None:
     finally:
         if fs.exists(hp(stage)):
             fs.delete(hp(stage), True)
+
+
+def write_json_document(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A bounded result as one JSON document: keys in order, two blanks of indent, a line end at the end; more than ``most`` rows are refused."""
+    rows = [r[0] for r in canonical_json(df).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a document holds {most} rows at most; write JSON lines")
+    text = json.dumps([json.loads(r) for r in rows], indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    jvm = df.sparkSession._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_dead_letters(bad: DataFrame, path: str, stage: str) -> int:
+    """Append rows that failed, with the stage they failed in; returns how many. Spark's commit keeps writers apart."""
+    rows = bad.select(F.lit(stage).alias("stage"), F.to_json(F.struct(*sorted(bad.columns))).alias("record"))
+    rows.write.mode("append").json(path)
+    return bad.count()
+
+
+def write_vectors(df: DataFrame, path: str, id_col: str, vec_col: str) -> DataFrame:
+    """Write (id, vector) and read it back, so that what is searched is what is stored: ids and vectors stay in one row."""
+    df.select(F.col(id_col).alias(id_col), F.transform(vec_col, lambda x: x.cast("float")).alias(vec_col)).write.mode("overwrite").parquet(path)
+    return read_vectors(df.sparkSession, path, id_col, vec_col)
