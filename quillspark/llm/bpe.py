@@ -41,8 +41,8 @@ from .textkit import CHUNK, groups, ragged
 
 #: Bytes of a chunk: at least LEAST, and MEAN more on average (a power of two) until the rolling hash cuts.
 LEAST, MEAN = 64, 256
-#: Bytes of chunks and windows that a worker remembers; beyond that it forgets all and goes on.
-MEMO_BYTES = 24 << 20
+#: Bytes of chunks and windows, and pieces, that a worker remembers; beyond that it forgets all and goes on.
+MEMO_BYTES, MEMO_PIECES = 12 << 20, 200_000
 #: Characters that surely begin a word after white space: ASCII signs and letters, letters of two bytes, ideographs and Hangul.
 _SOLID = np.zeros(256, bool)
 _SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xCC), *range(0xD0, 0xD6), *range(0xE4, 0xEE)]] = True
@@ -90,7 +90,7 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_str(json.dumps(spec))
         odd = any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         self.whole = odd or not spec["pre_tokenizer"]
-        self.pieces = PieceEncoder(path, False) if family(path) == "bytes" else None
+        self.pieces = PieceEncoder(path, False, MEMO_PIECES) if family(path) == "bytes" else None
         self.bytes = ByteDecoder(path).len if self.pieces else None
         self.least, self.mean = least, mean
         self.made = self.reused = self.repaired = self.merged = 0

@@ -55,13 +55,14 @@ def family(path: str) -> str | None:
 class PieceEncoder:
     """Encodes texts by pieces; ``drops``: the tokenizer drops white space, so a piece is keyed without the gap it begins with."""
 
-    def __init__(self, path: str, drops: bool) -> None:
+    def __init__(self, path: str, drops: bool, pieces: int | None = None) -> None:
+        """pieces: how many to remember, MEMO_PIECES by default."""
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.drops = drops
+        self.drops, self.most = drops, pieces
         self.forget()
 
     def forget(self) -> None:
@@ -110,7 +111,7 @@ class PieceEncoder:
             if not len(buf):
                 yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64), buf
                 continue
-            if len(self.place) > MEMO_PIECES or self.used > MEMO_IDS:
+            if len(self.place) > (self.most or MEMO_PIECES) or self.used > MEMO_IDS:
                 self.forget()
             s = self.cuts(buf, off)
             e = np.append(s[1:], len(buf))

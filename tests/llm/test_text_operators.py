@@ -96,6 +96,7 @@ def test_ngram_components_of_chains(spark, monkeypatch, few, block, ordered):
     monkeypatch.setattr(ngramjoin, "FEW", few)
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     monkeypatch.setattr(ngramjoin, "ORDERED", ordered)
+    monkeypatch.setattr(ngramjoin, "SHINGLES", 60)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     head = [word() for _ in range(6)]
@@ -238,6 +239,7 @@ def test_equal_chunks_are_encoded_once():
 @pytest.mark.parametrize("kind", ["chunks", "pieces"])
 def test_encoders_forget_and_go_on(monkeypatch, kind):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 40)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 2)
     monkeypatch.setattr(pieces, "MEMO_PIECES", 3)
     monkeypatch.setattr(bpe, "CHUNK", 16)
     monkeypatch.setattr(pieces, "CHUNK", 16)
