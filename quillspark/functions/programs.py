@@ -39,14 +39,14 @@ def parse_linear_coded(program: Column) -> Column:
     Parts stand between top-level ``, `` and all text must be used up.
     """
     text = F.ltrim(program)
-    parts = F.split(text, r"(?<=\)), |, (?=, )|^, |, $", -1)
+    parts = F.split(text, r"(?<=\)), ", -1)
     args = lambda p: F.transform(F.split(F.regexp_extract(p, r"^[^(]*\((.*)\)$", 1), ", "), lambda a: F.trim(a))
     rows = F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, r"^([a-z_]+)\(", 1).alias("op"), args(p).alias("args"), i.alias("i"), p.alias("p")))
 
     def fault(r: Column) -> Column:
         back = lambda x: ~x.startswith("#") | F.coalesce(x.rlike("^#[0-9]+$") & (F.substring(x, 2, 9).try_cast("int") < r["i"]), F.lit(False))
         return (
-            F.when(F.trim(r["p"]) == "", "part")
+            F.when((F.trim(r["p"]) == "") | r["p"].startswith(","), "part")
             .when(~r["p"].rlike(r"^[^()]+\([^()]*\)$"), "form")
             .when(~r["op"].isin(*OPS, *TABLE_OPS), "operator")
             .when((F.size(r["args"]) != 2) | F.exists(r["args"], lambda a: a == ""), "arity")
@@ -180,7 +180,7 @@ def execute(steps: Column, table: Column | None = None, known_rows: Column | Non
 
 def answer(run: Column) -> Column:
     """Last value rounded to five places, or null."""
-    return F.when(run["ok"], F.round(F.element_at(run["vals"], -1), 5))
+    return F.when(run["ok"], F.round(F.try_element_at(run["vals"], F.lit(-1)), 5))
 
 
 def template(steps: Column) -> Column:

@@ -107,10 +107,13 @@ def support(outcomes: DataFrame, base: str = "both") -> DataFrame:
 
 def transfer(outcomes: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
     """Leave one replicate out: each sample's best arm on the others (ties: the arm better overall, then by name), scored on the one left out."""
-    folds = outcomes.select(F.col("replicate").alias("fold")).distinct()
-    kept = outcomes.crossJoin(F.broadcast(folds)).where("replicate <> fold")  # one row a replicate is sent
-    per = kept.groupBy("fold", "sample_id", "arm").agg(F.avg(hit()).alias("score"))
-    overall = kept.groupBy("fold", "arm").agg(F.avg(hit()).alias("prior"))
+    # scores on the other replicates are sums over all less the one left out, so nothing is copied once a fold
+    own = outcomes.groupBy("sample_id", "arm", "replicate").agg(F.sum(hit()).alias("h"), F.count("*").alias("c"))
+    every = own.groupBy("sample_id", "arm").agg(F.sum("h").alias("hs"), F.sum("c").alias("cs"))
+    per = own.join(every, ["sample_id", "arm"]).where("cs > c").select(F.col("replicate").alias("fold"), "sample_id", "arm", ((F.col("hs") - F.col("h")) / (F.col("cs") - F.col("c"))).alias("score"))
+    runs = own.groupBy("arm", "replicate").agg(F.sum("h").alias("h"), F.sum("c").alias("c"))
+    arms_ = runs.groupBy("arm").agg(F.sum("h").alias("hs"), F.sum("c").alias("cs"))
+    overall = runs.join(arms_, "arm").where("cs > c").select(F.col("replicate").alias("fold"), "arm", ((F.col("hs") - F.col("h")) / (F.col("cs") - F.col("c"))).alias("prior"))
     rank = W.partitionBy("fold", "sample_id").orderBy(F.desc("score"), F.desc("prior"), "arm")
     pick = per.join(overall, ["fold", "arm"]).withColumn("r", F.row_number().over(rank)).where("r = 1").select(F.col("fold").alias("replicate"), "sample_id", "arm")
     got = pick.join(outcomes, ["replicate", "sample_id", "arm"])

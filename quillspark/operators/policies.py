@@ -22,17 +22,21 @@ GATES = (0.4, 0.5, 0.6, 0.7, 0.8)
 LAMBDAS = (1.0, 1.5, 2.0, 3.0)
 
 
+def _top(scores: dict[str, Column]) -> Column:
+    low = F.lit(float("-inf"))
+    return F.greatest(low, low, *(F.coalesce(s, low) for s in scores.values()))
+
+
 def best_arm(scores: dict[str, Column], prior: tuple[str, ...]) -> Column:
     """The arm of the highest score; ties go to the arm that stands first in ``prior``. Null scores never win."""
-    top = F.greatest(*(F.coalesce(s, F.lit(float("-inf"))) for s in scores.values()))
+    top = _top(scores)
     return F.coalesce(*(F.when(scores[a] == top, F.lit(a)) for a in prior if a in scores))
 
 
 def by_delta(deltas: dict[str, Column], threshold: Column | float, base: str, prior: tuple[str, ...]) -> Column:
     """The arm of the largest predicted gain over the base if that exceeds the threshold, else the base."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    top = F.greatest(*(F.coalesce(d, F.lit(float("-inf"))) for d in deltas.values()))
-    return F.when(top > t, best_arm(deltas, prior)).otherwise(F.lit(base))
+    return F.when(_top(deltas) > t, best_arm(deltas, prior)).otherwise(F.lit(base))
 
 
 def by_gain_and_harm(gain: dict[str, Column], harm: dict[str, Column], lam: Column | float, threshold: Column | float, base: str, prior: tuple[str, ...]) -> Column:
@@ -82,13 +86,13 @@ def selector_metrics(df: DataFrame, predicted: str, actual: str, harmful: str) -
 
 
 def regress(train: DataFrame, test: DataFrame, features: str, target: str, model: str = "ridge") -> DataFrame:
-    """test with ``y``: a regression of the target on an open feature map; ``ridge`` or ``tree``."""
+    """test with ``predicted``: a regression of the target on an open feature map; ``ridge`` or ``tree``."""
     names = vocabulary(train, features)
     tr, te = (vectorize(x, features, names) for x in (train, test))
     scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=False, withStd=True).fit(tr)
     tr = scale.transform(tr).withColumn("_y", F.col(target).cast("double"))
-    est = LinearRegression(featuresCol="_x", labelCol="_y", regParam=1.0, elasticNetParam=0.0, predictionCol="y") if model == "ridge" else DecisionTreeRegressor(featuresCol="_x", labelCol="_y", maxDepth=4, seed=7, predictionCol="y")
-    return est.fit(tr).transform(scale.transform(te)).select(*test.columns, "y")
+    est = LinearRegression(featuresCol="_x", labelCol="_y", regParam=1.0, elasticNetParam=0.0, predictionCol="predicted") if model == "ridge" else DecisionTreeRegressor(featuresCol="_x", labelCol="_y", maxDepth=4, seed=7, predictionCol="predicted")
+    return est.fit(tr).transform(scale.transform(te)).select(*test.columns, "predicted")
 
 
 def classify(train: DataFrame, test: DataFrame, features: str, label: str, model: str = "tree") -> DataFrame:

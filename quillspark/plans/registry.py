@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audits, details, evaluation, more, outcomes, programs, retrieval, stats, tables, text
+from . import audits, details, evaluation, more, outcomes, programs, retrieval, stats, surface, tables, text
 
-_MODULES = (retrieval, audits, details, evaluation, more, outcomes, tables, text, programs, stats)
+_MODULES = (retrieval, surface, audits, details, evaluation, more, outcomes, tables, text, programs, stats)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

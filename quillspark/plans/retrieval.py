@@ -60,7 +60,7 @@ def d34(spark, sf_dir):
 def i4(spark, sf_dir):
     v = _v(spark, sf_dir)
     mean = R.centroids(v.select("label", unit(F.col("vector")).alias("vector")), "label", "vector")
-    fam = R.raw_cosine(_q(v).crossJoin(F.broadcast(mean)), "vector", "centroid")  # one row a label is sent
+    fam = R.raw_cosine(_q(v).crossJoin(mean), "vector", "centroid")  # every strategy is rated for every query
     fam = fam.select(F.col("label").alias("strategy_id"), F.col("label").alias("family"), "target_id", F.round("cosine", 7).alias("cosine"))
     return R.anchored(R.top_k(_q(v), _s(v), 8), v.select(F.col("vec_id").alias("source_id"), F.col("label").alias("struct")), fam)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where all runs on this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quill-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = True) -> DataFrame:
     """JSON Lines or whole JSON documents with a declared schema; malformed records fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
