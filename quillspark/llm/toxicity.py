@@ -1,8 +1,9 @@
 """Toxicity: boosted trees over dense features of a text, calibrated by isotonic regression.
 
 The lexicon has a fixed English part and a learned part: words and word beginnings that labelled toxic
-texts hold far more often than others, kept as weights by hash. The learned part comes from one half of
-the sample, trees and calibration from the other, so the trees see the lexicon as it meets new texts.
+texts hold far more often than others, kept as weights by hash. The sample is halved: a text's features
+for the trees come from the lexicon of the other half, and the margins that isotonic regression is
+fitted on from trees of the other half; the lexicon and the trees that score are those of all rows.
 """
 
 from __future__ import annotations
@@ -177,16 +178,21 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
+    """Lexicon, trees and calibration, each from all rows; what one step tells the next comes from the half that the row is not in."""
+
     def __init__(self, texts: pa.Array, y: np.ndarray) -> None:
-        part = np.random.default_rng(11).random(len(y))
-        a, b = np.flatnonzero(part < 0.5), np.flatnonzero(part >= 0.5)
-        self.lexicon = learn_lexicon(texts.take(pa.array(a)), y[a])
-        x, y = self._features(texts.take(pa.array(b))), y[b]
-        fit = part[b] < 0.85
-        self.trees = BoostedTrees().fit(x[fit], y[fit])
-        m = self.trees.margin(x[~fit])
+        part = np.random.default_rng(11).random(len(y)) < 0.5
+        halves = [np.flatnonzero(part), np.flatnonzero(~part)]
+        turns = (halves, halves[::-1])
+        x, margin = np.zeros((len(y), len(FEATURES))), np.zeros(len(y))
+        for own, other in turns:  # features by a lexicon that has not seen the text, as with new texts
+            self.lexicon = learn_lexicon(texts.take(pa.array(own)), y[own])
+            x[other] = self._features(texts.take(pa.array(other)))
+        for own, other in turns:
+            margin[other] = BoostedTrees().fit(x[own], y[own]).margin(x[other])
+        self.trees, self.lexicon = BoostedTrees().fit(x, y), learn_lexicon(texts, y)
         # two made-up calibration rows keep the ends off 0 and 1 and a table without labels defined
-        self.at, self.value = isotonic(np.concatenate([[-9.0, 9.0], m]), np.concatenate([[0, 1], y[~fit]]).astype(float))
+        self.at, self.value = isotonic(np.concatenate([[-9.0, 9.0], margin]), np.concatenate([[0, 1], y]).astype(float))
 
     def _features(self, texts: pa.Array) -> np.ndarray:
         return np.concatenate([np.zeros((0, len(FEATURES))), *(features(buf, off, self.lexicon) for _, _, buf, off in groups(texts))])
