@@ -167,19 +167,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full result over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher = digest) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each input row.
+
+    Null texts count as empty, rows are in the order of ``with_next``. Equal canonical texts have equal
+    fingerprints, whether they stand in the table or come about by the edit, and different ones have
+    different fingerprints: where a digest turns out to belong to several texts (by bytes within the
+    table, by their SHA-256 with the edited ones) each of them gets its longer form.
+    """
 
     def work(ids: pa.Array, texts: list[str], after: list[str]) -> Iterator[pa.RecordBatch]:
         changed = [edited(a, b) for a, b in zip(texts, after, strict=True)]
         plain, new, nxt = [canonical(x) for x in texts], [canonical(x) for x in changed], canonical(after[-1])
-        follow = [*plain[1:], nxt]
+        follow, sha = [*plain[1:], nxt], lambda x: hashlib.sha256(x).digest()
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]), pa.array([digest(x) for x in plain]), pa.array([digest(x) for x in new]), pa.array([float(a == b) for a, b in zip(plain, new, strict=True)]), pa.array([float(a == b) for a, b in zip(plain, follow, strict=True)])],
-            names=names,
+            [ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]), pa.array([hasher(x) for x in plain]), pa.array([hasher(x) for x in new]), pa.array([float(a == b) for a, b in zip(plain, new, strict=True)]), pa.array([float(a == b) for a, b in zip(plain, follow, strict=True)]), pa.array(list(map(sha, plain)), pa.binary()), pa.array(list(map(sha, new)), pa.binary())],
+            names=[*names, "sha", "new_sha"],
         )
 
-    marks = park(with_next(docs, work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
-    return settled(marks, resolve(marks.select("doc_id", "fingerprint"), docs))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    marks = park(with_next(docs, work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha binary, new_sha binary", id_col, text_col))
+    odd = resolve(marks.select("doc_id", "fingerprint"), docs, id_col, text_col, hasher).select("fingerprint")
+    both = marks.select("fingerprint", "sha").unionByName(marks.select(F.col("edited_fingerprint").alias("fingerprint"), F.col("new_sha").alias("sha")))
+    shared = park(both.groupBy("fingerprint").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("fingerprint").unionByName(odd).distinct())
+    if shared.isEmpty():  # no digest belongs to two texts
+        return marks.select(*names)
+    long = lambda f, sha_: F.concat_ws("-", f, F.lower(F.hex(sha_)))
+    for f, sha_ in (("fingerprint", "sha"), ("edited_fingerprint", "new_sha")):
+        marks = marks.join(shared.select(F.col("fingerprint").alias("_f"), F.lit(True).alias("_several")), F.col(f) == F.col("_f"), "left").withColumn(f, F.when(F.col("_several"), long(F.col(f), F.col(sha_))).otherwise(F.col(f))).drop("_f", "_several")
+    return marks.select(*names)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edited_fingerprints`` of all ``documents``."""
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -378,6 +378,19 @@ def test_op4_equals_brute_force(spark, small, tmp_path):
         assert len(set(same.values())) == len(same)
 
 
+def test_edited_fingerprints_where_digests_collide(spark):
+    """With a digest that is the text's length, equal fingerprints still mean equal texts, edited ones included."""
+    texts = ["abcdabcd", "efghefgh", "abcdabef", "zz", "abcdabcd", "", "yy", "ABCDabcd"]
+    rows = sorted(((i, t, "s") for i, t in enumerate(texts)))
+    got = fingerprints.edited_fingerprints(frame(spark, rows), hasher=lambda x: str(len(x))).collect()
+    same: dict = {}
+    for r in got:
+        t, nxt = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        for plain, f in ((t, r.fingerprint), (fingerprints.edited(t, nxt), r.edited_fingerprint)):
+            assert same.setdefault(fingerprints.canonical(plain), f) == f
+    assert len(got) == len(texts) and len(set(same.values())) == len(same)
+
+
 def test_op2_equals_the_library(spark, small):
     path = public.path("word_bpe_49k.json")
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
