@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import arrow_rows, give_back, lean
 from .pieces import PieceEncoder, family
 from .textkit import CHUNK, groups, ragged
 
@@ -78,20 +78,27 @@ def cut_points(buf: np.ndarray, off: np.ndarray, least: int = LEAST, mean: int =
     return out
 
 
+def plain_tokenizer(spec: dict):
+    """The library's tokenizer without truncation, padding and post-processor, which only adds special tokens and trims offsets."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "post_processor": None}))
+
+
 class ChunkEncoder:
     """Encodes texts with one tokenizer file as the library does; keeps what it has encoded."""
 
     def __init__(self, path: str, least: int = LEAST, mean: int = MEAN) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        spec |= {"truncation": None, "padding": None, "post_processor": None}  # a post-processor only adds special tokens and trims offsets
-        self.tok = Tokenizer.from_str(json.dumps(spec))
         odd = any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         self.whole = odd or not spec["pre_tokenizer"]
-        self.pieces = PieceEncoder(path, False, MEMO_PIECES) if family(path) == "bytes" else None
-        self.bytes = ByteDecoder(path).len if self.pieces else None
+        known = family(spec) == "bytes"
+        self.pieces = PieceEncoder(path, False, MEMO_PIECES) if known else None
+        self.bytes = decoder(path).len if known else None
+        self.tok = None if known else plain_tokenizer(spec)
+        del spec
+        give_back()
         self.least, self.mean = least, mean
         self.made = self.reused = self.repaired = self.merged = 0
         self.forget()
@@ -278,7 +285,8 @@ def encoder(path: str) -> ChunkEncoder:
 @lru_cache(4)
 def fast_encoder(path: str) -> PieceEncoder | ChunkEncoder:
     """As ``encoder``; by pieces alone where the file's family is known."""
-    kind = family(path)
+    with open(path, encoding="utf-8") as f:
+        kind = family(json.load(f))
     return PieceEncoder(path, kind == "words") if kind else encoder(path)
 
 
@@ -314,7 +322,7 @@ def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = N
                 cols = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(at), pa.int64()), text], names=[*keep, "ids", "n_tokens", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -333,7 +341,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = [hashlib.sha256(data[x:y] if plain is not None else data[x:y].tobytes().decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(out)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _valid(data: np.ndarray, off: np.ndarray) -> bool:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -13,15 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def give_back() -> None:
-    """Return freed memory to the system, so what a fit took does not stay with the driver."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

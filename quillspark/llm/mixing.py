@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, park
+from .common import arrow_rows, lean, park
 from .textkit import groups, words
 
 #: Weights of the sources in code-point order, repeating; share of all sizes that is taken; most repeats of a source.
@@ -52,7 +52,7 @@ def measured(docs: DataFrame, text_col: str, *names: str) -> DataFrame:
                 weight.append(0.05 + np.where(n > 0, 0.95 * (1 - np.minimum(1.0, 8.0 * odd / np.maximum(n, 1))), 0.0))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(weight), pa.float64())], names=[*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def uniform(id_col: Column, seed: str) -> Column:

@@ -10,7 +10,6 @@ no such assumption and is used for all other files.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -37,10 +36,8 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ",.;:!?"]] = True
 
 
-def family(path: str) -> str | None:
-    """``bytes`` or ``words`` for a file of a known family, else None."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def family(spec: dict) -> str | None:
+    """``bytes`` or ``words`` for what stands in a file of a known family, else None."""
     if spec["model"].get("type") != "BPE" or any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
         return None
     kinds = lambda x, many: [x["type"], *(y["type"] for y in x.get(many, ()))] if x else []

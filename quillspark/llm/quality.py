@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import give_back, remainder, sample
+from .common import give_back
+from .labelled import remainder, sample
 from .textkit import SPACE, U64, groups, mix, span_hashes, words
 from .toxicity import score_texts
 

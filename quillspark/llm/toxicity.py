@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
-from .labelled import give_back, remainder, sample
+from .common import arrow_rows, give_back, lean
+from .labelled import remainder, sample
 from .textkit import U64, groups, span_hashes, words
 
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting vile filthy ugly jerk creep freak fool imbecile cretin dimwit halfwit bastard pig swine vermin parasite maggot hate hateful kill die shut crap damn suck sucks".split()
@@ -215,7 +215,7 @@ def score_texts(docs: DataFrame, model: object, text_col: str, column: str) -> D
             parts = [sent.value.score(buf, off) for _, _, buf, off in groups(b.column(text_col))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())], names=[*keep, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
