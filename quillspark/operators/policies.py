@@ -112,7 +112,7 @@ def gain_and_harm(df: DataFrame, features: str, group: str, arms: tuple[str, ...
     """df with out-of-fold chances ``gain_a`` and ``harm_a`` of every arm against the base."""
     for a in arms:
         for name, label in ((f"gain_{a}", F.col(a) & ~F.col(base)), (f"harm_{a}", ~F.col(a) & F.col(base))):
-            df = cross_validated(df.withColumn("_label", label), features, "_label", group, k, model).withColumnRenamed("p", name).drop("_label", "fold")
+            df = cross_validated(df.withColumn("_label", label), features, "_label", group, k, model).withColumnRenamed("p", name).drop("_label", "fold").persist()  # each fit would compute all before it anew
     return df
 
 
@@ -124,7 +124,7 @@ def nested(df: DataFrame, features: str, group: str, arms: tuple[str, ...], base
     all that is outside the fold.
     """
     folds = group_folds(df, group, outer).withColumnRenamed(group, "_group")
-    folded = df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumnRenamed("fold", "_outer")
+    folded = df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumnRenamed("fold", "_outer").persist()
     prior, out = (base, *arms), None
     chances = lambda lam, t: by_gain_and_harm({a: F.col(f"gain_{a}") for a in arms}, {a: F.col(f"harm_{a}") for a in arms}, lam, t, base, prior)
     grid = [{"lam": x, "threshold": t} for x in lambdas for t in thresholds] + [{"lam": 0.0, "threshold": 9.0}]
@@ -136,7 +136,7 @@ def nested(df: DataFrame, features: str, group: str, arms: tuple[str, ...], base
         lam, t = map(float, pick["name"].split("|"))
         for a in arms:
             for name, label in ((f"gain_{a}", F.col(a) & ~F.col(base)), (f"harm_{a}", ~F.col(a) & F.col(base))):
-                test = classify(train.withColumn("_label", label), test, features, "_label", model).withColumnRenamed("p", name)
+                test = classify(train.withColumn("_label", label), test, features, "_label", model).withColumnRenamed("p", name).persist()
         part = test.withColumn("chosen", chances(lam, t)).select(*df.columns, "chosen")
         out = part if out is None else out.unionByName(part)
     return out
