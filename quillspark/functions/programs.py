@@ -429,3 +429,20 @@ def _canonical(steps: list[dict]) -> str:
 def canonical_form(steps: pd.Series) -> pd.Series:
     """One text for programs that are equal up to the order of operands of add and multiply; null for null."""
     return pd.Series([None if s is None else _canonical([x if isinstance(x, dict) else x.asDict() for x in s]) for s in steps], dtype=object)
+
+
+#: Tokens that every program shares, in the order of their numbers.
+VOCABULARY = ["EOF", "UNK", "GO", ")", *(f"{o}(" for o in (*OPS, *TABLE_OPS)), "const_1", "const_2", "const_3", "const_4", "const_5", "const_6", "const_7", "const_8", "const_9", "const_10", "const_100", "const_1000", "const_10000", "const_100000", "const_1000000", "const_10000000", "const_1000000000", "const_m1", "#0", "#1", "#2", "#3", "#4", "#5", "#6", "#7", "#8", "#9", "#10", "none"]
+
+
+def token_indices(tokens: Column, numbers: Column) -> Column:
+    """Numbers of a program's tokens: those of the shared vocabulary, then those of the record's own numbers (array of texts); unknown tokens are UNK."""
+    shared = F.array(*map(F.lit, VOCABULARY))
+    at = lambda arr, t: F.nullif(F.array_position(arr, t), F.lit(0).cast("long")) - 1
+    return F.transform(tokens, lambda t: F.coalesce(at(shared, t), at(numbers, t) + len(VOCABULARY), F.lit(VOCABULARY.index("UNK")).cast("long")))
+
+
+def tokens_of_indices(indices: Column, numbers: Column) -> Column:
+    """The tokens again; an index beyond the record's numbers is null."""
+    shared = F.array(*map(F.lit, VOCABULARY))
+    return F.transform(indices, lambda i: F.when(i < len(VOCABULARY), F.get(shared, i.cast("int"))).otherwise(F.get(numbers, (i - len(VOCABULARY)).cast("int"))))

@@ -213,6 +213,13 @@ def i11(spark, sf_dir):
     return V.encoding_faults(stored, e, "doc_id")
 
 
+def i2(spark, sf_dir):
+    """Texts encoded and searched: the three nearest documents of each hundredth one."""
+    e = _encoded(spark, sf_dir).where("exists(vector, x -> x <> 0)").withColumn("grp", F.lit(0))
+    found = V.top_k(e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("target_id"), "vector", "grp"), e.select(F.col("doc_id").alias("source_id"), "vector", "grp"), 3, 5)
+    return found.select("target_id", "rank", F.round("score", 5).alias("score"))
+
+
 def i9(spark, sf_dir):
     """Family hits of two rankings of strategies."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("target_id"), F.col("l_linenumber").cast("long").alias("rank"), F.col("l_returnflag").alias("family")).distinct()
@@ -257,7 +264,7 @@ def l9(spark, sf_dir):
     return m.select(*(F.round(x, 9).alias(x) for x in m.columns))
 
 
-QUERIES = {"a15_hashed_vectors": a15, "c9_averaged_pairs": c9, "c12_marked": c12, "d9_exclusive_ids": _q(O.exclusive_ids), "d11_funnel": d11, "d12_failures": d12, "d15_running_mean": d15, "d16_tallies": d16, "d35_family_audit": d35, "d41_family_gains": _q(lambda a: O.family_gains(a, "grp")), "d42_drill_down": d42, "f10_budget_plan": f10, "f12_best_method": f12, "f14_coverage_groups": f14, "h20_html_markdown": h20, "i9_family_hits": i9, "i11_encoding_faults": i11, "l5_delta_thresholds": l5, "l6_gain_harm_grid": l6, "l7_gate": l7, "l9_selector_metrics": l9, "m3_case_violations": m3, "m5_preserved": m5, "m9_label_leaks": m9, "m10_total_faults": m10, "m11_strategy_faults": m11, "m12_truncation": m12, "n3_case_records": n3, "n7_numeric_features": n7, "o3_called": o3, "o5_parsed": o5, "o6_arms": o6, "o7_regenerated": o7}
+QUERIES = {"a15_hashed_vectors": a15, "c9_averaged_pairs": c9, "c12_marked": c12, "d9_exclusive_ids": _q(O.exclusive_ids), "d11_funnel": d11, "d12_failures": d12, "d15_running_mean": d15, "d16_tallies": d16, "d35_family_audit": d35, "d41_family_gains": _q(lambda a: O.family_gains(a, "grp")), "d42_drill_down": d42, "f10_budget_plan": f10, "f12_best_method": f12, "f14_coverage_groups": f14, "h20_html_markdown": h20, "i2_text_search": i2, "i9_family_hits": i9, "i11_encoding_faults": i11, "l5_delta_thresholds": l5, "l6_gain_harm_grid": l6, "l7_gate": l7, "l9_selector_metrics": l9, "m3_case_violations": m3, "m5_preserved": m5, "m9_label_leaks": m9, "m10_total_faults": m10, "m11_strategy_faults": m11, "m12_truncation": m12, "n3_case_records": n3, "n7_numeric_features": n7, "o3_called": o3, "o5_parsed": o5, "o6_arms": o6, "o7_regenerated": o7}
 _STATUS = "s AS (SELECT o_orderkey, CASE WHEN c % 2 = 0 THEN 'case' ELSE 'none' END AS arm, CASE k WHEN 1 THEN 'no_program' WHEN 3 THEN 'exec_fail' WHEN 5 THEN 'parse_fail' WHEN 7 THEN 'parse_fail' ELSE CASE WHEN CASE k WHEN 0 THEN (t - 100) / 2 WHEN 2 THEN list_max(qs) + t WHEN 4 THEN (t > c)::INT ELSE list_avg(qs) * 0.5 END > 10 THEN 'success' ELSE 'wrong_result' END END AS status FROM p)"
 _HASH = "sha256('{tag}|' || o_orderkey)"
 _CH = ", ch AS (SELECT sample_id, case_, strategy_, both_, (sample_id * 13 + 5) % 97 / 97.0::DOUBLE AS gc, (sample_id * 29 + 1) % 97 / 97.0::DOUBLE AS gs, (sample_id * 41 + 7) % 97 / 97.0::DOUBLE AS hc, (sample_id * 53 + 2) % 97 / 97.0::DOUBLE AS hs FROM wide WHERE replicate = 0)"
@@ -278,6 +285,7 @@ ORACLES = {
     "f12_best_method": arms_sql("SELECT arm FROM (SELECT arm, round(avg(correct::INT), 2) AS e, avg((tokens % 3 = 0)::INT) AS o FROM arms GROUP BY arm) ORDER BY e DESC, o DESC, arm LIMIT 1"),
     "f14_coverage_groups": f"WITH {_ORDERS}, g AS (SELECT o_orderkey, CASE WHEN t % 10 < 5 THEN 'A' ELSE 'B' END AS \"group\" FROM o WHERE c % 10 >= 5) SELECT o_orderkey, \"group\" FROM g QUALIFY row_number() OVER (PARTITION BY \"group\" ORDER BY {_HASH.format(tag='cover')}, o_orderkey) <= 12",
     "h20_html_markdown": "SELECT l_orderkey, '| line | a & b |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' ' || l_quantity::BIGINT || ' |', chr(10) ORDER BY l_linenumber, l_returnflag, l_quantity::BIGINT) || chr(10) || '| end |  |' AS markdown FROM lineitem GROUP BY l_orderkey",
+    "i2_text_search": "WITH w AS (SELECT doc_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))), 1, 8))::BIGINT AS h FROM documents), s AS (SELECT doc_id, h % 16 AS slot, sum(CASE WHEN (h // 16) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL HAVING v <> 0), n AS (SELECT doc_id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM s), d AS (SELECT doc_id, list(v ORDER BY slot) AS x FROM (SELECT i.doc_id, g.slot, coalesce(n.v, 0.0::DOUBLE) AS v FROM (SELECT DISTINCT doc_id FROM n) i CROSS JOIN (SELECT range AS slot FROM range(16)) g LEFT JOIN n ON n.doc_id = i.doc_id AND n.slot = g.slot) GROUP BY doc_id), c AS (SELECT a.doc_id AS target_id, b.doc_id AS source_id, round(list_cosine_similarity(a.x, b.x), 5) AS score FROM d a JOIN d b ON a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0) SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, source_id) AS rank, score FROM c QUALIFY rank <= 3",
     "i9_family_hits": "WITH w AS (SELECT o_orderkey AS target_id, CASE WHEN o_orderkey % 8 < 4 THEN 'R' ELSE 'N' END AS f FROM orders), h AS (SELECT w.target_id, min(l_linenumber) AS p, min(CASE WHEN f = 'R' AND l_linenumber > 1 THEN l_linenumber - 1 ELSE l_linenumber END) AS a FROM w LEFT JOIN lineitem ON l_orderkey = target_id AND l_linenumber <= 4 AND l_returnflag = f GROUP BY ALL) SELECT k, round(avg(coalesce(p <= k, false)::INT), 9) AS baseline, round(avg(coalesce(a <= k, false)::INT), 9) AS anchored FROM h, (VALUES (1::BIGINT), (2), (3)) k(k) GROUP BY k",
     "i11_encoding_faults": "WITH z AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 AS has FROM documents) SELECT 'missing' AS \"check\", doc_id FROM z WHERE doc_id % 40 = 3 UNION ALL SELECT 'other_values', doc_id FROM z WHERE has AND doc_id % 40 IN (5, 7) UNION ALL SELECT 'not_unit', doc_id FROM z WHERE doc_id % 40 <> 3 AND (NOT has OR doc_id % 40 = 5)",
     "l5_delta_thresholds": arms_sql(_CH + f", g AS (SELECT *, CASE WHEN greatest(gc - 0.4, gs - 0.4) > t THEN CASE WHEN gc - 0.4 = greatest(gc - 0.4, gs - 0.4) THEN 'case' ELSE 'strategy' END ELSE 'both' END AS chosen FROM ch, (VALUES {', '.join(f'({x}::DOUBLE)' for x in L.THRESHOLDS)}) x(t)) SELECT t, round(avg({_V}), 9) AS mean, round(avg((chosen <> 'both')::INT), 9) AS coverage FROM g GROUP BY t"),

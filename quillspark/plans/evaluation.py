@@ -59,6 +59,15 @@ def j2(spark, sf_dir):
     return _table(spark, sf_dir).select("o_orderkey", F.array_join(P.lenient_tokens(F.col("program")), "|").alias("tokens"))
 
 
+def j23(spark, sf_dir):
+    """Tokens as numbers and back again."""
+    own = F.array(F.col("t").cast("string"), F.col("c").cast("string"))
+    p = _table(spark, sf_dir).withColumn("tokens", P.lenient_tokens(F.col("program"))).withColumn("i", P.token_indices(F.col("tokens"), own))
+    back = P.tokens_of_indices(F.col("i"), own)
+    known = F.forall(F.zip_with("tokens", back, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda z: (z["a"] == z["b"]) | (z["b"] == "UNK"))
+    return p.select("o_orderkey", F.get("i", F.lit(0)).alias("first"), F.size(F.filter("i", lambda x: x >= len(P.VOCABULARY))).cast("long").alias("own"), F.size(F.filter("i", lambda x: x == 1)).cast("long").alias("unknown"), known.alias("known"))
+
+
 def j4(spark, sf_dir):
     p = _orders(spark, sf_dir).select("o_orderkey", P.parse_linear_coded(_case(*_FAULTY)).alias("p"))
     return p.select("o_orderkey", F.coalesce(F.size("p.steps"), F.lit(0)).cast("long").alias("steps"), F.col("p.error").alias("error"))
@@ -229,13 +238,14 @@ def k12(spark, sf_dir):
     return g.select("outcome", "n", F.round("cust", 6).alias("cust"), F.round("sample_id", 6).alias("sample_id"))
 
 
-QUERIES = {"b5_pair_facts": b5, "b9_safe_features": b9, "b11_contains_any": b11, "b14_relevant_paragraphs": b14, "h8_plain_tokens": h8, "h17_inferred_operators": h17, "h25_reconciled_scale": h25, "h28_canonical_answer": h28, "h37_answer_json": h37, "h42_prediction_entries": h42, "h43_same_items": h43, "j2_lenient_tokens": j2, "j4_linear_errors": j4, "j5_best_effort": j5, "j6_flat_audit": j6, "j12_official_executor": j12, "j16_same_algebra": j16, "j19_evaluate": j19, "j20_differential": j20, "j24_dispatch": j24, "k1_bag_f1": k1, "k6_mixed_modes": k6, "k7_gold_self_check": k7, "k9_paired_bootstrap": k9, "k12_class_means": k12}
+QUERIES = {"b5_pair_facts": b5, "b9_safe_features": b9, "b11_contains_any": b11, "b14_relevant_paragraphs": b14, "h8_plain_tokens": h8, "h17_inferred_operators": h17, "h25_reconciled_scale": h25, "h28_canonical_answer": h28, "h37_answer_json": h37, "h42_prediction_entries": h42, "h43_same_items": h43, "j2_lenient_tokens": j2, "j23_token_indices": j23, "j4_linear_errors": j4, "j5_best_effort": j5, "j6_flat_audit": j6, "j12_official_executor": j12, "j16_same_algebra": j16, "j19_evaluate": j19, "j20_differential": j20, "j24_dispatch": j24, "k1_bag_f1": k1, "k6_mixed_modes": k6, "k7_gold_self_check": k7, "k9_paired_bootstrap": k9, "k12_class_means": k12}
 _VALUE = "CASE k WHEN 0 THEN (t - 100) / 2 WHEN 1 THEN list_sum(qs) WHEN 4 THEN (t > c)::INT WHEN 6 THEN list_avg(qs) * 0.5 WHEN 7 THEN 8 END::DOUBLE"
 _NUM = r"regexp_extract_all({}, '[-]?[0-9]+[.]?[0-9]*')"
 _U = "('0x' || substr(md5('{seed}|' || rep || '|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 _TIMES = "len(list_filter([" + ", ".join(f"{p!r}::DOUBLE" for p in S._POISSON) + "], lambda p: p <= {u}))"
 ORACLES = {
     "j2_lenient_tokens": rf"WITH {_TABLE} SELECT o_orderkey, array_to_string(list_concat(flatten(list_transform(string_split(program, ', '), lambda x: regexp_extract_all(x, '[^()]*\(|\)|[^()]+'))), ['EOF']), '|') AS tokens FROM p",
+    "j23_token_indices": rf"WITH {_TABLE}, x AS (SELECT *, flatten(list_transform(string_split(program, ', '), lambda x: regexp_extract_all(x, '[^()]*\(|\)|[^()]+'))) AS tk, {P.VOCABULARY!r} AS v FROM p) SELECT o_orderkey, list_position(v, tk[1]) - 1 AS first, len(list_filter(tk, lambda y: NOT list_contains(v, y) AND y IN (t::VARCHAR, c::VARCHAR))) AS own, len(list_filter(tk, lambda y: NOT list_contains(v, y) AND y NOT IN (t::VARCHAR, c::VARCHAR))) AS unknown, true AS known FROM x",
     "j4_linear_errors": f"WITH {_ORDERS} SELECT o_orderkey, (k = 0)::BIGINT * 2 AS steps, ([NULL, 'empty', 'arity', 'operator', 'arity', 'reference', 'part', 'form'])[k + 1] AS error FROM o",
     "j5_best_effort": f"WITH {_ORDERS} SELECT o_orderkey, CASE k % 3 WHEN 0 THEN 'add ' || t || ' ' || c || '; divide #0 2' WHEN 2 THEN 'subtract ' || t || ' 5' END AS steps FROM o",
     "j6_flat_audit": rf"WITH {_TABLE}, x AS (SELECT o_orderkey, CASE WHEN k = 5 THEN '' ELSE program END AS p FROM p) SELECT o_orderkey, array_to_string(regexp_extract_all(p, '([a-z_]+)\(', 1), '>') AS ops, array_to_string(list_transform(flatten(list_transform(string_split(p, '('), lambda y, i: CASE WHEN i = 1 THEN []::VARCHAR[] WHEN contains(y, ')') THEN string_split(string_split(y, ')')[1], ',') ELSE string_split(y, ',')[1:1] END)), lambda z: trim(z)), '|') AS operands, len(regexp_extract_all(p, '[a-z_]+\(')) AS n_steps, p <> '' AND length(replace(p, '(', '')) = length(replace(p, ')', '')) AS parse_ok, CASE WHEN p = '' THEN 'span' ELSE 'program' END AS kind FROM x",
