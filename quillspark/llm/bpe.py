@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_rows, give_back, lean
+from .common import arrow_rows, lean
 from .pieces import PieceEncoder, family
 from .textkit import CHUNK, groups, ragged
 
@@ -97,8 +97,6 @@ class ChunkEncoder:
         self.pieces = PieceEncoder(path, False, MEMO_PIECES) if known else None
         self.bytes = decoder(path).len if known else None
         self.tok = None if known else plain_tokenizer(spec)
-        del spec
-        give_back()
         self.least, self.mean = least, mean
         self.made = self.reused = self.repaired = self.merged = 0
         self.forget()
@@ -301,6 +299,21 @@ def _default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _afterwards(run, path: str):
+    """run, after which the worker forgets the chunks: they are reused within a task, and what comes next has the memory."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            enc = encoder(path)
+            enc.forget()
+            if enc.pieces:
+                enc.pieces.forget()
+
+    return lean(work)
+
+
 def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """Each row with its ``ids`` (array<int>), ``n_tokens`` and ``decoded`` text; null texts count as empty.
 
@@ -322,7 +335,7 @@ def bpe_round_trip(docs: DataFrame, text_col: str = "text", path: str | None = N
                 cols = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(at), pa.int64()), text], names=[*keep, "ids", "n_tokens", "decoded"])
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.mapInArrow(_afterwards(run, path), schema)
 
 
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -341,7 +354,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = [hashlib.sha256(data[x:y] if plain is not None else data[x:y].tobytes().decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(out)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_afterwards(run, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _valid(data: np.ndarray, off: np.ndarray) -> bool:

@@ -147,3 +147,53 @@ def test_pipeline(spark, small):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, small).count() == 0
+
+
+def odd_documents(spark):
+    """Documents with null and repeated ids, repeated rows, null, empty and long texts."""
+    text = "the quick brown fox jumps over the lazy dog and runs through the green fields of the old farm"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (1, text + " again", "en", "b"), (None, text, "en", "a"), (None, None, None, None), (2, None, "en", "a"), (3, "", "en", "a"), (4, "you stupid moron you idiot shut up", "en", "b"), (5, "###%%% $$$ &&& ***", "en", None), (6, "word " * 20_000, "en", "c"), (7, text.upper(), "fr", "c")]
+    return spark.createDataFrame([(i, t, x, s, len(t or "")) for i, t, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_stages_on_odd_rows(spark, small):
+    """Each stage alone: which rows stay is what its model, the brute-force groups or the mix say of each row."""
+    from collections import Counter
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import mixing, quality, toxicity
+    from test_text_operators import brute_components
+
+    docs = odd_documents(spark)
+    count = lambda df: Counter(map(tuple, df.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    source, marks = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    for name, fit, keep in (("toxicity", toxicity.fit_toxicity, lambda s: s < 0.5), ("quality", quality.fit_quality, lambda s: s >= 0.5)):
+        scored = toxicity.score_texts(docs, fit(source, marks), "text", "p").collect()
+        assert count(stages[name](spark, docs, small)) == Counter(tuple(r)[:-1] for r in scored if keep(r.p))
+    joined = stages["ngram_join"](spark, docs, small)
+    groups = brute_components([(i, t) for i, t in ((r.doc_id, r.text) for r in docs.collect()) if i is not None])
+    assert count(joined) == Counter(tuple(r) for r in docs.collect() if r.doc_id is None or groups[r.doc_id] == r.doc_id)
+    weighed = toxicity.score_texts(docs, quality.fit_quality(source, marks), "text", "q")
+    want = Counter()
+    for r in mixing.take(weighed, quality="q", mark=F.struct(*docs.columns)).collect():
+        want[tuple(r.mark)] += int(r.taken / r["size"] + 0.5) if r["size"] else 0
+    assert count(stages["mix"](spark, docs, small)) == +want
+    coded = stages["bpe"](spark, docs, small)
+    assert coded.count() == docs.count() and set(coded.columns) == set(docs.columns) - {"text"} | {"n_tokens", "ids", "decoded_sha256"}
+    assert {(r.n_tokens, r.decoded_sha256) for r in coded.where("n_chars = 0").collect()} == {(0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_pipeline_keeps_one_of_each_group(spark, small):
+    """The third stage on what the first two keep, against all pairs."""
+    import corpus_pipeline
+    from test_text_operators import brute_components
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = docs.select("doc_id", "text").collect() if name == "ngram_join" else None
+        docs = common.park(stage(spark, docs, small))
+    groups = brute_components([(r.doc_id, r.text) for r in before])
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(set(groups.values()))
