@@ -79,11 +79,14 @@ class QualityModel:
                 at = np.searchsorted(of, np.arange(len(off)))
                 for t in range(len(off) - 1):
                     bags[t].append(slot[at[t] : at[t + 1]])
+            slots, shares = [], []
             for b in bags:
                 parts = [np.unique(p, return_counts=True) for p in b if len(p)]
-                slot = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-                share = np.concatenate([p[1] / p[1].sum() / len(parts) for p in parts]) if parts else np.zeros(0)
-                rows.append((slot.astype(np.int32), share.astype(np.float32)))
+                slots.append(np.concatenate([p[0] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32))
+                shares.append(np.concatenate([p[1] / p[1].sum() / len(parts) for p in parts]).astype(np.float32) if parts else np.zeros(0, np.float32))
+            # views of two arrays a group, which the system takes back whole
+            at, slot, share = np.cumsum([0, *map(len, slots)]).tolist(), np.concatenate(slots), np.concatenate(shares)
+            rows += [(slot[a:b], share[a:b]) for a, b in zip(at, at[1:], strict=False)]
         balance = np.clip(len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1), 0.3, 3.0) if len(y) else np.ones(2)
         for epoch in range(epochs if len(y) else 0):
             lr = rate * (1 - epoch / epochs)
