@@ -32,16 +32,20 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "!#$%&*|"]] = True
 
 
-def measured(docs: DataFrame, text_col: str, *names: str) -> DataFrame:
+def measured(docs: DataFrame, text_col: str, *names: str, scorer: object | None = None) -> DataFrame:
     """docs with the words of each whole text (0 for null) and its weight in columns of these two names.
 
-    The weight goes from 0.05 to 1: texts with many signs such as ``#`` or ``*`` weigh less. One pass
+    ``scorer`` is a model whose score is the weight (0.05 at least), in the same pass; without one:
+
+    the weight goes from 0.05 to 1, texts with many signs such as ``#`` or ``*`` weigh less. One pass
     over the bytes, row by row; the text itself is not returned.
     """
     arrow_rows(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType())])
 
+    sent = None if scorer is None else docs.sparkSession.sparkContext.broadcast(scorer)  # a few MB, whatever the table
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -49,6 +53,9 @@ def measured(docs: DataFrame, text_col: str, *names: str) -> DataFrame:
                 count = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[off])  # noqa: B023, E731
                 n, odd = count((buf & 0xC0) != 0x80), count(_SIGN[buf])
                 size.append(np.diff(words(buf, off)[2]))
+                if sent is not None:
+                    weight.append(np.maximum(0.05, sent.value.score(buf, off)))
+                    continue
                 weight.append(0.05 + np.where(n > 0, 0.95 * (1 - np.minimum(1.0, 8.0 * odd / np.maximum(n, 1))), 0.0))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(weight), pa.float64())], names=[*keep, *names])
 
@@ -83,7 +90,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, mark: Column | None = None, quality: str | None = None) -> DataFrame:
+def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, mark: Column | None = None, quality: str | None = None, scorer: object | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words that the mix takes of each document, one row for each input row.
 
     A source's words are its complete epochs plus documents in key order; the document at which the
@@ -91,12 +98,12 @@ def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     source of their own and stand last. Rows that repeat an id and text draw the same key and are
     ordered by their size; equal rows follow one another, each with its own share. ``mark`` of a row is
     carried as a sixth column and orders rows that are equal but for it. ``quality`` names a column of
-    document weights (a classifier's score; null, NaN and anything below 0.05 count as 0.05); without it
-    texts with many signs weigh less.
+    document weights (a classifier's score; null, NaN and anything below 0.05 count as 0.05), ``scorer`` is
+    a model that gives them; without either texts with many signs weigh less.
     """
     own = [] if quality is None else [F.greatest(F.coalesce(F.nanvl(F.col(quality).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.05)).alias("weight")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), uniform(F.col(id_col), seed).alias("u"), *own, *([] if mark is None else [mark.alias("mark")]))
-    rows = measured(rows, "text", "size", "signs")
+    rows = measured(rows, "text", "size", "signs", scorer=scorer)
     rows = rows.select("doc_id", "source", "size", (-F.log("u") / F.col("signs" if quality is None else "weight")).alias("key"), *([] if mark is None else ["mark"]))
     more_columns = rows.columns[4:]
     rows = park(rows)
@@ -140,7 +147,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix-1", quality: str | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = "mix-1", quality: str | None = None, scorer: object | None = None) -> DataFrame:
     """The documents of the mix: whole texts, each row as often as the nearest whole number to taken / size says; columns as they were, but that of ``quality`` (see ``take``) goes.
 
     Rows meet their copies by id (null is an id) and a 128-bit mark of the whole row. Rows that are equal
@@ -148,7 +155,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", quality: str | None =
     """
     cols = [c for c in docs.columns if c != quality]
     by_mark = F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("mark"), *cols).alias("b"))
-    got = take(docs, seed=seed, mark=by_mark, quality=quality).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
+    got = take(docs, seed=seed, mark=by_mark, quality=quality, scorer=scorer).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
     got = park(got.groupBy(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("m")).where("copies > 0"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by_mark.alias("mark"), F.struct(*cols).alias("row"))
     on = (F.col("mark.a") == F.col("mark2.a")) & (F.col("mark.b") == F.col("mark2.b")) & F.col("doc_id").eqNullSafe(F.col("id2"))
