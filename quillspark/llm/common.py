@@ -87,12 +87,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows without most of those whose doc_id is not in ids, so that few texts go through the join that decides.
+def likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows without most of those whose key is not in ids, so that few texts go through the join that decides.
 
-    A bit stands for a hash of the id. The table of bits is of one size at most, whatever the ids are; if it is full, more rows stay.
+    A bit stands for a hash of the key. The table of bits is of one size at most, whatever the ids are; if it is full, more rows stay.
     """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(PAGES * PAGE_BITS))
+    at = F.pmod(F.xxhash64(key), F.lit(PAGES * PAGE_BITS))
     page, bit = F.floor(at / PAGE_BITS).cast("int"), at % PAGE_BITS
     pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
