@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, mixing, ngramjoin, quality, rollups, tokenstore, toxicity, vectors, warc
+from . import bpe, decontamination, filteraudit, fingerprints, mixing, ngramjoin, quality, rollups, tokenstore, toxicity, vectors, warc
 
 QUERIES = {
     "op1_near_duplicate_vectors": vectors.op1,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_quality_scores": quality.op9,
     "op10_token_rollups": rollups.op10,
     "op11_benchmark_overlap": decontamination.op11,
+    "op12_filter_audit": filteraudit.op12,
 }
 ORACLES = {
     "op1_near_duplicate_vectors": vectors.OP1_SQL,
     "op5_source_mix": mixing.OP5_SQL,
     "op11_benchmark_overlap": decontamination.OP11_SQL,
+    "op12_filter_audit": filteraudit.OP12_SQL,
 }
