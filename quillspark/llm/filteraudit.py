@@ -45,15 +45,15 @@ def joint_failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(part, all, good, toxic): for each part three arrays of 32 counts, entry S counts the rows that fail every filter of S (A is bit 0).
 
     E holds where the text (null: empty) stands with any smaller id; equal texts are told by their SHA-256.
-    Rows with a null id fail no E and make no other row fail it. Of labels that repeat an id the largest
-    counts; null labels are 0.
+    Rows with a null id fail no E and make no other row fail it. Of labels that repeat an id
+    one that is 1 is enough; other and null labels count as 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = flags(text)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("key"), seen["words"].alias("w"), seen["c"].alias("c"), seen["d"].alias("d"))
     rows = rows.select("id", "part", "key", (F.col("w.n") < LEAST_WORDS).cast("long").alias("a"), (100 * F.col("w.d").cast("long") < LEAST_DISTINCT * F.col("w.n").cast("long")).cast("long").alias("b"), "c", "d")
     rows = rows.groupBy("id", "part", "key", "a", "b", "c", "d").agg(F.count("*").alias("n"))
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(*(F.coalesce((F.max(c) == 1).cast("long"), F.lit(0).cast("long")).alias(n) for n, c in (("good", quality), ("toxic", toxic))))
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(*(F.max(F.when(F.col(c) == 1, 1).otherwise(0)).cast("long").alias(n) for n, c in (("good", quality), ("toxic", toxic))))
     # a null id meets no label: its rows may go anywhere
     rows = rows.withColumn("salt", F.when(F.col("id").isNull(), F.pmod(F.xxhash64("key"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"))
     rows = rows.join(marks.withColumn("salt", F.lit(0)), ["id", "salt"], "left")
@@ -131,7 +131,7 @@ WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text
 x AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
 f AS (SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
   [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(x.doc_id > low, false)] AS fails
-  FROM x LEFT JOIN (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = x.doc_id),
+  FROM x LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = x.doc_id),
 c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
 p AS (SELECT [a, b, c, d, e] AS o FROM range(1, 6) ra(a), range(1, 6) rb(b), range(1, 6) rc(c), range(1, 6) rd(d), range(1, 6) re(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
 s AS (SELECT o, list_transform(o, lambda i: substr('ABCDE', i::INT, 1)) AS letters, unnest(range(1, 6)) AS step FROM p),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, filteraudit, fingerprints, mixing, ngramjoin, quality, rollups, tokenstore, toxicity, vectors, warc
+from . import bpe, decontamination, filteraudit, fingerprints, hardnegatives, mixing, ngramjoin, quality, rollups, tokenstore, toxicity, vectors, warc
 
 QUERIES = {
     "op1_near_duplicate_vectors": vectors.op1,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_token_rollups": rollups.op10,
     "op11_benchmark_overlap": decontamination.op11,
     "op12_filter_audit": filteraudit.op12,
+    "op13_hard_negatives": hardnegatives.op13,
 }
 ORACLES = {
     "op1_near_duplicate_vectors": vectors.OP1_SQL,
     "op5_source_mix": mixing.OP5_SQL,
     "op11_benchmark_overlap": decontamination.OP11_SQL,
     "op12_filter_audit": filteraudit.OP12_SQL,
+    "op13_hard_negatives": hardnegatives.OP13_SQL,
 }
