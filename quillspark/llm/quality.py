@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .labelled import remainder, sample
+from .labelled import SAMPLE_BYTES, remainder, sample
 from .textkit import SPACE, U64, groups, mix, span_hashes, words
 from .toxicity import score_texts
 
@@ -125,19 +125,19 @@ class QualityModel:
         return 1 / (1 + np.exp(-(total / np.maximum(kinds, 1) + self.bias)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> QualityModel:
-    """Learns from at most ``bound`` labelled rows whose crc32 of the id modulo 3 is not 1."""
-    model = QualityModel(*sample(docs, labels, "quality", remainder("doc_id", 3) != 1, bound))
+def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learns from at most ``bound`` labelled rows and ``most_bytes`` bytes of their texts, rows whose crc32 of the id modulo 3 is not 1."""
+    model = QualityModel(*sample(docs, labels, "quality", remainder("doc_id", 3) != 1, bound, most_bytes))
     give_back()
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each document; empty and null texts get the prior's score.
 
     Repeated rows score alike. A null id is not held out. A table without labels gives every text 0.5 or near it.
     """
-    model = fit_quality(docs, labels, bound)
+    model = fit_quality(docs, labels, bound, most_bytes)
     scored = score_texts(docs.select(F.col("doc_id"), F.col("text")), model, "text", "score")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -105,7 +105,7 @@ class Shard:
         n = int.from_bytes(lead[4:], "little")
         self.head, self.base = json.loads(read_range(uri, 8, n)), 8 + n
         self.index = PerfectHash(self.part("sizes"), self.part("bits"), self.part("rest"))
-        self.starts, self.doc, self.mark = self.part("starts"), self.part("slot_doc"), self.part("slot_mark")
+        self.starts, self.doc, self.mark, self.keys = self.part("starts"), self.part("slot_doc"), self.part("slot_mark"), self.part("keys")
 
     def part(self, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
         at, n, kind = self.head["sections"][name]
@@ -114,12 +114,13 @@ class Shard:
         return np.frombuffer(read_range(self.uri, self.base + at + first * kind.itemsize, count * kind.itemsize), kind)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of each key's first document in this shard, -1 where the fingerprint says it is not here."""
+        """Number of each key's first document in this shard, -1 where the fingerprint or the stored key says it is not here."""
         if not len(self.doc):
             return np.full(len(keys), -1)
         slot = self.index.slots(keys.view(U64))
         ok = (slot >= 0) & (self.mark[np.maximum(slot, 0)] == fingerprint(keys.view(U64)))
-        return np.where(ok, self.doc[np.maximum(slot, 0)], -1)
+        doc = np.where(ok, self.doc[np.maximum(slot, 0)], 0)
+        return np.where(ok & (self.keys[doc] == keys), doc, -1)  # two keys may share a fingerprint
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids of a document, in constant time: one index probe and one range read."""
@@ -218,7 +219,7 @@ def read_token_store(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, first in zip(b.column("path").to_pylist(), b.column("first_token").to_pylist(), strict=True):
                 s = Shard(uri)
-                keys, has, ids = s.part("keys"), s.part("has").astype(bool), s.part("ids")
+                keys, has, ids = s.keys, s.part("has").astype(bool), s.part("ids")
                 at = places(keys, has, s.find, uri)
                 start, end = s.starts[at], s.starts[at + 1]
                 crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
@@ -232,15 +233,16 @@ class TokenStore:
     """Keyed access from one process: the manifest's key ranges lead to a shard, its index to the ids."""
 
     def __init__(self, manifest: DataFrame) -> None:
-        self.rows = sorted(manifest.where("min_key is not null").select("min_key", "max_key", "path").toLocalIterator(), key=lambda r: r[0])
-        self.low = np.array([r[0] for r in self.rows], np.int64)
+        self.rows = sorted(manifest.where("min_key is not null").select("first_token", "min_key", "max_key", "path").toLocalIterator())
+        self.high = np.array([r["max_key"] for r in self.rows], np.int64)
         self.open: dict[str, Shard] = {}
 
     def get(self, key: int) -> np.ndarray | None:
-        k = int(np.searchsorted(self.low, key, "right")) - 1
-        if k < 0 or key > self.rows[k][1]:
+        """The ids of a document, of the first stored row where an id repeats; null for an id that is not there."""
+        k = int(np.searchsorted(self.high, key, "left"))  # shards stand in the order of their keys: the first that may hold it
+        if k == len(self.rows) or key < self.rows[k]["min_key"]:
             return None
-        uri = self.rows[k][2]
+        uri = self.rows[k]["path"]
         if uri not in self.open:
             self.open[uri] = Shard(uri)
         return self.open[uri].get(key)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, give_back, lean
-from .labelled import remainder, sample
+from .labelled import SAMPLE_BYTES, remainder, sample
 from .textkit import U64, groups, span_hashes, words
 
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting vile filthy ugly jerk creep freak fool imbecile cretin dimwit halfwit bastard pig swine vermin parasite maggot hate hateful kill die shut crap damn suck sucks".split()
@@ -218,20 +218,20 @@ def score_texts(docs: DataFrame, model: object, text_col: str, column: str) -> D
     return docs.mapInArrow(lean(run), schema)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
-    """Learns from at most ``bound`` labelled rows whose crc32 of the id modulo 5 is not 0."""
-    model = ToxicityModel(*sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, bound))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Learns from at most ``bound`` labelled rows and ``most_bytes`` bytes of their texts, rows whose crc32 of the id modulo 5 is not 0."""
+    model = ToxicityModel(*sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, bound, most_bytes))
     give_back()
     return model
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each document; empty and null texts get a score too.
 
     Repeated rows score alike. A null id is not held out. A table without labels gives every text the
     same middling score.
     """
-    model = fit_toxicity(docs, labels, bound)
+    model = fit_toxicity(docs, labels, bound, most_bytes)
     scored = score_texts(docs.select(F.col("doc_id"), F.col("text")), model, "text", "score")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -203,3 +203,36 @@ def test_queries_against_sql(spark, small, query, sql):
     assert columns == sorted(want.columns)
     order = lambda df: df[columns].sort_values(columns).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+def test_one_long_text_does_not_empty_the_training_sample(spark):
+    from quillspark.llm import labelled
+
+    texts = [(i, "short text " + str(i)) for i in range(60)]
+    first = min(range(60), key=lambda i: spark.sql(f"SELECT xxhash64(cast({i} AS long))").first()[0])
+    texts[first] = (first, "x" * 4000)
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got, y = labelled.sample(docs, labels, "quality", labelled.F.lit(True), 100, most_bytes=3000)
+    assert len(got) == len(y) == 59 and max(map(len, got.to_pylist())) < 100
+    got, _ = labelled.sample(docs, labels, "quality", labelled.F.lit(True), 100, most_bytes=300)
+    assert 0 < sum(len(t) for t in got.to_pylist()) <= 300
+
+
+def test_lookup_of_an_id_that_spans_shards(spark, monkeypatch):
+    """The first stored row answers, and an unknown id whose fingerprint is that of a stored one has no document."""
+    import public_tokenizers
+
+    from quillspark.llm import common, tokenstore
+
+    rows = [(5, "five"), (7, "b"), (7, "a"), (7, "c d"), (7, "e f g"), (9, "nine nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(tokenstore, "fingerprint", lambda keys: np.zeros(len(keys), np.uint32))
+    manifest = tokenstore.write_token_store(docs, common.shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), shard_docs=2)
+    assert manifest.count() == 3
+    stored = [r for r in tokenstore.read_token_store(manifest).orderBy("start").collect() if r.doc_id == 7]
+    import zlib
+
+    store = tokenstore.TokenStore(manifest)
+    assert zlib.crc32(store.get(7).astype("<u4").tobytes()) == stored[0].ids_crc32
+    assert store.get(6) is None and store.get(8) is None and store.get(4) is None and store.get(10) is None
+    assert len(store.get(5)) and len(store.get(9))
