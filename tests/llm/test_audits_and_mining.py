@@ -218,15 +218,24 @@ def test_one_long_text_does_not_empty_the_training_sample(spark):
     assert 0 < sum(len(t) for t in got.to_pylist()) <= 300
 
 
-def test_lookup_of_an_id_that_spans_shards(spark, monkeypatch):
-    """The first stored row answers, and an unknown id whose fingerprint is that of a stored one has no document."""
+def test_unknown_id_with_the_fingerprint_of_a_stored_one(tmp_path, monkeypatch):
+    from quillspark.llm import fsio, tokenstore
+
+    monkeypatch.setattr(tokenstore, "fingerprint", lambda keys: np.zeros(len(keys), np.uint32))
+    keys = np.array([3, 8, 21], np.int64)
+    fsio.write_whole(str(tmp_path / "s.qts"), tokenstore.pack_shard(keys, np.ones(3, bool), np.array([0, 1, 2, 3]), np.array([7, 8, 9], "<u2")))
+    shard = tokenstore.Shard(str(tmp_path / "s.qts"))
+    assert shard.find(np.arange(200)).tolist() == [{3: 0, 8: 1, 21: 2}.get(i, -1) for i in range(200)]
+
+
+def test_lookup_of_an_id_that_spans_shards(spark):
+    """The first stored row of an id answers."""
     import public_tokenizers
 
     from quillspark.llm import common, tokenstore
 
     rows = [(5, "five"), (7, "b"), (7, "a"), (7, "c d"), (7, "e f g"), (9, "nine nine")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(tokenstore, "fingerprint", lambda keys: np.zeros(len(keys), np.uint32))
     manifest = tokenstore.write_token_store(docs, common.shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), shard_docs=2)
     assert manifest.count() == 3
     stored = [r for r in tokenstore.read_token_store(manifest).orderBy("start").collect() if r.doc_id == 7]
