@@ -75,19 +75,6 @@ def scale_tolerant(pred: Column, gold: Column, tol: float = 1e-3) -> Column:
     return F.exists(F.array(F.lit(1.0), F.lit(100.0), F.lit(0.01)), lambda f: F.abs(pred * f - gold) <= F.greatest(F.lit(tol), F.abs(gold) * tol))
 
 
-def error_class(pred: Column, gold: Column) -> Column:
-    r = F.try_divide(pred, gold)
-    return (
-        F.when(pred.isNull(), "missing")
-        .when(F.abs(pred - gold) <= 1e-9, "correct")
-        .when((F.abs(r - 100) <= 1) | (F.abs(r - 0.01) <= 0.001), "percent_scale")
-        .when((F.abs(r - 1000) <= 10) | (F.abs(r - 0.001) <= 1e-5), "thousands_scale")
-        .when((F.abs(pred) < 1e-9) & (F.abs(gold) > 1), "zero_result")
-        .when(F.abs(r - 1) < 0.05, "small_error")
-        .otherwise("wrong")
-    )
-
-
 def single_number(x: Column) -> Column:
     """Whether a cell is one number and nothing else, whatever signs it wears."""
     return F.coalesce(F.regexp_replace(F.trim(x), r"[$€£%,()\s]", "").rlike(r"^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"), F.lit(False))

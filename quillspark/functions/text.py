@@ -36,64 +36,6 @@ def question_template(x: Column, years_first: bool = True) -> Column:
     return number(year(y)) if years_first else year(number(y))
 
 
-def sanitize(x: Column) -> Column:
-    """Years, money, percentages, decimals and other numbers become phrases; 0 and 1 stay."""
-    for pattern, phrase in (
-        (r"\b(19|20)[0-9][0-9]\b", "the year"),
-        (r"[$]\s?[0-9][0-9,]*([.][0-9]+)?", "an amount"),
-        (r"\b[0-9]+([.][0-9]+)?%", "a percentage"),
-        (r"\b[0-9]{1,3}(,[0-9]{3})+\b", "a number"),
-        (r"\b[0-9]+[.][0-9]+\b", "a number"),
-        (r"\b([2-9]|[0-9]{2,})\b", "a number"),
-    ):
-        x = F.regexp_replace(x, pattern, phrase)
-    return x
-
-
-def leak_hits(x: Column) -> Column:
-    """Years, money or grouped numbers, and other numbers of two digits or more."""
-    return F.regexp_extract_all(x, F.lit(r"\b(?:19|20)[0-9]{2}\b|[$][0-9][0-9,.]*|\b[0-9]{1,3}(?:,[0-9]{3})+\b|\b[0-9]{2,}\b"), F.lit(0))
-
-
-def question_type(x: Column) -> Column:
-    y = F.lower(F.trim(x))
-    out = F.lit("other")
-    for lead in ("how many", "how much", "what percent", "what is", "what was", "which", "did", "is"):
-        out = F.when(y.startswith(lead), F.lit(lead)).otherwise(out)
-    return out
-
-
-#: First match wins.
-FAMILIES = (
-    ("comparison", r"\b(greater|more|less|larger|higher|lower|exceed)\b"),
-    ("table_aggregation", r"\b(average|mean|maximum|highest|minimum|lowest)\b"),
-    ("change", r"\b(change|increase|decrease|growth|decline|difference)\b"),
-    ("ratio", r"\b(ratio|percent|percentage|portion|share|rate)\b"),
-    ("aggregation", r"\b(sum|total|combined|add)\b"),
-)
-
-
-def question_family(x: Column, rules: tuple[tuple[str, str], ...] = FAMILIES) -> Column:
-    """The family of the first rule whose pattern occurs; ``other`` if none does."""
-    y, out = F.lower(x), F.lit("other")
-    for name, pattern in reversed(rules):
-        out = F.when(y.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
-
-
-ROLES = (("numerator", "portion|part|share"), ("denominator", "total|whole|overall"), ("base", "prior|previous|beginning"), ("current", "current|ending|later"))
-
-
-def roles(x: Column) -> Column:
-    y = F.lower(x)
-    return F.array_compact(F.array(*(F.when(y.rlike(p), F.lit(n)) for n, p in ROLES)))
-
-
-def scale_hint(x: Column) -> Column:
-    y = F.lower(x)
-    return F.when(y.rlike("percent|%"), "percent").when(y.rlike("basis point"), "basis_points").when(y.rlike("million"), "million").when(y.rlike("billion"), "billion").when(y.rlike("thousand"), "thousand").when(y.rlike("fraction|ratio"), "fraction").otherwise("")
-
-
 def html_to_text(x: Column, most: int | None = None) -> Column:
     """Row and block ends become lines, cells are parted by bars, other tags go, empty cells and lines go."""
     y = F.regexp_replace(x, r"(?i)</(tr|p|div|li|h[1-6])\s*>", "\n")
@@ -110,13 +52,6 @@ def hierarchy_markers(x: Column) -> Column:
     return F.struct(count("rowspan").alias("rowspans"), count("colspan").alias("colspans"), count("<th").alias("heads"), count("<li").alias("items"), count("<p").alias("paragraphs"))
 
 
-def normalize_answer(x: Column) -> Column:
-    """Lower case, punctuation dropped unless the token is a number, articles dropped."""
-    tokens = F.split(F.trim(F.lower(x)), r"\s+")
-    clean = F.transform(tokens, lambda t: F.when(t.rlike(r"^[-+]?[$]?[0-9][0-9,]*([.][0-9]+)?%?$"), F.regexp_replace(t, "[$,%]", "")).otherwise(F.regexp_replace(t, r"[^a-z0-9]", "")))
-    return F.array_join(F.filter(clean, lambda t: ~t.isin("", "a", "an", "the")), " ")
-
-
 def json_object(x: Column) -> Column:
     """From the first opening to the last closing brace of a noisy text; null if there is none."""
     y = F.regexp_extract(x, r"(?s)\{.*\}", 0)
@@ -223,31 +158,3 @@ def entity_template(x: Column, entities: Column, years_first: bool = True) -> Co
     """``question_template`` with every one of the row's entity words (an array, longest first) as ``<entity>``."""
     plain = F.aggregate(F.array_sort(entities, lambda a, b: F.length(b) - F.length(a)), x, lambda t, e: F.when(F.length(e) > 0, F.regexp_replace(t, F.concat(F.lit(r"(?i)\b\Q"), e, F.lit(r"\E\b")), F.lit("<entity>"))).otherwise(t))
     return question_template(plain, years_first)
-
-
-#: Rules of the second set, first match wins, over a text between blanks without punctuation.
-PREDICTED = (
-    ("comparison", "greater than|less than|more than|higher than|lower than|exceed"), ("average", "average|mean"), ("percentage_change", "(percent|percentage) (change|increase|decrease|growth)|growth rate"),
-    ("difference", "difference|change in|increase in|decrease in"), ("ratio", "per|ratio|margin|share|portion|percent|percentage"), ("aggregation", "total|sum|combined|aggregate"),
-    ("multiplication", "product|multiply|times"), ("unit_scaling", "basis points?|thousands?|millions?|billions?"),
-)
-#: Rules of the third set, over what a record says of itself.
-SUPPORTED = (("comparison", "compare|greater|less"), ("growth", "growth|change|increase|decrease"), ("share", "percent|ratio|share|portion"), ("level", "total|average|sum"))
-
-
-def predicted_family(x: Column) -> Column:
-    """A question's family by the second set of rules; two years make it multi_step if nothing else fits."""
-    q = F.concat(F.lit(" "), F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "), F.lit(" "))
-    years_ = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))))
-    return F.coalesce(*(F.when(q.rlike(f" ({form}) "), name) for name, form in PREDICTED), F.when(years_ >= 2, "multi_step"), F.lit("other"))
-
-
-def supported_family(x: Column) -> Column:
-    return question_family(x, SUPPORTED)
-
-
-def scale_profile(*texts: Column) -> Column:
-    """struct of what a question, answer and scale together speak of: percent, thousand, million, billion, basis_points, fraction."""
-    y = F.lower(F.concat_ws(" ", *texts))
-    forms = {"percent": "percent|%", "thousand": "thousand", "million": "million", "billion": "billion", "basis_points": "basis point", "fraction": r"fraction|\b[0-9]+/[0-9]+\b"}
-    return F.struct(*(y.rlike(f).alias(k) for k, f in forms.items()))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tables import cumulative
 
 
@@ -17,34 +24,62 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * fold["s"]))
 
 
-#: Chance that a Poisson number of mean 1 is at most 0, 1, 2, ...
-_POISSON = [0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418, 0.999916758850712, 0.999989750803325]
+#: Draws are numbers below this prime; their upper 16 bits pick how often a row is drawn. Rows that are drawn for all resamples at a time.
+PRIME, ROWS = (1 << 31) - 1, 16
+#: Entry u: the Poisson number of mean 1 whose distribution function first passes u / 65536.
+TIMES = np.searchsorted([sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)], np.arange(1 << 16) / (1 << 16), "right").astype(np.uint8)
+
+
+def _number(*parts: Column | str, digit: int = 1) -> Column:
+    """28 bits of a hash, seven of its hex digits from ``digit`` on."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts))), digit, 7), 16, 10).cast("long")
 
 
-def weights(rows: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
-    """rows once for each resample (``rep``) that draws them, with ``times``: how often.
+def resampled(rows: DataFrame, key: str, reps: int, seed: int, **values: Column) -> DataFrame:
+    """(rep, values): for each resample the sums of the values, each row as often as it is drawn.
 
-    A Poisson number of mean 1 stands for the draws with replacement. It follows from a hash of seed,
-    resample and key, so every task draws for its own rows and nothing is gathered or numbered.
+    A Poisson number of mean 1 stands for the draws with replacement. It follows from hashes of key, seed
+    and resample, so nothing is numbered or gathered and a lost task draws the same again. A task keeps one
+    sum for each resample and value and emits them once: tasks x reps rows are shuffled, never rows x reps.
+    Resample -1 draws each row once. Null values add nothing.
     """
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return each.withColumn("u", u).withColumn("times", F.size(F.filter(F.array(*map(F.lit, _POISSON)), lambda p: p <= F.col("u")))).where("times > 0").drop("u")
+    ship(rows.sparkSession)
+    names = list(values)
+    drawn = rows.select(_number(str(seed), F.col(key).cast("string")).alias("a"), _number(str(seed), F.col(key).cast("string"), digit=8).alias("b"), *(v.cast("double").alias(n) for n, v in values.items()))
+    r = np.array([int(hashlib.md5(f"{seed}|rep|{i}".encode()).hexdigest()[:7], 16) + 1 for i in range(reps)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, plain = np.zeros((len(names), reps)), np.zeros(len(names))
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            v = np.stack([batch.column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in names])
+            plain += v.sum(1)
+            for i in range(0, len(a), ROWS):
+                x = a[i : i + ROWS, None] * r + b[i : i + ROWS, None]
+                x -= x // PRIME * PRIME
+                x *= x
+                x -= x // PRIME * PRIME
+                total += v[:, i : i + ROWS] @ TIMES[x >> 15].astype(np.float64)
+        every = np.concatenate([plain[:, None], total], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, reps)), *map(pa.array, every)], names=["rep", *names])
+
+    sums = drawn.mapInArrow(run, "rep long, " + ", ".join(f"`{n}` double" for n in names))
+    return sums.groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def cluster_bootstrap(values: DataFrame, group: str, value: str, reps: int, seed: int) -> DataFrame:
     """Percentile interval of the mean when groups are resampled with replacement; rows are summed by group first."""
     g = values.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    d = weights(g, group, reps, seed).groupBy("rep").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
+    d = resampled(g, group, reps, seed, s=F.col("s"), c=F.col("c")).where("rep >= 0").select((F.col("s") / F.col("c")).alias("m"))
     return d.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))  # reps rows
 
 
 def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, reps: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """(diff, low, high): the mean of a - b over pairs and its percentile interval when pairs are resampled."""
-    d = pairs.select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
-    m = weights(d, key, reps, seed).groupBy("rep").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
-    ends = m.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-    return d.agg(F.avg("d").alias("diff")).crossJoin(ends)  # one row each
+    """(diff, low, high): the mean of a - b over pairs and its percentile interval when pairs are resampled. Pairs with a null are left out."""
+    d = pairs.select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d is not null")
+    m = resampled(d, key, reps, seed, d=F.col("d"), n=F.lit(1)).select("rep", (F.col("d") / F.col("n")).alias("m"))
+    drawn = F.when(F.col("rep") >= 0, F.col("m"))
+    return m.agg(F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("diff"), F.percentile(drawn, F.lit(alpha / 2)).alias("low"), F.percentile(drawn, F.lit(1 - alpha / 2)).alias("high"))  # reps rows
 
 
 def class_means(df: DataFrame, by: str, *values: str) -> DataFrame:

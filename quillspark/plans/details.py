@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import numbers as N
 from ..functions import programs as P
+from ..functions import rules as K
 from ..functions import text as X
 from ..operators import abstractions as B
 from ..operators import integrity as M
@@ -28,26 +29,16 @@ def _asked(spark, sf_dir):
 
 
 def h14(spark, sf_dir):
-    key = P.schema_key(F.col("program"), F.col("q"), F.concat_ws(", ", F.col("t").cast("string"), F.when(F.col("c") % 2 == 0, F.col("c").cast("string"))), F.col("c") % 2, F.col("c") % 3, X.scale_hint(F.col("q")))
+    key = P.schema_key(F.col("program"), F.col("q"), F.concat_ws(", ", F.col("t").cast("string"), F.when(F.col("c") % 2 == 0, F.col("c").cast("string"))), F.col("c") % 2, F.col("c") % 3, K.scale_hint(F.col("q")))
     o = _asked(spark, sf_dir).withColumn("m", P.split_key(key)).withColumn("key", key)
     return o.groupBy("key", F.col("m")["family"].alias("family"), F.col("m")["ev"].alias("ev"), F.col("m")["scale"].alias("scale")).agg(F.count("*").alias("n"))
 
 
-def h10b(spark, sf_dir):
-    return _asked(spark, sf_dir).groupBy((F.col("k") % 8).alias("form"), X.question_family(F.col("q")).alias("first"), X.predicted_family(F.col("q")).alias("second"), X.supported_family(F.col("q")).alias("third")).agg(F.count("*").alias("n"))
-
-
 def h13(spark, sf_dir):
     t = _table(spark, sf_dir).withColumn("ops", P.known_operations(F.col("program"))).withColumn("a", P.op_family(F.col("ops"))).withColumn("b", P.aligned_family(F.col("ops")))
     return t.groupBy("a", "b", P.compatible(F.col("b"), F.lit("difference")).alias("like_difference"), F.array_join(P.operation_set(F.col("program")), ",").alias("set")).agg(F.count("*").alias("n"))
 
 
-def h12(spark, sf_dir):
-    p = X.scale_profile(F.col("q"), F.when(F.col("c") % 3 == 0, F.concat(F.col("c").cast("string"), F.lit("/7"))), F.when(F.col("c") % 5 == 0, "basis points"))
-    o = _asked(spark, sf_dir).select(p.alias("p")).select("p.*")
-    return o.agg(*(F.count_if(c).alias(c) for c in o.columns))
-
-
 def h4b(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     text = F.concat(F.lit("What did "), F.col("c_name"), F.lit(" of the "), F.lower("c_mktsegment"), F.lit(" segment owe in 2019, above 500?"))
@@ -205,7 +196,7 @@ def d13(spark, sf_dir):
     return E.grouped(o.select("kind", "m.*"), "kind").select("kind", "n", F.round("mean_em", 9).alias("mean_em"), (F.col("sum_f1") >= F.col("sum_em")).alias("f1_at_least_em"))
 
 
-QUERIES = {"d13_grouped_metrics": d13, "d19_split_profile": d19, "d22_largest_share": _q(lambda a: O.largest_share(a.where("correct and arm <> 'none'"), "cust")), "d23_stable_marginals": _q(O.stable_marginals), "d26_disagreement": _q(O.disagreement), "d32_leading_dims": d32, "d33_hit_rates": d33, "f4_first_n": f4, "f8_top_structures": f8b, "g2_set_faults": g2, "h4_entity_templates": h4b, "h10_rule_sets": h10b, "h12_scale_profiles": h12, "h13_aligned_families": h13, "h14_schema_keys": h14, "h23_row_numbers": h23, "h35_maps_and_lists": h35, "h41_percent_context": h41, "j18_accuracies": j18b, "k4_best_gold": k4, "l3_shuffled_folds": l3b, "m2_release_report": m2b, "m4_case_leaks": m4b, "m7_quality_issues": m7, "m8_corrupted": m8b, "m13_graded_change": m13b, "n1_table_forms": n1b, "n4_top_groups": n4b, "n6_arm_prompts": n6b, "o2_usable_cache": o2b}
+QUERIES = {"d13_grouped_metrics": d13, "d19_split_profile": d19, "d22_largest_share": _q(lambda a: O.largest_share(a.where("correct and arm <> 'none'"), "cust")), "d23_stable_marginals": _q(O.stable_marginals), "d26_disagreement": _q(O.disagreement), "d32_leading_dims": d32, "d33_hit_rates": d33, "f4_first_n": f4, "f8_top_structures": f8b, "g2_set_faults": g2, "h4_entity_templates": h4b, "h13_aligned_families": h13, "h14_schema_keys": h14, "h23_row_numbers": h23, "h35_maps_and_lists": h35, "h41_percent_context": h41, "j18_accuracies": j18b, "k4_best_gold": k4, "l3_shuffled_folds": l3b, "m2_release_report": m2b, "m4_case_leaks": m4b, "m7_quality_issues": m7, "m8_corrupted": m8b, "m13_graded_change": m13b, "n1_table_forms": n1b, "n4_top_groups": n4b, "n6_arm_prompts": n6b, "o2_usable_cache": o2b}
 _A = f"a AS (SELECT *, {_case_sql(*_ASKED)} AS q, lower({_case_sql(*_ASKED)}) AS l, CASE WHEN k < 4 THEN {_case_sql(*_LINEAR)} END AS program FROM o)"
 _RATIO, _SUM, _SUPER, _COMP = (r.replace("'", "''") for r in (P.RATIO_WORDS, P.SUM_WORDS, P.SUPERLATIVES, P.COMPARED))
 ORACLES = {
@@ -220,8 +211,6 @@ ORACLES = {
     "f8_top_structures": "WITH o AS (SELECT *, o_orderstatus || '>' || o_orderpriority AS struct FROM orders), b AS (SELECT struct FROM o GROUP BY struct ORDER BY count(*) DESC, struct LIMIT 6), c AS (SELECT * FROM o WHERE struct IN (FROM b) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('company|' || o_orderkey), o_orderkey) = 1) SELECT struct, o_orderkey FROM c QUALIFY row_number() OVER (PARTITION BY struct ORDER BY sha256('struct|' || o_orderkey), o_orderkey) <= 3",
     "g2_set_faults": "WITH f AS (SELECT o_orderkey AS i FROM orders WHERE o_orderkey % 10 < 7), l AS (SELECT l_orderkey AS i FROM lineitem WHERE l_linenumber = 2), x AS (SELECT 'shared' AS fault, count(*) AS n FROM f WHERE i IN (FROM l) UNION ALL SELECT 'repeated', count(*) FROM (SELECT i FROM l GROUP BY i HAVING count(*) > 1) UNION ALL SELECT 'missing', count(*) FROM f WHERE i NOT IN (FROM l) UNION ALL SELECT 'extra', count(DISTINCT i) FROM l WHERE i NOT IN (FROM f)) SELECT * FROM x WHERE n > 0",
     "h4_entity_templates": "SELECT 'what did <entity> of the <entity> segment owe in <year>, above <num>?' AS template, count(*) AS n FROM customer",
-    "h10_rule_sets": f"WITH {_ORDERS} SELECT k AS form, (['change', 'table_aggregation', 'comparison', 'aggregation', 'ratio', 'change', 'other', 'table_aggregation'])[k + 1] AS first, (['percentage_change', 'other', 'comparison', 'aggregation', 'ratio', 'difference', 'other', 'average'])[k + 1] AS second, (['growth', 'other', 'comparison', 'level', 'share', 'growth', 'other', 'level'])[k + 1] AS third, count(*) AS n FROM o GROUP BY ALL",
-    "h12_scale_profiles": f"WITH {_ORDERS} SELECT count(*) FILTER (k = 4) AS percent, 0::BIGINT AS thousand, count(*) FILTER (k = 3) AS million, 0::BIGINT AS billion, count(*) FILTER (c % 5 = 0) AS basis_points, count(*) FILTER (c % 3 = 0) AS fraction FROM o",
     "h13_aligned_families": f"WITH {_TABLE}, x AS (SELECT list_filter(regexp_extract_all(program, '([a-z_]+)\\(', 1), lambda v: v <> 'none') AS ops FROM p), y AS (SELECT CASE WHEN list_contains(ops, 'greater') THEN 'comparison' WHEN len(list_filter(ops, lambda v: starts_with(v, 'table_'))) > 0 THEN 'table_aggregation' WHEN list_has_all(ops, ['divide', 'subtract']) THEN 'change' WHEN list_contains(ops, 'divide') THEN 'ratio' WHEN list_contains(ops, 'add') THEN 'aggregation' WHEN list_contains(ops, 'multiply') THEN 'scaling' ELSE 'other' END AS a, CASE WHEN list_contains(ops, 'greater') THEN 'comparison' WHEN list_contains(ops, 'table_average') THEN 'average' WHEN len(list_filter(ops, lambda v: starts_with(v, 'table_'))) > 0 THEN 'aggregation' WHEN list_has_all(ops, ['divide', 'subtract']) THEN 'percentage_change' WHEN list_contains(ops, 'divide') THEN 'ratio' WHEN list_contains(ops, 'subtract') THEN 'difference' WHEN list_contains(ops, 'add') THEN 'aggregation' WHEN list_contains(ops, 'multiply') THEN 'multiplication' ELSE 'other' END AS b, array_to_string(list_sort(list_distinct(list_concat(ops, list_transform(ops, lambda v: replace(v, 'table_', ''))))), ',') AS \"set\" FROM x) SELECT a, b, b IN ('difference', 'percentage_change', 'ratio', 'multi_step') AS like_difference, \"set\", count(*) AS n FROM y GROUP BY ALL",
     "h14_schema_keys": f"""WITH {_ORDERS}, {_A}, x AS (SELECT k, c, l, regexp_extract_all(program, '([a-z_]+)\\(', 1) AS ops, CASE WHEN regexp_matches(l, 'percent|%') THEN 'percent' WHEN contains(l, 'million') THEN 'million' ELSE 'none' END AS scale, CASE WHEN c % 2 > 0 AND c % 3 > 0 THEN 'text+table' WHEN c % 2 > 0 THEN 'text' WHEN c % 3 > 0 THEN 'table' ELSE 'none' END AS ev FROM a),
 y AS (SELECT *, CASE k WHEN 0 THEN 'program:' || CASE WHEN regexp_matches(l, '{_RATIO}') THEN 'change_rate' ELSE 'difference_then_ratio' END WHEN 1 THEN 'program:sequence:table_sum' WHEN 2 THEN 'program:sequence:table_max>add' WHEN 3 THEN 'program:' || CASE WHEN regexp_matches(l, '{_RATIO}') THEN 'ratio' ELSE 'division_composition' END

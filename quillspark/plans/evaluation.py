@@ -15,7 +15,7 @@ from ..operators import stats as S
 from ..shipping import ship
 from .outcomes import ARMS_SQL, arms
 
-BOOT, SEED = 200, 20260816
+BOOT, SEED = 10_000, 20260816
 
 
 def _orders(spark, sf_dir):
@@ -241,8 +241,10 @@ def k12(spark, sf_dir):
 QUERIES = {"b5_pair_facts": b5, "b9_safe_features": b9, "b11_contains_any": b11, "b14_relevant_paragraphs": b14, "h8_plain_tokens": h8, "h17_inferred_operators": h17, "h25_reconciled_scale": h25, "h28_canonical_answer": h28, "h37_answer_json": h37, "h42_prediction_entries": h42, "h43_same_items": h43, "j2_lenient_tokens": j2, "j23_token_indices": j23, "j4_linear_errors": j4, "j5_best_effort": j5, "j6_flat_audit": j6, "j12_official_executor": j12, "j16_same_algebra": j16, "j19_evaluate": j19, "j20_differential": j20, "j24_dispatch": j24, "k1_bag_f1": k1, "k6_mixed_modes": k6, "k7_gold_self_check": k7, "k9_paired_bootstrap": k9, "k12_class_means": k12}
 _VALUE = "CASE k WHEN 0 THEN (t - 100) / 2 WHEN 1 THEN list_sum(qs) WHEN 4 THEN (t > c)::INT WHEN 6 THEN list_avg(qs) * 0.5 WHEN 7 THEN 8 END::DOUBLE"
 _NUM = r"regexp_extract_all({}, '[-]?[0-9]+[.]?[0-9]*')"
-_U = "('0x' || substr(md5('{seed}|' || rep || '|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_TIMES = "len(list_filter([" + ", ".join(f"{p!r}::DOUBLE" for p in S._POISSON) + "], lambda p: p <= {u}))"
+#: Draws of a resample: hashes of key and resample, a line and a square modulo 2^31 - 1, and the steps of the distribution function in 65536ths.
+_DRAW = "(('0x' || substr(md5('{seed}|' || {key}), 1, 7))::BIGINT * r.x + ('0x' || substr(md5('{seed}|' || {key}), 8, 7))::BIGINT) % 2147483647"
+_REPS = "r AS (SELECT rep, ('0x' || substr(md5('{seed}|rep|' || rep), 1, 7))::BIGINT + 1 AS x FROM range({reps}) t(rep))"
+_STEPS = "(y >= 24110)::INT + (y >= 48219)::INT + (y >= 60274)::INT + (y >= 64292)::INT + (y >= 65297)::INT + (y >= 65498)::INT + (y >= 65531)::INT"
 ORACLES = {
     "j2_lenient_tokens": rf"WITH {_TABLE} SELECT o_orderkey, array_to_string(list_concat(flatten(list_transform(string_split(program, ', '), lambda x: regexp_extract_all(x, '[^()]*\(|\)|[^()]+'))), ['EOF']), '|') AS tokens FROM p",
     "j23_token_indices": rf"WITH {_TABLE}, x AS (SELECT *, flatten(list_transform(string_split(program, ', '), lambda x: regexp_extract_all(x, '[^()]*\(|\)|[^()]+'))) AS tk, {P.VOCABULARY!r} AS v FROM p) SELECT o_orderkey, list_position(v, tk[1]) - 1 AS first, len(list_filter(tk, lambda y: NOT list_contains(v, y) AND y IN (t::VARCHAR, c::VARCHAR))) AS own, len(list_filter(tk, lambda y: NOT list_contains(v, y) AND y NOT IN (t::VARCHAR, c::VARCHAR))) AS unknown, true AS known FROM x",
@@ -269,7 +271,7 @@ SELECT o_orderkey, array_to_string(ops, ',') AS ops, CASE WHEN c % 7 = 0 THEN 'c
     "k1_bag_f1": "WITH e AS (SELECT user_id, count(DISTINCT event_type) AS a, count(DISTINCT event_type) FILTER (value > 50) AS b FROM events GROUP BY user_id) SELECT user_id, round(CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 1.0 ELSE 0.0 END ELSE 2.0 * (b / a::DOUBLE) / (b / a::DOUBLE + 1.0) END, 9) AS f1 FROM e",
     "k6_mixed_modes": f"WITH {_ORDERS}, m AS (SELECT CASE WHEN k < 2 THEN 'program_vs_program' WHEN k < 4 THEN 'answer_vs_program' WHEN k < 6 THEN 'program_vs_span' ELSE 'span_vs_span' END AS mode, CASE k WHEN 1 THEN (t = 0)::INT WHEN 3 THEN 0 WHEN 7 THEN 0 WHEN 2 THEN (0.05 <= least(t / 1000.0, 0.1))::INT ELSE 1 END AS em, CASE k WHEN 1 THEN (t = 0)::INT WHEN 3 THEN 0 WHEN 7 THEN 0.67 WHEN 2 THEN (0.05 <= least(t / 1000.0, 0.1))::INT ELSE 1 END AS f1 FROM o) SELECT mode, false AS invalid, count(*) AS n, round(sum(em)::DOUBLE, 6) AS sum_em, round(avg(f1)::DOUBLE, 6) AS mean_f1 FROM m GROUP BY ALL",
     "k7_gold_self_check": f"WITH {_ORDERS} SELECT o_orderkey, '' AS answer FROM o WHERE k % 5 = 2",
-    "k9_paired_bootstrap": f"WITH {ARMS_SQL}, d AS (SELECT sample_id, case_::INT - both_::INT AS d FROM wide WHERE replicate = 1), w AS (SELECT rep, d, {_TIMES.format(u=_U.format(seed=SEED, key='sample_id'))} AS times FROM d, range({BOOT}) r(rep)), m AS (SELECT rep, sum(d * times) / sum(times)::DOUBLE AS m FROM w GROUP BY rep) SELECT round((SELECT avg(d) FROM d), 9) AS diff, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m",
+    "k9_paired_bootstrap": f"WITH {ARMS_SQL}, {_REPS.format(seed=SEED, reps=BOOT)}, d AS (SELECT sample_id, case_::INT - both_::INT AS d FROM wide WHERE replicate = 1), z AS (SELECT rep, d, {_DRAW.format(seed=SEED, key='sample_id')} AS z FROM d, r), w AS (SELECT rep, d, z * z % 2147483647 // 32768 AS y FROM z), m AS (SELECT rep, sum(d * ({_STEPS})) / sum({_STEPS})::DOUBLE AS m FROM w GROUP BY rep) SELECT round((SELECT avg(d) FROM d), 9) AS diff, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m",
     "k12_class_means": f"WITH {ARMS_SQL}, c AS (SELECT w.*, o_custkey AS cust FROM wide w JOIN orders ON o_orderkey = sample_id) SELECT CASE WHEN case_ AND both_ THEN 'both' WHEN case_ THEN 'case_only' WHEN both_ THEN 'both_only' ELSE 'neither' END AS outcome, count(*) AS n, round(avg(cust), 6) AS cust, round(avg(sample_id), 6) AS sample_id FROM c GROUP BY ALL",
 }
-CLUSTER_BOOTSTRAP_SQL = f"WITH {ARMS_SQL}, g AS (SELECT cust, sum(correct::INT) AS s, count(*) AS c FROM arms WHERE arm = 'case' GROUP BY cust), w AS (SELECT rep, s, c, {_TIMES.format(u=_U.format(seed=SEED, key='cust'))} AS times FROM g, range({BOOT}) r(rep)), m AS (SELECT rep, sum(s * times) / sum(c * times)::DOUBLE AS m FROM w GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM m"
+CLUSTER_BOOTSTRAP_SQL = f"WITH {ARMS_SQL}, {_REPS.format(seed=SEED, reps=BOOT)}, g AS (SELECT cust, sum(correct::INT) AS s, count(*) AS c FROM arms WHERE arm = 'case' GROUP BY cust), z AS (SELECT rep, s, c, {_DRAW.format(seed=SEED, key='cust')} AS z FROM g, r), w AS (SELECT rep, s, c, z * z % 2147483647 // 32768 AS y FROM z), m AS (SELECT rep, sum(s * ({_STEPS})) / sum(c * ({_STEPS}))::DOUBLE AS m FROM w GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg(m), 9) AS mean FROM m"

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import numbers as N
 from quillspark.functions import programs as P
+from quillspark.functions import rules as K
 from quillspark.functions import text as X
 from quillspark.operators import integrity, outcomes, retrieval, stats
 from quillspark.shipping import ship
@@ -51,7 +52,7 @@ def test_numbers(spark):
 
 
 def test_text(spark):
-    r = one(spark, X.html_to_text(F.lit("<table><tr><td>a</td><td></td><td>b</td></tr><tr><td></td></tr></table>")).alias("a"), X.normalize_answer(F.lit("The cat, of 1,000!")).alias("b"), X.json_object(F.lit("x {\"a\": 1} y")).alias("c"), X.truncate(F.lit("abcdef"), 3).alias("d"))
+    r = one(spark, X.html_to_text(F.lit("<table><tr><td>a</td><td></td><td>b</td></tr><tr><td></td></tr></table>")).alias("a"), K.plain_answer(F.lit("The cat, of 1,000!")).alias("b"), X.json_object(F.lit("x {\"a\": 1} y")).alias("c"), X.truncate(F.lit("abcdef"), 3).alias("d"))
     assert (r.a, r.b, r.c, r.d) == ("a | b", "cat of 1000", '{"a": 1}', "abc...")
 
 
