@@ -62,9 +62,10 @@ def measured(docs: DataFrame, text_col: str, *names: str, scorer: object | None
     return docs.mapInArrow(lean(run), schema)
 
 
-def uniform(id_col: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
+def uniform(id_col: Column, text_col: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on id, text and seed alone: rows that share an id, or have none, draw each their own."""
+    own = F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce(text_col, F.lit(""))))
+    h = F.conv(F.substring(F.md5(own), 1, 12), 16, 10).cast("double")
     return (h + 0.5) / float(1 << 48)
 
 
@@ -102,7 +103,7 @@ def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     a model that gives them; without either texts with many signs weigh less.
     """
     own = [] if quality is None else [F.greatest(F.coalesce(F.nanvl(F.col(quality).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.05)).alias("weight")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), uniform(F.col(id_col), seed).alias("u"), *own, *([] if mark is None else [mark.alias("mark")]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"), *own, *([] if mark is None else [mark.alias("mark")]))
     rows = measured(rows, "text", "size", "signs", scorer=scorer)
     rows = rows.select("doc_id", "source", "size", (-F.log("u") / F.col("signs" if quality is None else "weight")).alias("key"), *([] if mark is None else ["mark"]))
     more_columns = rows.columns[4:]
@@ -134,7 +135,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  -ln((('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+  -ln((('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
   / CASE WHEN length(text) > 0 THEN 0.05 + 0.95 * (1 - least(1.0::DOUBLE, 8.0::DOUBLE * (length(text) - length(translate(text, '!#$%&*|', '')))::DOUBLE / length(text)::DOUBLE)) ELSE 0.05::DOUBLE END AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1)::INT] AS w, row_number() OVER (ORDER BY source COLLATE C NULLS LAST) AS k FROM d GROUP BY source),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM s),

@@ -448,7 +448,7 @@ def test_mix_order_follows_the_keys(spark):
     """Documents that give their last epoch are those with the smallest keys of their source."""
     rows = [(i, "w " * 5, "a") for i in range(50)] + [(100 + i, "w " * 5, "b") for i in range(200)]
     docs = frame(spark, rows)
-    key = docs.select("doc_id", (-F.log(mixing.uniform(F.col("doc_id"), "mix-1"))).alias("k"))  # all weigh 1
+    key = docs.select("doc_id", (-F.log(mixing.uniform(F.col("doc_id"), F.col("text"), "mix-1"))).alias("k"))  # all weigh 1
     for lo, hi in ((0, 100), (100, 400)):
         r = mixing.take(docs).join(key, "doc_id").where(f"doc_id >= {lo} and doc_id < {hi}").orderBy("k").collect()
         taken = [x.taken for x in r]
@@ -623,3 +623,10 @@ def test_shingle_sets_match_plain_python():
         n = [len(s) for _, _, buf, off in textkit.groups(pa.array([text, None, text])) for s in textkit.shingle_sets(buf, off)]
         assert n == [len(shingles(text)), 0, len(shingles(text))]
     assert Counter(map(len, [shingles("a b c d e f")])) == {2: 1}
+
+
+def test_rows_without_an_id_draw_each_their_own_key(spark):
+    """As many bins as for rows with ids: no bin of one task holds all null or repeated ids."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    keys = rows.groupBy("doc_id").agg(F.count_distinct(mixing.uniform(F.col("doc_id"), F.col("text"), "s")).alias("n")).collect()
+    assert sorted((r.doc_id or 0, r.n) for r in keys) == [(0, 10_000), (7, 10_000)]
