@@ -112,7 +112,7 @@ def alignment_features(questions: DataFrame, cases: DataFrame, strategies: DataF
     alone = lambda k: (F.size(f"{k}_families") > 1) & (F.size(F.filter(f"{k}_families", lambda f: f == top[k])) == 1)
     polluted = lambda k: F.col("scale.asks_or_outputs_percent") & first(f"{k}_fraction", False)
     features = {
-        "pred_family_is_ratio_like": _double(ratio_like), "pred_family_is_change_like": _double(change_like), "pred_family_is_scale_like": _double(scale_like), "query_role_count": F.size("roles").cast("double"),
+        "pred_family_is_ratio_like": _double(ratio_like), "pred_family_is_change_like": _double(change_like), "pred_family_is_scale_like": _double(scale_like), "query_role_count": F.when(F.array_contains("roles", "count"), 1.0).otherwise(F.size("roles").cast("double")),
         "case_pred_family_top1_agree": first("case_agree"), "case_pred_family_any_agree": _double(any_of("case_agree")), "case_pred_family_agree_ratio": mean(F.col("case_agree")),
         "strategy_pred_family_any_agree": _double(any_of("strategy_agree")), "strategy_pred_family_agree_ratio": mean(F.col("strategy_agree")),
         "case_strategy_pred_family_both_agree": _double(any_of("case_agree") & any_of("strategy_agree")), "case_strategy_family_disagreement": _double(top["case"] != top["strategy"]),
@@ -137,5 +137,5 @@ def alignment_features(questions: DataFrame, cases: DataFrame, strategies: DataF
     named = [F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in features.items()]
     hot = lambda prefix, v: F.struct(F.concat(F.lit(prefix), v).alias("name"), F.lit(1.0).alias("value"))
     one_hot = F.array(hot("pred_family_", F.col("family")), hot("case_top_pred_family_", top["case"]), hot("strategy_top_pred_family_", top["strategy"]))
-    role_entries = F.transform("roles", lambda r: hot("query_role_", r))
+    role_entries = F.transform(F.array_remove("roles", "count"), lambda r: hot("query_role_", r))  # its name is that of the number of roles
     return x.select("id", F.map_from_entries(reduce(F.concat, [F.array(*named), one_hot, role_entries])).alias("features"))

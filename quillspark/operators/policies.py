@@ -1,4 +1,4 @@
-"""Policies that choose an arm for each sample, and how they are tuned: thresholds, gain against harm, gates, nested folds.
+"""Policies that choose an arm for each sample, and how they are tuned: thresholds, gain against harm, gates; ``nested`` runs them over folds.
 
 A policy reads predictions in columns (one for each arm) and writes ``chosen``. Grids are small lists of
 parameters; each candidate's mean value comes from one pass over the rows with the grid exploded.
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .outcomes import hit
-from .selectors import cross_validated, fit_predict, group_folds, vectorize, vocabulary
-from .tables import one_standard_error
+from .selectors import fit_predict, vectorize, vocabulary
 
+# The grids that policies are tuned over.
 THRESHOLDS = (0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.33, 0.5)
 GATES = (0.4, 0.5, 0.6, 0.7, 0.8)
 LAMBDAS = (1.0, 1.5, 2.0, 3.0)
@@ -106,37 +106,3 @@ def classify(train: DataFrame, test: DataFrame, features: str, label: str, model
     est = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=4, seed=7) if model == "tree" else MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[max(1, len(names)), 8, 2], maxIter=50, seed=7)
     out = est.fit(tr).transform(scale.transform(te))
     return out.withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
-
-
-def gain_and_harm(df: DataFrame, features: str, group: str, arms: tuple[str, ...], base: str, k: int = 3, model: str = "logistic") -> DataFrame:
-    """df with out-of-fold chances ``gain_a`` and ``harm_a`` of every arm against the base."""
-    for a in arms:
-        for name, label in ((f"gain_{a}", F.col(a) & ~F.col(base)), (f"harm_{a}", ~F.col(a) & F.col(base))):
-            df = cross_validated(df.withColumn("_label", label), features, "_label", group, k, model).withColumnRenamed("p", name).drop("_label", "fold").persist()  # each fit would compute all before it anew
-    return df
-
-
-def nested(df: DataFrame, features: str, group: str, arms: tuple[str, ...], base: str, outer: int = 5, inner: int = 3, model: str = "logistic", thresholds: tuple[float, ...] = THRESHOLDS, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
-    """df with ``chosen`` for every row by a policy that never saw its group.
-
-    For each outer fold the (lambda, threshold) grid and the base alone are rated on the inner folds'
-    out-of-fold chances, one is picked by the one-standard-error rule, and the models are fitted anew on
-    all that is outside the fold.
-    """
-    folds = group_folds(df, group, outer).withColumnRenamed(group, "_group")
-    folded = df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumnRenamed("fold", "_outer").persist()
-    prior, out = (base, *arms), None
-    chances = lambda lam, t: by_gain_and_harm({a: F.col(f"gain_{a}") for a in arms}, {a: F.col(f"harm_{a}") for a in arms}, lam, t, base, prior)
-    grid = [{"lam": x, "threshold": t} for x in lambdas for t in thresholds] + [{"lam": 0.0, "threshold": 9.0}]
-    for f in range(outer):
-        train, test = folded.where(F.col("_outer") != f), folded.where(F.col("_outer") == f)
-        inside = gain_and_harm(train, features, group, arms, base, inner, model)
-        table = grid_table(inside, grid, lambda g: chances(g["lam"], g["threshold"]), prior, base)
-        pick = one_standard_error(table.select(F.concat_ws("|", "lam", "threshold").alias("name"), "mean", "se", "coverage", (F.col("threshold") > 1).alias("always_base"), "threshold", F.col("mean").alias("metric"))).first()
-        lam, t = map(float, pick["name"].split("|"))
-        for a in arms:
-            for name, label in ((f"gain_{a}", F.col(a) & ~F.col(base)), (f"harm_{a}", ~F.col(a) & F.col(base))):
-                test = classify(train.withColumn("_label", label), test, features, "_label", model).withColumnRenamed("p", name).persist()
-        part = test.withColumn("chosen", chances(lam, t)).select(*df.columns, "chosen")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import nested as N
 from .outcomes import ARMS_SQL, arms
-from .rules import _FIRST, _Q, _ROLE, _SECOND, _WORD, _questions
+from .rules import _Q, _ROLE, _SECOND, _questions
 
 _ARMS, _BASE, _PRIOR = ["none", "case", "strategy"], "both", ["strategy", "none", "case"]
 
@@ -111,7 +111,45 @@ UNION ALL SELECT o_orderkey, 'priority_' || o_orderpriority, 1 FROM x UNION ALL
 SELECT * FROM (SELECT o_orderkey, 'ratio_likelihood', o_orderkey % 7 / 7.0::DOUBLE AS v FROM x UNION ALL SELECT o_orderkey, 'table_heavy_reasoning', coalesce(q, 0) / 50 FROM x UNION ALL SELECT o_orderkey, 'case_applicability', o_orderkey % 11 / 11.0::DOUBLE FROM x
 UNION ALL SELECT o_orderkey, 'strategy_applicability', d FROM x UNION ALL SELECT o_orderkey, 'ambiguity_risk', o_orderkey % 13 / 13.0::DOUBLE FROM x UNION ALL SELECT o_orderkey, 'case_copy_risk', r FROM x) WHERE v <> 0),
 k AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS index FROM (SELECT DISTINCT name FROM e WHERE value IS NOT NULL))"""
-_RATED = ", ".join(f"avg({v}) AS {n}" for v, n in (("v - b", "g"), ("l::INT", "c")))
+_ROLES = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _ROLE) + "], lambda r: r IS NOT NULL))"
+_YEARS = r"least(2, len(regexp_extract_all(y, '\b(?:19|20)[0-9][0-9]\b')))"
+_JACCARD = "CASE WHEN len(q.roles) + len(x.roles) = 0 THEN 1 ELSE len(list_intersect(q.roles, x.roles)) / len(list_distinct(list_concat(q.roles, x.roles)))::DOUBLE END"
+_AGREE = "(f = q.fam OR (f IN ('percentage_change', 'difference') AND q.fam IN ('percentage_change', 'difference')) OR (f IN ('ratio', 'average') AND q.fam IN ('ratio', 'average')) OR (f IN ('aggregation', 'average') AND q.fam IN ('aggregation', 'average')) OR (f IN ('unit_scaling', 'multiplication') AND q.fam IN ('unit_scaling', 'multiplication')) OR (f IN ('multi_step', 'percentage_change', 'difference', 'ratio') AND q.fam IN ('multi_step', 'percentage_change', 'difference', 'ratio')))::INT::DOUBLE"
+_HELD = lambda *w: "(" + " OR ".join(f"contains(y, '{x}')" for x in w) + ")"
+_SHARE = lambda col: f"list_transform(list_distinct({col}), lambda v: len(list_filter({col}, lambda u: u = v)) / len({col})::DOUBLE)"
+_MODE = lambda col: f"coalesce(list_max({_SHARE(col)}), 0)"
+_ENTROPY = lambda col: f"coalesce(0 - list_sum(list_transform({_SHARE(col)}, lambda p: p * ln(p + 1e-12))), 0)"
+_AVG, _TOP = (lambda col: f"coalesce(list_avg({col}), 0)"), (lambda col: f"coalesce({col}[1], 0)")
+_ANY = lambda col: f"coalesce(list_max({col}), 0) > 0"
+_NUMBERS = {
+    "pred_family_is_ratio_like": "(fam IN ('ratio', 'average'))::INT", "pred_family_is_change_like": "(fam IN ('percentage_change', 'difference'))::INT", "pred_family_is_scale_like": "(fam IN ('unit_scaling', 'multiplication'))::INT",
+    "query_role_count": "CASE WHEN list_contains(roles, 'count') THEN 1 ELSE len(roles) END", "case_pred_family_top1_agree": _TOP("ca"), "case_pred_family_any_agree": f"({_ANY('ca')})::INT", "case_pred_family_agree_ratio": _AVG("ca"),
+    "strategy_pred_family_any_agree": f"({_ANY('sa')})::INT", "strategy_pred_family_agree_ratio": _AVG("sa"), "case_strategy_pred_family_both_agree": f"({_ANY('ca')} AND {_ANY('sa')})::INT", "case_strategy_family_disagreement": "(ctop <> stop)::INT",
+    "case_role_overlap_top1": _TOP("co"), "case_role_overlap_mean": _AVG("co"), "strategy_role_overlap_mean": _AVG("so"), "case_year_compat_top1": _TOP("cy"), "case_year_compat_mean": _AVG("cy"), "case_symbolic_compat_top1": _TOP("ca"), "case_symbolic_compat_mean": _AVG("ca"),
+    "case_step_distance_top1": f"abs({_TOP('cn')} - greatest(1, len(roles) / 2.5::DOUBLE))", "case_step_entropy_proxy": "coalesce(list_stddev_pop(cn), 0)", "case_struct_mode_share": _MODE("ct"), "case_family_mode_share": _MODE("cf"), "strategy_struct_mode_share": _MODE("st"), "strategy_family_mode_share": _MODE("sf"),
+    "case_struct_entropy_31": _ENTROPY("ct"), "case_family_entropy_31": _ENTROPY("cf"), "strategy_struct_entropy_31": _ENTROPY("st"), "strategy_family_entropy_31": _ENTROPY("sf"),
+    "query_scale_asks_or_outputs_percent": "pct::INT", "query_scale_fraction_convention": "frac::INT", "query_scale_raw_number_convention": "(NOT frac)::INT", "query_scale_has_million": "contains(y, 'million')::INT", "query_scale_has_billion": "contains(y, 'billion')::INT",
+    "query_scale_has_thousand": "contains(y, 'thousand')::INT", "query_scale_has_basis_points": "contains(y, 'basis point')::INT", "query_scale_has_scale_word": "word::INT",
+    "case_scale_mismatch_top1": _TOP("cm"), "case_scale_mismatch_mean": _AVG("cm"), "strategy_scale_mismatch_mean": _AVG("sm"), "case_strategy_scale_disagreement": "coalesce(cr[1] <> sr[1], false)::INT",
+    "scale_pollution_risk_case_fraction_for_percent_query": "(pct AND coalesce(cr[1], false))::INT", "scale_pollution_risk_strategy_fraction_for_percent_query": "(pct AND coalesce(sr[1], false))::INT",
+    "case_top_conflict_with_rest": "coalesce(len(cf) > 1 AND len(list_filter(cf, lambda v: v = ctop)) = 1, false)::INT", "strategy_top_conflict_with_rest": "coalesce(len(sf) > 1 AND len(list_filter(sf, lambda v: v = stop)) = 1, false)::INT",
+    "case_score_x_pred_family_agree": f"{_TOP('cs')} * {_TOP('ca')}", "strategy_score_x_pred_family_agree": f"{_TOP('ss')} * ({_ANY('sa')})::INT", "case_score_x_role_overlap": f"{_TOP('cs')} * {_TOP('co')}",
+    "retrieval_alignment_high_conf": f"({_ANY('ca')} AND {_ANY('sa')} AND {_AVG('co')} >= 0.25 AND {_AVG('cm')} < 0.75)::INT", "retrieval_alignment_low_conf": f"(NOT ({_ANY('ca')}) AND NOT ({_ANY('sa')}) AND {_AVG('co')} < 0.2)::INT",
+}
+_TEXT_LIST = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + "]"
+_ALIGNED_SQL = f"""WITH {_Q}, qn AS (SELECT o_orderkey AS id, y, {_SECOND} AS fam, {_ROLES} AS roles, {_YEARS} AS years, regexp_matches(y, '%|percent') AS pct, regexp_matches(y, 'fraction|0-1') AS frac, regexp_matches(y, 'million|billion|thousand|basis point') AS word FROM y),
+cs AS (SELECT o_orderkey AS src, (['percentage_change', 'ratio', 'average', 'aggregation', 'comparison', 'multiplication', 'other'])[o_orderkey % 7 + 1] AS f, (['subtract>divide', 'divide', 'table_average', 'add', 'greater', 'multiply', ''])[o_orderkey % 7 + 1] AS struct, ([2, 1, 1, 1, 1, 1, 0])[o_orderkey % 7 + 1]::DOUBLE AS steps,
+{_ROLES} AS roles, {_YEARS} AS years, regexp_matches(lower(q || ' ' || a), '%|percent') AS pct, regexp_matches(lower(q || ' ' || a), 'fraction|0-1') OR regexp_matches(lower(a), '\\b0[.][0-9]') AS frac, regexp_matches(lower(q || ' ' || a), 'million|billion|thousand|basis point') AS word FROM y),
+n AS (SELECT n_nationkey AS src, ({_TEXT_LIST})[n_nationkey % 7 + 1] AS y, ' ' || ({_TEXT_LIST})[n_nationkey % 7 + 1] || ' ' AS z, n_nationkey * 3 % 7 + 1 AS p, CASE WHEN n_nationkey % 2 = 0 THEN 'percent' ELSE '' END AS scale FROM nation),
+sn AS (SELECT src, list_sort(list_distinct(list_filter([(['percentage_change', 'ratio', 'average', 'aggregation', 'comparison', 'multiplication', 'other'])[p], CASE WHEN {_HELD("change", "growth", "increase", "decrease", "cumulative return")} THEN 'percentage_change' END, CASE WHEN {_HELD("average", "mean")} THEN 'average' END, CASE WHEN {_HELD("sum", "total", "aggregate")} THEN 'aggregation' END, CASE WHEN {_HELD("part", "whole", "share", "portion", "ratio")} THEN 'ratio' END], lambda v: v IS NOT NULL))) AS fs,
+(['subtract>divide', 'divide', 'table_average', 'add', 'greater', 'multiply', ''])[p] AS struct, {_ROLES} AS roles, regexp_matches(y || ' ' || scale, '%|percent') AS pct, regexp_matches(y, 'fraction|0-1') AS frac, regexp_matches(y, 'million|billion|thousand|basis point') AS word FROM n),
+ch AS (SELECT q.id, rank, x.f AS f, x.struct, x.steps, {_JACCARD} AS o, (q.years = x.years)::INT::DOUBLE AS yy, (q.pct <> x.pct OR (q.word AND NOT x.word))::INT::DOUBLE AS m, x.frac AS r, 0.9 / (rank + 1) AS s, {_AGREE} AS a FROM qn q, (VALUES (1, 1), (2, 2), (3, 5)) v(rank, d) JOIN cs x ON x.src = q.id + d WHERE q.id % 9 > 0),
+sh AS (SELECT q.id, rank, x.fs, x.struct, {_JACCARD} AS o, (q.pct <> x.pct OR (q.word AND NOT x.word))::INT::DOUBLE AS m, x.frac AS r, 0.9 / (rank + 1) AS s, list_transform(x.fs, lambda f: {_AGREE}) AS a FROM qn q, (VALUES (1, 1, 0), (2, 7, 3)) v(rank, k, d) JOIN sn x ON x.src = (q.id * k + d) % 25 WHERE q.id % 9 > 0),
+c AS (SELECT id, list(f ORDER BY rank) AS cf, list(struct ORDER BY rank) AS ct, list(steps ORDER BY rank) AS cn, list(o ORDER BY rank) AS co, list(yy ORDER BY rank) AS cy, list(m ORDER BY rank) AS cm, list(r ORDER BY rank) AS cr, list(s ORDER BY rank) AS cs, list(a ORDER BY rank) AS ca FROM ch GROUP BY id),
+st AS (SELECT id, flatten(list(fs ORDER BY rank)) AS sf, list(struct ORDER BY rank) AS st, list(o ORDER BY rank) AS so, list(m ORDER BY rank) AS sm, list(r ORDER BY rank) AS sr, list(s ORDER BY rank) AS ss, flatten(list(a ORDER BY rank)) AS sa FROM sh GROUP BY id),
+w AS (SELECT *, coalesce(cf[1], 'none') AS ctop, coalesce(sf[1], 'none') AS stop FROM qn q LEFT JOIN c USING (id) LEFT JOIN st USING (id)),
+e AS (SELECT id, unnest(list_concat([{", ".join(f"{{'name': '{k}', 'value': ({v})::DOUBLE}}" for k, v in _NUMBERS.items())}, {{'name': 'pred_family_' || fam, 'value': 1.0::DOUBLE}}, {{'name': 'case_top_pred_family_' || ctop, 'value': 1.0::DOUBLE}}, {{'name': 'strategy_top_pred_family_' || stop, 'value': 1.0::DOUBLE}}], list_transform(list_filter(roles, lambda r: r <> 'count'), lambda r: {{'name': 'query_role_' || r, 'value': 1.0::DOUBLE}}))) AS e FROM w)
+SELECT id, e.name AS name, round(e.value, 6) + 0.0 AS value FROM e"""
 ORACLES = {
     "l1_sparse_vectors": f"WITH {_ENTRIES} SELECT id, string_agg(index::VARCHAR, ',' ORDER BY index) AS indices, round(sum(value), 6) AS total FROM e JOIN k USING (name) WHERE value IS NOT NULL GROUP BY id",
     "l1_dictionary": f"WITH {_ENTRIES} SELECT name, index FROM k",
@@ -122,4 +160,5 @@ d AS (SELECT f, g, number, threshold, avg(v) - avg(b) AS gain, avg(l::INT) AS co
 t AS (SELECT f, number, threshold, round(avg(gain), 12) AS m, round(coalesce(stddev_samp(gain) / sqrt(count(*)), 0), 12) AS se, avg(cov) AS cov FROM d GROUP BY ALL),
 u AS (SELECT *, first_value(m - se) OVER (PARTITION BY f ORDER BY m DESC, number) AS cutoff FROM t)
 SELECT f, number, round(m, 9) AS mean_gain, round(cov, 9) AS coverage FROM u WHERE m >= cutoff - 1e-12 QUALIFY row_number() OVER (PARTITION BY f ORDER BY cov, threshold = 0 DESC, threshold DESC, m DESC, number) = 1""",
+    "l10_alignment_features": _ALIGNED_SQL,
 }

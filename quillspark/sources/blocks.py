@@ -42,12 +42,12 @@ def _kept(df: DataFrame) -> DataFrame:
 def blocks(spark: SparkSession, path: str, size: int = BLOCK, content: bool = False) -> DataFrame:
     """(path, block, start, bytes, sha256) of every block of the files below ``path``, with its ``content`` if asked for.
 
-    An empty file is one empty block. Ranges of ``RANGE`` blocks are dealt to tasks by path and place, so
+    Empty files have no blocks (Spark does not list them). Ranges of ``RANGE`` blocks are dealt to tasks by path and place, so
     one large file is read by many.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")  # contents are not read
-    count = F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")  # contents are not read
+    count = F.ceil(F.col("length") / size).cast("long")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(RANGE).cast("long"))).alias("first"), count.alias("n"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranges = ranges.select("path", "length", "first", F.least(F.col("first") + RANGE, F.col("n")).alias("end")).repartition(tasks, "path", "first")

@@ -113,18 +113,6 @@ def test_calls_with_retries_and_dead_letters(spark):
     assert runs.called(df.limit(0), "id", "prompt", call).count() == 0
 
 
-def test_nested_policy_learns_what_is_there(spark):
-    """Where a feature tells which arm is right, the nested policy beats the base; every row is chosen for once."""
-    rows = []
-    for i in range(240):
-        helps = i % 3 == 0
-        rows.append((i, i // 4, helps, not helps, {"helps": float(helps), "noise": float(i * 7 % 11)}))
-    df = spark.createDataFrame(rows, "id long, grp long, case boolean, both boolean, features map<string,double>")
-    got = policies.nested(df, "features", "grp", ("case",), "both", outer=2, inner=2, thresholds=(0.0, 0.5), lambdas=(1.0,)).collect()
-    assert sorted(r.id for r in got) == list(range(240))
-    assert sum(r.case if r.chosen == "case" else r.both for r in got) >= 230
-
-
 @pytest.mark.parametrize("model", ["tree", "mlp", "logistic"])
 def test_classifiers_and_regressors(spark, model):
     df = spark.createDataFrame([(i, i % 2 == 0, {"x": float(i % 2), "y": 1.0}) for i in range(60)], "id long, y boolean, f map<string,double>")
