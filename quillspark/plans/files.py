@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import blocks as B
+from ..sources import builds as S
 from ..sources.files import scratch
 
 #: Bytes of a block and children of a node in these queries: small, so that small tables have several levels.
@@ -71,7 +72,27 @@ def m1_chain(spark, sf_dir):
     return stored.join(B.broken(stored, now), ["stage", "name"], "left").select("stage", "name", "digest", "fault")
 
 
-QUERIES = {"a13_blocks": a13_blocks, "a13_tree": a13_tree, "a13_changed": a13_changed, "m1_chain": m1_chain}
+def a14_build(spark, sf_dir):
+    """A build of three stages run four times: at first, again, with a new version of the second stage, and after the last stage's bytes were touched."""
+    folder, target, source = scratch(spark), scratch(spark), _written(spark, sf_dir, _price())
+    lines = F.split("value", r"\|")
+    pool = lambda: spark.read.text(f"{source}/*/*.txt").select(lines[0].cast("long").alias("id"), lines[1].alias("status"), lines[2].cast("long").alias("cents"))
+    stages = lambda v: [
+        S.Stage("pool", pool, check=lambda t: t.where("id is null or cents is null")),
+        S.Stage("open", lambda pool: pool.where(F.col("status") == "O"), ["pool"], v),
+        S.Stage("sums", lambda pool, open: pool.groupBy("status").agg(F.sum("cents").alias("cents")).join(open.groupBy("status").agg(F.count("*").alias("n")), "status", "left"), ["pool", "open"]),
+    ]
+    build = S.Build(spark, folder, target, {"orders": (source, None)})
+    runs = [build.run(stages("1")), build.run(stages("1")), build.run(stages("2"))]
+    spark.range(1).select(F.lit("X").alias("status"), F.lit(1).cast("long").alias("cents"), F.lit(1).cast("long").alias("n")).write.mode("append").parquet(f"{folder}/sums")
+    runs.append(build.run(stages("2")))
+    rows = [(i, m["name"], m["action"], m["rows"]) for i, r in enumerate(runs) for m in r]
+    done = spark.createDataFrame(rows, "run int, stage string, action string, rows long")
+    cents = spark.read.parquet(f"{target}/sums").agg(F.sum("cents").alias("cents"))
+    return done.crossJoin(cents)  # twelve rows and one
+
+
+QUERIES = {"a13_blocks": a13_blocks, "a13_tree": a13_tree, "a13_changed": a13_changed, "m1_chain": m1_chain, "a14_canonical_build": a14_build}
 
 
 def _blocks_sql(t: str, price: str) -> str:
@@ -98,4 +119,7 @@ ORACLES = {
     "a13_tree": f"WITH RECURSIVE {_OWN}, {_NEW}, {_TREES} SELECT part, level, \"at\", digest FROM f_t",
     "a13_changed": f"WITH {_OWN}, {_NEW} SELECT part, block, CASE WHEN f_b.c IS NULL THEN 'added' WHEN e_b.c IS NULL THEN 'removed' ELSE 'changed' END AS change FROM f_b FULL JOIN e_b USING (part, block) WHERE f_b.c IS DISTINCT FROM e_b.c",
     "m1_chain": f"WITH RECURSIVE {_OWN}, {_NEW}, {_TREES}, {_chain_sql('f')}, {_chain_sql('e')} SELECT a.stage, a.name, a.digest, CASE WHEN a.root <> b.root THEN 'changed' WHEN a.digest <> b.digest THEN 'stale' END AS fault FROM f_c a JOIN e_c b USING (stage)",
+    "a14_canonical_build": """WITH o AS (SELECT o_orderstatus AS s, floor(o_totalprice * 100)::BIGINT AS c FROM orders), r(run, stage, action) AS (VALUES (0, 'pool', 'made'), (0, 'open', 'made'), (0, 'sums', 'made'), (1, 'pool', 'kept'), (1, 'open', 'kept'), (1, 'sums', 'kept'),
+(2, 'pool', 'kept'), (2, 'open', 'made'), (2, 'sums', 'made'), (3, 'pool', 'kept'), (3, 'open', 'kept'), (3, 'sums', 'made'))
+SELECT run, stage, action, CASE stage WHEN 'pool' THEN (SELECT count(*) FROM o) WHEN 'open' THEN (SELECT count(*) FROM o WHERE s = 'O') ELSE (SELECT count(DISTINCT s) FROM o) END AS rows, (SELECT sum(c)::BIGINT FROM o) AS cents FROM r""",
 }

@@ -54,6 +54,26 @@ def test_chain_names_what_changed_and_what_follows(spark):
     assert blocks.broken(old, old).count() == 0 and make([]).count() == 0
 
 
+def test_build_stops_before_it_publishes(spark, tmp_path):
+    from quillspark.sources.builds import Build, Stage, StageFault, root_of_files
+
+    source, folder, target = (f"file://{tmp_path}/{n}" for n in ("in", "work", "out"))
+    spark.range(20).coalesce(1).write.parquet(source)
+    stages = lambda bad: [Stage("a", lambda: spark.read.parquet(source)), Stage("b", lambda a: a.where("id > 4"), ["a"], str(bad), check=lambda t: t.where("id > 18") if bad else t.limit(0))]
+    root = root_of_files(spark, source)
+    Build(spark, folder, target, {"x": (source, root)}).run(stages(False))
+    before = root_of_files(spark, target)
+    with pytest.raises(StageFault, match="stage b"):
+        Build(spark, folder, target, {"x": (source, root)}).run(stages(True))
+    with pytest.raises(StageFault, match="release"):
+        Build(spark, folder, target, {"x": (source, root)}).run(stages(False), final=lambda t: t["b"])
+    with pytest.raises(StageFault, match="locked"):
+        Build(spark, folder, target, {"x": (source, "0" * 64)}).run(stages(False))
+    with pytest.raises(StageFault, match="missing"):
+        Build(spark, folder, target, {"x": (source + "-none", None)}).run(stages(False))
+    assert root_of_files(spark, target) == before and spark.read.parquet(f"{target}/b").count() == 15
+
+
 # -- keyword rules ----------------------------------------------------------------------------------
 def one(spark, c):
     return spark.range(1).select(c.alias("v")).first().v
