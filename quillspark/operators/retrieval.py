@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.arrays import dot, norm, unit
 from ..shipping import ship
 
-#: Bytes of query vectors up to which they are sent to every task; more queries go in several passes.
+#: Bytes of query vectors up to which they are sent to every task.
 SENT_BYTES = 32 << 20
+#: Beyond that: queries of a block and sources of a group that meet in a task.
+QUERIES, SOURCES = 4_096, 65_536
 #: Scores (queries times rows of vectors) that a task holds at a time.
 SCORES = 4 << 20
 
@@ -29,59 +31,115 @@ def best_columns(s: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(s), k)
 
 
+class _Queries:
+    """A block of queries and the k best sources that each has met."""
+
+    def __init__(self, ids: np.ndarray, vectors: pa.Array, grp: list, k: int, digits: int, exclude: str | None) -> None:
+        self.ids, self.k, self.digits, self.exclude = ids, k, digits, exclude
+        self.x = _unit_rows(vectors, len(ids))
+        self.codes = {g: i for i, g in enumerate(dict.fromkeys(grp))}
+        self.grp = np.array([self.codes[g] for g in grp], np.int64)
+        self.s, self.i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+
+    def meet(self, sid: np.ndarray, vectors: pa.Array, grp: list) -> None:
+        step = max(1, SCORES // max(1, len(self.ids)))
+        for at in range(0, len(sid) if len(self.ids) else 0, step):
+            own = np.arange(at, min(at + step, len(sid)))
+            own = own[np.argsort(sid[own], kind="stable")]  # of equal scores the smaller id comes first
+            part = sid[own]
+            s = np.rint(self.x @ _unit_rows(vectors.take(pa.array(own)), len(own)).T * 10**self.digits) / 10**self.digits
+            s[self.ids[:, None] == part[None]] = -np.inf
+            if self.exclude:
+                same = self.grp[:, None] == np.array([self.codes.get(grp[r], -1) for r in own], np.int64)[None]
+                s[same if self.exclude == "same" else ~same] = -np.inf
+            some = best_columns(s, self.k)
+            s, i = np.hstack([self.s, np.take_along_axis(s, some, 1)]), np.hstack([self.i, part[some]])
+            order = np.lexsort((i, -s), axis=1)[:, : self.k]
+            self.s, self.i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def found(self) -> pa.RecordBatch:
+        ok = np.isfinite(self.s)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(self.ids[:, None], ok.shape)[ok]), pa.array(self.i[ok]), pa.array(self.s[ok])], names=["target_id", "source_id", "score"])
+
+
+def _unit_rows(vectors: pa.Array, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros((0, 0))
+    y = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+
+
 def top_k(queries: DataFrame, sources: DataFrame, k: int = 3, digits: int = 7, exclude: str | None = None) -> DataFrame:
     """(target_id, rank, source_id, score): the k sources of highest cosine for each query, ties by smaller id.
 
     queries: (target_id, vector, grp), sources: (source_id, vector, grp). A source is left out for the
     query of the same id, and with ``exclude='same'`` or ``'other'`` for those of the same or of
-    another grp. Queries are sent to the tasks in passes of a bounded size; each task keeps only its k
-    best sources a query, so what is shuffled is queries times tasks times k, not queries times sources.
+    another grp. Queries of up to ``SENT_BYTES`` are sent to where the sources are; more of them are dealt
+    in blocks that meet groups of sources, a task each. Either way a task keeps only its k best sources a
+    query, so what is shuffled for the ranking is queries times tasks times k, not queries times sources.
     """
     spark = queries.sparkSession
     ship(spark)
+    of = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("grp").cast("string").alias("grp")).where("vector is not null")
+    q, src = of(queries, "target_id"), of(sources, "source_id")
+    count, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
     schema = "target_id long, source_id long, score double"
-    q = queries.select("target_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("grp").cast("string").alias("grp")).where("vector is not null")
-    width = q.select(F.max(F.size("vector"))).first()[0] or 1
-    most = max(1, SENT_BYTES // (8 * width))
-    passes = max(1, -(-q.count() // most))
-    parts = []
-    for p in range(passes):
-        now = q if passes == 1 else q.where(F.pmod(F.xxhash64("target_id"), F.lit(passes)) == p)
-        t = now.toArrow()
-        ids = t.column("target_id").to_numpy()
-        x = np.array(t.column("vector").to_pylist(), np.float64).reshape(len(ids), width)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, x, np.array(t.column("grp").to_pylist(), object)))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, x, grp = sent.value
-            best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            step = max(1, SCORES // max(1, len(ids)))
-            for b in batches:
-                for at in range(0, b.num_rows if len(ids) else 0, step):
-                    part = b.slice(at, step)
-                    part = part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))  # of equal scores the smaller id comes first
-                    sid = part.column(0).to_numpy()
-                    y = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sid), -1)
-                    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-                    s = np.rint(x @ y.T * 10**digits) / 10**digits
-                    s[ids[:, None] == sid[None]] = -np.inf
-                    if exclude:
-                        same = grp[:, None] == np.array(part.column(2).to_pylist(), object)[None]
-                        s[same if exclude == "same" else ~same] = -np.inf
-                    some = best_columns(s, k)
-                    s, i = np.hstack([best_s, np.take_along_axis(s, some, 1)]), np.hstack([best_i, sid[some]])
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            ok = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["target_id", "source_id", "score"])
-
-        src = sources.select(F.col("source_id").cast("long"), "vector", F.col("grp").cast("string")).where("vector is not null")
-        parts.append(src.mapInArrow(score, schema))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    return ranked(found, k)
+    if count * 8 * (width or 1) > SENT_BYTES:
+        return ranked(_dealt(q, src, count, k, digits, exclude).select("target_id", "source_id", "score"), k)
+    t = q.toArrow()  # SENT_BYTES at most
+    sent = spark.sparkContext.broadcast((t.column("id").to_numpy(), t.column("vector").combine_chunks(), t.column("grp").to_pylist()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Queries(*sent.value, k, digits, exclude)
+        for b in batches:
+            block.meet(b.column("id").to_numpy(), b.column("vector"), b.column("grp").to_pylist())
+        yield block.found()
+
+    return ranked(src.mapInArrow(score, schema), k)
+
+
+def _dealt(q: DataFrame, src: DataFrame, count: int, k: int, digits: int, exclude: str | None) -> DataFrame:
+    """The k best of every pair of a block of queries and a group of sources; a task streams the group past the block."""
+    spark = q.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = src.count()
+    blocks, groups = -(-count // QUERIES), max(-(-n // SOURCES), min(spread, -(-n // 1024)), 1)
+    at = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    left = q.withColumn("own", at(blocks)).withColumn("other", each(groups)).select((F.col("own") * groups + F.col("other")).alias("task"), F.lit(0).alias("side"), "id", "vector", "grp")
+    right = src.withColumn("own", at(groups)).withColumn("other", each(blocks)).select((F.col("other") * groups + F.col("own")).alias("task"), F.lit(1).alias("side"), "id", "vector", "grp")
+    dealt = left.unionByName(right).repartition(max(spread, min(blocks * groups, 100_000)), "task").sortWithinPartitions("task", "side")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block, held = None, None, []
+
+        def opened() -> _Queries | None:
+            if not held:
+                return None
+            t = pa.Table.from_batches(held)
+            return _Queries(t.column("id").to_numpy(), t.column("vector").combine_chunks(), t.column("grp").to_pylist(), k, digits, exclude)
+
+        for b in batches:
+            keys = b.column("task").to_numpy() * 2 + b.column("side").to_numpy()
+            edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else []
+            for i, start in enumerate(edges):
+                part = b.slice(start, (edges[i + 1] if i + 1 < len(edges) else len(keys)) - start)
+                now, side = divmod(int(keys[start]), 2)
+                if now != task:
+                    if block is not None:
+                        yield block.found()
+                    task, block, held = now, None, []
+                if side == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    block, held = opened(), []
+                if block is not None:  # the hash may have left this block of queries empty
+                    block.meet(part.column("id").to_numpy(), part.column("vector"), part.column("grp").to_pylist())
+        if block is not None:
+            yield block.found()
+
+    return dealt.mapInArrow(score, "target_id long, source_id long, score double")
 
 
 def ranked(found: DataFrame, k: int, *by: str) -> DataFrame:

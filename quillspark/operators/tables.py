@@ -152,10 +152,11 @@ def hash_sample(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
 
 
 def quota_sample(df: DataFrame, stratum: str, key: str, quotas: dict[str, int], tag: str) -> DataFrame:
-    """Up to the quota of each stratum, in hash order."""
+    """Up to the quota of each stratum, in hash order. The largest quota is a literal bound, so every task keeps no more of a stratum before rows are dealt."""
     w = W.partitionBy(stratum).orderBy(hash_order(tag, key), key)
     quota = F.create_map(*(x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))))
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.coalesce(F.try_element_at(quota, F.col(stratum)), F.lit(0))).drop("_r")
+    some = df.where(F.col(stratum).isin(*quotas)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(quotas.values()))
+    return some.where(F.col("_r") <= F.try_element_at(quota, F.col(stratum))).drop("_r")
 
 
 def one_of_each_within(df: DataFrame, outer: str, inner: str, key: str, n: int, tag: str) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Queries of fact retrieval within documents, optimal alignment of bags and stored accumulators."""
+"""Queries of fact retrieval within documents, alignment and likeness of bags, stored accumulators and strict execution."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+from ..functions import programs as P
 from ..operators import accumulators as S
 from ..operators import facts as V
 from ..operators import matching as M
 from ..sources.files import scratch
+from .programs import _programs
 
 DIMS, K = 16, 2
 
@@ -57,7 +60,31 @@ def d16b(spark, sf_dir):
     return near.select("event_type", "n", (F.abs(F.col("share") - 0.5) < 0.05).alias("near"))
 
 
-QUERIES = {"j25_fact_coverage": j25, "k2_bag_alignment": k2, "d15_stored_states": d15b, "d16_sketch_states": d16b}
+def _lines(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey")
+    return li.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("ls"))  # seven lines at most
+
+
+def b7(spark, sf_dir):
+    """Lines that hold a keyword whatever the blanks, or all of them."""
+    items = F.transform("ls", lambda x: F.concat(x["l_returnflag"], F.lit("  "), x["l_linenumber"].cast("string")))
+    keyword = F.concat(F.lit("r "), (F.col("l_orderkey") % 4 + 1).cast("string"))
+    return _lines(spark, sf_dir).select("l_orderkey", F.array_join(A.keep_keyword(items, keyword), ",").alias("kept"))
+
+
+def h33(spark, sf_dir):
+    part = lambda early: F.transform(F.filter("ls", lambda x: (x["l_linenumber"] <= 3) == F.lit(early)), lambda x: x["l_returnflag"])
+    return _lines(spark, sf_dir).select("l_orderkey", F.round(A.multiset_cosine(part(True), part(False)), 6).alias("cosine"))
+
+
+def j11(spark, sf_dir):
+    """Programs that must execute: a failure would fail the query."""
+    p = _programs(spark, sf_dir).where((F.col("o_orderkey") % 7).isin(0, 1, 2, 4))
+    run = P.execute(P.parse_linear(F.col("program")), F.col("table"))
+    return p.withColumn("run", run).select("o_orderkey", P.require(F.col("run"), F.col("program")).alias("value"))
+
+
+QUERIES = {"j25_fact_coverage": j25, "k2_bag_alignment": k2, "d15_stored_states": d15b, "d16_sketch_states": d16b, "b7_keyword_filter": b7, "h33_multiset_cosine": h33, "j11_strict_executor": j11}
 
 _SLOTS = "SELECT id, fact, h % 16 AS slot, sum(CASE WHEN (h // 16) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM (SELECT id, fact, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))), 1, 8))::BIGINT AS h FROM t) GROUP BY ALL"
 _BAG = lambda seed: "[" + ", ".join(f"['w' || ((o_orderkey * {3 + i} + {seed}) % 5), 'w' || ((o_orderkey * {7 * i + 1} + {seed}) % 4), 'x']" for i in range(3)) + "]"
@@ -72,4 +99,7 @@ SELECT id, 2::BIGINT AS wanted, found::BIGINT AS found, round(found / 2.0::DOUBL
     "k2_bag_alignment": f"WITH x AS (SELECT o_orderkey, ({_BAG(0)})[:(o_orderkey % 4)] AS a, ({_BAG(2)})[:(o_orderkey % 3 + 1)] AS b FROM orders) SELECT o_orderkey, round(greatest({_BEST}) / greatest(len(a), len(b))::DOUBLE, 2) AS f1 FROM x",
     "d15_stored_states": "WITH e AS (SELECT event_type, value, (user_id % 3)::DOUBLE AS w FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, sum(w) AS n, sum(value * w) AS t, sum(value * value * w) AS q, min(value) AS least, max(value) AS most FROM e GROUP BY ALL) SELECT event_type, round(n, 6) AS n, round(t / n, 6) AS mean, round(sqrt(greatest(q / n - (t / n) * (t / n), 0)), 6) AS sd, round(least, 6) AS least, round(most, 6) AS most FROM s",
     "d16_sketch_states": "SELECT event_type, count(value) AS n, true AS near FROM events WHERE value IS NOT NULL GROUP BY ALL",
+    "b7_keyword_filter": "WITH i AS (SELECT l_orderkey, list(l_returnflag || '  ' || l_linenumber ORDER BY l_linenumber, l_returnflag) AS ls FROM lineitem GROUP BY ALL), k AS (SELECT *, list_filter(ls, lambda x: contains(lower(replace(x, ' ', '')), 'r' || (l_orderkey % 4 + 1))) AS kept FROM i) SELECT l_orderkey, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE ls END, ',') AS kept FROM k",
+    "h33_multiset_cosine": "WITH c AS (SELECT l_orderkey, l_returnflag, count(*) FILTER (l_linenumber <= 3) AS a, count(*) FILTER (l_linenumber > 3) AS b FROM lineitem GROUP BY ALL) SELECT l_orderkey, round(CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 0 ELSE sum(a * b) / sqrt(sum(a * a)) / sqrt(sum(b * b)) END::DOUBLE, 6) AS cosine FROM c GROUP BY l_orderkey",
+    "j11_strict_executor": "WITH q AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity::BIGINT) AS s, max(l_quantity::BIGINT) AS m FROM lineitem GROUP BY ALL) SELECT o_orderkey, round(CASE o_orderkey % 7 WHEN 0 THEN (floor(o_totalprice) - 100) / 2 WHEN 1 THEN s WHEN 2 THEN m + floor(o_totalprice) ELSE (floor(o_totalprice) > 150000)::INT END::DOUBLE, 5) AS value FROM orders JOIN q USING (o_orderkey) WHERE o_orderkey % 7 IN (0, 1, 2, 4)",
 }

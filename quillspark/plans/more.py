@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import derivations as D
@@ -116,7 +117,8 @@ def d43(spark, sf_dir):
 
 def c7(spark, sf_dir):
     """Containment join: a case's structure is one of the families of a strategy."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]), 1, 2), ">").alias("struct"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy("event_id", "event_type"))).where("_r <= 2")
+    e = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "event_type"))), lambda s: s["event_type"]), ">").alias("struct"))
     s = spark.createDataFrame([(1, ["view>click", "click>view"]), (2, ["view>view", "purchase>view", "click>view"])], "strategy_id long, families array<string>")
     fam = s.select("strategy_id", F.explode("families").alias("struct"))
     return e.join(F.broadcast(fam), "struct").groupBy("strategy_id").agg(F.count_distinct("user_id").alias("users"))  # the catalogue is a fixed list

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -82,7 +83,7 @@ def d20(spark, sf_dir):
 
 
 def d30(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value")).alias("v"))
+    e = _t(spark, sf_dir, "events").withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc_nulls_last("value")))).where("_r <= 4").groupBy("user_id").agg(F.collect_list(F.col("value")).alias("v"))
     s = T.score_stats(F.col("v"))
     return _round(e.select("user_id", s.alias("s")).select("user_id", "s.*"))
 

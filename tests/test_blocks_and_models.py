@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules as R
-from quillspark.operators import accumulators, matching, nested, stats
+from quillspark.operators import accumulators, matching, nested, retrieval, stats
 from quillspark.sources import blocks
 from quillspark.streaming import guard
 
@@ -193,6 +193,21 @@ def test_states_merge_in_any_order_and_count_once(spark, tmp_path):
         accumulators.commit(accumulators.states(df, "v", "k"), folder, "a/b")
 
 
+@pytest.mark.parametrize("exclude", [None, "same", "other"])
+def test_blocks_of_queries_find_what_one_pass_finds(spark, monkeypatch, exclude):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)], None if i % 5 == 0 else f"g{i % 3}") for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>, grp string").repartition(4)
+    q, src = v.where("id % 7 = 0").withColumnRenamed("id", "target_id"), v.withColumnRenamed("id", "source_id")
+    got = []
+    for most in (1 << 25, 1):
+        monkeypatch.setattr(retrieval, "SENT_BYTES", most)
+        monkeypatch.setattr(retrieval, "QUERIES", 10)
+        monkeypatch.setattr(retrieval, "SOURCES", 40)
+        got.append(sorted(map(tuple, retrieval.top_k(q, src, 3, exclude=exclude).select("target_id", "rank", "source_id", "score").collect())))
+    assert got[0] == got[1] and len(got[0]) == 43 * 3
+
+
 # -- guards on a stream -----------------------------------------------------------------------------
 def test_pins_outlive_a_restart(spark, tmp_path):
     import datetime as dt
