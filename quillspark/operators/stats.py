@@ -15,13 +15,33 @@ from ..shipping import ship
 from .tables import cumulative
 
 
+#: Logarithms of 0! to 15!; larger ones come from a series.
+_SMALL = [math.lgamma(k + 1) for k in range(16)]
+
+
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, to about 1e-13 of its size."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < len(_SMALL), F.get(F.array(*map(F.lit, _SMALL)), F.greatest(F.least(n, F.lit(len(_SMALL) - 1)), F.lit(0)).cast("int"))).otherwise(series)
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided p of discordant counts; 1 if there are none. A sum of log terms, so counts may be large."""
-    n, m = b + c, F.greatest(b, c)
-    half = F.log(F.lit(2.0))
-    # log C(n, n) = 0 and log C(n, i - 1) = log C(n, i) + log i - log(n - i + 1), from i = n down to m
-    fold = F.aggregate(F.sequence(F.lit(0).cast("long"), n - m), F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("s")), lambda a, j: F.struct((a["l"] + F.when(j > 0, F.log((n - j + 1).cast("double")) - F.log(F.greatest(j, F.lit(1)).cast("double"))).otherwise(0.0)).alias("l"), (a["s"] + F.exp(a["l"] + F.when(j > 0, F.log((n - j + 1).cast("double")) - F.log(F.greatest(j, F.lit(1)).cast("double"))).otherwise(0.0) - n * half)).alias("s")))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * fold["s"]))
+    """Exact two-sided p of discordant counts; 1 if there are none.
+
+    The tail starts at its largest term and each further one is a ratio of the one before; twelve
+    deviations on they add nothing a double can hold, so a row has about the root of its count in terms.
+    """
+    n, m = (b + c).cast("long"), F.greatest(b, c).cast("long")
+    terms = F.least(n - m, F.ceil(6 * F.sqrt(n.cast("double"))).cast("long") + 60)
+
+    def add(acc: Column, j: Column) -> Column:
+        term = F.when(j == 0, F.lit(1.0)).otherwise(acc["t"] * (n - m - j + 1) / (m + j))
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), terms), F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s")), add, lambda acc: acc["s"])
+    first = F.exp(log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * math.log(2))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * first * tail))
 
 
 #: Draws are numbers below this prime; their upper 16 bits pick how often a row is drawn. Rows that are drawn for all resamples at a time.

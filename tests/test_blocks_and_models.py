@@ -166,6 +166,19 @@ def test_alignment_of_odd_sides(spark):
     assert matching.aligned(df, "a", "b", need_number=True).where("id = 6").first().f1 == 0.0
 
 
+def test_mcnemar_of_small_and_large_counts(spark):
+    from math import comb
+
+    pairs = [(0, 0), (1, 0), (3, 9), (10, 10), (40, 61), (700, 812), (0, 30)]
+    df = spark.createDataFrame([*pairs, (10**9, 10**9 + 100_000)], "b long, c long")
+    got = {(r.b, r.c): r.p for r in df.select("b", "c", stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()}
+    for b, c in pairs:
+        n = b + c
+        want = min(1.0, 2 * sum(comb(n, i) for i in range(max(b, c), n + 1)) / 2**n)
+        assert got[b, c] == pytest.approx(want, rel=1e-9)
+    assert got[10**9, 10**9 + 100_000] == pytest.approx(0.02535, abs=2e-4)  # as the normal limit has it
+
+
 def test_resampling_is_poisson_and_repeats(spark):
     df = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("v"))
     a, b = (stats.resampled(d, "id", 400, 3, s=F.col("v"), n=F.lit(1)).toPandas().sort_values("rep").reset_index(drop=True) for d in (df.repartition(3), df.repartition(7)))
