@@ -83,6 +83,9 @@ def resampled(rows: DataFrame, key: str, reps: int, seed: int, **values: Column)
         every = np.concatenate([plain[:, None], total], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, reps)), *map(pa.array, every)], names=["rep", *names])
 
+    # rows are narrow and draws are not: every core gets its part, whatever the bytes
+    spark = rows.sparkSession
+    drawn = drawn.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     sums = drawn.mapInArrow(run, "rep long, " + ", ".join(f"`{n}` double" for n in names))
     return sums.groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
 
