@@ -51,6 +51,15 @@ def test_numbers(spark):
     assert (r.a, r.b, r.c, r.d, r.e.value, r.f.value, r.g) == (1000.0, 0.04, None, 5.0, -12.5, None, False)
 
 
+def test_tolerant_equality_names_the_kind_of_error(spark, small):
+    from quillspark.plans import text
+
+    kinds = {(r.k, r.kind) for r in text.QUERIES["h26_tolerant_equality"](spark, small).select((F.col("o_orderkey") % 6).alias("k"), "kind").distinct().collect()}
+    assert kinds == set(enumerate(["correct", "percent_scale", "percent_scale", "thousands_scale", "small_error", "wrong"]))
+    r = one(spark, N.error_class(F.lit(None).cast("double"), F.lit(1.0)).alias("a"), N.error_class(F.lit(0.0), F.lit(50.0)).alias("b"), N.error_class(F.lit(3.0), F.lit(0.0)).alias("c"))
+    assert (r.a, r.b, r.c) == ("missing", "zero_result", "wrong")
+
+
 def test_text(spark):
     r = one(spark, X.html_to_text(F.lit("<table><tr><td>a</td><td></td><td>b</td></tr><tr><td></td></tr></table>")).alias("a"), K.plain_answer(F.lit("The cat, of 1,000!")).alias("b"), X.json_object(F.lit("x {\"a\": 1} y")).alias("c"), X.truncate(F.lit("abcdef"), 3).alias("d"))
     assert (r.a, r.b, r.c, r.d) == ("a | b", "cat of 1000", '{"a": 1}', "abc...")
