@@ -109,6 +109,30 @@ def test_ngram_components_of_chains(spark, monkeypatch, few, block, ordered):
     assert got == brute_components(rows)
 
 
+def test_crowd_of_edited_copies_is_dealt_in_proportion(spark, monkeypatch):
+    """Copies of one text, most alike, some edited too much to be like any: those are told apart without comparing all with all."""
+    for name, value in (("FEW", 4), ("BLOCK", 8), ("SHINGLES", 10_000)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(240):
+        t = list(base)
+        for k in r.sample(range(100), r.choice([0, 1, 2, 5, 6])):
+            t[k] = word()
+        rows.append((i, " ".join(t)))
+    near = rows[0][1].split()  # a chain away from the first text: alike one by one only
+    for i in range(240, 260):
+        near[(i * 5) % 100] = word()
+        rows.append((i, " ".join(near)))
+    dealt, compared = [], ngramjoin._compared
+    monkeypatch.setattr(ngramjoin, "_compared", lambda d, *how: (dealt.append(d.count()), compared(d, *how))[1])
+    got = {x.doc_id: x.component_id for x in ngramjoin.ngram_components(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows)
+    assert 1 < len(set(got.values())) < len(rows) - 100
+    assert max(dealt) < 6 * len(rows)  # all pairs of blocks: 33 times each
+
+
 def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
     a, b = thue_morse(10)
     rows = [(1, a), (2, b), (3, f"{a} x y z w v"), (4, f"{b} x y z w v"), (5, a.upper())]
