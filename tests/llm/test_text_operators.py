@@ -130,7 +130,7 @@ def test_crowd_of_edited_copies_is_dealt_in_proportion(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in ngramjoin.ngram_components(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert got == brute_components(rows)
     assert 1 < len(set(got.values())) < len(rows) - 100
-    assert max(dealt) < 6 * len(rows)  # all pairs of blocks: 33 times each
+    assert max(dealt) < 6 * len(rows)  # all pairs of blocks were 3,828 rows
 
 
 def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
