@@ -562,6 +562,15 @@ def test_sample_is_bounded_before_it_is_collected(spark):
     assert 8 <= len(texts) == len(y) <= 14
 
 
+def test_large_texts_teach_where_the_others_leave_room(spark):
+    from quillspark.llm import labelled
+
+    sizes = [5000, 20, 20, 600, 20, 300]
+    marks = labels(spark, [(i, 1, i % 2, "e") for i in range(6)])
+    texts, y = labelled.sample(frame(spark, [(i, chr(97 + i) * n, "s") for i, n in enumerate(sizes)]), marks, "toxic", labelled.remainder("doc_id", 5) < 5, 90, 1000)
+    assert [len(t) for t in texts.to_pylist()] == [20, 20, 600, 20, 300] and y.tolist() == [1, 0, 1, 0, 1]
+
+
 def test_characters_of_words():
     for text in ("ab é", "日本 🙂x", "", "a\tb\nc"):
         buf, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
