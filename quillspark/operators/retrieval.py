@@ -209,12 +209,17 @@ def cache(hits: DataFrame) -> DataFrame:
     return g.select("target_id", F.transform("h", lambda x: x["source_id"]).alias("source_ids"), (F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)).alias("mean"), F.array_min(s).alias("least"), F.array_max(s).alias("greatest"))
 
 
-def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """(key, vector): an encoder without a model. Words fall into ``dims`` slots by hash, with a sign; the vector has length 1, or is zero without words."""
+def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64, whole: bool = False) -> DataFrame:
+    """(key, vector): an encoder without a model. Words fall into ``dims`` slots by hash, with a sign; the vector has length 1, or is zero without words.
+
+    It is zero too where signs cancel in every slot; ``whole`` counts the words of such a text without signs.
+    """
     w = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
     h = F.conv(F.substring(F.md5(F.col("w")), 1, 8), 16, 10).cast("long")
-    per = texts.select(key, w.alias("w")).select(key, (h % dims).cast("int").alias("slot"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "slot").agg(F.sum("sign").cast("double").alias("v")).where("v <> 0")
-    vec = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))  # dims entries at most
+    per = texts.select(key, w.alias("w")).select(key, (h % dims).cast("int").alias("slot"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "slot").agg(F.sum("sign").cast("double").alias("v"), F.count("*").cast("double").alias("n"))
+    held = F.collect_list(F.when(F.col("v") != 0, F.struct("slot", "v")))
+    unsigned = F.collect_list(F.struct("slot", F.col("n").alias("v")))
+    vec = per.groupBy(key).agg(F.map_from_entries(F.when(F.size(held) > 0, held).otherwise(unsigned) if whole else held).alias("m"))  # dims entries at most
     filled = texts.select(key).distinct().join(vec, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
     return filled.select(key, F.when(norm(F.col("v")) > 0, unit(F.col("v"))).otherwise(F.col("v")).alias("vector"))
 

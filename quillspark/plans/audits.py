@@ -196,8 +196,8 @@ def o7(spark, sf_dir):
     return r.groupBy("round", F.array_join("faults", ",").alias("faults")).agg(F.count("*").alias("n"))
 
 
-def _encoded(spark, sf_dir):
-    return V.hashed_vectors(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 16)
+def _encoded(spark, sf_dir, whole=False):
+    return V.hashed_vectors(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 16, whole)
 
 
 def a15(spark, sf_dir):
@@ -207,7 +207,7 @@ def a15(spark, sf_dir):
 
 def i11(spark, sf_dir):
     """Stored vectors against the encoder: some changed, some scaled, some lost."""
-    e = _encoded(spark, sf_dir)
+    e = _encoded(spark, sf_dir, whole=True)
     k = F.col("doc_id") % 40
     stored = e.where(k != 3).select("doc_id", F.transform("vector", lambda x: F.when(k == 5, x * 2).when(k == 7, -x).otherwise(x)).alias("vector"))
     return V.encoding_faults(stored, e, "doc_id")

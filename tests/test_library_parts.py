@@ -187,3 +187,19 @@ def test_predictions_of_odd_entries(spark):
 def test_transfer_without_other_runs(spark):
     df = spark.createDataFrame([(1, "none", 0, True)], "sample_id long, arm string, replicate int, correct boolean")
     assert outcomes.transfer(df).count() == 0
+
+
+def test_texts_whose_signs_cancel_have_faults_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import audits
+
+    texts = ["De éenéç, on ierè.", "Thhestly ou. Ha erbleti.", "", "...", "one", "one two three"]
+    d = spark.createDataFrame([(40 * i + k, t) for i, t in enumerate(texts) for k in (0, 3, 5, 7)], "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    plain, whole = ({r.doc_id: sum(x * x for x in r.vector) for r in retrieval.hashed_vectors(d, "doc_id", "text", 16, w).collect()} for w in (False, True))
+    assert plain[0] == plain[40] == plain[80] == whole[80] == whole[120] == 0 and all(abs(whole[40 * i] - 1) < 1e-9 for i in (0, 1, 4, 5))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in audits.i11(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.sql(audits.ORACLES["i11_encoding_faults"]).fetchall())
