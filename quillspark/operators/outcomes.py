@@ -74,7 +74,8 @@ def transitions(outcomes: DataFrame, base: str = "none", arms: tuple[str, ...] =
 
 def agreement(outcomes: DataFrame) -> DataFrame:
     """Share of samples on which two replicates of an arm agree, for each pair of replicates."""
-    a, b = outcomes.alias("a"), outcomes.alias("b")
+    # sorted, as Spark's guess of an exploded table's size is that before the explode, and it would be sent whole through the driver
+    a, b = outcomes.alias("a"), outcomes.hint("merge").alias("b")
     j = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.arm") == F.col("b.arm")) & (F.col("a.replicate") < F.col("b.replicate")))
     return j.groupBy(F.col("a.arm").alias("arm"), F.col("a.replicate").alias("rep_a"), F.col("b.replicate").alias("rep_b")).agg(F.avg((F.col("a.correct") == F.col("b.correct")).cast("double")).alias("agreement"))
 

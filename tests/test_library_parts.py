@@ -203,3 +203,34 @@ def test_texts_whose_signs_cancel_have_faults_as_in_sql(spark, tmp_path):
     c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = [tuple(r) for r in audits.i11(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(c.sql(audits.ORACLES["i11_encoding_faults"]).fetchall())
+
+
+def outcome_rows(spark):
+    """Outcomes with repeated rows and unknown values, exploded from a few samples as the queries' are."""
+    each = F.expr("explode(array('none', 'case', 'strategy', 'both'))").alias("arm")
+    runs = spark.range(60).select(F.col("id").alias("sample_id"), each).select("*", F.expr("explode(sequence(0, 2))").alias("replicate"))
+    mixed = F.abs(F.xxhash64("sample_id", "arm", "replicate"))
+    return runs.select("*", F.when(mixed % 11 > 0, mixed % 3 == 0).alias("correct"), F.explode(F.sequence(F.lit(0), F.when(mixed % 7 == 0, 1).otherwise(0))).alias("copy"))
+
+
+def in_sql(df, sql):
+    import duckdb
+
+    arms = df.toArrow()  # noqa: F841
+    return duckdb.sql(sql).fetchall()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def near(got, want):
+    got, want = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x) for x in (got, want))
+    assert got == want
+
+
+def test_agreement_sends_no_outcomes_to_the_driver(spark):
+    df = outcome_rows(spark)
+    got = outcomes.agreement(df)
+    assert "Broadcast" not in plan(got)
+    near(got.collect(), in_sql(df, "SELECT a.arm, a.replicate, b.replicate, avg((a.correct = b.correct)::INT) FROM arms a JOIN arms b ON a.sample_id = b.sample_id AND a.arm = b.arm AND a.replicate < b.replicate GROUP BY ALL"))
