@@ -108,17 +108,22 @@ def support(outcomes: DataFrame, base: str = "both") -> DataFrame:
 
 def transfer(outcomes: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
     """Leave one replicate out: each sample's best arm on the others (ties: the arm better overall, then by name), scored on the one left out."""
-    # scores on the other replicates are sums over all less the one left out, so nothing is copied once a fold
-    own = outcomes.groupBy("sample_id", "arm", "replicate").agg(F.sum(hit()).alias("h"), F.count("*").alias("c"))
-    every = own.groupBy("sample_id", "arm").agg(F.sum("h").alias("hs"), F.sum("c").alias("cs"))
-    per = own.join(every, ["sample_id", "arm"]).where("cs > c").select(F.col("replicate").alias("fold"), "sample_id", "arm", ((F.col("hs") - F.col("h")) / (F.col("cs") - F.col("c"))).alias("score"))
-    runs = own.groupBy("arm", "replicate").agg(F.sum("h").alias("h"), F.sum("c").alias("c"))
-    arms_ = runs.groupBy("arm").agg(F.sum("h").alias("hs"), F.sum("c").alias("cs"))
-    overall = runs.join(arms_, "arm").where("cs > c").select(F.col("replicate").alias("fold"), "arm", ((F.col("hs") - F.col("h")) / (F.col("cs") - F.col("c"))).alias("prior"))
-    rank = W.partitionBy("fold", "sample_id").orderBy(F.desc("score"), F.desc("prior"), "arm")
-    pick = per.join(overall, ["fold", "arm"]).withColumn("r", F.row_number().over(rank)).where("r = 1").select(F.col("fold").alias("replicate"), "sample_id", "arm")
-    got = pick.join(outcomes, ["replicate", "sample_id", "arm"])
-    return got.groupBy("replicate").agg(F.count("*").alias("n"), F.avg(hit()).alias("transfer_accuracy"))
+    # scores on the other replicates are sums over all less the one left out, so nothing is copied once a fold;
+    # a sample's rows are dealt to one task once, and the picked row holds what it is scored by
+    sums = (F.sum(hit()).alias("h"), F.count("correct").alias("c"), F.count("*").alias("n"))
+    own = outcomes.where("sample_id is not null and arm is not null and replicate is not null").repartition("sample_id").groupBy("sample_id", "arm", "replicate").agg(*sums)
+
+    def others(x: DataFrame, name: str, *by: str) -> DataFrame:
+        every = W.partitionBy(*by)
+        x = x.withColumns({f"all_{k}": F.sum(k).over(every) for k in "hcn"}).where("all_n > n")
+        return x.withColumn(name, F.try_divide(F.col("all_h") - F.coalesce("h", F.lit(0.0)), F.col("all_c") - F.col("c"))).drop("all_h", "all_c", "all_n")
+
+    overall = others(outcomes.groupBy("arm", "replicate").agg(*sums), "prior", "arm")
+    place = F.row_number().over(W.partitionBy("replicate").orderBy(F.desc("prior"), "arm"))
+    overall = overall.select("arm", "replicate", (-place).alias("place"))
+    per = others(own, "score", "sample_id", "arm").join(F.broadcast(overall), ["arm", "replicate"])  # a row an arm and replicate
+    best = per.groupBy("sample_id", "replicate").agg(F.max(F.struct("score", "place", "h", "c", "n")).alias("b"))
+    return best.groupBy("replicate").agg(F.sum("b.n").alias("n"), F.try_divide(F.sum("b.h"), F.sum("b.c")).alias("transfer_accuracy"))
 
 
 def policy(outcomes: DataFrame, choices: DataFrame, base: str = "both") -> DataFrame:

@@ -234,3 +234,18 @@ def test_agreement_sends_no_outcomes_to_the_driver(spark):
     got = outcomes.agreement(df)
     assert "Broadcast" not in plan(got)
     near(got.collect(), in_sql(df, "SELECT a.arm, a.replicate, b.replicate, avg((a.correct = b.correct)::INT) FROM arms a JOIN arms b ON a.sample_id = b.sample_id AND a.arm = b.arm AND a.replicate < b.replicate GROUP BY ALL"))
+
+
+def test_transfer_joins_no_outcomes(spark):
+    df = outcome_rows(spark)
+    got = outcomes.transfer(df)
+    assert plan(got).count("BroadcastExchange") <= 1 and "SortMergeJoin" not in plan(got)
+    near(
+        got.collect(),
+        in_sql(
+            df,
+            """WITH k AS (SELECT f.fold, a.* FROM arms a, (VALUES (0), (1), (2)) f(fold) WHERE a.replicate <> f.fold), s AS (SELECT fold, sample_id, arm, avg(correct::INT) AS score FROM k GROUP BY ALL), o AS (SELECT fold, arm, avg(correct::INT) AS prior FROM k GROUP BY ALL),
+            pick AS (SELECT fold, sample_id, arm FROM s JOIN o USING (fold, arm) QUALIFY row_number() OVER (PARTITION BY fold, sample_id ORDER BY score DESC NULLS LAST, prior DESC, arm) = 1)
+            SELECT a.replicate, count(*), avg(a.correct::INT) FROM pick p JOIN arms a ON a.replicate = p.fold AND a.sample_id = p.sample_id AND a.arm = p.arm GROUP BY ALL""",
+        ),
+    )
