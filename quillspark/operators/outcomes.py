@@ -138,7 +138,8 @@ def policy(outcomes: DataFrame, choices: DataFrame, base: str = "both") -> DataF
 
 def pareto(outcomes: DataFrame, costs: DataFrame) -> DataFrame:
     """Mean cost and accuracy of each arm, and whether no arm is both cheaper and better. costs: (sample_id, arm, tokens)."""
-    g = outcomes.join(costs, ["sample_id", "arm"]).groupBy("arm").agg(F.avg("tokens").alias("tokens"), F.avg(hit()).alias("accuracy"))
+    # sorted: costs that come from an explode are more than Spark guesses (as in ``agreement``)
+    g = outcomes.join(costs.hint("merge"), ["sample_id", "arm"]).groupBy("arm").agg(F.avg("tokens").alias("tokens"), F.avg(hit()).alias("accuracy"))
     best = F.max("accuracy").over(W.orderBy("tokens", F.desc("accuracy")).rowsBetween(W.unboundedPreceding, -1))  # one row an arm
     return g.select("arm", "tokens", "accuracy", F.coalesce(F.col("accuracy") > best, F.lit(True)).alias("on_front"))
 

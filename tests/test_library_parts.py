@@ -249,3 +249,10 @@ def test_transfer_joins_no_outcomes(spark):
             SELECT a.replicate, count(*), avg(a.correct::INT) FROM pick p JOIN arms a ON a.replicate = p.fold AND a.sample_id = p.sample_id AND a.arm = p.arm GROUP BY ALL""",
         ),
     )
+
+
+def test_pareto_sends_no_costs_to_the_driver(spark):
+    df = outcome_rows(spark).withColumn("tokens", F.col("sample_id") % 7 + F.length("arm"))
+    got = outcomes.pareto(df.drop("tokens"), df.where("replicate = 0 and copy = 0").select("sample_id", "arm", "tokens"))
+    assert "Broadcast" not in plan(got)
+    near(got.collect(), in_sql(df, "WITH g AS (SELECT a.arm, avg(c.tokens) AS t, avg(a.correct::INT) AS a FROM arms a JOIN (SELECT * FROM arms WHERE replicate = 0 AND copy = 0) c USING (sample_id, arm) GROUP BY ALL) SELECT *, NOT EXISTS (SELECT 1 FROM g h WHERE h.arm <> g.arm AND h.t <= g.t AND h.a >= g.a) FROM g"))
