@@ -16,22 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .files import scratch
+from .files import _open, scratch
 
 #: Bytes of a block, blocks that a task reads in turn, and children of a node.
 BLOCK, RANGE, FAN = 1 << 20, 64, 256
 
 
-def _open(uri: str):
-    scheme, _, rest = uri.partition(":")
-    if not rest or scheme == "file":
-        return open("/" + (rest or uri).lstrip("/"), "rb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(path)
-
-
 def _kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that nothing below it is computed again."""
     path = scratch(df.sparkSession)

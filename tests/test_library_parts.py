@@ -256,3 +256,22 @@ def test_pareto_sends_no_costs_to_the_driver(spark):
     got = outcomes.pareto(df.drop("tokens"), df.where("replicate = 0 and copy = 0").select("sample_id", "arm", "tokens"))
     assert "Broadcast" not in plan(got)
     near(got.collect(), in_sql(df, "WITH g AS (SELECT a.arm, avg(c.tokens) AS t, avg(a.correct::INT) AS a FROM arms a JOIN (SELECT * FROM arms WHERE replicate = 0 AND copy = 0) c USING (sample_id, arm) GROUP BY ALL) SELECT *, NOT EXISTS (SELECT 1 FROM g h WHERE h.arm <> g.arm AND h.t <= g.t AND h.a >= g.a) FROM g"))
+
+
+def test_digests_of_files_that_are_no_row(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    texts = {"a b.txt": b"x" * 5000 + b"\nend", "small.txt": b"one\ntwo\n"}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(files, "WHOLE", 100, raising=False)
+    monkeypatch.setattr(files, "PIECE", 7, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # stands for the 2 GB of a row
+    try:
+        got = {r.path.rpartition("/")[2].replace("%20", " "): (r.bytes, r.sha256, r.md5) for r in files.digests(spark, str(tmp_path)).collect()}
+        assert got == {k: (len(v), hashlib.sha256(v).hexdigest(), hashlib.md5(v).hexdigest()) for k, v in texts.items()}
+        files.check_lock(spark, f"{tmp_path}/a*.txt", got["a b.txt"][1], 2)
+        with pytest.raises(ValueError, match="match its lock"):
+            files.check_lock(spark, f"{tmp_path}/a*.txt", got["small.txt"][1])
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
