@@ -663,3 +663,15 @@ def test_rows_without_an_id_draw_each_their_own_key(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     keys = rows.groupBy("doc_id").agg(F.count_distinct(mixing.uniform(F.col("doc_id"), F.col("text"), "s")).alias("n")).collect()
     assert sorted((r.doc_id or 0, r.n) for r in keys) == [(0, 10_000), (7, 10_000)]
+
+
+def test_parked_tables_leave_no_shuffle_files(spark):
+    from quillspark.llm import common
+    from quillspark.sources import files
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = held()
+    t = common.park(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count())
+    assert spark.conf.get(files.SWEEP, "false") == "false" and held() <= before
+    assert t.count() == 700 and t.agg(F.sum("count")).first()[0] == 5000
+    common.unpark(t)
