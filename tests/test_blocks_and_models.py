@@ -4,6 +4,7 @@ import os
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,35 @@ def test_pins_outlive_a_restart(spark, tmp_path):
     assert got == {1: ("v0", False), 2: ("v0", True), 3: (None, False), 4: ("v0", True), 5: ("v0", False), 6: ("x", True)}
     assert {r.key: r.id for r in guard.current(spark, kept).collect()} == {"a": 4, "b": 6}
     assert guard.current(spark, f"file://{tmp_path}/nothing") is None
+
+
+def test_nested_ratings_without_tables_of_scores(spark, monkeypatch):
+    """Ratings and choices of fits that every task holds are those of joined scores, and no table has a row for each score."""
+    rng, rows, arms = np.random.default_rng(3), [], ["none", "case", "strategy"]
+    for i in range(400):
+        x, p = rng.normal(size=3), {a: float(rng.integers(0, 4)) / 3 for a in [*arms, "both"]}
+        told = {"a": float(x[0]), "b": None if i % 9 == 0 else float(x[1]), f"rare{i % 50}": 1.0, "lead": 2 * p["case"] - 2 * p["both"] + float(x[2])}
+        rows.append((i, None if i % 40 == 0 else i // 8, *p.values(), *(max(p[a] - p["both"], 0.0) for a in arms), *(max(p["both"] - p[a], 0.0) for a in arms), None if i % 17 == 0 else {k: told[k] for k in ("a", "b")}, told))
+    names = [f"{k}_{a}" for k in ("p", "gain", "harm") for a in (*arms, *(("both",) if k == "p" else ()))]
+    df = spark.createDataFrame(rows, "id long, grp long, " + ", ".join(f"{n} double" for n in names) + ", few map<string,double>, more map<string,double>")
+    kept, sizes = nested._kept, []
+
+    def counted(t):
+        out = kept(t)
+        sizes.append(out.count())
+        return out
+
+    def run():
+        r = nested.nested_policy(df, "id", "grp", arms, "both", {"few": "few", "more": "more"}, outer=3, inner=2, prior=["strategy", "none", "case"], most=150)
+        return r.table.toPandas().sort_values(["f", "number"]).reset_index(drop=True), r.choices.select("id", "outer", "chosen", "value", "base_value").toPandas().sort_values("id").reset_index(drop=True)
+
+    monkeypatch.setattr(nested, "_kept", counted)
+    monkeypatch.setattr(nested, "DENSE", 100, raising=False)
+    table, choices = run()
+    assert max(sizes) <= 1000, sizes
+    monkeypatch.setattr(nested, "HELD", 0)
+    table2, choices2 = run()
+    assert max(sizes) > 1000
+    pd.testing.assert_frame_equal(table, table2[table.columns], rtol=0, atol=1e-9)
+    pd.testing.assert_frame_equal(choices, choices2, rtol=0, atol=1e-9)
+    assert choices.chosen.nunique() > 1
